@@ -1,0 +1,109 @@
+import hashlib
+import os
+import struct
+import zlib
+
+import numpy as np
+import pytest
+
+from keyloom.llm import tiff
+from keyloom.llm.queries import op1_tiff_pages
+
+from .conftest import SF
+
+
+@pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.ADOBE_DEFLATE, tiff.PACKBITS, tiff.DEFLATE])
+@pytest.mark.parametrize("predictor", [1, 2])
+@pytest.mark.parametrize("tile", [None, (16, 48), (128, 32)])
+def test_round_trip(compression, predictor, tile):
+    for data in (b"\0" * 64, os.urandom(6400), b"abab" * 3200, b"x" * 40000, bytes(range(256)) * 300):
+        data = data[: len(data) // 64 * 64]
+        pages, error = tiff.read_pages(tiff.write_tiff(data, compression=compression, predictor=predictor, tile=tile))
+        assert error is None and b"".join(p["pixels"] for p in pages) == data
+        assert [p["page"] for p in pages] == list(range(-(-len(data) // (64 * 512))))
+
+
+def test_lzw_as_published():
+    """The example of the format's description: seven bytes of text and their codes."""
+    data = bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    codes, bits = [256, 7, 258, 8, 8, 258, 6, 6, 257], ""
+    for c in codes:
+        bits += f"{c:09b}"
+    bits += "0" * (-len(bits) % 8)
+    assert tiff.lzw_encode(data) == int(bits, 2).to_bytes(len(bits) // 8, "big")
+    assert tiff.lzw_decode(tiff.lzw_encode(data), 9) == data
+
+
+def test_packbits_as_published():
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    plain = bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    assert tiff.packbits_decode(packed, 24) == plain
+    assert tiff.packbits_decode(tiff.packbits_encode(plain, 24), 24) == plain
+
+
+def _one_page(order, pixels, tags):
+    """A file of one uncompressed strip, tags as (tag, type, values)."""
+    tags = sorted([*tags, (tiff.STRIP_OFFSETS, 4, [8]), (tiff.STRIP_COUNTS, 4, [len(pixels)])])
+    data = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8 + len(pixels)) + pixels
+    extra, entries, at = b"", b"", 8 + len(pixels) + 2 + 12 * len(tags) + 4
+    for tag, kind, values in tags:
+        v = struct.pack(f"{order}{len(values)}{tiff.TYPES[kind]}", *values)
+        if len(v) > 4:
+            v, extra = struct.pack(order + "I", at + len(extra)), extra + v
+        entries += struct.pack(order + "HHI", tag, kind, len(values)) + v.ljust(4, b"\0")
+    return data + struct.pack(order + "H", len(tags)) + entries + b"\0\0\0\0" + extra
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_deep_and_coloured_samples(order):
+    image = (np.arange(4 * 6 * 3).reshape(4, 6, 3) * 700).astype(f"{order}u2")
+    shape = [(tiff.WIDTH, 3, [6]), (tiff.LENGTH, 3, [4]), (tiff.BITS, 3, [16, 16, 16]), (tiff.SAMPLES, 3, [3]), (tiff.COMPRESSION, 3, [1])]
+    pages, error = tiff.read_pages(_one_page(order, image.tobytes(), shape))
+    assert error is None and pages[0]["pixels"] == image.astype("<u2").tobytes()
+    diff = np.diff(image, axis=1, prepend=np.zeros((4, 1, 3), image.dtype)).astype(f"{order}u2")
+    pages, error = tiff.read_pages(_one_page(order, diff.tobytes(), [*shape, (tiff.PREDICTOR, 3, [2])]))
+    assert error is None and pages[0]["pixels"] == image.astype("<u2").tobytes()
+
+
+def test_floating_point_predictor():
+    image = np.linspace(-3, 9, 20, dtype="<f4").reshape(4, 5)
+    rows = image.astype(">f4").view(np.uint8).reshape(4, 5, 4).transpose(0, 2, 1).reshape(4, 20)
+    coded = np.diff(rows, axis=1, prepend=np.zeros((4, 1), np.uint8)).astype(np.uint8)
+    shape = [(tiff.WIDTH, 3, [5]), (tiff.LENGTH, 3, [4]), (tiff.BITS, 3, [32]), (tiff.SAMPLE_FORMAT, 3, [3]), (tiff.COMPRESSION, 3, [1]), (tiff.PREDICTOR, 3, [3])]
+    pages, error = tiff.read_pages(_one_page("<", coded.tobytes(), shape))
+    assert error is None and pages[0]["pixels"] == image.tobytes()
+
+
+def test_damage(spark):
+    good = tiff.store_text("some text " * 5000)
+    loop = bytearray(tiff.write_tiff(b"a" * 64))
+    loop[-4:] = loop[4:8]
+    rows = [(1, good), (2, None), (3, b""), (4, b"not an image"), (5, good[: len(good) // 2]), (6, bytes(loop)), (7, bytearray(good[:60000]) + b"\xff" * 20)]
+    df = spark.createDataFrame([(a, bytearray(b) if b is not None else None, "k") for a, b in rows], "id int, media binary, page string")
+    got = {r.id: (len(r.pages), r.error) for r in tiff.decode_documents(df, "media", ["id"]).collect()}
+    assert got[1] == (2, None) and got[6][0] == 1 and "loop" in got[6][1]
+    assert all(got[i][1] for i in range(2, 8))
+    pages = tiff.decode_pages(df, "media", ["id"])
+    assert pages.where("id = 1").count() == 2 and pages.where("id = 2").count() == 0
+
+
+def check(rows, texts):
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32, r.error) == (len(raw), len(payload), zlib.crc32(payload[-64:]), None)
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest()
+        media = tiff.store_text(texts[r.doc_id])
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r.feature.startswith("pages=")
+
+
+def test_query(spark, docs):
+    check(op1_tiff_pages(spark, SF).collect(), {r.doc_id: r.text for r in docs.collect()})
+
+
+def test_odd_texts(odd_docs, no_docs):
+    got = tiff.decode_documents(tiff.stored_texts(odd_docs), "media", ["doc_id", "n_bytes"]).collect()
+    assert sorted(b"".join(p.pixels for p in r.pages).rstrip(b"\0") for r in got) == sorted((r.text or "").encode() for r in odd_docs.collect())
+    assert tiff.stored_texts(no_docs).count() == 0
