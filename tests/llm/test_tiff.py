@@ -75,10 +75,10 @@ def test_floating_point_predictor():
 
 
 def test_damage(spark):
-    good = tiff.store_text("some text " * 5000)
+    good = tiff.write_tiff(b"some text " * 6400)
     loop = bytearray(tiff.write_tiff(b"a" * 64))
     loop[-4:] = loop[4:8]
-    rows = [(1, good), (2, None), (3, b""), (4, b"not an image"), (5, good[: len(good) // 2]), (6, bytes(loop)), (7, bytearray(good[:60000]) + b"\xff" * 20)]
+    rows = [(1, good), (2, None), (3, b""), (4, b"not an image"), (5, good[: len(good) // 2]), (6, bytes(loop)), (7, good[:8] + b"\xff" * 40 + good[48:])]
     df = spark.createDataFrame([(a, bytearray(b) if b is not None else None, "k") for a, b in rows], "id int, media binary, page string")
     got = {r.id: (len(r.pages), r.error) for r in tiff.decode_documents(df, "media", ["id"]).collect()}
     assert got[1] == (2, None) and got[6][0] == 1 and "loop" in got[6][1]
