@@ -13,14 +13,14 @@ from tokenizers import Tokenizer
 
 from keyloom.llm import packing, records, token_counts
 from keyloom.llm.common import fresh_path
-from keyloom.llm.encoding import ChunkEncoder, segments
+from keyloom.llm.encoding import TextEncoder, segments
 from keyloom.llm.queries import packed
 
 from .conftest import odd_texts
 
 WORD, BYTE = str(P.path("word_bpe_49k.json")), str(P.path("byte_bpe_50k.json"))
 LIB = {p: Tokenizer.from_file(p) for p in (WORD, BYTE)}
-ENC = {WORD: ChunkEncoder(WORD, False, limit=50, segment=40), BYTE: ChunkEncoder(BYTE, True, limit=50, segment=40)}
+ENC = {WORD: TextEncoder(WORD, False, segment=40), BYTE: TextEncoder(BYTE, True, segment=40)}
 
 
 def ids_of(path, text):
@@ -36,12 +36,27 @@ piece = st.sampled_from(["a", "The", " ", "  ", "\n", "\t", "\xa0", "é", "é",
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(piece, max_size=30).map("".join), st.text(max_size=40))
-def test_chunks_give_the_ids_of_whole_texts(text, other):
+def test_ids_are_the_library_s(text, other):
     for path, enc in ENC.items():
         for got, t in zip(enc.encode_batch([text, other, text + " " + other]), [text, other, text + " " + other], strict=True):
             assert np.frombuffer(got, enc.dtype).tolist() == ids_of(path, t)
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x24F), max_size=60))
+def test_latin_texts(text):
+    for path, enc in ENC.items():
+        assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == ids_of(path, text)
+
+
+def test_words_of_the_tables(docs):
+    """Every text of the small table, and every stretch of one letter, against the library."""
+    texts = [r.text for r in docs.collect()] + [c * n for c in "abehlorstzéß#.,!-=1" for n in range(1, 40)]
+    for path, enc in ENC.items():
+        for t in texts:
+            assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == ids_of(path, t)
+
+
 def test_segments_are_whole():
     text = " ".join(["word"] * 1000)
     parts = [p for p, _ in segments(text, 100)]
