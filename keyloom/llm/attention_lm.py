@@ -14,20 +14,24 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, texts_by_bytes
 from .encoding import encoder
 
-CLASSES, WIDTH, WINDOW, STRIDE = 32, 16, 16, 12
+CLASSES, WIDTH, WINDOW, STRIDE = 32, 16, 16, 14
 SYMBOLS = CLASSES * CLASSES
 OTHER, START = SYMBOLS - 1, SYMBOLS  # all rarer ids; what stands before a text
 PARAMS = {"E": (SYMBOLS + 1, WIDTH), "P": (WINDOW, WIDTH), "Wq": (WIDTH, WIDTH), "Wk": (WIDTH, WIDTH), "Wv": (WIDTH, WIDTH), "Wo": (WIDTH, WIDTH), "Uc": (WIDTH, CLASSES), "Us": (CLASSES, WIDTH, CLASSES)}
 _MASK = np.where(np.tril(np.ones((WINDOW, WINDOW))) > 0, 0.0, -1e9).astype(np.float32)
+_CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+_ONES = np.ones(CLASSES, np.float32)
 _SCALE = np.float32(1 / math.sqrt(WIDTH))
 
 
@@ -159,18 +163,21 @@ class Scorer:
         p = unflat(flat)
         x = p["E"][:, None] + p["P"]
         self.x, self.q, self.k = (np.ascontiguousarray(t.reshape(-1, WIDTH)) for t in (x, x @ p["Wq"] * _SCALE, x @ p["Wk"]))
-        self.v = (x @ p["Wv"] @ p["Wo"]).reshape(-1, WIDTH)
+        # One more column of ones sums the weights of attention.
+        v = (x @ p["Wv"] @ p["Wo"]).reshape(-1, WIDTH)
+        self.v = np.ascontiguousarray(np.c_[v, np.ones(len(v), np.float32)])
         self.Uc, self.Us, self.prior, self.symbols = p["Uc"], p["Us"], prior, symbols
 
     def symbol_logs(self, given: np.ndarray, wanted: np.ndarray, pick: np.ndarray) -> np.ndarray:
         """Natural logs at the picked places of the windows, in order."""
         at = given * WINDOW + np.arange(WINDOW)
         s = self.q[at] @ self.k[at].transpose(0, 2, 1)
-        s += _MASK
-        s -= s.max(-1, keepdims=True)
+        if s.max() > 60:
+            s -= (s + _MASK).max(-1, keepdims=True)
         np.exp(s, out=s)
-        s /= s.sum(-1, keepdims=True)
-        state = (s @ self.v[at])[pick] + self.x[at[pick]]
+        s *= _CAUSAL
+        o = (s @ self.v[at])[pick]
+        state = o[:, :WIDTH] / o[:, WIDTH:] + self.x[at[pick]]
         t, row = wanted[pick], self.symbols.row[given[pick]]
         order, edges = _by_class(t)
         t, row, state = t[order], row[order], state[order]
@@ -186,7 +193,7 @@ class Scorer:
                 z -= z.max(-1, keepdims=True)
             logs += z[place, which]
             np.exp(z, out=z)
-            logs -= np.log(z.sum(-1))
+            logs -= np.log(z @ _ONES)
         out = np.empty_like(logs)
         out[order] = logs
         return out
@@ -233,7 +240,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chunk = 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        rows = sorted(counts.keys() | others)
+        rows = [*counts, *others.difference(counts)]
         for at in range(0, len(rows), 100_000):
             some = rows[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int32()), pa.array(some, pa.binary()), pa.array([counts[w] for w in some], pa.int64())], ["chunk", "word", "n"])
@@ -252,7 +259,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _word_ids(enc, words: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(x, enc.dtype) for x in enc.encode_batch([w.decode() for w in words])]
+    return [np.frombuffer(x, enc.dtype) for x in enc.encode_words([w.decode() for w in words])]
 
 
 def _pair_counts(path: str) -> Callable:
@@ -290,7 +297,7 @@ def _windows(path: str, every: int) -> Callable:
                         # A seed over the place moves the window; the first is often the text's own start.
                         at += (seed + 2654435761 * at) % every if at or seed % 4 else 0
                         begin = text.rfind(b" ", 0, at) + 1 if at else 0
-                        some.append(text[begin : at + 16 * WINDOW].decode(errors="ignore"))
+                        some.append(text[begin : at + 8 * WINDOW].decode(errors="ignore"))
                         first.append(begin == 0)
                 rows = []
                 for raw, at_start in zip(enc.encode_batch(some), first, strict=True):
@@ -339,7 +346,7 @@ def _trainer(flat: np.ndarray, shared, rate: float, fewest: int) -> Callable:
     return train
 
 
-def train(windows: DataFrame, shared, shards: int = 12, rates: tuple[float, ...] = (0.02, 0.01, 0.005, 0.003), fewest: int = 100) -> np.ndarray:
+def train(windows: DataFrame, shared, shards: int = 12, rates: tuple[float, ...] = (0.02, 0.01, 0.004), fewest: int = 100) -> np.ndarray:
     """Parameters after rounds of training in each shard and averaging, weighted by windows.
 
     The driver gets ``shards`` rows of some 140 KB a round, at any size of the corpus.
@@ -363,48 +370,44 @@ def _scorer(path: str, shared, flat: np.ndarray, train_tokens: int, distinct: in
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, model = encoder(path, False), Scorer(flat, *shared.value)
         end = np.array([enc.tokenizer.get_vocab_size()], np.int64)
-        known: dict[bytes, int] = {}
-        chunk = None
         whole = math.log10(train_tokens + 0.5 * (distinct + 1))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kinds = batch.column("kind").to_numpy()
-            edges = np.flatnonzero(np.diff(kinds) != 0) + 1
-            for a, b in zip(np.r_[0, edges].tolist(), np.r_[edges, len(kinds)].tolist(), strict=True):
-                part = batch.slice(a, b - a)
-                if kinds[a] == 0:
-                    if chunk is not True:
-                        known, chunk = {}, True
-                    known.update(zip(part.column("text").to_pylist(), part.column("n").to_pylist(), strict=True))
-                    continue
-                chunk = False
-                for i, j in texts_by_bytes(part, "text", 1 << 20):
-                    some = part.slice(i, j - i)
-                    texts = some.column("text").to_pylist()
-                    n_tokens, n_known, base = [], [], []
-                    for text in texts:
-                        c = np.array([known.get(w, 0) for w in text.lower().split()] + [end_count], np.float64)
-                        n_tokens.append(len(c))
-                        n_known.append(int((c > 0).sum()))
-                        base.append(float(np.log10(c + 0.5).sum()) - len(c) * whole)
-                    ids = [np.r_[np.frombuffer(x, enc.dtype), end] for x in enc.encode_batch([t.decode() for t in texts])]
-                    yield pa.RecordBatch.from_arrays(
-                        [some.column("doc_id"), some.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([train_tokens] * len(some), pa.int64()), pa.array(base), pa.array(model.score(ids))],
-                        ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                    )
+        known: dict[bytes, int] = {}
+        ids_of: dict[bytes, bytes] = {}
+        texts: list[pa.RecordBatch] = []
+        for batch in batches:  # a chunk's words and texts come in any order
+            is_word = batch.column("is_word")
+            some = batch.filter(is_word)
+            known.update(zip(some.column("text").to_pylist(), some.column("n").to_pylist(), strict=True))
+            texts.append(batch.filter(pc.invert(is_word)))
+        for part in texts:
+            for i, j in texts_by_bytes(part, "text", 1 << 20):
+                some = part.slice(i, j - i)
+                rows = [t.lower().split() for t in some.column("text").to_pylist()]
+                new = list(set().union(*rows).difference(ids_of))
+                ids_of.update(zip(new, enc.encode_words([w.decode() for w in new]), strict=True))
+                n_tokens, n_known, base, ids = [], [], [], []
+                for words in rows:
+                    c = np.array([*map(known.get, words, repeat(0)), end_count], np.float64)
+                    n_tokens.append(len(c))
+                    n_known.append(int(np.count_nonzero(c)))
+                    base.append(float(np.log10(c + 0.5).sum()) - len(c) * whole)
+                    ids.append(np.concatenate([np.frombuffer(b"".join(map(ids_of.__getitem__, words)), enc.dtype), end]))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("doc_id"), some.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([train_tokens] * len(some), pa.int64()), pa.array(base), pa.array(model.score(ids))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
 
     return score
 
 
-def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 24 << 20, every: int = 1024) -> DataFrame:
+def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 16 << 20, every: int = 4096) -> DataFrame:
     """Per document ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Documents are dealt to chunks of about ``chunk_bytes`` of text by a hash. Each chunk lists its
     words; their counts over all training texts are summed by word and joined back, so a chunk
     gets the counts of its own words, however large the vocabulary. Training windows, subword
     counts and word counts come from all training documents. Base and model score a chunk's
-    texts in one Arrow stage, words first.
+    texts in one Arrow stage, which holds that chunk.
 
     A null text is empty: its end token alone is scored. A null id is trained on. Repeated rows
     count and are scored each; an empty table gives no rows; other columns are not read.
@@ -417,7 +420,7 @@ def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 24 << 20
     chunks, train_docs = max(1, math.ceil((stats.bytes or 0) / chunk_bytes)), stats.train or 0
     keyed = all_.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
 
-    listed = keyed.select("chunk", "held_out", "text").repartitionById(chunks, "chunk").sortWithinPartitions("chunk")
+    listed = keyed.select("chunk", "held_out", "text").repartitionById(chunks, "chunk")
     vocabulary = materialize(listed.mapInArrow(_words, "chunk int, word binary, n long"), "words")
     totals = materialize(vocabulary.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "totals")
     r = totals.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -429,11 +432,11 @@ def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 24 << 20
     flat = train(windows, shared)
 
     words = vocabulary.select("chunk", "word").join(totals, "word")
-    words = words.select("chunk", F.lit(0).alias("kind"), F.col("word").alias("text"), F.col("c").alias("n"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"))
-    texts = keyed.select("chunk", F.lit(1).alias("kind"), "text", F.lit(None).cast("long").alias("n"), "doc_id", "held_out")
-    both = words.unionByName(texts).repartitionById(chunks, "chunk").sortWithinPartitions("chunk", "kind")
+    words = words.select("chunk", F.lit(True).alias("is_word"), F.col("word").alias("text"), F.col("c").alias("n"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"))
+    texts = keyed.select("chunk", F.lit(False).alias("is_word"), "text", F.lit(None).cast("long").alias("n"), "doc_id", "held_out")
+    both = words.unionByName(texts).repartitionById(chunks, "chunk")
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.select("kind", "text", "n", "doc_id", "held_out").mapInArrow(_scorer(tokenizer, shared, flat, train_tokens, distinct, train_docs), schema)
+    return both.select("is_word", "text", "n", "doc_id", "held_out").mapInArrow(_scorer(tokenizer, shared, flat, train_tokens, distinct, train_docs), schema)
 
 
 def _gathered(totals: DataFrame, tokenizer: str, train_docs: int) -> tuple[Prior, Symbols]:

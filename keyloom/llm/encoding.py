@@ -47,6 +47,9 @@ _OTHER = re.compile("[^\0-\x7f\x81-ſ]|İ|<\\|")
 #: Fixed value: how the lower-case vocabulary splits a text into words, for Latin characters.
 _PIECES = re.compile("'(?:[stmd]|re|ve|ll)|[a-zªµºß-öø-ſ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ſ0-9²³¹¼½¾]+")
 
+#: The same, with the line ends that stand between words.
+_PIECES_AND_BREAKS = re.compile(_PIECES.pattern + "|\n")
+
 
 def _letters() -> dict[str, int]:
     """The character by which a vocabulary file writes each byte: itself if printable, else the
@@ -89,6 +92,7 @@ class TextEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.keeps_space, self.segment, self.engine = keeps_space, segment, None
         ranks = _merged_ranks(path)
+        self.line_end = (ranks or {}).get(("\n" + MARK).encode())
         if ranks is not None:
             pattern = BYTE_PATTERN if keeps_space else f"[^{MARK}]+{MARK}"
             self.engine = tiktoken.Encoding("fast", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -114,6 +118,20 @@ class TextEncoder:
         lead = " " if self.keeps_space else ""
         return b"".join(self._encode(piece if first else lead + piece) for piece, first in segments(text, self.segment))
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words without space or TAB to CR, for a vocabulary without spaces."""
+        if self.engine is None or self.line_end is None:
+            return self.encode_batch(words)
+        text = "\n".join(words)
+        if _OTHER.search(text):
+            plain = iter(self.encode_words([w for w in words if not _OTHER.search(w)]))
+            return [self._library(w) if _OTHER.search(w) else next(plain) for w in words]
+        ids = self.engine.encode_to_numpy(MARK.join(_PIECES_AND_BREAKS.findall(text.lower())) + MARK)
+        ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+        size = self.dtype.itemsize
+        raw, ends = (ids - np.uint32(1)).astype(self.dtype).tobytes(), (ends * size).tolist()
+        return [raw[a:b] for a, b in zip([0, *(e + size for e in ends[:-1])], ends, strict=True)] if words else []
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         return [self.encode(t) for t in texts]
 

@@ -49,6 +49,13 @@ def test_latin_texts(text):
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == ids_of(path, text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"], exclude_characters="\t\n\x0b\x0c\r "), max_size=8), max_size=8))
+def test_words(words):
+    got = [np.frombuffer(x, "<u2").tolist() for x in ENC[WORD].encode_words(words)]
+    assert got == [ids_of(WORD, w) for w in words]
+
+
 def test_words_of_the_tables(docs):
     """Every text of the small table, and every stretch of one letter, against the library."""
     texts = [r.text for r in docs.collect()] + [c * n for c in "abehlorstzéß#.,!-=1" for n in range(1, 40)]
