@@ -14,7 +14,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -198,11 +198,13 @@ class Scorer:
         out[order] = logs
         return out
 
-    def score(self, sequences: list[np.ndarray], step: int = 1024) -> np.ndarray:
-        """The log10 probability of each sequence (none is empty). Windows overlap, so that an id
-        past the first window has WINDOW - STRIDE ids of context or more; each is scored once."""
-        sizes = np.array([len(s) for s in sequences])
-        ids = np.concatenate(sequences).astype(np.int64)
+    def score(self, sequences: list[np.ndarray]) -> np.ndarray:
+        """The log10 probability of each sequence (none is empty)."""
+        return self.score_flat(np.concatenate(sequences).astype(np.int64), np.array([len(s) for s in sequences]))
+
+    def score_flat(self, ids: np.ndarray, sizes: np.ndarray, step: int = 256) -> np.ndarray:
+        """The same for sequences of the given sizes, one after the other. Windows overlap, so that an
+        id past the first window has WINDOW - STRIDE ids of context or more; each is scored once."""
         starts = np.cumsum(sizes) - sizes
         wanted = self.symbols.symbol[ids]
         given = np.empty_like(wanted)
@@ -247,7 +249,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row_chunk, held, text in zip(*(batch.column(c).to_pylist() for c in ("chunk", "held_out", "text")), strict=True):
-            if row_chunk != chunk or len(counts) + len(others) > 1_000_000:
+            if row_chunk != chunk:
                 yield from out()
                 counts, others, chunk = Counter(), set(), row_chunk
             words = text.lower().split()
@@ -346,7 +348,7 @@ def _trainer(flat: np.ndarray, shared, rate: float, fewest: int) -> Callable:
     return train
 
 
-def train(windows: DataFrame, shared, shards: int = 12, rates: tuple[float, ...] = (0.02, 0.01, 0.004), fewest: int = 100) -> np.ndarray:
+def train(windows: DataFrame, shared, shards: int = 12, rates: tuple[float, ...] = (0.02, 0.006), fewest: int = 100) -> np.ndarray:
     """Parameters after rounds of training in each shard and averaging, weighted by windows.
 
     The driver gets ``shards`` rows of some 140 KB a round, at any size of the corpus.
@@ -366,41 +368,60 @@ def train(windows: DataFrame, shared, shards: int = 12, rates: tuple[float, ...]
 # --- scoring -------------------------------------------------------------------------------
 
 
+class _Index(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+#: Numbered like a word, for the end of a text; no word holds a space.
+_END = b" "
+
+
 def _scorer(path: str, shared, flat: np.ndarray, train_tokens: int, distinct: int, end_count: int) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, model = encoder(path, False), Scorer(flat, *shared.value)
-        end = np.array([enc.tokenizer.get_vocab_size()], np.int64)
-        whole = math.log10(train_tokens + 0.5 * (distinct + 1))
-        known: dict[bytes, int] = {}
-        ids_of: dict[bytes, bytes] = {}
+        index, counts = _Index({_END: 0}), [np.array([end_count])]
         texts: list[pa.RecordBatch] = []
         for batch in batches:  # a chunk's words and texts come in any order
             is_word = batch.column("is_word")
             some = batch.filter(is_word)
-            known.update(zip(some.column("text").to_pylist(), some.column("n").to_pylist(), strict=True))
+            if some.num_rows:
+                index.update(zip(some.column("text").to_pylist(), range(len(index), len(index) + some.num_rows), strict=True))
+                counts.append(some.column("n").to_numpy())
             texts.append(batch.filter(pc.invert(is_word)))
+        known = len(index)
+        parts = []
         for part in texts:
             for i, j in texts_by_bytes(part, "text", 1 << 20):
-                some = part.slice(i, j - i)
-                rows = [t.lower().split() for t in some.column("text").to_pylist()]
-                new = list(set().union(*rows).difference(ids_of))
-                ids_of.update(zip(new, enc.encode_words([w.decode() for w in new]), strict=True))
-                n_tokens, n_known, base, ids = [], [], [], []
-                for words in rows:
-                    c = np.array([*map(known.get, words, repeat(0)), end_count], np.float64)
-                    n_tokens.append(len(c))
-                    n_known.append(int(np.count_nonzero(c)))
-                    base.append(float(np.log10(c + 0.5).sum()) - len(c) * whole)
-                    ids.append(np.concatenate([np.frombuffer(b"".join(map(ids_of.__getitem__, words)), enc.dtype), end]))
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), some.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([train_tokens] * len(some), pa.int64()), pa.array(base), pa.array(model.score(ids))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+                some = part.slice(i, j - i).select(["doc_id", "held_out", "text"])
+                rows = [[*t.lower().split(), _END] for t in some.column("text").to_pylist()]
+                sizes = np.array([len(x) for x in rows])
+                words = np.fromiter(map(index.__getitem__, chain.from_iterable(rows)), np.int32, int(sizes.sum()))
+                parts.append((some.select(["doc_id", "held_out"]), sizes, words))
+        c = np.concatenate([*counts, np.zeros(len(index) - known, np.int64)])
+        logs = np.log10(c + 0.5) - math.log10(train_tokens + 0.5 * (distinct + 1))
+        every = list(index)[1:]
+        raw = [np.array([enc.tokenizer.get_vocab_size()], enc.dtype).tobytes()]
+        for at in range(0, len(every), 50_000):
+            raw += enc.encode_words([w.decode() for w in every[at : at + 50_000]])
+        lengths = np.array([len(x) for x in raw]) // enc.dtype.itemsize
+        begins, pool = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(raw), enc.dtype)
+        for some, sizes, words in parts:
+            first, n = np.cumsum(sizes) - sizes, lengths[words]
+            place = np.repeat(begins[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            score = model.score_flat(pool[place].astype(np.int64), np.add.reduceat(n, first))
+            yield pa.RecordBatch.from_arrays(
+                [some.column("doc_id"), some.column("held_out"), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((c[words] > 0).astype(np.int64), first)), pa.array(np.full(len(sizes), train_tokens), pa.int64()), pa.array(np.add.reduceat(logs[words], first)), pa.array(score)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return score
 
 
-def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 16 << 20, every: int = 4096) -> DataFrame:
+def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 32 << 20, every: int = 4096) -> DataFrame:
     """Per document ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Documents are dealt to chunks of about ``chunk_bytes`` of text by a hash. Each chunk lists its
