@@ -71,9 +71,9 @@ def first_params(seed: int = 3) -> np.ndarray:
 
 def _by_class(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order that brings equal classes together, and where each class begins."""
-    classes = wanted // CLASSES
+    classes = (wanted // CLASSES).astype(np.int8)  # sorted by radix
     order = np.argsort(classes, kind="stable")
-    return order, np.searchsorted(classes[order], np.arange(CLASSES + 1))
+    return order, np.searchsorted(classes[order], np.arange(CLASSES + 1, dtype=np.int8))
 
 
 def loss_and_gradient(flat: np.ndarray, prior: Prior, given: np.ndarray, before: np.ndarray, wanted: np.ndarray) -> tuple[float, np.ndarray]:
@@ -177,7 +177,8 @@ class Scorer:
         np.exp(s, out=s)
         s *= _CAUSAL
         o = (s @ self.v[at])[pick]
-        state = o[:, :WIDTH] / o[:, WIDTH:] + self.x[at[pick]]
+        state = o[:, :WIDTH] / o[:, WIDTH:]
+        state += self.x[at[pick]]
         t, row = wanted[pick], self.symbols.row[given[pick]]
         order, edges = _by_class(t)
         t, row, state = t[order], row[order], state[order]
@@ -242,10 +243,11 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chunk = 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        rows = [*counts, *others.difference(counts)]
+        unseen = others.difference(counts)
+        rows, values = [*counts, *unseen], [*counts.values(), *[0] * len(unseen)]
         for at in range(0, len(rows), 100_000):
             some = rows[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int32()), pa.array(some, pa.binary()), pa.array([counts[w] for w in some], pa.int64())], ["chunk", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int32()), pa.array(some, pa.binary()), pa.array(values[at : at + 100_000], pa.int64())], ["chunk", "word", "n"])
 
     for batch in batches:
         for row_chunk, held, text in zip(*(batch.column(c).to_pylist() for c in ("chunk", "held_out", "text")), strict=True):
