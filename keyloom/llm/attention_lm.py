@@ -353,8 +353,10 @@ def _trainer(flat: np.ndarray, shared, rate: float, fewest: int) -> Callable:
 def train(windows: DataFrame, shared, shards: int = 12, rates: tuple[float, ...] = (0.02, 0.006), fewest: int = 100) -> np.ndarray:
     """Parameters after rounds of training in each shard and averaging, weighted by windows.
 
-    The driver gets ``shards`` rows of some 140 KB a round, at any size of the corpus.
+    A shard holds about 16,384 windows, more where that would make over ``shards`` of them. The
+    driver gets one row of some 140 KB a shard and round, at any size of the corpus.
     """
+    shards = max(1, min(shards, windows.count() // 16_384))
     flat = first_params()
     dealt = windows.withColumn("shard", F.pmod(F.col("place"), F.lit(shards)).cast("int")).repartitionById(shards, "shard").sortWithinPartitions("place", "ids")
     for rate in rates:
