@@ -27,6 +27,7 @@ from .encoding import encoder
 
 CLASSES, WIDTH, WINDOW, STRIDE = 32, 16, 16, 14
 SYMBOLS = CLASSES * CLASSES
+BATCH = 64  # training windows a step
 OTHER, START = SYMBOLS - 1, SYMBOLS  # all rarer ids; what stands before a text
 PARAMS = {"E": (SYMBOLS + 1, WIDTH), "P": (WINDOW, WIDTH), "Wq": (WIDTH, WIDTH), "Wk": (WIDTH, WIDTH), "Wv": (WIDTH, WIDTH), "Wo": (WIDTH, WIDTH), "Uc": (WIDTH, CLASSES), "Us": (CLASSES, WIDTH, CLASSES)}
 _MASK = np.where(np.tril(np.ones((WINDOW, WINDOW))) > 0, 0.0, -1e9).astype(np.float32)
@@ -332,8 +333,8 @@ def _trainer(flat: np.ndarray, shared, rate: float, fewest: int) -> Callable:
             for batch in batches:
                 rows = batch.column("ids").to_pylist()
                 shard = batch.column("shard")[0].as_py()
-                for at in range(0, len(rows), 256):
-                    part = part_of(rows[at : at + 256])
+                for at in range(0, len(rows), BATCH):
+                    part = part_of(rows[at : at + BATCH])
                     seen += 1
                     if len(held) < fewest:
                         held.append(part)
@@ -350,19 +351,21 @@ def _trainer(flat: np.ndarray, shared, rate: float, fewest: int) -> Callable:
     return train
 
 
-def train(windows: DataFrame, shared, shards: int = 12, rates: tuple[float, ...] = (0.02, 0.006), fewest: int = 100) -> np.ndarray:
-    """Parameters after rounds of training in each shard and averaging, weighted by windows.
+def train(windows: DataFrame, shared, most: int = 512, rates: tuple[float, ...] = (0.02, 0.006), fewest: int = 60) -> np.ndarray:
+    """Parameters after rounds of training in each shard and averaging, weighted by windows. Each
+    round takes windows of its own, so none is seen twice but in shards of under ``fewest`` steps.
 
-    A shard holds about 16,384 windows, more where that would make over ``shards`` of them. The
+    A shard holds about 32,768 windows, more where that would make over ``most`` of them. The
     driver gets one row of some 140 KB a shard and round, at any size of the corpus.
     """
-    shards = max(1, min(shards, windows.count() // 16_384))
+    shards = max(1, min(most, windows.count() // 32_768))
     flat = first_params()
-    dealt = windows.withColumn("shard", F.pmod(F.col("place"), F.lit(shards)).cast("int")).repartitionById(shards, "shard").sortWithinPartitions("place", "ids")
-    for rate in rates:
-        rows = dealt.mapInArrow(_trainer(flat, shared, rate, fewest), "shard int, n long, params binary").collect()
+    dealt = windows.withColumns({"shard": F.pmod(F.col("place"), F.lit(shards)).cast("int"), "round": F.pmod(F.floor(F.col("place") / shards), F.lit(len(rates)))})
+    for number, rate in enumerate(rates):
+        own = dealt.where(F.col("round") == number).repartitionById(shards, "shard").sortWithinPartitions("place", "ids")
+        rows = own.mapInArrow(_trainer(flat, shared, rate, fewest), "shard int, n long, params binary").collect()
         if not rows:
-            break
+            continue
         rows.sort(key=lambda r: r.shard)
         total = sum(r.n for r in rows)
         flat = sum(np.frombuffer(r.params, np.float32).astype(np.float64) * (r.n / total) for r in rows).astype(np.float32)
@@ -425,7 +428,7 @@ def _scorer(path: str, shared, flat: np.ndarray, train_tokens: int, distinct: in
     return score
 
 
-def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 32 << 20, every: int = 4096) -> DataFrame:
+def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 32 << 20, every: int = 1024) -> DataFrame:
     """Per document ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Documents are dealt to chunks of about ``chunk_bytes`` of text by a hash. Each chunk lists its
