@@ -11,10 +11,9 @@ product is a probability over all ids.
 from __future__ import annotations
 
 import math
+import struct
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -237,29 +236,40 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of binary texts, one after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    filled = pc.greater(pc.binary_length(lists.values), 0)  # white space at an edge leaves an empty word
+    before = np.append(0, np.cumsum(filled.to_numpy(zero_copy_only=False)))
+    return lists.values.filter(filled), np.diff(before[lists.offsets.to_numpy()])
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, word, n): every distinct word of a partition, with its count in training texts."""
-    counts: Counter[bytes] = Counter()
-    others: set[bytes] = set()
+    """(chunk, word, n): every distinct word of a chunk, with its count in training texts."""
+    trained: list[pa.Array] = []
+    others: list[pa.Array] = []
     chunk = 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        unseen = others.difference(counts)
-        rows, values = [*counts, *unseen], [*counts.values(), *[0] * len(unseen)]
-        for at in range(0, len(rows), 100_000):
-            some = rows[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int32()), pa.array(some, pa.binary()), pa.array(values[at : at + 100_000], pa.int64())], ["chunk", "word", "n"])
+        counted = pa.chunked_array(trained, pa.string()).value_counts()
+        words = counted.field("values")
+        unseen = pa.chunked_array(others, pa.string()).unique()
+        unseen = unseen.filter(pc.invert(pc.is_in(unseen, value_set=words)))
+        for rows, n in ((words, counted.field("counts").cast(pa.int64())), (unseen, pa.array(np.zeros(len(unseen), np.int64)))):
+            for at in range(0, len(rows), 100_000):
+                some = rows.slice(at, 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk, np.int32)), some.cast(pa.binary()), n.slice(at, 100_000)], ["chunk", "word", "n"])
 
     for batch in batches:
-        for row_chunk, held, text in zip(*(batch.column(c).to_pylist() for c in ("chunk", "held_out", "text")), strict=True):
-            if row_chunk != chunk:
+        for number in pc.unique(batch.column("chunk")).to_pylist():
+            if number != chunk:
                 yield from out()
-                counts, others, chunk = Counter(), set(), row_chunk
-            words = text.lower().split()
-            if held:
-                others.update(words)
-            else:
-                counts.update(words)
+                trained, others, chunk = [], [], number
+            own = batch.filter(pc.equal(batch.column("chunk"), number))
+            for held, into in ((False, trained), (True, others)):
+                part = own.filter(pc.equal(own.column("held_out"), held))
+                for i, j in texts_by_bytes(part, "text"):
+                    into.append(split_words(part.column("text").slice(i, j - i))[0])
     yield from out()
 
 
@@ -292,7 +302,7 @@ def _windows(path: str, every: int) -> Callable:
     place, so their number grows with the corpus; the first id is what stands before."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, False)
+        enc, pack = encoder(path, False), struct.Struct(f"<{WINDOW + 1}i").pack
         for batch in batches:
             for a, b in texts_by_bytes(batch, "text"):
                 some, first = [], []
@@ -302,15 +312,13 @@ def _windows(path: str, every: int) -> Callable:
                         # A seed over the place moves the window; the first is often the text's own start.
                         at += (seed + 2654435761 * at) % every if at or seed % 4 else 0
                         begin = text.rfind(b" ", 0, at) + 1 if at else 0
-                        some.append(text[begin : at + 8 * WINDOW].decode(errors="ignore"))
+                        some.append(text[begin : at + 8 * WINDOW].replace(b"\n", b" ").decode(errors="ignore"))
                         first.append(begin == 0)
-                rows = []
-                for raw, at_start in zip(enc.encode_batch(some), first, strict=True):
-                    ids = np.frombuffer(raw, enc.dtype).astype("<i4")
-                    end = enc.tokenizer.get_vocab_size()
-                    ids = np.r_[-1, ids] if at_start else ids
-                    ids = ids if len(ids) > WINDOW else np.r_[ids, end]
-                    rows.append(np.pad(ids[: WINDOW + 1], (0, max(0, WINDOW + 1 - len(ids))), constant_values=-2).astype("<i4").tobytes())
+                rows, end, size = [], [enc.tokenizer.get_vocab_size()], enc.dtype.itemsize
+                for raw, at_start in zip(enc.encode_words(some), first, strict=True):
+                    ids = [-1] * at_start + np.frombuffer(raw[: (WINDOW + 1) * size], enc.dtype).tolist()
+                    ids = ids if len(ids) > WINDOW else ids + end
+                    rows.append(pack(*ids[: WINDOW + 1], *[-2] * (WINDOW + 1 - len(ids))))
                 yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(r) for r in rows], pa.int64()), pa.array(rows, pa.binary())], ["place", "ids"])
 
     return cut
@@ -375,48 +383,39 @@ def train(windows: DataFrame, shared, most: int = 512, rates: tuple[float, ...]
 # --- scoring -------------------------------------------------------------------------------
 
 
-class _Index(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-#: Numbered like a word, for the end of a text; no word holds a space.
-_END = b" "
-
-
 def _scorer(path: str, shared, flat: np.ndarray, train_tokens: int, distinct: int, end_count: int) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, model = encoder(path, False), Scorer(flat, *shared.value)
-        index, counts = _Index({_END: 0}), [np.array([end_count])]
         texts: list[pa.RecordBatch] = []
+        known, counts = [pa.array([], pa.string())], [np.zeros(0, np.int64)]
         for batch in batches:  # a chunk's words and texts come in any order
             is_word = batch.column("is_word")
             some = batch.filter(is_word)
-            if some.num_rows:
-                index.update(zip(some.column("text").to_pylist(), range(len(index), len(index) + some.num_rows), strict=True))
-                counts.append(some.column("n").to_numpy())
+            known.append(some.column("text").cast(pa.string()))
+            counts.append(some.column("n").to_numpy(zero_copy_only=False).astype(np.int64))
             texts.append(batch.filter(pc.invert(is_word)))
-        known = len(index)
-        parts = []
+        parts, listed = [], [known[0]]
         for part in texts:
             for i, j in texts_by_bytes(part, "text", 1 << 20):
-                some = part.slice(i, j - i).select(["doc_id", "held_out", "text"])
-                rows = [[*t.lower().split(), _END] for t in some.column("text").to_pylist()]
-                sizes = np.array([len(x) for x in rows])
-                words = np.fromiter(map(index.__getitem__, chain.from_iterable(rows)), np.int32, int(sizes.sum()))
-                parts.append((some.select(["doc_id", "held_out"]), sizes, words))
-        c = np.concatenate([*counts, np.zeros(len(index) - known, np.int64)])
+                some = part.slice(i, j - i)
+                words, sizes = split_words(some.column("text"))
+                listed.append(words)
+                parts.append((some.select(["doc_id", "held_out"]), sizes))
+        coded = pa.concat_arrays(listed).dictionary_encode()
+        every, numbers = coded.dictionary, coded.indices.to_numpy()
+        at = pc.fill_null(pc.index_in(every, value_set=pa.concat_arrays(known)), -1).to_numpy()
+        # Number 0 is the end of a text, then come the words; those not trained on have the count 0 put last.
+        c = np.append(end_count, np.append(np.concatenate(counts), 0)[at])
         logs = np.log10(c + 0.5) - math.log10(train_tokens + 0.5 * (distinct + 1))
-        every = list(index)[1:]
         raw = [np.array([enc.tokenizer.get_vocab_size()], enc.dtype).tobytes()]
-        for at in range(0, len(every), 50_000):
-            raw += enc.encode_words([w.decode() for w in every[at : at + 50_000]])
+        for i in range(0, len(every), 50_000):
+            raw += enc.encode_words(every.slice(i, 50_000).to_pylist())
         lengths = np.array([len(x) for x in raw]) // enc.dtype.itemsize
         begins, pool = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(raw), enc.dtype)
-        for some, sizes, words in parts:
+        done = 0
+        for some, sizes in parts:
+            own = numbers[done : done + int(sizes.sum())]
+            words, done, sizes = np.insert(own + 1, np.cumsum(sizes), 0), done + len(own), sizes + 1
             first, n = np.cumsum(sizes) - sizes, lengths[words]
             place = np.repeat(begins[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             score = model.score_flat(pool[place].astype(np.int64), np.add.reduceat(n, first))

@@ -119,7 +119,7 @@ class TextEncoder:
         return b"".join(self._encode(piece if first else lead + piece) for piece, first in segments(text, self.segment))
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of words without space or TAB to CR, for a vocabulary without spaces."""
+        """The ids of words or stretches of words, without line ends, for a vocabulary without spaces."""
         if self.engine is None or self.line_end is None:
             return self.encode_batch(words)
         text = "\n".join(words)

@@ -5,8 +5,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from keyloom.llm import attention_lm as lm
 from keyloom.llm import simhash
@@ -188,3 +191,12 @@ def test_language_model(which, request):
 
 def test_language_model_of_nothing(no_docs):
     assert lm.score_documents(no_docs, WORD).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.characters(max_codepoint=0x7F), st.characters(exclude_categories=["Cs"]))), max_size=6))
+def test_words_are_split_as_bytes_are(texts):
+    words, sizes = lm.split_words(pa.array([t.encode() for t in texts], pa.binary()))
+    expected = [t.encode().lower().split() for t in texts]
+    assert sizes.tolist() == [len(x) for x in expected]
+    assert [w.encode() for w in words.to_pylist()] == [w for x in expected for w in x]
