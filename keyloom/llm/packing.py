@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,35 +19,48 @@ def karmarkar_karp(sizes: np.ndarray, k: int) -> np.ndarray:
 
     Each size starts as a partial partition into k windows of which one is filled. The two
     partitions with the largest imbalance are merged, heaviest window on lightest, until one
-    is left.
+    is left. Most merges add a single size, which moves one window only.
     """
     n = len(sizes)
     if k == 1 or n == 0:
         return np.zeros(n, np.int64)
-    parent = np.full(n, -1, np.int64)
-    heap = []
-    for i, size in enumerate(sizes.tolist()):
-        sums, group = np.zeros(k, np.int64), np.full(k, -1, np.int64)
-        sums[0], group[0] = size, i
-        heap.append((-size, i, sums, group))
+    parent = list(range(n))
+    # (minus the imbalance, serial, minus the load of each window in ascending order, a size in each
+    # window or -1); a single size has no windows yet and its index as serial.
+    heap: list[tuple] = [(-size, i, None, None) for i, size in enumerate(sizes.tolist())]
     heapq.heapify(heap)
     serial = n
-    while len(heap) > 1:
-        _, _, sums, group = heapq.heappop(heap)
-        _, _, other, more = heapq.heappop(heap)
-        more = more[::-1]
-        both = (group >= 0) & (more >= 0)
-        parent[more[both]] = group[both]
-        group, sums = np.where(group >= 0, group, more), sums + other[::-1]
-        order = np.argsort(-sums, kind="stable")
-        sums, group = sums[order], group[order]
-        sums = sums - sums[-1]
-        heapq.heappush(heap, (-int(sums[0]), serial, sums, group))
+    while len(heap) > 1 or heap[0][2] is None:
+        first = heapq.heappop(heap)
+        if first[2] is None and (not heap or heap[0][2] is None):
+            loads, owner = [first[0]] + [0] * (k - 1), [first[1]] + [-1] * (k - 1)
+        else:
+            loads, owner = first[2:]
+        if heap:
+            second = heapq.heappop(heap)
+            if loads is None:
+                (loads, owner), second = second[2:], first
+            if second[2] is None:
+                load, mine, i = loads.pop() + second[0], owner.pop(), second[1]
+                if mine >= 0:
+                    parent[i], i = mine, mine
+                at = bisect_right(loads, load)
+                loads.insert(at, load)
+                owner.insert(at, i)
+            else:
+                both = []
+                for a, b, i, j in zip(loads, reversed(second[2]), owner, reversed(second[3]), strict=True):
+                    if i >= 0 and j >= 0:
+                        parent[j] = i
+                    both.append((a + b, i if i >= 0 else j))
+                both.sort(key=lambda x: x[0])
+                loads, owner = [x[0] for x in both], [x[1] for x in both]
+        heapq.heappush(heap, (loads[0] - loads[-1], serial, loads, owner))
         serial += 1
-    group = heap[0][3]
+    group = np.array(heap[0][3])
     window = np.full(n, -1, np.int64)
     window[group[group >= 0]] = np.flatnonzero(group >= 0)
-    root = np.where(parent < 0, np.arange(n), parent)
+    root = np.array(parent)
     while not np.array_equal(again := root[root], root):
         root = again
     return window[root]
