@@ -11,8 +11,6 @@ product is a probability over all ids.
 from __future__ import annotations
 
 import math
-import struct
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +24,7 @@ from .encoding import encoder
 
 CLASSES, WIDTH, WINDOW, STRIDE = 32, 16, 16, 14
 SYMBOLS = CLASSES * CLASSES
-BATCH = 64  # training windows a step
+BATCH = 512  # training windows a step
 OTHER, START = SYMBOLS - 1, SYMBOLS  # all rarer ids; what stands before a text
 PARAMS = {"E": (SYMBOLS + 1, WIDTH), "P": (WINDOW, WIDTH), "Wq": (WIDTH, WIDTH), "Wk": (WIDTH, WIDTH), "Wv": (WIDTH, WIDTH), "Wo": (WIDTH, WIDTH), "Uc": (WIDTH, CLASSES), "Us": (CLASSES, WIDTH, CLASSES)}
 _MASK = np.where(np.tril(np.ones((WINDOW, WINDOW))) > 0, 0.0, -1e9).astype(np.float32)
@@ -79,52 +77,58 @@ def _by_class(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def loss_and_gradient(flat: np.ndarray, prior: Prior, given: np.ndarray, before: np.ndarray, wanted: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean cross-entropy over windows of symbols, and its gradient. wanted -1 is not counted;
     ``before`` is the row of the prior at each place."""
-    p = unflat(flat)
-    x = p["E"][given] + p["P"]
-    q, k, v = x @ p["Wq"], x @ p["Wk"], x @ p["Wv"]
-    s = q @ k.transpose(0, 2, 1) * _SCALE + _MASK
-    s = np.exp(s - s.max(-1, keepdims=True))
-    a = s / s.sum(-1, keepdims=True)
-    o = a @ v
+    p, windows = unflat(flat), (*given.shape, WIDTH)
+    x = (p["E"][given] + p["P"]).reshape(-1, WIDTH)
+    q, k, v = ((x @ p[name]).reshape(windows) for name in ("Wq", "Wk", "Wv"))
+    a = q @ k.transpose(0, 2, 1)
+    a *= _SCALE
+    a += _MASK
+    a -= a.max(-1, keepdims=True)
+    np.exp(a, out=a)
+    a /= a.sum(-1, keepdims=True)
+    o = (a @ v).reshape(-1, WIDTH)
     h = x + o @ p["Wo"]
-    valid = wanted >= 0
-    t, row, state = wanted[valid], before[valid], h[valid]
+    valid = np.flatnonzero(wanted.ravel() >= 0)
+    order, edges = _by_class(wanted.ravel()[valid])
+    valid = valid[order]
+    t, row, state = wanted.ravel()[valid], before.ravel()[valid], h[valid]
     n, place = max(1, len(t)), np.arange(len(t))
     zc = state @ p["Uc"] + prior.classes[row]
-    order, edges = _by_class(t)
-    zs = np.empty((len(t), CLASSES), np.float32)
+    zs = prior.symbols[row * CLASSES + t // CLASSES].astype(state.dtype, copy=False)
     for c in range(CLASSES):
-        own = order[edges[c] : edges[c + 1]]
-        zs[own] = state[own] @ p["Us"][c]
-    zs += prior.symbols[row * CLASSES + t // CLASSES]
-    loss, ds = 0.0, []
+        own = slice(edges[c], edges[c + 1])
+        zs[own] += state[own] @ p["Us"][c]
+    loss = 0.0
     for z, at in ((zc, t // CLASSES), (zs, t % CLASSES)):
-        z = np.exp(z - z.max(-1, keepdims=True))
+        z -= z.max(-1, keepdims=True)
+        np.exp(z, out=z)
         z /= z.sum(-1, keepdims=True)
         loss -= float(np.log(z[place, at]).sum()) / n
         z[place, at] -= 1
-        ds.append(z / n)
-    dzc, dzs = ds
-    g = {"Uc": state.T @ dzc, "Us": np.zeros_like(p["Us"])}
-    dstate = dzc @ p["Uc"].T
+        z /= n
+    g = {"Uc": state.T @ zc, "Us": np.zeros_like(p["Us"])}
+    dstate = zc @ p["Uc"].T
     for c in range(CLASSES):
-        own = order[edges[c] : edges[c + 1]]
-        g["Us"][c] = state[own].T @ dzs[own]
-        dstate[own] += dzs[own] @ p["Us"][c].T
+        own = slice(edges[c], edges[c + 1])
+        g["Us"][c] = state[own].T @ zs[own]
+        dstate[own] += zs[own] @ p["Us"][c].T
     dh = np.zeros_like(h)
     dh[valid] = dstate
-    g["Wo"] = np.einsum("bld,ble->de", o, dh, optimize=True)
-    do = dh @ p["Wo"].T
+    g["Wo"] = o.T @ dh
+    do = (dh @ p["Wo"].T).reshape(windows)
     da = do @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ do
-    dscore = a * (da - (da * a).sum(-1, keepdims=True)) * _SCALE
-    dq, dk = dscore @ k, dscore.transpose(0, 2, 1) @ q
-    for name, d in (("Wq", dq), ("Wk", dk), ("Wv", dv)):
-        g[name] = np.einsum("bld,ble->de", x, d, optimize=True)
-    dx = dh + dq @ p["Wq"].T + dk @ p["Wk"].T + dv @ p["Wv"].T
-    g["P"] = dx.sum(0)
-    g["E"] = np.zeros_like(p["E"])
-    np.add.at(g["E"], given, dx)
+    da -= (da * a).sum(-1, keepdims=True)
+    da *= a
+    da *= _SCALE
+    dx = dh
+    for name, d in (("Wq", da @ k), ("Wk", da.transpose(0, 2, 1) @ q), ("Wv", dv)):
+        d = d.reshape(-1, WIDTH)
+        g[name] = x.T @ d
+        dx += d @ p[name].T
+    g["P"] = dx.reshape(windows).sum(0)
+    cells = given.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    g["E"] = np.bincount(cells.ravel(), dx.ravel(), p["E"].size)
     return loss, np.concatenate([g[name].ravel() for name in PARAMS]).astype(np.float32)
 
 
@@ -297,56 +301,54 @@ def _pair_counts(path: str) -> Callable:
     return count
 
 
-def _windows(path: str, every: int) -> Callable:
-    """(place, ids): training windows, one from each ``every`` characters of a text at a seeded
-    place, so their number grows with the corpus; the first id is what stands before."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, pack = encoder(path, False), struct.Struct(f"<{WINDOW + 1}i").pack
-        for batch in batches:
-            for a, b in texts_by_bytes(batch, "text"):
-                some, first = [], []
-                for text in batch.column("text").slice(a, b - a).to_pylist():
-                    seed = zlib.crc32(text)
-                    for at in range(0, max(1, len(text)), every):
-                        # A seed over the place moves the window; the first is often the text's own start.
-                        at += (seed + 2654435761 * at) % every if at or seed % 4 else 0
-                        begin = text.rfind(b" ", 0, at) + 1 if at else 0
-                        some.append(text[begin : at + 8 * WINDOW].replace(b"\n", b" ").decode(errors="ignore"))
-                        first.append(begin == 0)
-                rows, end, size = [], [enc.tokenizer.get_vocab_size()], enc.dtype.itemsize
-                for raw, at_start in zip(enc.encode_words(some), first, strict=True):
-                    ids = [-1] * at_start + np.frombuffer(raw[: (WINDOW + 1) * size], enc.dtype).tolist()
-                    ids = ids if len(ids) > WINDOW else ids + end
-                    rows.append(pack(*ids[: WINDOW + 1], *[-2] * (WINDOW + 1 - len(ids))))
-                yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(r) for r in rows], pa.int64()), pa.array(rows, pa.binary())], ["place", "ids"])
-
-    return cut
-
-
-def _trainer(flat: np.ndarray, shared, rate: float, fewest: int) -> Callable:
+def text_ids(enc, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of binary texts, one after the other, each with its end, and how many each has."""
+    words, sizes = split_words(texts)
+    coded = words.dictionary_encode()
+    raw = [np.array([enc.tokenizer.get_vocab_size()], enc.dtype).tobytes(), *enc.encode_words(coded.dictionary.to_pylist())]
+    lengths = np.array([len(x) for x in raw]) // enc.dtype.itemsize
+    begins, pool = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(raw), enc.dtype)
+    numbers = np.insert(coded.indices.to_numpy().astype(np.int64) + 1, np.cumsum(sizes), 0)  # 0 is the end of a text
+    n, sizes = lengths[numbers], sizes + 1
+    place = np.repeat(begins[numbers] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return pool[place].astype(np.int64), np.add.reduceat(n, np.cumsum(sizes) - sizes)
+
+
+def training_windows(ids: np.ndarray, sizes: np.ndarray, symbols: Symbols) -> tuple[np.ndarray, np.ndarray]:
+    """(given, wanted): windows that follow each other over the whole of each text of ``sizes`` ids,
+    so that every id is wanted once. Places past the end of a text want -1."""
+    starts = np.cumsum(sizes) - sizes
+    wanted = symbols.symbol[ids]
+    given = np.empty_like(wanted)
+    given[1:] = wanted[:-1]
+    given[starts] = START
+    windows = -(-sizes // WINDOW)
+    number = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+    place = (np.repeat(starts, windows) + number * WINDOW)[:, None] + np.arange(WINDOW)
+    inside = place < np.repeat(starts + sizes, windows)[:, None]
+    place = np.minimum(place, len(ids) - 1)
+    return given[place], np.where(inside, wanted[place], -1)
+
+
+def _trainer(path: str, flat: np.ndarray, shared, rate: float, fewest: int) -> Callable:
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, seen = 0, [], 0
-
-        prior, symbols = shared.value
-
-        def part_of(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            ids = np.frombuffer(b"".join(rows), "<i4").reshape(-1, WINDOW + 1)
-            t = np.where(ids >= 0, symbols.symbol[np.maximum(ids, 0)], START)
-            given = t[:, :-1]
-            return given, symbols.row[given], np.where(ids[:, 1:] >= 0, t[:, 1:], -1)
+        enc, (prior, symbols) = encoder(path, False), shared.value
+        shard, held, seen, order = 0, [], 0, np.random.default_rng(5)
 
         def feed() -> Iterator[tuple]:
             nonlocal shard, seen
             for batch in batches:
-                rows = batch.column("ids").to_pylist()
                 shard = batch.column("shard")[0].as_py()
-                for at in range(0, len(rows), BATCH):
-                    part = part_of(rows[at : at + BATCH])
-                    seen += 1
-                    if len(held) < fewest:
-                        held.append(part)
-                    yield part
+                for i, j in texts_by_bytes(batch, "text"):
+                    given, wanted = training_windows(*text_ids(enc, batch.column("text").slice(i, j - i)), symbols)
+                    mixed = order.permutation(len(given))
+                    for at in range(0, len(mixed), BATCH):
+                        own = mixed[at : at + BATCH]
+                        part = given[own], symbols.row[given[own]], wanted[own]
+                        seen += 1
+                        if len(held) < fewest:
+                            held.append(part)
+                        yield part
             while held and seen < fewest:  # a small shard goes round until it has made enough steps
                 for part in held:
                     seen += 1
@@ -359,19 +361,21 @@ def _trainer(flat: np.ndarray, shared, rate: float, fewest: int) -> Callable:
     return train
 
 
-def train(windows: DataFrame, shared, most: int = 512, rates: tuple[float, ...] = (0.02, 0.006), fewest: int = 60) -> np.ndarray:
-    """Parameters after rounds of training in each shard and averaging, weighted by windows. Each
-    round takes windows of its own, so none is seen twice but in shards of under ``fewest`` steps.
+def train(texts: DataFrame, tokenizer: str, shared, shard_bytes: int = 16 << 20, most: int = 512, rates: tuple[float, ...] = (0.02, 0.006), fewest: int = 60) -> np.ndarray:
+    """Parameters after one pass over all of ``place, text``, in rounds of training in each shard
+    and averaging, weighted by windows. Each round takes whole texts of its own, so every id is
+    predicted once, but in shards of under ``fewest`` steps, which repeat their own.
 
-    A shard holds about 32,768 windows, more where that would make over ``most`` of them. The
-    driver gets one row of some 140 KB a shard and round, at any size of the corpus.
+    A shard holds about ``shard_bytes`` of text, more where that would make over ``most`` of them.
+    The driver gets one row of some 140 KB a shard and round, at any size of the corpus.
     """
-    shards = max(1, min(most, windows.count() // 32_768))
+    size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    shards = max(1, min(most, size // shard_bytes))
     flat = first_params()
-    dealt = windows.withColumns({"shard": F.pmod(F.col("place"), F.lit(shards)).cast("int"), "round": F.pmod(F.floor(F.col("place") / shards), F.lit(len(rates)))})
+    dealt = texts.withColumns({"shard": F.pmod(F.col("place"), F.lit(shards)).cast("int"), "round": F.pmod(F.floor(F.col("place") / shards), F.lit(len(rates)))})
     for number, rate in enumerate(rates):
-        own = dealt.where(F.col("round") == number).repartitionById(shards, "shard").sortWithinPartitions("place", "ids")
-        rows = own.mapInArrow(_trainer(flat, shared, rate, fewest), "shard int, n long, params binary").collect()
+        own = dealt.where(F.col("round") == number).repartitionById(shards, "shard").sortWithinPartitions("place", "text")
+        rows = own.select("shard", "text").mapInArrow(_trainer(tokenizer, flat, shared, rate, fewest), "shard int, n long, params binary").collect()
         if not rows:
             continue
         rows.sort(key=lambda r: r.shard)
@@ -427,13 +431,13 @@ def _scorer(path: str, shared, flat: np.ndarray, train_tokens: int, distinct: in
     return score
 
 
-def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 32 << 20, every: int = 1024) -> DataFrame:
+def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 32 << 20) -> DataFrame:
     """Per document ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Documents are dealt to chunks of about ``chunk_bytes`` of text by a hash. Each chunk lists its
     words; their counts over all training texts are summed by word and joined back, so a chunk
-    gets the counts of its own words, however large the vocabulary. Training windows, subword
-    counts and word counts come from all training documents. Base and model score a chunk's
+    gets the counts of its own words, however large the vocabulary. Subword counts and word
+    counts come from all training documents, and the model is trained on the whole of each. Base and model score a chunk's
     texts in one Arrow stage, which holds that chunk.
 
     A null text is empty: its end token alone is scored. A null id is trained on. Repeated rows
@@ -455,8 +459,8 @@ def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 32 << 20
 
     prior, symbols = _gathered(totals, tokenizer, train_docs)
     shared = spark.sparkContext.broadcast((prior, symbols))
-    windows = materialize(all_.where(~F.col("held_out")).select("text").mapInArrow(_windows(tokenizer, every), "place long, ids binary"), "windows")
-    flat = train(windows, shared)
+    trained = all_.where(~F.col("held_out")).select(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("place"), "text")
+    flat = train(trained, tokenizer, shared)
 
     words = vocabulary.select("chunk", "word").join(totals, "word")
     words = words.select("chunk", F.lit(True).alias("is_word"), F.col("word").alias("text"), F.col("c").alias("n"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"))

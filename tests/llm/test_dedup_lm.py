@@ -161,6 +161,48 @@ def test_scores_are_probabilities_and_each_id_counts_once():
     assert done == 101 and scorer.score([ids])[0] == pytest.approx(want, rel=1e-4)
 
 
+def trained_on(texts):
+    """(symbols, the wanted symbols of each step of a trainer over ``texts``)."""
+    size = lm.encoder(WORD, False).tokenizer.get_vocab_size() + 1
+    counts = np.arange(size, 0, -1.0)
+    shared = type("Shared", (), {"value": (toy()[0], lm.Symbols(counts, np.zeros(size, bool)))})
+    seen = []
+
+    def fit(flat, prior, batches, rate):
+        seen.extend(w for _, _, w in batches)
+        return flat, sum(map(len, seen))
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lm, "fit", fit)
+        batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts), pa.int32()), pa.array(texts, pa.binary())], ["shard", "text"])
+        list(lm._trainer(WORD, lm.first_params(), shared, 0.01, 0)(iter([batch])))
+    return shared.value[1], seen
+
+
+def wanted_once(texts):
+    symbols, seen = trained_on([t.encode() for t in texts])
+    enc, want = lm.encoder(WORD, False), Counter()
+    for t in texts:
+        ids = [*np.frombuffer(enc.encode(t), enc.dtype).tolist(), enc.tokenizer.get_vocab_size()]
+        want.update(symbols.symbol[ids].tolist())
+    got = Counter(np.concatenate([w.ravel() for w in seen]).tolist())
+    got.pop(-1, None)
+    assert got == want
+
+
+def test_every_training_id_is_a_target_once():
+    r = np.random.default_rng(6)
+    wanted_once([" ".join(f"word{x}" for x in r.integers(0, 300, n)) for n in (0, 1, 15, 16, 17, 4000)])
+
+
+def test_training_windows_of_texts():
+    ids, sizes = np.arange(45), np.array([1, 16, 28])
+    given, wanted = lm.training_windows(ids, sizes, lm.Symbols(np.arange(2000, 0, -1.0), np.zeros(2000, bool)))
+    assert wanted[wanted >= 0].tolist() == ids.tolist() and [(w >= 0).sum() for w in wanted] == [1, 16, 16, 12]
+    assert given[:, 0].tolist() == [lm.START, lm.START, lm.START, 32]
+    assert (given[:, 1:] == wanted[:, :-1])[wanted[:, 1:] >= 0].all()
+
+
 def brute_base(rows):
     def tokens(t):
         return [*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None]
