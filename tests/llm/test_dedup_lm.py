@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -195,6 +196,24 @@ def test_every_training_id_is_a_target_once():
     wanted_once([" ".join(f"word{x}" for x in r.integers(0, 300, n)) for n in (0, 1, 15, 16, 17, 4000)])
 
 
+@pytest.mark.parametrize("space", ["\n", "\t", "\r\n"])
+def test_training_texts_without_blanks_between_words(space):
+    wanted_once([space.join(f"word{i % 997}" for i in range(5000))])
+
+
+@pytest.mark.parametrize("run", ["a1b2-", "漢字かな"])
+def test_long_training_texts_without_white_space(run):
+    text = (run * (3_000_000 // len(run.encode()))).encode()
+    tracemalloc.start()
+    _, seen = trained_on([text, b"x"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ids = sum(int((w >= 0).sum()) for w in seen)
+    enc = lm.encoder(WORD, False)
+    assert ids == len(enc.encode(text.decode())) // enc.dtype.itemsize + 3  # x and two ends
+    assert peak < 600 << 20  # not a slice of the text for each window
+
+
 def test_training_windows_of_texts():
     ids, sizes = np.arange(45), np.array([1, 16, 28])
     given, wanted = lm.training_windows(ids, sizes, lm.Symbols(np.arange(2000, 0, -1.0), np.zeros(2000, bool)))
