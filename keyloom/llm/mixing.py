@@ -41,7 +41,8 @@ def schedule(spark, quotas: list[int], block: int) -> DataFrame:
 
     Slot i falls on the source in whose interval of the cumulative quotas the point i of the
     van der Corput sequence lies; slots are ranked per source. Slots beyond a quota are left
-    out, and the few that the discrepancy leaves short are appended.
+    out, and the few that the discrepancy leaves short are appended, the sources by turns. No two
+    blocks share a slot.
     """
     total = sum(quotas)
     slots = -(-total // block)
@@ -55,19 +56,22 @@ def schedule(spark, quotas: list[int], block: int) -> DataFrame:
     need = spark.createDataFrame([(i, -(-q // block)) for i, q in enumerate(quotas)], "source int, need long")
     have = rows.groupBy("source").agg(F.count("*").alias("have"))
     short = need.join(have, "source", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < need")
-    short = short.select(F.lit(slots).cast("long").alias("slot"), "source", F.explode(F.expr("sequence(have, need - 1)")).alias("rank"))
+    short = short.select("source", "have", F.explode(F.expr("sequence(have, need - 1)")).alias("rank"))
+    short = short.select((F.lit(slots) + (F.col("rank") - F.col("have")) * len(quotas) + F.col("source")).alias("slot"), "source", "rank")
     kept = rows.join(need, "source").where("rank < need").select("slot", "source", "rank")
     return kept.unionByName(short)
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3, seed: int = 11) -> DataFrame:
-    """Per document ``doc_id, size, source_size, target`` (its source's), ``taken, source, text_crc32``.
+    """Per document ``doc_id, size, source_size, target`` (its source's), ``taken, source, text_crc32, slots``.
 
     Sources in the order of their code points, null last, weigh ``weights``, repeating, and
     share ``share`` times all words. A source's documents, shuffled by a seeded hash, form a
     stream of words that starts over at its end and is cut into blocks of equal tokens; the
-    schedule's slots of that source take its blocks in turn, up to its target. ``taken`` is
-    the number of a document's words in blocks taken. The block grows with the input up to
+    schedule's slots of that source take its blocks in turn, up to its target. ``slots`` is a
+    JSON array of {"slot", "at", "words"}: how many words of the document stand in the block of
+    which slot, from which word of the block on, so that all rows sorted by slot and ``at`` are
+    the mix in its order. ``taken`` is the sum of these words. The block grows with the input up to
     4,096 words, so there are about 2,000 slots a source at least.
 
     The driver sees one row per source, nothing per document. A null or empty text has size 0
@@ -75,6 +79,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share:
     an empty table gives no rows; reruns agree, whatever the partitions. Other columns are not
     read.
     """
+    mix = scheduled(docs, weights, share, most, seed)
+    listed = F.transform("slots", lambda x: F.struct(x["slot"].alias("slot"), x["at"].alias("at"), x["words"].alias("words")))
+    return mix.withColumn("slots", F.to_json(listed))
+
+
+def scheduled(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3, seed: int = 11) -> DataFrame:
+    """``mix_sources`` with ``slots`` as an array of structs in order of the mix; ``first`` is true
+    where the document begins."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", "source", source_key().alias("_s"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -97,22 +109,32 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share:
     turns = turns.withColumn("_from", F.col("_turn") * F.col("source_size") + F.col("_at"))
     turns = turns.withColumn("_to", F.least(F.col("_from") + F.col("size"), F.col("_quota")))
     pieces = turns.withColumn("rank", F.explode_outer(F.expr(f"case when _to > _from then sequence(_from div {block}, (_to - 1) div {block}) end")))
-    words = F.least(F.col("_to"), (F.col("rank") + 1) * block) - F.greatest(F.col("_from"), F.col("rank") * block)
-    pieces = pieces.withColumn("_words", words).drop("_turn", "_from", "_to", "_quota")
-    slots = schedule(spark, quotas, block).select(F.col("source").alias("_i"), "rank", F.lit(1).alias("_slot"))
+    begin = F.greatest(F.col("_from"), F.col("rank") * block)
+    words = F.least(F.col("_to"), (F.col("rank") + 1) * block) - begin
+    pieces = pieces.withColumns({"_words": words, "_in": begin - F.col("rank") * block, "_first": begin == F.col("_from")}).drop("_turn", "_from", "_to", "_quota")
+    slots = schedule(spark, quotas, block).select(F.col("source").alias("_i"), "rank", "slot")
     keys = ["doc_id", "source", "size", "text_crc32", "_i", "source_size", "target", "_at"]
-    taken = pieces.join(slots, ["_i", "rank"], "left").groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("_slot").isNotNull(), F.col("_words"))), F.lit(0)).alias("taken"))
-    out = ["doc_id", "size", "source_size", "target", "taken", "source", "text_crc32"]
-    return taken.select(*out).unionByName(stream.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
+    piece = F.struct("slot", F.col("_in").alias("at"), F.col("_words").alias("words"), F.col("_first").alias("first"))
+    taken = pieces.join(slots, ["_i", "rank"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("slot").isNotNull(), piece))).alias("slots"))
+    taken = taken.withColumn("taken", F.aggregate("slots", F.lit(0).cast("long"), lambda n, x: n + x["words"]))
+    out = ["doc_id", "size", "source_size", "target", "taken", "source", "text_crc32", "slots"]
+    without = stream.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "slots": F.array().cast(taken.schema["slots"].dataType)})
+    return taken.select(*out).unionByName(without.select(*out))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix takes them: each as often as its taken words hold it, to the nearest
-    whole number, so some repeat and some go; documents without words stay once. Rows that
+    """``docs`` as the mix takes them, in the order of its slots: each as often as its taken words
+    hold it, to the nearest whole number, so some repeat and some go. A copy stands where the
+    document begins in the mix; documents without words stay once, after all others. Rows that
     agree in id, source and text share what they take."""
-    mix = mix_sources(docs, **options).groupBy("doc_id", "source", "text_crc32", "size").agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
+    begins = F.transform(F.filter("slots", lambda x: x["first"]), lambda x: F.struct(x["slot"].alias("slot"), x["at"].alias("at")))
+    mix = scheduled(docs, **options).withColumn("_begins", begins).groupBy("doc_id", "source", "text_crc32", "size")
+    mix = mix.agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"), F.array_sort(F.flatten(F.collect_list("_begins"))).alias("_begins"))
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("_taken") / (F.col("_rows") * F.col("size")) + 0.5)).cast("int")
-    mix = mix.select(F.col("doc_id").alias("_d"), F.col("source").alias("_o"), F.col("text_crc32").alias("_c"), copies.alias("_copies")).where("_copies > 0")
+    mix = mix.select(F.col("doc_id").alias("_d"), F.col("source").alias("_o"), F.col("text_crc32").alias("_c"), copies.alias("_copies"), "_begins").where("_copies > 0")
     mine = docs.withColumn("_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     same = mine["doc_id"].eqNullSafe(mix["_d"]) & mine["source"].eqNullSafe(mix["_o"]) & (mine["_crc"] == mix["_c"])
-    return mine.join(mix, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copied = mine.join(mix, same).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    place = F.get("_begins", F.col("_copy"))
+    copied = copied.select(*docs.columns, place["slot"].alias("_slot"), place["at"].alias("_in"), "_crc")
+    return copied.orderBy(F.asc_nulls_last("_slot"), "_in", "doc_id", "_crc").select(*docs.columns)

@@ -1,3 +1,4 @@
+import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -67,6 +68,53 @@ def test_schedule_is_even(spark):
     assert Counter(r.source for r in ranks) == {0: 143, 1: 286, 2: 715} and all(r["count"] == 1 for r in ranks)
 
 
+def begins(rows):
+    """(slot, at) of each piece by document, in order of the mix."""
+    return {r.doc_id: sorted((x["slot"], x["at"]) for x in json.loads(r.slots)) for r in rows}
+
+
+def test_slots_hold_the_mix_in_order(spark):
+    rows = [(i, "w " * (1 + i % 37), "abc"[i % 3]) for i in range(900)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    total = sum(r.size for r in got)
+    block = max(1, min(4096, total // 6000))
+    slots, filled = defaultdict(set), defaultdict(list)
+    for r in got:
+        pieces = json.loads(r.slots)
+        assert sum(x["words"] for x in pieces) == r.taken
+        for x in pieces:
+            slots[x["slot"]].add(r.source)
+            filled[x["slot"]].append((x["at"], x["words"]))
+    # One source a slot, filled without gaps; every stretch of the mix has its sources by their shares.
+    assert all(len(s) == 1 for s in slots.values())
+    for parts in filled.values():
+        at = 0
+        for begin, n in sorted(parts):
+            assert begin == at
+            at += n
+        assert at <= block
+    order, share = [next(iter(slots[s])) for s in sorted(slots)], defaultdict(int)
+    for r in got:
+        share[r.source] += r.taken / total
+    for a in range(0, len(order) - 500, 500):
+        for source, x in share.items():
+            assert abs(order[a : a + 500].count(source) / 500 - x) < 0.03
+
+
+def test_mixed_documents_follow_the_slots(spark):
+    rows = [(i, f"{i} " + "w " * (i % 37), "abc"[i % 3]) for i in range(900)] + [(1000, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out, by = [r.doc_id for r in mixing.mixed_documents(df).collect()], begins(mixing.mix_sources(df).collect())
+    assert out.pop() == 1000 and 1000 not in out
+    seen, last = Counter(), (-1, -1)
+    for x in out:
+        place = next(p for p in by[x] if p > last or p == last)
+        last, seen[x] = place, seen[x] + 1
+    thirds = [Counter("abc"[x % 3] for x in out[k : k + len(out) // 3]) for k in (0, len(out) // 3, 2 * (len(out) // 3))]
+    for s in "abc":
+        assert max(t[s] for t in thirds) - min(t[s] for t in thirds) < 0.1 * len(out)
+
+
 def test_mixed_documents(docs):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
