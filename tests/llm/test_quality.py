@@ -152,6 +152,16 @@ def test_classifier(docs, labels, odd_docs, no_docs, odd_labels):
     assert kneser_ney.quality_classifier(no_docs, labels).count() == 0
 
 
+def test_short_texts_do_not_set_the_cutoff_of_long_ones(spark):
+    r = np.random.default_rng(8)
+    rows = [("de", int(n), float(p)) for n, p in zip(r.integers(200, 2000, 400), r.uniform(5, 10, 400), strict=True)]
+    rows += [("de", 6, 25.0), ("de", 7, 20.0), ("fr", 6, 30.0)]
+    by, pooled = kneser_ney.cutoffs(spark.createDataFrame(rows, "lang string, n_symbols long, perplexity double"), 0.999, 100, 100)
+    assert set(by) == {"de"} and len(by["de"]) == len(pooled) == kneser_ney.BANDS
+    assert by["de"][2] == pytest.approx(25, rel=3e-3) and pooled[2] == pytest.approx(30, rel=3e-3)
+    assert by["de"][10] <= 10.03 and by["de"][31] <= 10.03 and pooled[10] <= 10.03
+
+
 def test_quantiles_are_exact_up_to_a_bin(spark):
     values = np.exp(np.random.default_rng(0).normal(2, 1, 3000))
     df = spark.createDataFrame([("en" if i % 3 else None, float(v)) for i, v in enumerate(values)], "lang string, perplexity double")
