@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import materialize, texts_by_bytes
 from .encoding import encoder
 
-CLASSES, WIDTH, WINDOW, STRIDE = 32, 16, 16, 14
+CLASSES, WIDTH, WINDOW, STRIDE = 32, 16, 16, 8
 SYMBOLS = CLASSES * CLASSES
 BATCH = 512  # training windows a step
 OTHER, START = SYMBOLS - 1, SYMBOLS  # all rarer ids; what stands before a text

@@ -162,6 +162,16 @@ def test_scores_are_probabilities_and_each_id_counts_once():
     assert done == 101 and scorer.score([ids])[0] == pytest.approx(want, rel=1e-4)
 
 
+def test_ids_past_the_first_window_have_half_a_window_before_them(monkeypatch):
+    prior, flat = toy()
+    scorer, picks = lm.Scorer(flat, prior, lm.Symbols(np.arange(3000, 0, -1.0), np.zeros(3000, bool))), []
+    logs = scorer.symbol_logs
+    monkeypatch.setattr(scorer, "symbol_logs", lambda given, wanted, pick: picks.append(pick) or logs(given, wanted, pick))
+    scorer.score([np.arange(101)])
+    picks = np.concatenate(picks)
+    assert picks.sum() == 101 and picks[0].all() and not picks[1:, : lm.WINDOW // 2].any()
+
+
 def trained_on(texts):
     """(symbols, the wanted symbols of each step of a trainer over ``texts``)."""
     size = lm.encoder(WORD, False).tokenizer.get_vocab_size() + 1
