@@ -4,7 +4,7 @@ The 1,023 most frequent subword ids of a public tokenizer are the symbols of the
 more stands for all others. Symbols come in 32 classes of 32. One layer of causal
 self-attention, trained in numpy, gives a state for each place; class, and symbol within the
 class, are softmaxes over that state's scores plus the log share that corpus counts give them
-after the symbol before. An id under the last symbol has its share by smoothed counts. The
+after the symbol before in its word; pairs stop at word ends. An id under the last symbol has its share by smoothed counts. The
 product is a probability over all ids.
 """
 
