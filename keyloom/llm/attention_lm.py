@@ -24,7 +24,7 @@ from .encoding import encoder
 
 CLASSES, WIDTH, WINDOW, STRIDE = 32, 16, 16, 8
 SYMBOLS = CLASSES * CLASSES
-BATCH = 512  # training windows a step
+BATCH = 256  # training windows a step
 OTHER, START = SYMBOLS - 1, SYMBOLS  # all rarer ids; what stands before a text
 PARAMS = {"E": (SYMBOLS + 1, WIDTH), "P": (WINDOW, WIDTH), "Wq": (WIDTH, WIDTH), "Wk": (WIDTH, WIDTH), "Wv": (WIDTH, WIDTH), "Wo": (WIDTH, WIDTH), "Uc": (WIDTH, CLASSES), "Us": (CLASSES, WIDTH, CLASSES)}
 _MASK = np.where(np.tril(np.ones((WINDOW, WINDOW))) > 0, 0.0, -1e9).astype(np.float32)
@@ -74,6 +74,15 @@ def _by_class(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(classes[order], np.arange(CLASSES + 1, dtype=np.int8))
 
 
+def _softmax(z: np.ndarray) -> None:
+    """In place, over the last axis. Rows are shifted only where some exponent is large: the maximum
+    of each row costs more than all the rest."""
+    if z.size and z.max() > 60:
+        z -= z.max(-1, keepdims=True)
+    np.exp(z, out=z)
+    z *= (1 / (z @ _ONES[: z.shape[-1]]))[..., None]
+
+
 def loss_and_gradient(flat: np.ndarray, prior: Prior, given: np.ndarray, before: np.ndarray, wanted: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean cross-entropy over windows of symbols, and its gradient. wanted -1 is not counted;
     ``before`` is the row of the prior at each place."""
@@ -83,9 +92,7 @@ def loss_and_gradient(flat: np.ndarray, prior: Prior, given: np.ndarray, before:
     a = q @ k.transpose(0, 2, 1)
     a *= _SCALE
     a += _MASK
-    a -= a.max(-1, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(-1, keepdims=True)
+    _softmax(a)
     o = (a @ v).reshape(-1, WIDTH)
     h = x + o @ p["Wo"]
     valid = np.flatnonzero(wanted.ravel() >= 0)
@@ -100,12 +107,10 @@ def loss_and_gradient(flat: np.ndarray, prior: Prior, given: np.ndarray, before:
         zs[own] += state[own] @ p["Us"][c]
     loss = 0.0
     for z, at in ((zc, t // CLASSES), (zs, t % CLASSES)):
-        z -= z.max(-1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(-1, keepdims=True)
+        _softmax(z)
         loss -= float(np.log(z[place, at]).sum()) / n
         z[place, at] -= 1
-        z /= n
+        z *= np.float32(1 / n)
     g = {"Uc": state.T @ zc, "Us": np.zeros_like(p["Us"])}
     dstate = zc @ p["Uc"].T
     for c in range(CLASSES):
@@ -118,8 +123,8 @@ def loss_and_gradient(flat: np.ndarray, prior: Prior, given: np.ndarray, before:
     do = (dh @ p["Wo"].T).reshape(windows)
     da = do @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ do
-    da -= (da * a).sum(-1, keepdims=True)
     da *= a
+    da -= a * (da @ _ONES[:WINDOW])[..., None]
     da *= _SCALE
     dx = dh
     for name, d in (("Wq", da @ k), ("Wk", da.transpose(0, 2, 1) @ q), ("Wv", dv)):
@@ -132,15 +137,16 @@ def loss_and_gradient(flat: np.ndarray, prior: Prior, given: np.ndarray, before:
     return loss, np.concatenate([g[name].ravel() for name in PARAMS]).astype(np.float32)
 
 
-def fit(flat: np.ndarray, prior: Prior, batches: Iterator[tuple], rate: float) -> tuple[np.ndarray, int]:
-    """Adam over the batches; the parameters and the number of windows."""
-    flat, m, v, n = flat.copy(), np.zeros_like(flat), np.zeros_like(flat), 0
+def fit(flat: np.ndarray, prior: Prior, batches: Iterator[tuple], rate: float) -> tuple[np.ndarray, int, int]:
+    """Adam over the batches; the parameters, and how many windows and ids were predicted."""
+    flat, m, v, n, ids = flat.copy(), np.zeros_like(flat), np.zeros_like(flat), 0, 0
     for step, (given, before, wanted) in enumerate(batches, 1):
         _, g = loss_and_gradient(flat, prior, given, before, wanted)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         n += len(given)
-    return flat, n
+        ids += int((wanted >= 0).sum())
+    return flat, n, ids
 
 
 class Symbols:
@@ -152,9 +158,9 @@ class Symbols:
 
     def __init__(self, counts: np.ndarray, ends_word: np.ndarray):
         top = np.argsort(-counts, kind="stable")[: SYMBOLS - 1]
-        self.symbol = np.full(len(counts), OTHER)
+        self.symbol = np.full(len(counts), OTHER, np.int32)
         self.symbol[top] = np.arange(len(top))
-        self.row = np.arange(SYMBOLS + 1)
+        self.row = np.arange(SYMBOLS + 1, dtype=np.int32)
         self.row[:OTHER][: len(top)][ends_word[top]] = START
         rest = np.where(self.symbol == OTHER, counts + 0.5, 0)
         self.rare = np.log10(rest / rest.sum(), where=rest > 0, out=np.zeros(len(counts)))
@@ -172,18 +178,21 @@ class Scorer:
         self.v = np.ascontiguousarray(np.c_[v, np.ones(len(v), np.float32)])
         self.Uc, self.Us, self.prior, self.symbols = p["Uc"], p["Us"], prior, symbols
 
-    def symbol_logs(self, given: np.ndarray, wanted: np.ndarray, pick: np.ndarray) -> np.ndarray:
-        """Natural logs at the picked places of the windows, in order."""
-        at = given * WINDOW + np.arange(WINDOW)
-        s = self.q[at] @ self.k[at].transpose(0, 2, 1)
+    def symbol_logs(self, given: np.ndarray, wanted: np.ndarray, pick: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Natural logs at the picked places of the windows, in order. The first ``skip`` places are
+        context alone; ``wanted`` and ``pick`` begin after them."""
+        at = given * np.int32(WINDOW) + np.arange(WINDOW, dtype=np.int32)
+        here = at[:, skip:]
+        s = self.q[here] @ self.k[at].transpose(0, 2, 1)
         if s.max() > 60:
-            s -= (s + _MASK).max(-1, keepdims=True)
+            s -= (s + _MASK[skip:]).max(-1, keepdims=True)
         np.exp(s, out=s)
-        s *= _CAUSAL
+        s *= _CAUSAL[skip:]
         o = (s @ self.v[at])[pick]
-        state = o[:, :WIDTH] / o[:, WIDTH:]
-        state += self.x[at[pick]]
-        t, row = wanted[pick], self.symbols.row[given[pick]]
+        state = o[:, :WIDTH]
+        state *= (1 / o[:, WIDTH])[:, None]
+        state += self.x[here[pick]]
+        t, row = wanted[pick], self.symbols.row[given[:, skip:][pick]]
         order, edges = _by_class(t)
         t, row, state = t[order], row[order], state[order]
         zs = np.empty((len(t), CLASSES), np.float32)
@@ -207,29 +216,33 @@ class Scorer:
         """The log10 probability of each sequence (none is empty)."""
         return self.score_flat(np.concatenate(sequences).astype(np.int64), np.array([len(s) for s in sequences]))
 
-    def score_flat(self, ids: np.ndarray, sizes: np.ndarray, step: int = 256) -> np.ndarray:
-        """The same for sequences of the given sizes, one after the other. Windows overlap, so that an
-        id past the first window has WINDOW - STRIDE ids of context or more; each is scored once."""
+    def score_flat(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The same for sequences of the given sizes, one after the other."""
+        return np.add.reduceat(self.id_logs(ids, sizes), np.cumsum(sizes) - sizes)
+
+    def id_logs(self, ids: np.ndarray, sizes: np.ndarray, step: int = 512) -> np.ndarray:
+        """The log10 probability of each id in its sequence. Windows overlap, so that an id past the
+        first window has WINDOW - STRIDE ids of context or more; each is scored once."""
         starts = np.cumsum(sizes) - sizes
+        ends = starts + sizes
         wanted = self.symbols.symbol[ids]
         given = np.empty_like(wanted)
         given[1:] = wanted[:-1]
         given[starts] = START
-        windows = np.maximum(1, -(-(sizes - (WINDOW - STRIDE)) // STRIDE))
-        which = np.repeat(np.arange(len(sizes)), windows)
-        number = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-        first = starts[which] + number * STRIDE
-        last = (starts + sizes)[which]
+        more = np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
+        number = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+        later = np.repeat(starts, more) + (number + 1) * STRIDE
         logs = np.empty(len(ids))
-        for a in range(0, len(first), step):
-            place = first[a : a + step, None] + np.arange(WINDOW)
-            pick = place < last[a : a + step, None]
-            place = np.minimum(place, len(ids) - 1)
-            pick[:, : WINDOW - STRIDE] &= number[a : a + step, None] == 0
-            logs[place[pick]] = self.symbol_logs(given[place], wanted[place], pick)
+        for first, last, skip in ((starts, ends, 0), (later, np.repeat(ends, more), WINDOW - STRIDE)):
+            for a in range(0, len(first), step):
+                place = first[a : a + step, None] + np.arange(WINDOW)
+                pick = (place < last[a : a + step, None])[:, skip:]
+                place = np.minimum(place, len(ids) - 1)
+                own = place[:, skip:]
+                logs[own[pick]] = self.symbol_logs(given[place], wanted[own], pick, skip)
         logs *= 1 / math.log(10)
         logs += self.symbols.rare[ids]
-        return np.add.reduceat(logs, starts)
+        return logs
 
 
 # --- what is gathered from the corpus ------------------------------------------------------
@@ -277,41 +290,64 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _word_ids(enc, words: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(x, enc.dtype) for x in enc.encode_words([w.decode() for w in words])]
-
-
 def _pair_counts(path: str) -> Callable:
     """(before, id, n): counts of ids by the id before in the word; -1 before a word's first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, False)
         for batch in batches:
-            ids = _word_ids(enc, batch.column("word").to_pylist())
-            sizes = np.array([len(x) for x in ids])
-            if not sizes.sum():
+            ids, begins, sizes = word_pool(enc, [w.decode() for w in batch.column("word").to_pylist()])
+            flat = ids[1:].astype(np.int64)
+            if not len(flat):
                 continue
-            flat = np.concatenate(ids).astype(np.int64)
             before = np.r_[-1, flat[:-1]]
-            before[(np.cumsum(sizes) - sizes)[sizes > 0]] = -1
+            before[begins[1:] - 1] = -1
             code, at = np.unique((before + 1) << 32 | flat, return_inverse=True)
-            n = np.bincount(at, weights=np.repeat(batch.column("c").to_numpy(), sizes)).astype(np.int64)
+            n = np.bincount(at, weights=np.repeat(batch.column("c").to_numpy(), sizes[1:])).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((code >> 32) - 1), pa.array(code & 0xFFFFFFFF), pa.array(n)], ["before", "id", "n"])
 
     return count
 
 
+def id_type(enc) -> np.dtype:
+    """Of ids, of the end of a text, numbered after all of them, and of a word without ids, after that."""
+    return np.dtype("<u2" if enc.tokenizer.get_vocab_size() + 2 <= 1 << 16 else "<u4")
+
+
+def word_pool(enc, words: list[str], step: int = 50_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of the end of a text and of each word, one after the other; where each begins; and how
+    many each has. A word that the tokenizer has no ids for has one of its own, the same for all."""
+    end, dtype = enc.tokenizer.get_vocab_size(), id_type(enc)
+    none = np.array([end + 1], dtype).tobytes()
+    raw, sizes = [np.array([end], dtype).tobytes()], [1]
+    for i in range(0, len(words), step):
+        coded = enc.encode_words(words[i : i + step])
+        if enc.dtype != dtype:
+            coded = [np.frombuffer(x, enc.dtype).astype(dtype).tobytes() for x in coded]
+        coded = [x or none for x in coded]
+        raw.append(b"".join(coded))
+        sizes += [len(x) // dtype.itemsize for x in coded]
+    lengths = np.array(sizes)
+    return np.frombuffer(b"".join(raw), dtype), np.cumsum(lengths) - lengths, lengths
+
+
+def joined_ids(pool: tuple[np.ndarray, np.ndarray, np.ndarray], numbers: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts given as numbers of a pool's words, the texts beginning at ``firsts``, and how
+    many each has."""
+    ids, begins, lengths = pool
+    n = lengths[numbers]
+    place = np.repeat(begins[numbers] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return ids[place], np.add.reduceat(n, firsts)
+
+
 def text_ids(enc, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The ids of binary texts, one after the other, each with its end, and how many each has."""
     words, sizes = split_words(texts)
     coded = words.dictionary_encode()
-    raw = [np.array([enc.tokenizer.get_vocab_size()], enc.dtype).tobytes(), *enc.encode_words(coded.dictionary.to_pylist())]
-    lengths = np.array([len(x) for x in raw]) // enc.dtype.itemsize
-    begins, pool = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(raw), enc.dtype)
     numbers = np.insert(coded.indices.to_numpy().astype(np.int64) + 1, np.cumsum(sizes), 0)  # 0 is the end of a text
-    n, sizes = lengths[numbers], sizes + 1
-    place = np.repeat(begins[numbers] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    return pool[place].astype(np.int64), np.add.reduceat(n, np.cumsum(sizes) - sizes)
+    sizes = sizes + 1
+    ids, n = joined_ids(word_pool(enc, coded.dictionary.to_pylist()), numbers, np.cumsum(sizes) - sizes)
+    return ids.astype(np.int64), n
 
 
 def training_windows(ids: np.ndarray, sizes: np.ndarray, symbols: Symbols) -> tuple[np.ndarray, np.ndarray]:
@@ -330,17 +366,28 @@ def training_windows(ids: np.ndarray, sizes: np.ndarray, symbols: Symbols) -> tu
     return given[place], np.where(inside, wanted[place], -1)
 
 
-def _trainer(path: str, flat: np.ndarray, shared, rate: float, fewest: int) -> Callable:
+def _sequences(batch: pa.RecordBatch, dtype: np.dtype, step: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch of about ``step`` ids each, one row at least, with their ids and sizes."""
+    for i, j in texts_by_bytes(batch, "ids", step * dtype.itemsize):
+        part = batch.slice(i, j - i)
+        ids = part.column("ids")
+        at = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] if pa.types.is_binary(ids.type) else np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        flat = np.frombuffer(ids.buffers()[2], np.uint8)[at[0] : at[-1]].view(dtype)
+        yield part, flat.astype(np.int32), np.diff(at).astype(np.int64) // dtype.itemsize
+
+
+def _trainer(dtype: np.dtype, flat: np.ndarray, shared, rate: float, fewest: int) -> Callable:
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, (prior, symbols) = encoder(path, False), shared.value
+        prior, symbols = shared.value
         shard, held, seen, order = 0, [], 0, np.random.default_rng(5)
 
         def feed() -> Iterator[tuple]:
             nonlocal shard, seen
             for batch in batches:
-                shard = batch.column("shard")[0].as_py()
-                for i, j in texts_by_bytes(batch, "text"):
-                    given, wanted = training_windows(*text_ids(enc, batch.column("text").slice(i, j - i)), symbols)
+                if batch.num_rows:
+                    shard = batch.column("shard")[0].as_py()
+                for _, ids, sizes in _sequences(batch, dtype):
+                    given, wanted = training_windows(ids, sizes, symbols)
                     mixed = order.permutation(len(given))
                     for at in range(0, len(mixed), BATCH):
                         own = mixed[at : at + BATCH]
@@ -354,91 +401,99 @@ def _trainer(path: str, flat: np.ndarray, shared, rate: float, fewest: int) -> C
                     seen += 1
                     yield part
 
-        trained, n = fit(flat, prior, feed(), rate)
+        trained, n, ids = fit(flat, prior, feed(), rate)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([trained.tobytes()], pa.binary())], ["shard", "n", "params"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([ids], pa.int64()), pa.array([trained.tobytes()], pa.binary())], ["shard", "n", "ids", "params"])
 
     return train
 
 
-def train(texts: DataFrame, tokenizer: str, shared, shard_bytes: int = 16 << 20, most: int = 512, rates: tuple[float, ...] = (0.02, 0.006), fewest: int = 60) -> np.ndarray:
-    """Parameters after one pass over all of ``place, text``, in rounds of training in each shard
-    and averaging, weighted by windows. Each round takes whole texts of its own, so every id is
-    predicted once, but in shards of under ``fewest`` steps, which repeat their own.
+def train(texts: DataFrame, dtype: np.dtype, shared, shard_ids: int = 6 << 20, most: int = 512, rates: tuple[float, ...] = (0.02, 0.006), fewest: int = 200) -> tuple[np.ndarray, int]:
+    """Parameters after one pass over all of ``place, ids``, in rounds of training in each shard and
+    averaging, weighted by windows; and how many ids were predicted. Each round takes whole texts
+    of its own, so every id is predicted once, but in shards of under ``fewest`` steps, which
+    repeat their own.
 
-    A shard holds about ``shard_bytes`` of text, more where that would make over ``most`` of them.
-    The driver gets one row of some 140 KB a shard and round, at any size of the corpus.
+    A shard holds about ``shard_ids``, more where that would make over ``most`` of them. The
+    driver gets one row of some 140 KB a shard and round, at any size of the corpus.
     """
-    size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    shards = max(1, min(most, size // shard_bytes))
-    flat = first_params()
-    dealt = texts.withColumns({"shard": F.pmod(F.col("place"), F.lit(shards)).cast("int"), "round": F.pmod(F.floor(F.col("place") / shards), F.lit(len(rates)))})
+    size = (texts.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // dtype.itemsize
+    shards = max(1, min(most, size // shard_ids))
+    flat, done = first_params(), 0
+    dealt = texts.select("ids", "place", F.expr(f"cast(place % {shards} as int)").alias("shard"), F.expr(f"place div {shards} % {len(rates)}").alias("round"))
     for number, rate in enumerate(rates):
-        own = dealt.where(F.col("round") == number).repartitionById(shards, "shard").sortWithinPartitions("place", "text")
-        rows = own.select("shard", "text").mapInArrow(_trainer(tokenizer, flat, shared, rate, fewest), "shard int, n long, params binary").collect()
+        own = dealt.where(F.col("round") == number).repartitionById(shards, "shard").sortWithinPartitions("place", "ids")
+        rows = own.select("shard", "ids").mapInArrow(_trainer(dtype, flat, shared, rate, fewest), "shard int, n long, ids long, params binary").collect()
         if not rows:
             continue
         rows.sort(key=lambda r: r.shard)
-        total = sum(r.n for r in rows)
+        total, done = sum(r.n for r in rows), done + sum(r.ids for r in rows)
         flat = sum(np.frombuffer(r.params, np.float32).astype(np.float64) * (r.n / total) for r in rows).astype(np.float32)
-    return flat
+    return flat, done
 
 
 # --- scoring -------------------------------------------------------------------------------
 
 
-def _scorer(path: str, shared, flat: np.ndarray, train_tokens: int, distinct: int, end_count: int) -> Callable:
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, model = encoder(path, False), Scorer(flat, *shared.value)
-        texts: list[pa.RecordBatch] = []
+def _encoded(path: str, train_tokens: int, distinct: int, end_count: int) -> Callable:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, False)
         known, counts = [pa.array([], pa.string())], [np.zeros(0, np.int64)]
+        parts, listed = [], [pa.array([], pa.string())]
         for batch in batches:  # a chunk's words and texts come in any order
             is_word = batch.column("is_word")
             some = batch.filter(is_word)
             known.append(some.column("text").cast(pa.string()))
             counts.append(some.column("n").to_numpy(zero_copy_only=False).astype(np.int64))
-            texts.append(batch.filter(pc.invert(is_word)))
-        parts, listed = [], [known[0]]
-        for part in texts:
-            for i, j in texts_by_bytes(part, "text", 1 << 20):
-                some = part.slice(i, j - i)
+            texts = batch.filter(pc.invert(is_word))
+            for i, j in texts_by_bytes(texts, "text", 1 << 20):
+                some = texts.slice(i, j - i)
                 words, sizes = split_words(some.column("text"))
                 listed.append(words)
-                parts.append((some.select(["doc_id", "held_out"]), sizes))
+                # Arrow slices keep their batch, texts and all: these columns are copied.
+                parts.append(([pa.concat_arrays([some.column(c)]) for c in ("doc_id", "held_out", "place")], sizes))
         coded = pa.concat_arrays(listed).dictionary_encode()
+        del listed
         every, numbers = coded.dictionary, coded.indices.to_numpy()
         at = pc.fill_null(pc.index_in(every, value_set=pa.concat_arrays(known)), -1).to_numpy()
         # Number 0 is the end of a text, then come the words; those not trained on have the count 0 put last.
         c = np.append(end_count, np.append(np.concatenate(counts), 0)[at])
         logs = np.log10(c + 0.5) - math.log10(train_tokens + 0.5 * (distinct + 1))
-        raw = [np.array([enc.tokenizer.get_vocab_size()], enc.dtype).tobytes()]
-        for i in range(0, len(every), 50_000):
-            raw += enc.encode_words(every.slice(i, 50_000).to_pylist())
-        lengths = np.array([len(x) for x in raw]) // enc.dtype.itemsize
-        begins, pool = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(raw), enc.dtype)
+        pool = word_pool(enc, every.to_pylist())
         done = 0
-        for some, sizes in parts:
-            own = numbers[done : done + int(sizes.sum())]
+        for columns, sizes in parts:
+            own = numbers[done : done + int(sizes.sum())].astype(np.int64)
             words, done, sizes = np.insert(own + 1, np.cumsum(sizes), 0), done + len(own), sizes + 1
-            first, n = np.cumsum(sizes) - sizes, lengths[words]
-            place = np.repeat(begins[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            score = model.score_flat(pool[place].astype(np.int64), np.add.reduceat(n, first))
+            first = np.cumsum(sizes) - sizes
+            ids, n = joined_ids(pool, words, first)
+            edges = np.append(0, np.cumsum(n) * ids.itemsize)
             yield pa.RecordBatch.from_arrays(
-                [some.column("doc_id"), some.column("held_out"), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((c[words] > 0).astype(np.int64), first)), pa.array(np.full(len(sizes), train_tokens), pa.int64()), pa.array(np.add.reduceat(logs[words], first)), pa.array(score)],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                [*columns, pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((c[words] > 0).astype(np.int64), first)), pa.array(np.add.reduceat(logs[words], first)), pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids.tobytes())]).cast(pa.binary())],
+                ["doc_id", "held_out", "place", "n_tokens", "n_known", "base_score", "ids"],
             )
 
+    return encode
+
+
+def _scorer(dtype: np.dtype, shared, flat: np.ndarray) -> Callable:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Scorer(flat, *shared.value)
+        for batch in batches:
+            for part, ids, sizes in _sequences(batch, dtype):
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")], pa.array(model.score_flat(ids, sizes))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
     return score
 
 
-def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 32 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 24 << 20) -> DataFrame:
     """Per document ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Documents are dealt to chunks of about ``chunk_bytes`` of text by a hash. Each chunk lists its
     words; their counts over all training texts are summed by word and joined back, so a chunk
-    gets the counts of its own words, however large the vocabulary. Subword counts and word
-    counts come from all training documents, and the model is trained on the whole of each. Base and model score a chunk's
-    texts in one Arrow stage, which holds that chunk.
+    gets the counts of its own words, however large the vocabulary. One Arrow stage, which holds
+    a chunk, encodes its texts and writes their ids. The model is then trained on all ids of all
+    training documents and scores all documents from those, both in streams of batches. Subword
+    counts and word counts come from all training documents.
 
     A null text is empty: its end token alone is scored. A null id is trained on. Repeated rows
     count and are scored each; an empty table gives no rows; other columns are not read.
@@ -449,7 +504,7 @@ def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 32 << 20
     all_ = docs.select("doc_id", is_held_out().alias("held_out"), text.alias("text"))
     stats = all_.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.when(F.col("held_out"), 0).otherwise(1)).alias("train")).first()
     chunks, train_docs = max(1, math.ceil((stats.bytes or 0) / chunk_bytes)), stats.train or 0
-    keyed = all_.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    keyed = all_.withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)).withColumn("chunk", F.pmod("place", F.lit(chunks)).cast("int"))
 
     listed = keyed.select("chunk", "held_out", "text").repartitionById(chunks, "chunk")
     vocabulary = materialize(listed.mapInArrow(_words, "chunk int, word binary, n long"), "words")
@@ -457,17 +512,19 @@ def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 32 << 20
     r = totals.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     train_tokens, distinct = (r.n or 0) + train_docs, r.v + (train_docs > 0)
 
-    prior, symbols = _gathered(totals, tokenizer, train_docs)
-    shared = spark.sparkContext.broadcast((prior, symbols))
-    trained = all_.where(~F.col("held_out")).select(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("place"), "text")
-    flat = train(trained, tokenizer, shared)
-
     words = vocabulary.select("chunk", "word").join(totals, "word")
-    words = words.select("chunk", F.lit(True).alias("is_word"), F.col("word").alias("text"), F.col("c").alias("n"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"))
-    texts = keyed.select("chunk", F.lit(False).alias("is_word"), "text", F.lit(None).cast("long").alias("n"), "doc_id", "held_out")
-    both = words.unionByName(texts).repartitionById(chunks, "chunk")
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.select("is_word", "text", "n", "doc_id", "held_out").mapInArrow(_scorer(tokenizer, shared, flat, train_tokens, distinct, train_docs), schema)
+    nothing = {"doc_id": kind, "held_out": "boolean", "place": "long"}
+    words = words.select("chunk", F.lit(True).alias("is_word"), F.col("word").alias("text"), F.col("c").alias("n"), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
+    texts = keyed.select("chunk", F.lit(False).alias("is_word"), "text", F.lit(None).cast("long").alias("n"), *nothing)
+    both = words.unionByName(texts).repartitionById(chunks, "chunk").drop("chunk")
+    schema = f"doc_id {kind}, held_out boolean, place long, n_tokens long, n_known long, base_score double, ids binary"
+    encoded = materialize(both.mapInArrow(_encoded(tokenizer, train_tokens, distinct, train_docs), schema), "ids")
+
+    prior, symbols = _gathered(totals, tokenizer, train_docs)
+    shared, dtype = spark.sparkContext.broadcast((prior, symbols)), id_type(encoder(tokenizer, False))
+    flat, _ = train(encoded.where(~F.col("held_out")), dtype, shared)
+    scored = encoded.drop("place").mapInArrow(_scorer(dtype, shared, flat), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _gathered(totals: DataFrame, tokenizer: str, train_docs: int) -> tuple[Prior, Symbols]:
@@ -476,14 +533,14 @@ def _gathered(totals: DataFrame, tokenizer: str, train_docs: int) -> tuple[Prior
     tok = encoder(tokenizer, False).tokenizer
     size = tok.get_vocab_size()
     pairs = materialize(totals.mapInArrow(_pair_counts(tokenizer), "before long, id long, n long").groupBy("before", "id").agg(F.sum("n").alias("n")), "pairs")
-    counts = np.zeros(size + 1)
+    counts = np.zeros(size + 2)
     for r in pairs.groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     counts[size] = train_docs  # the end of a text
-    ends = np.array([(tok.id_to_token(i) or "").endswith("</w>") for i in range(size)] + [True])
+    ends = np.array([(tok.id_to_token(i) or "").endswith("</w>") for i in range(size)] + [True, True])
     symbols = Symbols(counts, ends)
     row, symbol = np.append(symbols.row[symbols.symbol], START), symbols.symbol  # row[-1]: before a word
-    to = totals.sparkSession.createDataFrame([(i, int(row[i]), int(symbol[i])) for i in range(-1, size)], "id long, row int, symbol int")
+    to = totals.sparkSession.createDataFrame([(i, int(row[i]), int(symbol[i])) for i in range(-1, size + 2)], "id long, row int, symbol int")
     known = pairs.join(F.broadcast(to.select(F.col("id").alias("before"), "row")), "before").join(F.broadcast(to.select("id", "symbol")), "id")
     table = np.zeros((SYMBOLS + 1, SYMBOLS))
     found = known.groupBy("row", "symbol").agg(F.sum("n").alias("n")).toPandas()

@@ -166,27 +166,31 @@ def test_ids_past_the_first_window_have_half_a_window_before_them(monkeypatch):
     prior, flat = toy()
     scorer, picks = lm.Scorer(flat, prior, lm.Symbols(np.arange(3000, 0, -1.0), np.zeros(3000, bool))), []
     logs = scorer.symbol_logs
-    monkeypatch.setattr(scorer, "symbol_logs", lambda given, wanted, pick: picks.append(pick) or logs(given, wanted, pick))
+    monkeypatch.setattr(scorer, "symbol_logs", lambda given, wanted, pick, skip: picks.append((skip, given, pick)) or logs(given, wanted, pick, skip))
     scorer.score([np.arange(101)])
-    picks = np.concatenate(picks)
-    assert picks.sum() == 101 and picks[0].all() and not picks[1:, : lm.WINDOW // 2].any()
+    (first, _, all_), (rest, given, pick) = picks
+    assert (first, rest) == (0, lm.WINDOW - lm.STRIDE) and all_.all() and given.shape[1] - pick.shape[1] == lm.WINDOW // 2
+    assert all_.sum() + pick.sum() == 101
 
 
 def trained_on(texts):
     """(symbols, the wanted symbols of each step of a trainer over ``texts``)."""
-    size = lm.encoder(WORD, False).tokenizer.get_vocab_size() + 1
+    enc = lm.encoder(WORD, False)
+    size = enc.tokenizer.get_vocab_size() + 2
     counts = np.arange(size, 0, -1.0)
     shared = type("Shared", (), {"value": (toy()[0], lm.Symbols(counts, np.zeros(size, bool)))})
     seen = []
 
     def fit(flat, prior, batches, rate):
         seen.extend(w for _, _, w in batches)
-        return flat, sum(map(len, seen))
+        return flat, sum(map(len, seen)), sum(int((w >= 0).sum()) for w in seen)
 
+    ids = [lm.text_ids(enc, pa.array([t], pa.binary()))[0].astype(lm.id_type(enc)).tobytes() for t in texts]
     with pytest.MonkeyPatch.context() as m:
         m.setattr(lm, "fit", fit)
-        batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts), pa.int32()), pa.array(texts, pa.binary())], ["shard", "text"])
-        list(lm._trainer(WORD, lm.first_params(), shared, 0.01, 0)(iter([batch])))
+        batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts), pa.int32()), pa.array(ids, pa.binary())], ["shard", "ids"])
+        (out,) = lm._trainer(lm.id_type(enc), lm.first_params(), shared, 0.01, 0)(iter([batch]))
+    assert out.column("ids")[0].as_py() == sum(len(x) for x in ids) // lm.id_type(enc).itemsize
     return shared.value[1], seen
 
 
@@ -260,6 +264,42 @@ def test_language_model(which, request):
         assert {r.doc_id: r.score for r in again} == pytest.approx({x[0]: x[6] for x in got}, rel=1e-3)
 
 
+def held_out_words(df, **options):
+    """log10 a held-out word by the model and by the base."""
+    rows = [r for r in lm.score_documents(df, WORD, **options).collect() if r.held_out]
+    n = sum(r.n_tokens for r in rows)
+    return sum(r.score for r in rows) / n, sum(r.base_score for r in rows) / n
+
+
+def test_the_model_learns_and_trains_on_every_id(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    done, train = [], lm.train
+
+    def counted(texts, dtype, *args, **options):
+        flat, n = train(texts, dtype, *args, fewest=0, **options)
+        done.append((n, texts.selectExpr(f"sum(octet_length(ids)) div {dtype.itemsize} as n").first().n))
+        return flat, n
+
+    with monkeypatch.context() as m:
+        m.setattr(lm, "train", counted)
+        held_out_words(df)
+    assert done[0][0] == done[0][1] > 500_000  # each id of all training texts once
+    model, base = held_out_words(df)
+    with monkeypatch.context() as m:  # no attention: the parameters stay zero
+        m.setattr(lm, "train", lambda *a, **k: (np.zeros_like(lm.first_params()), 0))
+        without, _ = held_out_words(df)
+    assert model > base + 0.02 and model > without + 0.3
+
+
+def test_words_without_ids_cost(spark):
+    rows = [(i, "the cat sat on the mat") for i in range(40)] + [(100 + i, "the \u00a0 cat") for i in range(20)]
+    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), WORD).collect()}
+    enc = lm.encoder(WORD, False)
+    assert len(enc.encode_words(["\u00a0"])[0]) == 0 and math.isfinite(got[100].score)
+    ids, n = lm.text_ids(enc, pa.array(["the \u00a0 cat".encode()], pa.binary()))
+    assert ids.tolist()[-3:-1].count(enc.tokenizer.get_vocab_size() + 1) <= 1 and enc.tokenizer.get_vocab_size() + 1 in ids
+
+
 def test_language_model_of_nothing(no_docs):
     assert lm.score_documents(no_docs, WORD).count() == 0
 
