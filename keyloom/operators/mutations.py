@@ -4,44 +4,64 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import check_mutations, same_schema
+from ..functions.names import free, named
 
 UPSERT, DELETE = "U", "D"
 
 
 @dataclass(frozen=True)
 class Mutations:
-    """``df`` has the table's columns and ``_op``; a delete needs its key only. Order does not matter."""
+    """``df`` has the table's columns and ``op``, a column of 'U' or 'D'; a delete needs its key only.
+    Order does not matter. ``by``, where a method takes it, is an expression over the given rows
+    that becomes their key."""
 
     df: DataFrame
     key: str
+    op: str = "_op"
 
     @classmethod
-    def upserts(cls, rows: DataFrame, key: str) -> Mutations:
+    def upserts(cls, rows: DataFrame, key: str, by: Column | None = None) -> Mutations:
         """Full rows that replace the row of their key or are added."""
-        return cls(rows.withColumn("_op", F.lit(UPSERT)), key)
+        rows = rows if by is None else rows.withColumn(key, by)
+        (op,) = free(rows.columns, "_op")
+        return cls(rows.withColumn(op, F.lit(UPSERT)), key, op)
 
     @classmethod
-    def deletes(cls, keys: DataFrame, key: str) -> Mutations:
+    def deletes(cls, keys: DataFrame, key: str, by: Column | None = None) -> Mutations:
         """Keys to delete; other columns are ignored, so full records serve as well."""
-        return cls(keys.select(F.col(key), F.lit(DELETE).alias("_op")), key)
+        keys = keys if by is None else keys.withColumn(key, by)
+        top = key if key in keys.columns else key.partition(".")[0]
+        (op,) = free([top], "_op")
+        return cls(keys.select(named(top), F.lit(DELETE).alias(op)), key, op)
 
     @classmethod
-    def from_ops(cls, rows: DataFrame, key: str, op: str = "op") -> Mutations:
+    def from_ops(cls, rows: DataFrame, key: str, op: str = "op", by: Column | None = None) -> Mutations:
         """Rows of the table's columns and a column of 'U' or 'D'."""
-        known = F.when(F.col(op).isin(UPSERT, DELETE), F.col(op)).otherwise(F.raise_error(F.concat(F.lit("unknown operation "), F.coalesce(F.col(op), F.lit("null")))))
-        return cls(rows.withColumn("_op", known).drop(op), key)
+        rows = rows if by is None else rows.withColumn(key, by)
+        given = named(op)
+        known = F.when(given.isin(UPSERT, DELETE), given).otherwise(F.raise_error(F.concat(F.lit("unknown operation "), F.coalesce(given, F.lit("null")))))
+        return cls(rows.withColumn(op, known), key, op)
 
     def and_(self, other: Mutations) -> Mutations:
-        return Mutations(self.df.unionByName(other.df, allowMissingColumns=True), self.key)
+        (op,) = free([c for m in (self, other) for c in m.df.columns if c != m.op], "_op")
+        mine, more = (m.df.withColumnRenamed(m.op, op) for m in (self, other))
+        return Mutations(mine.unionByName(more, allowMissingColumns=True), self.key, op)
+
+    def completed(self, schema) -> Mutations:
+        """With all columns of ``schema``; raises on other columns."""
+        have = {c for c in self.df.columns if c != self.op}
+        (op,) = free([*schema.fieldNames(), *have], "_op")
+        full = self.df.withColumnRenamed(self.op, op)
+        full = full.select(*[named(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema], named(op), *[named(c) for c in full.columns if c not in schema.fieldNames() and c != op])
+        same_schema(schema, full.drop(op).schema)
+        return Mutations(full, self.key, op)
 
     def checked(self, schema) -> Mutations:
-        """With all columns of ``schema``; raises on null or repeated keys and on other columns."""
-        have = {f.name: f for f in self.df.schema}
-        full = self.df.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema], "_op", *[c for c in self.df.columns if c not in schema.fieldNames() and c != "_op"])
-        same_schema(schema, full.drop("_op").schema)
-        check_mutations(full, self.key)
-        return Mutations(full, self.key)
+        """``completed``; raises on null or repeated keys too."""
+        full = self.completed(schema)
+        check_mutations(full.df.select(F.col(self.key).alias("key")))
+        return full

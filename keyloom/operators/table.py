@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 from functools import cached_property
+from itertools import groupby
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from ..functions.checks import KeyedTableError, bad_key, overlapping_blocks, repeated_keys, unsorted_rows
-from ..plans.positions import positions
+from ..functions.checks import KeyedTableError, bad_key, check_mutations, overlapping_blocks, repeated_keys, unsorted_rows
+from ..functions.names import free, named
+from ..plans.positions import last_at_or_below, positions
 from ..plans.rewrite_plan import Block, RewritePlan
 from ..session import ship_package
-from ..sources.files import Files, copy_files
+from ..sources.files import Files, place_files
 from ..sources.footers import block_stats, computed_stats
 from .mutations import DELETE, UPSERT, Mutations
 
+#: Bytes of input that a task of a shuffle gets.
+TASK_BYTES = 64 << 20
+#: Rows of one position from which on several tasks sort them.
+HEAVY_ROWS = 200_000
+
 
 @dataclass(frozen=True)
 class WriteOptions:
     """rows_per_file: rows of a block; -1 takes the mean of the source's blocks, rounded down.
-    group_rows: rows of a row group inside a file, the whole file if None."""
+    group_rows: rows of a row group inside a file, the whole file if None. block_bytes: bytes of a
+    row group, beyond which it is cut whatever its rows; -1 takes the mean of the source's, and by
+    default rows alone decide. page_rows: (fewest, most) rows between checks of a page's size."""
 
     rows_per_file: int = -1
     group_rows: int | None = None
@@ -32,20 +46,32 @@ class WriteOptions:
     page_bytes: int | None = None
     dictionary_page_bytes: int | None = None
     dictionary: bool = True
+    max_padding: int = 0
+    page_rows: tuple[int, int] | None = None
+    page_estimate: bool | None = None
+    writer_version: str = "v1"
 
     def __post_init__(self) -> None:
         if self.rows_per_file != -1 and self.rows_per_file <= 0 or self.group_rows is not None and self.group_rows <= 0:
             raise KeyedTableError("rows per file and per group are positive, or -1 for the mean of the source")
 
-    def of_writer(self, rows: int) -> dict[str, str]:
-        out = {"compression": self.compression, "parquet.block.size": self.block_bytes, "parquet.block.row.count.limit": self.group_rows or rows, "parquet.enable.dictionary": str(self.dictionary).lower()}
+    def of_writer(self, rows: int, mean_bytes: int) -> dict[str, str]:
+        out = {
+            "compression": self.compression, "parquet.block.size": mean_bytes if self.block_bytes == -1 else self.block_bytes, "parquet.block.row.count.limit": self.group_rows or rows,
+            "parquet.enable.dictionary": str(self.dictionary).lower(), "parquet.writer.max-padding": self.max_padding, "parquet.writer.version": self.writer_version,
+        }
         out |= {"parquet.page.size": self.page_bytes} if self.page_bytes else {}
         out |= {"parquet.dictionary.page.size": self.dictionary_page_bytes} if self.dictionary_page_bytes else {}
+        out |= {"parquet.page.size.row.check.min": self.page_rows[0], "parquet.page.size.row.check.max": self.page_rows[1]} if self.page_rows else {}
+        out |= {"parquet.page.size.check.estimate": str(self.page_estimate).lower()} if self.page_estimate is not None else {}
         return {k: str(v) for k, v in out.items()}
 
 
 @dataclass(frozen=True)
 class RewriteReport:
+    """rows_out is what was written and copied, by the footers. ``*_seconds`` are wall times: storing
+    and placing the mutations, merging and writing, copying and renaming."""
+
     rows_in: int
     rows_out: int
     inserted: int
@@ -68,27 +94,30 @@ class RewriteReport:
 
 
 class KeyedTable:
-    """One table at ``path``, keyed by the column ``key`` (dotted for a nested one)."""
+    """One table at ``path``, keyed by the column ``key`` (dotted for a nested one).
 
-    def __init__(self, spark: SparkSession, path: str, key: str):
+    A block, the unit that a rewrite copies or merges, is a file; with ``row_groups`` it is a row
+    group, and a file of which some groups are merged is put together from the bytes of all others.
+    No name of a column is taken: user rows travel in a struct of their own.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, row_groups: bool = False):
         ship_package(spark)
-        self.spark, self.key, self.files = spark, key, Files(spark)
+        self.spark, self.key, self.files, self.row_groups = spark, key, Files(spark), row_groups
         self.path = self.files.qualified(path)
 
     # --- opening and reading ---------------------------------------------------------------
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, key: str, validate: bool = True, compute_stats: bool = False) -> KeyedTable:
-        """validate: bounds of the files are there, in order and disjoint (footers only).
+    def open(cls, spark: SparkSession, path: str, key: str, validate: bool = True, compute_stats: bool = False, row_groups: bool = False) -> KeyedTable:
+        """validate: bounds of the blocks are there, in order and disjoint (footers only).
         compute_stats: scan the key column where footers hold no bounds, instead of failing."""
-        table = cls(spark, path, key)
+        table = cls(spark, path, key, row_groups)
         if not table.files.exists(table.path):
             raise KeyedTableError(f"no table at {path}")
         table._compute = compute_stats
         if validate:
-            for a, b in zip(table.blocks, table.blocks[1:]):
-                if not a.key_max < b.key_min:
-                    raise KeyedTableError(f"blocks overlap: {a.file} ends at {a.key_max!r}, {b.file} begins at {b.key_min!r}")
+            _in_order(table.blocks)
         return table
 
     _compute = False
@@ -110,11 +139,20 @@ class KeyedTable:
         return self.scan().select(self.key).schema[0].dataType
 
     def lookup(self, value) -> DataFrame:
-        """The row of a key: Parquet skips all blocks that cannot hold it."""
-        return self.scan().where(F.col(self.key) == F.lit(value))
+        """The row of a key: one file is opened at most."""
+        return self.between(value, value)
 
     def between(self, low, high) -> DataFrame:
-        return self.scan().where(F.col(self.key).between(low, high))
+        """Rows of keys from ``low`` to ``high``, from the files that can hold them alone."""
+        first = bisect_left(self.blocks, low, key=lambda b: b.key_max)
+        last = bisect_right(self.blocks, high, key=lambda b: b.key_min)
+        held = F.col(self.key) == F.lit(low) if low == high else F.col(self.key).between(low, high)
+        return self._read(self.blocks[first:last]).where(held)
+
+    def _read(self, blocks: list[Block]) -> DataFrame:
+        """The files of some blocks."""
+        files = list(dict.fromkeys(b.file for b in blocks))
+        return self.spark.read.schema(self.schema).parquet(*files) if files else self.spark.createDataFrame([], self.schema)
 
     # --- statistics ------------------------------------------------------------------------
 
@@ -133,16 +171,29 @@ class KeyedTable:
 
     @cached_property
     def blocks(self) -> list[Block]:
-        """All files in key order: one small row each."""
-        size = {f.rpartition("/")[2]: (f, n) for f, n in self.listed}
-        try:
-            rows = self.file_stats().collect()
-        except Exception as e:
-            if "no statistics of the key" in str(e):
-                raise KeyedTableError(f"{self.path}: {str(e).splitlines()[0][:300]}") from None
-            raise
-        rows.sort(key=lambda r: r.key_min)
-        return [Block(i, size[r.file.rpartition("/")[2]][0], r.n_rows, size[r.file.rpartition("/")[2]][1], r.key_min, r.key_max) for i, r in enumerate(rows)]
+        """All blocks in key order: one small row each."""
+        return self._blocks(self.listed)
+
+    def _blocks(self, listed: list[tuple[str, int]], row_groups: bool | None = None) -> list[Block]:
+        if not listed:
+            return []
+        by_group = self.row_groups if row_groups is None else row_groups
+        groups = [g for g in block_stats(self.spark, [f for f, _ in listed], self.key, self.key_type).toArrow().to_pylist() if g["n_rows"]]
+        missing = sorted({g["file"] for g in groups if g["key_min"] is None or g["key_max"] is None})
+        if missing and (by_group or not self._compute):
+            raise KeyedTableError(f"{self.path}: no statistics of the key in {missing[0]}")
+        size, found = dict(listed), []
+        computed = {r["file"].rpartition("/")[2]: r for r in computed_stats(self.spark.read.schema(self.schema).parquet(*missing), self.key).toArrow().to_pylist()} if missing else {}
+        for file, own in groupby(sorted(groups, key=lambda g: (g["file"], g["block"])), key=lambda g: g["file"]):
+            own = list(own)
+            if by_group:
+                found += [(g["key_min"], g["key_max"], file, g["block"], g["n_rows"], g["n_bytes"]) for g in own]
+                continue
+            c = computed.get(file.rpartition("/")[2])
+            low, high = (c["key_min"], c["key_max"]) if c else (min(g["key_min"] for g in own), max(g["key_max"] for g in own))
+            found.append((low, high, file, None, sum(g["n_rows"] for g in own), size[file]))
+        found.sort(key=lambda x: x[0])
+        return [Block(i, file, rows, n, low, high, group) for i, (low, high, file, group, rows, n) in enumerate(found)]
 
     @property
     def block_count(self) -> int:
@@ -171,57 +222,95 @@ class KeyedTable:
     # --- writing ---------------------------------------------------------------------------
 
     @classmethod
-    def create(cls, spark: SparkSession, df: DataFrame, path: str, key: str, options: WriteOptions = WriteOptions(10_000), validate: bool = True) -> KeyedTable:
-        """Sort ``df`` by key and write it in blocks of exactly ``rows_per_file`` rows, the last shorter."""
+    def create(cls, spark: SparkSession, df: DataFrame, path: str, key: str, options: WriteOptions = WriteOptions(10_000), validate: bool = True, by: Column | None = None) -> KeyedTable:
+        """Sort ``df`` by key and write it in blocks of exactly ``rows_per_file`` rows, the last shorter.
+        ``by``: an expression over the rows that becomes their key.
+
+        The key column alone is sorted first, which gives the key each block begins with; then
+        rows move once, to the task of their block. A source that does not give the same keys
+        both times is an error.
+        """
+        df = df if by is None else df.withColumn(key, by)
         table = cls(spark, path, key)
-        if validate:
-            if not df.where(bad_key(df, key)).isEmpty():
+        table._compute, table.schema, table.key_type = True, df.schema, df.select(key).schema[0].dataType
+        rows = 10_000 if options.rows_per_file == -1 else options.rows_per_file
+        with _Staging(table.files, table.path) as staging:
+            keys = df.select(F.col(key).alias("k"))
+            if validate:
+                keys = keys.groupBy("k").agg(F.count("*").alias("n"))
+            seen = {"rows": F.sum("n") if validate else F.count("*"), "keys": F.bit_xor(F.xxhash64("k"))}
+            if validate:
+                seen |= {"bad": F.sum(bad_key(keys, "k").cast("int")), "twice": F.sum((F.col("n") > 1).cast("int"))}
+            first, firsts = _starts(spark, keys.withColumn("pos", F.lit(-1).cast("long")), rows, staging.path, seen)
+            if validate and first["bad"]:
                 raise KeyedTableError("the key is null or NaN in some rows")
-            if not repeated_keys(df, key).isEmpty():
+            if validate and first["twice"]:
                 raise KeyedTableError("some key occurs more than once")
-        with _Staging(table.files, table.path) as staging:
-            out = _write_chunks(table, df.withColumn("_pos", F.lit(-1).cast("long")), staging.path, options, 10_000)
-            staging.commit([(f, None) for _, _, f in out], df.schema)
-        return cls.open(spark, path, key, validate=False)
+            groups = [_Group(-1, k, rows) for k in firsts.get(-1, [])]
+            got, out = _write_groups(table, _tagged(df, key), groups, staging.path, options, rows, merge=False, cut=False)
+            if (got["rows"], got["keys"] or 0) != (first["rows"] or 0, first["keys"] or 0):
+                raise KeyedTableError("the source gave other keys when it was read again")
+            blocks = table._blocks([(f, n) for _, f, n in out])
+            if sum(b.n_rows for b in blocks) != got["rows"]:
+                raise KeyedTableError("the files do not hold all rows")
+            table._commit(staging, [([(f, None)], True) for _, f, _ in out])
+        table._know(blocks)
+        return table
 
     def plan(self, mutations: Mutations, force: tuple[int, ...] = ()) -> RewritePlan:
         """Blocks in whose range some mutation falls are dirty, whether or not its key exists; upserts
         outside of any range go with the block before if that is dirty, else to a fragment of
         their own; deletes there do nothing. ``force`` names blocks that are dirty anyway."""
-        lows, highs = [b.key_min for b in self.blocks], [b.key_max for b in self.blocks]
-        placed = positions(mutations.df, self.key, lows)
-        high = self.spark.createDataFrame([(i, h) for i, h in enumerate(highs)], T.StructType([T.StructField("_pos", T.LongType()), T.StructField("_high", self.key_type)]))
-        placed = placed.join(high, "_pos", "left").withColumn("_inside", F.coalesce(F.col(self.key) <= F.col("_high"), F.lit(False))).drop("_high")
-        touched = placed.groupBy("_pos").agg(F.max("_inside").alias("dirty"), F.max(F.col("_op") == UPSERT).alias("adds")).collect()
-        dirty = {r._pos for r in touched if r.dirty} | set(force)
-        if not dirty <= set(range(len(lows))):
-            raise KeyedTableError(f"there is no block {sorted(dirty - set(range(len(lows))))}")
-        return RewritePlan(self.blocks, frozenset(dirty), frozenset(r._pos for r in touched if r.adds and r._pos not in dirty), placed)
+        pos, inside = free(mutations.df.columns, "_pos", "_inside")
+        return self._plan(self._placed(mutations.df, self.key, pos, inside), mutations.op, pos, inside, force)
+
+    def _placed(self, df: DataFrame, key: str, pos: str, inside: str) -> DataFrame:
+        return positions(df, F.col(key), self.key_type, [b.key_min for b in self.blocks], [b.key_max for b in self.blocks], pos, inside)
+
+    def _plan(self, placed: DataFrame, op: str, pos: str, inside: str, force: tuple[int, ...]) -> RewritePlan:
+        touched = placed.groupBy(F.col(pos).alias("pos")).agg(F.max(inside).alias("dirty"), *[F.sum((named(op) == o).cast("long")).alias(o) for o in (UPSERT, DELETE)]).collect()
+        dirty = {r.pos for r in touched if r.dirty} | set(force)
+        unknown = dirty - set(range(len(self.blocks)))
+        if unknown:
+            raise KeyedTableError(f"there is no block {sorted(unknown)}")
+        gaps = frozenset(r.pos for r in touched if r[UPSERT] and r.pos not in dirty)
+        return RewritePlan(self.blocks, frozenset(dirty), gaps, {r.pos: (r[UPSERT], r[DELETE]) for r in touched}, placed)
 
     def rewrite(self, mutations: Mutations, dest: str, options: WriteOptions = WriteOptions(), force: tuple[int, ...] = ()) -> tuple[KeyedTable, RewriteReport]:
         """Apply ``mutations`` into a new table at ``dest``: dirty blocks are merged, all others copied
-        byte for byte. Nothing is at ``dest`` unless all of it is."""
+        byte for byte. Nothing is at ``dest`` unless all of it is.
+
+        The mutations are read once and stored with their positions; all else works on that. Rows
+        of dirty blocks and mutations move once, to the task of their position.
+        """
         start = time.perf_counter()
-        plan = self.plan(mutations.checked(self.schema), force)
-        planned = time.perf_counter()
+        full = mutations.completed(self.schema)
         with _Staging(self.files, self.files.qualified(dest), self.path) as staging:
-            placed = plan.placed
-            base = self._rows_of(plan.dirty)
-            keys = placed.where("_inside").select(F.col(self.key).alias("_k"), F.col("_op").alias("_o"))
-            kept = base.join(keys, F.col(self.key) == F.col("_k"), "left_anti")
-            added = placed.where(F.col("_op") == UPSERT).select("_pos", *self.schema.fieldNames())
-            merged = _write_chunks(self, kept.unionByName(added), staging.path, options, self._mean_rows()) if plan.dirty or plan.gaps else []
-            found = {r._o: r.n for r in base.join(keys, F.col(self.key) == F.col("_k")).groupBy("_o").agg(F.count("*").alias("n")).collect()} if plan.dirty else {}
-            asked = {r._op: r.n for r in placed.groupBy("_op").agg(F.count("*").alias("n")).collect()}
+            asked = full.df.select(F.struct(*[named(f.name) for f in self.schema]).alias("row"), F.col(self.key).alias("k"), named(full.op).alias("op"))
+            stored = _stored(self._placed(asked, "k", "pos", "inside"), f"{staging.path}/mutations")
+            check_mutations(stored.select(F.col("k").alias("key")))
+            plan = self._plan(stored, "op", "pos", "inside", force)
+            planned = time.perf_counter()
+            rows = self.mean_rows if options.rows_per_file == -1 else options.rows_per_file
+            touched = sorted(plan.dirty | plan.gaps)
+            base = _tagged(self._rows_of(plan.dirty), self.key)
+            changes = stored.where("inside or op = 'U'").select("row", "k", "op")
+            groups = self._groups(plan, touched, stored, rows, staging.path)
+            mean = sum(b.n_bytes for b in self.blocks) // max(1, self.block_count)
+            got, out = _write_groups(self, base.unionByName(changes), groups, staging.path, options, rows, merge=True, mean_bytes=mean)
+            upserts, deletes = (sum(c[i] for c in plan.counts.values()) for i in (0, 1))
+            fresh = self._blocks([(f, n) for _, f, n in out], False)
+            if got["added"] != upserts or sum(b.n_rows for b in fresh) != got["rows"]:
+                raise KeyedTableError("the files do not hold all rows")
             done = time.perf_counter()
-            order = sorted([((b.number, 0, 0), b.file, b.n_bytes) for b in plan.raw] + [((pos, 1, chunk), f, None) for pos, chunk, f in merged])
-            copied, encoded = staging.commit([(f, n) for _, f, n in order], self.schema)
-        table = KeyedTable.open(self.spark, dest, self.key, validate=False)
-        deleted, updated = found.get(DELETE, 0), found.get(UPSERT, 0)
-        rows_in, upserts = sum(b.n_rows for b in self.blocks), asked.get(UPSERT, 0)
+            copied = self._commit(staging, self._layout(plan, out))
+        table = self._made(dest)
+        if not self.row_groups:
+            table._know([*plan.raw, *fresh])
+        rows_in = sum(b.n_rows for b in self.blocks)
         report = RewriteReport(
-            rows_in=rows_in, rows_out=rows_in - deleted + upserts - updated, inserted=upserts - updated, updated=updated, deleted=deleted, absent_deletes=asked.get(DELETE, 0) - deleted,
-            raw_blocks=len(plan.raw), merged_blocks=len(plan.dirty), new_fragments=len(plan.gaps), files_out=len(order), bytes_copied=copied, bytes_encoded=encoded,
+            rows_in=rows_in, rows_out=sum(b.n_rows for b in plan.raw) + got["rows"], inserted=upserts - got["updated"], updated=got["updated"], deleted=got["deleted"], absent_deletes=deletes - got["deleted"],
+            raw_blocks=len(plan.raw), merged_blocks=len(plan.dirty), new_fragments=len(plan.gaps), files_out=len(self._layout(plan, out)), bytes_copied=copied, bytes_encoded=sum(n for _, _, n in out),
             plan_seconds=planned - start, merge_seconds=done - planned, commit_seconds=time.perf_counter() - done,
         )
         return table, report
@@ -232,57 +321,214 @@ class KeyedTable:
         options = options or WriteOptions(rows)
         with _Staging(self.files, self.files.qualified(dest), self.path) as staging:
             df = self._rows_of(frozenset(range(self.block_count)))
-            out = _write_chunks(self, df.withColumn("_pos", F.lit(-1).cast("long")) if coalesce else df, staging.path, options, rows)
-            staging.commit([(f, None) for _, _, f in out], self.schema)
-        return KeyedTable.open(self.spark, dest, self.key, validate=False)
+            if coalesce:
+                _, firsts = _starts(self.spark, df.select(F.lit(-1).cast("long").alias("pos"), F.col(self.key).alias("k")), rows, staging.path, {"rows": F.count("*")})
+                groups = [_Group(-1, k, rows) for k in firsts.get(-1, [])]
+            else:
+                groups = [_Group(b.number, b.key_min, b.n_rows) for b in self.blocks]
+            got, out = _write_groups(self, _tagged(df, self.key), groups, staging.path, options, rows, merge=False, cut=not coalesce)
+            fresh = self._blocks([(f, n) for _, f, n in out], False)
+            if sum(b.n_rows for b in fresh) != got["rows"] or got["rows"] != sum(b.n_rows for b in self.blocks):
+                raise KeyedTableError("the files do not hold all rows")
+            self._commit(staging, [([(f, None)], True) for _, f, _ in out])
+        table = self._made(dest)
+        table._know(fresh)
+        return table
 
-    def _mean_rows(self) -> int:
+    @property
+    def mean_rows(self) -> int:
         return max(1, sum(b.n_rows for b in self.blocks) // self.block_count) if self.blocks else 10_000
 
+    def _made(self, dest: str) -> KeyedTable:
+        table = KeyedTable(self.spark, dest, self.key, self.row_groups)
+        table._compute, table.schema, table.key_type = True, self.schema, self.key_type
+        return table
+
+    def _know(self, blocks: list[Block]) -> None:
+        """The blocks of a table of whole files that was just made, without another look at it."""
+        blocks = sorted(blocks, key=lambda b: b.key_min)
+        _in_order(blocks)
+        if not self.row_groups:
+            self.__dict__["blocks"] = [Block(i, f"{self.path}/{_part(i)}", b.n_rows, b.n_bytes, b.key_min, b.key_max) for i, b in enumerate(blocks)]
+
     def _rows_of(self, numbers: frozenset[int]) -> DataFrame:
-        """Rows of some blocks with the block's number as ``_pos``."""
+        """Rows of some blocks. Row groups without any are skipped by the bounds of the whole, and
+        by their own where they are few."""
         chosen = [b for b in self.blocks if b.number in numbers]
-        if not chosen:
-            return self.spark.createDataFrame([], T.StructType([*self.schema, T.StructField("_pos", T.LongType())]))
-        named = self.spark.createDataFrame([(b.file.rpartition("/")[2], b.number) for b in chosen], "_name string, _pos long")
-        df = self.spark.read.schema(self.schema).parquet(*[b.file for b in chosen])
-        return df.select("*", F.col("_metadata.file_name").alias("_name")).join(named, "_name").drop("_name")
+        df = self._read(chosen)
+        if not self.row_groups or not chosen:
+            return df
+        files = {b.file for b in chosen}
+        near = [b for b in self.blocks if b.file in files]
+        held = last_at_or_below(self.spark, F.col(self.key), self.key_type, [b.key_min for b in near], codes=[0, *[int(b.number in numbers) for b in near]]) == 1
+        key, ranges = F.col(self.key), chosen if len(chosen) <= 32 else [Block(0, "", 0, 0, chosen[0].key_min, chosen[-1].key_max)]
+        within = F.lit(False)
+        for b in ranges:
+            within = within | ((key >= F.lit(b.key_min)) & (key <= F.lit(b.key_max)))
+        return df.where(within).where(held)
+
+    def _groups(self, plan: RewritePlan, touched: list[int], stored: DataFrame, rows: int, staging: str) -> list[_Group]:
+        """The touched positions, in order. A position of many rows, such as an append of a whole load
+        behind the last block, is cut beforehand at the keys where its files will begin."""
+        weight = {p: plan.counts.get(p, (0, 0))[0] + (self.blocks[p].n_rows if p in plan.dirty else 0) for p in touched}
+        heavy = [p for p in touched if weight[p] > max(HEAVY_ROWS, 4 * rows)]
+        firsts: dict[int, list] = {}
+        if heavy:
+            own = self._rows_of(plan.dirty & set(heavy)).select(F.col(self.key).alias("k"), F.lit(None).cast("string").alias("op"))
+            own = self._placed(own, "k", "pos", "inside").unionByName(stored.where(F.col("pos").isin(heavy)).select("k", "op", "pos", "inside"))
+            left = own.groupBy("pos", "k").agg(F.max("op").alias("op")).where("op is null or op = 'U'").select("pos", "k")
+            _, firsts = _starts(self.spark, left, rows, staging, {"rows": F.count("*")})
+        out = []
+        for p in touched:
+            begin = self.blocks[p].key_min if p >= 0 else None
+            out.append(_Group(p, begin, min(weight[p], rows) if p in firsts else weight[p]))
+            out += [_Group(p, k, rows) for k in firsts.get(p, [])[1:]]
+        return out
+
+    def _layout(self, plan: RewritePlan, out: list[tuple[int, str, int]]) -> list[tuple[list[tuple[str, int | None]], bool | None]]:
+        """The files of a new table in key order: (parts, move), as ``place_files`` takes them."""
+        if not self.row_groups or not self.blocks:
+            order = sorted([((b.number, 0, 0), b.file, False) for b in plan.raw] + [((pos, 1, i), f, True) for i, (pos, f, _) in enumerate(out)])
+            return [([(f, None)], move) for _, f, move in order]
+        files: dict[str, list[tuple[str, int | None]]] = {b.file: [] for b in self.blocks}
+        first = self.blocks[0].file
+        files[first] += [(f, None) for pos, f, _ in out if pos < 0]
+        new: dict[int, list[str]] = {}
+        for pos, f, _ in out:
+            new.setdefault(pos, []).append(f)
+        whole = {b.file for b in self.blocks}
+        for b in self.blocks:
+            if b.number not in plan.dirty:
+                files[b.file].append((b.file, b.group))
+            if b.number in plan.dirty or b.number in new:
+                whole.discard(b.file)
+            files[b.file] += [(f, None) for f in new.get(b.number, [])]
+        if -1 in new:
+            whole.discard(first)
+        return [([(f, None)], False) if f in whole else (parts, None) for f, parts in files.items() if parts]
+
+    def _commit(self, staging: _Staging, layout: list) -> int:
+        return staging.commit([(parts, f"{staging.path}/table/{_part(i)}", move) for i, (parts, move) in enumerate(layout)], self.schema)
 
 
-def _write_chunks(table: KeyedTable, df: DataFrame, staging: str, options: WriteOptions, mean: int) -> list[tuple[int, int, str]]:
-    """Write rows, each ``_pos`` by itself, sorted by key and cut into files of equal rows; (pos, chunk,
-    file) of each.
+@dataclass(frozen=True)
+class _Group:
+    """Rows of one position from the key ``start`` on (from below all keys if None) up to the next
+    group's; ``rows``: about how many."""
+
+    pos: int
+    start: object
+    rows: int
+
+
+def _part(number: int) -> str:
+    return f"part-{number:08d}.parquet"
+
+
+def _in_order(blocks: list[Block]) -> None:
+    for a, b in zip(blocks, blocks[1:]):
+        if not a.key_max < b.key_min:
+            raise KeyedTableError(f"blocks overlap: {a.file} ends at {a.key_max!r}, {b.file} begins at {b.key_min!r}")
+
+
+def _tagged(df: DataFrame, key: str) -> DataFrame:
+    """``row`` with all columns, the key ``k``, and no ``op``."""
+    return df.select(F.struct(*[named(c) for c in df.columns]).alias("row"), F.col(key).alias("k"), F.lit(None).cast("string").alias("op"))
+
 
-    Rows are sorted by ranges and staged once, so that every row's place is its file's offset and
-    its index there; no window gathers a position's rows in one task, even when all rows are
-    appended at the end. Then each chunk goes to one task and becomes one file.
+@contextmanager
+def _microseconds(spark: SparkSession) -> Iterator[None]:
+    """Timestamps as numbers that footers have bounds of."""
+    name = "spark.sql.parquet.outputTimestampType"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "TIMESTAMP_MICROS")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    with _microseconds(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _tasks(df: DataFrame, rows: int | None = None) -> int:
+    """Tasks for a shuffle of ``df``: by its estimated bytes, or by ``rows`` where no estimate is
+    worth its name."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = -(-size // TASK_BYTES) if size < 1 << 60 else -(-(rows or 0) // 100_000)
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(wanted, 1_000_000))
+
+
+def _starts(spark: SparkSession, keys: DataFrame, rows: int, staging: str, seen: dict[str, Column]) -> tuple[dict, dict[int, list]]:
+    """keys: ``pos, k``. What ``seen`` observes, and by position the keys of every ``rows``-th row in
+    order, the first included.
+
+    Keys are sorted by ranges and stored, so that a key's rank is its file's offset plus its index
+    there; no window gathers a position's keys in one task. The driver sees one row per file.
     """
-    spark, key = table.spark, table.key
-    rows = mean if options.rows_per_file == -1 else options.rows_per_file
-    columns = [c for c in df.columns if c != "_pos"]
-    staged = f"{staging}/sorted"
-    df.withColumn("_k", F.col(key)).repartitionByRange("_pos", "_k").sortWithinPartitions("_pos", "_k").drop("_k").write.parquet(staged)
-    sorted_ = spark.read.parquet(staged).select("*", F.col("_metadata.file_name").alias("_name"), F.col("_metadata.row_index").alias("_row"))
-    runs = sorted_.groupBy("_pos", "_name").agg(F.count("*").alias("n"), F.min("_row").alias("first")).collect()
+    watched, path = Observation(), f"{staging}/keys-{uuid.uuid4().hex}"
+    sorted_ = keys.repartitionByRange(_tasks(keys), "pos", "k").sortWithinPartitions("pos", "k")
+    stored = _stored(sorted_.observe(watched, *[c.alias(n) for n, c in seen.items()]).select("pos", "k"), path)
+    placed = stored.select("pos", "k", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     before: dict[int, int] = {}
     bases = []
-    for r in sorted(runs, key=lambda r: (r._pos, r._name)):
-        at = before.get(r._pos, 0)
-        bases.append((r._pos, r._name, at - r.first))
-        before[r._pos] = at + r.n
-    if not bases:
-        return []
-    base = spark.createDataFrame(bases, "_pos long, _name string, _base long")
-    cut = sorted_.join(base, ["_pos", "_name"]).withColumn("_chunk", F.floor((F.col("_row") + F.col("_base")) / rows).cast("long"))
-    out = f"{staging}/chunks"
-    tasks = max(1, min(sum(-(-n // rows) for n in before.values()), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    chosen = cut.select(*columns, "_pos", "_chunk", F.col(key).alias("_k")).repartition(tasks, "_pos", "_chunk").sortWithinPartitions("_pos", "_chunk", "_k").drop("_k")
-    chosen.write.options(**options.of_writer(rows)).partitionBy("_pos", "_chunk").parquet(out)
+    for r in sorted(placed.groupBy("pos", "file").agg(F.count("*").alias("n"), F.min("row").alias("first")).collect(), key=lambda r: (r.pos, r.file)):
+        at = before.get(r.pos, 0)
+        bases.append((r.pos, r.file, at - r.first))
+        before[r.pos] = at + r.n
+    firsts: dict[int, list] = {}
+    if bases:
+        base = F.broadcast(spark.createDataFrame(bases, "pos long, file string, base long"))
+        found = placed.join(base, ["pos", "file"]).where((F.col("row") + F.col("base")) % rows == 0).select("pos", "k").toArrow().to_pylist()
+        for r in sorted(found, key=lambda r: (r["pos"], r["k"])):
+            firsts.setdefault(r["pos"], []).append(r["k"])
+    return watched.get, firsts
+
+
+def _write_groups(table: KeyedTable, tagged: DataFrame, groups: list[_Group], staging: str, options: WriteOptions, rows: int, merge: bool, cut: bool = True, mean_bytes: int = 1 << 30) -> tuple[dict, list[tuple[int, str, int]]]:
+    """Write ``row, k, op`` in files of ``rows``, each group by itself and sorted by key. What was
+    observed, and (position, file, bytes) of each file in order.
+
+    One shuffle deals groups to tasks by their rows. merge: a base row (no op) whose key has an op
+    too goes, and so do deletes. cut: groups can have more rows than one file; the running number
+    in a group, which its task holds in order, tells the file.
+    """
+    spark = table.spark
+    if not groups:
+        return {"rows": 0, "keys": None, "added": 0, "updated": 0, "deleted": 0}, []
+    tasks, total = min(len(groups), _tasks(tagged, sum(g.rows for g in groups))), sum(g.rows for g in groups) or 1
+    codes, passed = [], 0
+    for i, g in enumerate(groups):
+        codes.append(min(tasks - 1, passed * tasks // total) << 32 | i)
+        passed += g.rows
+    below = groups[0].start is None
+    starts = [g.start for g in groups[below:]]
+    code = last_at_or_below(spark, F.col("k"), table.key_type, starts, codes=codes if below else [codes[0], *codes])
+    dealt = tagged.withColumn("code", code).select("row", "k", "op", F.shiftright("code", 32).cast("int").alias("task"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("part"))
+    dealt = dealt.repartitionById(tasks, "task").sortWithinPartitions("task", "part", "k")
+    watched, isbase = Observation(), F.col("op").isNull()
+    if merge:
+        dealt = dealt.withColumn("by", F.max("op").over(Window.partitionBy("task", "part", "k")))
+        stays = F.when(isbase, F.col("by").isNull()).otherwise(F.col("op") == UPSERT)
+        seen = {"rows": stays, "added": F.col("op") == UPSERT, "updated": isbase & (F.col("by") == UPSERT), "deleted": isbase & (F.col("by") == DELETE)}
+        dealt = dealt.observe(watched, *[F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0)).alias(n) for n, c in seen.items()]).where(stays)
+    else:
+        dealt = dealt.observe(watched, F.count("*").alias("rows"), F.bit_xor(F.xxhash64("k")).alias("keys"))
+    chunk = F.floor((F.row_number().over(Window.partitionBy("task", "part").orderBy("k")) - 1) / rows).cast("int") if cut else F.lit(0)
+    key, part, number = free(table.schema.fieldNames(), "k", "part", "chunk")
+    final = dealt.withColumn("chunk", chunk).select("row.*", F.col("k").alias(key), F.col("part").alias(part), F.col("chunk").alias(number))
+    final = final.sortWithinPartitions(named(part), named(number), named(key)).drop(key)
+    out = f"{staging}/files"
+    with _microseconds(spark):
+        final.write.options(**options.of_writer(rows, mean_bytes)).partitionBy(part, number).parquet(out)
     found = []
-    for file, _ in table.files.list(out):
-        parts = dict(p.split("=") for p in file.split("/") if p.startswith(("_pos=", "_chunk=")))
-        found.append((int(parts["_pos"]), int(parts["_chunk"]), file))
-    return sorted(found)
+    for file, n in table.files.list(out):
+        at = re.search(rf"/{re.escape(part)}=(\d+)/{re.escape(number)}=(\d+)/[^/]*$", file)
+        found.append((int(at[1]), int(at[2]), file, n))
+    return watched.get, [(groups[g].pos, f, n) for g, _, f, n in sorted(found)]
 
 
 class _Staging:
@@ -302,16 +548,12 @@ class _Staging:
     def __exit__(self, kind, value, trace) -> None:
         self.files.delete(self.path)
 
-    def commit(self, order: list[tuple[str, int | None]], schema: T.StructType) -> tuple[int, int]:
-        """order: files of the new table; with a size, a source file to copy, else one of this
-        folder to move. Bytes copied and moved."""
-        named = [(f, n, f"{self.path}/table/part-{i:08d}.parquet") for i, (f, n) in enumerate(order)]
-        copied = copy_files(self.files.spark, [(f, to) for f, n, to in named if n is not None])
-        self.files.rename_all([(f, to) for f, n, to in named if n is None])
-        if not named:  # an empty table keeps its schema
+    def commit(self, wanted: list, schema: T.StructType) -> int:
+        """wanted: the files of the new table, as ``place_files`` takes them. The bytes copied."""
+        copied = place_files(self.files.spark, wanted)
+        if not wanted:  # an empty table keeps its schema
             self.files.spark.createDataFrame([], schema).coalesce(1).write.parquet(f"{self.path}/empty")
-            self.files.rename(self.files.list(f"{self.path}/empty")[0][0], f"{self.path}/table/part-00000000.parquet")
-        encoded = sum(n for _, n in self.files.list(f"{self.path}/table")) - copied
+            self.files.rename(self.files.list(f"{self.path}/empty")[0][0], f"{self.path}/table/{_part(0)}")
         self.files.touch(f"{self.path}/table/_SUCCESS")
         self.files.rename(f"{self.path}/table", self.dest)
-        return copied, encoded
+        return copied

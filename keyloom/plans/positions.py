@@ -1,55 +1,91 @@
-"""The block each mutation falls on: the last one that begins at or below its key."""
+"""The block each key falls on: the last one that begins at or below it."""
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-#: Blocks up to which their lower bounds are sent to all tasks.
-FEW_BLOCKS = 100_000
+from ..functions.names import free, named
 
+#: Bounds up to which they are sent to all tasks (some tens of MB).
+FEW_BOUNDS = 1_000_000
+#: Parts of a stretch of blocks beyond that.
+PARTS = 16
 
-def _finder(shared, name: str):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lows = shared.value
-        for batch in batches:
-            at = [bisect_right(lows, k) - 1 for k in batch.column("_k").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], [*batch.schema.names, name])
 
-    return find
+def _numbers(values: pa.Array) -> np.ndarray | None:
+    """Numbers in the order of the values; None for types that have none."""
+    kind = values.type
+    if pa.types.is_integer(kind) or pa.types.is_floating(kind):
+        return values.fill_null(0).to_numpy(zero_copy_only=False)
+    if pa.types.is_date32(kind) or pa.types.is_timestamp(kind):
+        return values.cast(pa.int32() if pa.types.is_date32(kind) else pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+    return None
 
 
-def _step(df: DataFrame, lows: list, name: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(lows)
-    return df.mapInArrow(_finder(shared, name), f"{_ddl(df)}, `{name}` long")
+def last_at_or_below(spark: SparkSession, key: Column, kind: T.DataType, bounds: list, codes: list[int] | None = None, highs: list | None = None) -> Column:
+    """The index of the last of the ascending ``bounds`` at or below ``key``, or -1: a binary search in
+    tasks that get the key column alone. A null key has any index.
 
+    codes: one number more than there are bounds; the result is the number at index + 1 instead.
+    highs: twice the index, plus 1 where the key is not above the entry of that index.
+    """
+    shared = spark.sparkContext.broadcast([None if x is None else pa.array(x, to_arrow_type(kind)) for x in (bounds, highs)] + [codes])
+
+    @arrow_udf("long")
+    def find(keys: pa.Array) -> pa.Array:
+        lows, tops, numbers = shared.value
+        wanted, plain = _numbers(keys), _numbers(lows)
+        if plain is None:
+            wanted, plain = keys.to_pylist(), lows.to_pylist()
+            at = np.array([-1 if k is None else bisect_right(plain, k) - 1 for k in wanted], np.int64)
+        else:
+            at = np.searchsorted(plain, wanted, side="right") - 1
+        if numbers is not None:
+            at = np.array(numbers, np.int64)[at + 1]
+        if tops is not None:
+            ends = _numbers(tops)
+            if ends is None:
+                ends = tops.to_pylist()
+                inside = np.array([i >= 0 and k is not None and k <= ends[i] for i, k in zip(at.tolist(), wanted, strict=True)], bool)
+            else:
+                inside = (at >= 0) & (wanted <= ends[at]) if len(ends) else np.zeros(len(at), bool)
+            at = at * 2 + inside
+        return pa.array(at, pa.int64())
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return find(key)
 
 
-def positions(keys: DataFrame, key: str, lows: list, few: int = FEW_BLOCKS) -> DataFrame:
-    """Adds ``_pos`` to rows: the index of the last of the ascending ``lows`` that is at or below the
-    key, or -1.
+def positions(rows: DataFrame, key: Column, kind: T.DataType, lows: list, highs: list, pos: str = "_pos", inside: str = "_inside", few: int = FEW_BOUNDS) -> DataFrame:
+    """``rows`` with two columns: the index ``pos`` of the last of the ascending ``lows`` that is at or
+    below the key, or -1, and whether the key is not above the entry of ``highs`` there.
 
-    Up to ``few`` blocks by a binary search in each task. Beyond, tasks get every so many'th bound
-    only; within such a stretch of blocks, keys and bounds are sorted together, so nothing that
-    grows with the table is broadcast.
+    Up to ``few`` bounds by a binary search in each task. Beyond, tasks get every so many'th bound
+    only; within such a stretch, keys and bounds are sorted together, in parts that each hold all
+    bounds of the stretch, so nothing that grows with the table is broadcast and no task gets all
+    keys that fall behind the last block.
     """
-    kind = keys.select(key).schema[0].dataType
-    rows = keys.withColumn("_k", F.col(key))
+    spark = rows.sparkSession
     if len(lows) <= few:
-        found = _step(rows.select("_k"), lows, "_pos")
-    else:
-        every = -(-len(lows) // few)
-        spark = keys.sparkSession
-        blocks = spark.createDataFrame([(k, i) for i, k in enumerate(lows)], f"_k {kind.simpleString()}, _block long")
-        both = _step(rows.select("_k").withColumn("_block", F.lit(None).cast("long")).unionByName(blocks), lows[::every], "_stretch")
-        w = Window.partitionBy("_stretch").orderBy(F.col("_k"), F.col("_block").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-        found = both.withColumn("_pos", F.coalesce(F.last("_block", ignorenulls=True).over(w), F.lit(-1).cast("long"))).where("_block is null").select("_k", "_pos")
-    return rows.join(found, "_k").drop("_k")
+        (code,) = free([*rows.columns, pos, inside], "_code")
+        found = rows.withColumn(code, last_at_or_below(spark, key, kind, lows, highs=highs))
+        return found.select(*[named(c) for c in rows.columns], F.shiftright(code, 1).alias(pos), (F.col(code).bitwiseAND(F.lit(1)) == 1).alias(inside))
+    own = rows.select(F.struct("*").alias("row"), key.alias("k")).withColumns({"bound": F.lit(None).cast("long"), "part": F.pmod(F.xxhash64("k"), F.lit(PARTS)).cast("int")})
+    bounds = spark.createDataFrame([(k, h, i) for i, (k, h) in enumerate(zip(lows, highs, strict=True))], T.StructType([T.StructField("k", kind), T.StructField("high", kind), T.StructField("bound", T.LongType())]))
+    bounds = bounds.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    stretch = last_at_or_below(spark, F.col("k"), kind, lows[:: -(-len(lows) // few)])
+    both = own.unionByName(bounds, allowMissingColumns=True).withColumn("stretch", stretch)
+    upto = Window.partitionBy("stretch", "part").orderBy(F.col("k"), F.col("bound").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    last = both.withColumns({"at": F.coalesce(F.last("bound", ignorenulls=True).over(upto), F.lit(-1).cast("long")), "high": F.last("high", ignorenulls=True).over(upto)})
+    last = last.where("row is not null").withColumn("in", F.coalesce((F.col("at") >= 0) & (F.col("k") <= F.col("high")), F.lit(False)))
+    at, in_ = free(rows.columns, "at", "in")
+    last = last.select("row", F.col("at").alias(at), F.col("in").alias(in_)).select("row.*", at, in_)
+    return last.withColumnsRenamed({at: pos, in_: inside})

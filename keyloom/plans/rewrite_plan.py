@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 @dataclass(frozen=True)
 class Block:
-    """One file of a keyed table; ``number`` counts from 0 in key order."""
+    """One file of a keyed table, or one row ``group`` of a file; ``number`` counts from 0 in key order."""
 
     number: int
     file: str
@@ -17,17 +17,19 @@ class Block:
     n_bytes: int
     key_min: object
     key_max: object
+    group: int | None = None
 
 
 @dataclass(frozen=True)
 class RewritePlan:
     """blocks: in key order. dirty: numbers of blocks to be merged. gaps: positions (-1 before the first
-    block) where rows are added without touching the block before. placed: mutations with ``_pos``
-    and ``_inside``."""
+    block) where rows are added without touching the block before. counts: (upserts, deletes) by
+    position. placed: mutations with their ``_pos`` and ``_inside``."""
 
     blocks: list[Block]
     dirty: frozenset[int]
     gaps: frozenset[int]
+    counts: dict[int, tuple[int, int]]
     placed: DataFrame = field(repr=False)
 
     @property

@@ -1,12 +1,14 @@
-"""File operations through Spark's own file systems, and copies inside tasks."""
+"""File operations through Spark's own file systems, and copies and moves inside tasks."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 class Files:
@@ -44,43 +46,79 @@ class Files:
         if not fs.rename(p, self.jvm.org.apache.hadoop.fs.Path(dest)):
             raise OSError(f"cannot rename {source} to {dest}")
 
-    def rename_all(self, pairs: list[tuple[str, str]], threads: int = 16) -> None:
-        with ThreadPoolExecutor(threads) as pool:
-            list(pool.map(lambda x: self.rename(*x), pairs))
-
     def list(self, path: str) -> list[tuple[str, int]]:
-        """(path, bytes) of all Parquet files below, by path."""
-        p, fs = self._at(path)
-        out, found = [], fs.listFiles(p, True)
-        while found.hasNext():
-            s = found.next()
-            if s.getPath().getName().endswith(".parquet"):
-                out.append((s.getPath().toString(), s.getLen()))
-        return sorted(out)
+        """(path, bytes) of all Parquet files below, by path, as Spark itself lists them; no
+        content is read."""
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+        return sorted((r.path, r.length) for r in found.select("path", "length").collect())
 
 
-def _copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def whole(source: str, dest: str, move: bool) -> int:
+    """Copy or move one file by way of a name of its own, so that two attempts do not meet; the
+    bytes copied. A move whose source is gone and whose destination is there was done before."""
     import pyarrow.fs as pafs
 
+    a, source_path = pafs.FileSystem.from_uri(source)
+    b, dest_path = pafs.FileSystem.from_uri(dest)
+    if move:
+        if a.get_file_info(source_path).type != pafs.FileType.NotFound:
+            a.move(source_path, dest_path)
+        elif b.get_file_info(dest_path).type == pafs.FileType.NotFound:
+            raise FileNotFoundError(source)
+        return 0
+    n = 0
+    with attempt(b, dest_path) as write, a.open_input_stream(source_path) as read:
+        while chunk := read.read(8 << 20):
+            write.write(chunk)
+            n += len(chunk)
+    return n
+
+
+class attempt:  # noqa: N801
+    """A file that has its name only when it is complete."""
+
+    def __init__(self, fs, path: str):
+        folder, _, name = path.rpartition("/")
+        self.fs, self.path, self.own = fs, path, f"{folder}/.{name}.{uuid.uuid4().hex}"
+
+    def __enter__(self):
+        self.out = self.fs.open_output_stream(self.own)
+        return self.out
+
+    def __exit__(self, kind, value, trace) -> None:
+        import pyarrow.fs as pafs
+
+        self.out.close()
+        if kind is None:
+            try:
+                self.fs.move(self.own, self.path)
+                return
+            except OSError:  # some file systems do not replace: then another attempt was first
+                if self.fs.get_file_info(self.path).type == pafs.FileType.NotFound:
+                    raise
+        with suppress(OSError):
+            self.fs.delete_file(self.own)
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from .splice import splice
+
     for batch in batches:
         done = []
-        for source, dest in zip(batch.column("source").to_pylist(), batch.column("dest").to_pylist(), strict=True):
-            a, source_path = pafs.FileSystem.from_uri(source)
-            b, dest_path = pafs.FileSystem.from_uri(dest)
-            with a.open_input_stream(source_path) as read, b.open_output_stream(dest_path) as write:
-                n = 0
-                while chunk := read.read(8 << 20):
-                    write.write(chunk)
-                    n += len(chunk)
-            done.append(n)
+        for row in batch.to_pylist():
+            if row["move"] is None:
+                done.append(splice([(p["file"], p["block"]) for p in row["parts"]], row["dest"]))
+            else:
+                done.append(whole(row["parts"][0]["file"], row["dest"], row["move"]))
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], ["bytes"])
 
 
-def copy_files(spark: SparkSession, pairs: list[tuple[str, str]]) -> int:
-    """Copy files byte for byte inside tasks, some files each; the bytes copied. A task that is
-    run again writes the same file again."""
-    if not pairs:
+def place_files(spark: SparkSession, wanted: list[tuple[list[tuple[str, int | None]], str, bool | None]]) -> int:
+    """wanted: (parts, dest, move) for each file. move true or false: its one part is a file to move or
+    to copy byte for byte; None: the parts are row groups (all of a file where None) that become
+    one file, each byte for byte. All of it inside tasks; the bytes copied."""
+    if not wanted:
         return 0
-    df: DataFrame = spark.createDataFrame(pairs, "source string, dest string")
-    tasks = min(len(pairs), max(spark.sparkContext.defaultParallelism, len(pairs) // 64))
-    return df.repartition(tasks).mapInArrow(_copy, "bytes long").agg({"bytes": "sum"}).first()[0]
+    tasks = min(len(wanted), max(spark.sparkContext.defaultParallelism, len(wanted) // 64))
+    df = spark.createDataFrame(wanted, "parts array<struct<file: string, block: int>>, dest string, move boolean")
+    return df.repartition(tasks).mapInArrow(_place, "bytes long").agg(F.sum("bytes")).first()[0]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from ..functions.names import free
 from ..operators.mutations import Mutations
 from ..operators.table import KeyedTable
 
@@ -18,7 +19,7 @@ def apply_stream(spark: SparkSession, changes: DataFrame, root: str, key: str, c
 
     A batch that is run again after a failure finds its version there and does nothing, so every
     change takes effect once. order: a column whose highest value wins among a batch's changes of
-    one key; without it a repeated key is an error.
+    one key, of equal ones the one whose values hash highest; without it a repeated key is an error.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -27,13 +28,10 @@ def apply_stream(spark: SparkSession, changes: DataFrame, root: str, key: str, c
         if table.files.exists(dest):
             return
         if order is not None:
-            last = Window.partitionBy(key).orderBy(F.desc(order))
-            batch = batch.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", order)
-        batch = batch.persist()
-        try:
-            table.rewrite(Mutations.from_ops(batch, key, op), dest)
-        finally:
-            batch.unpersist()
+            last = Window.partitionBy(key).orderBy(F.desc(order), F.xxhash64(*batch.columns).desc())
+            (n,) = free(batch.columns, "n")
+            batch = batch.withColumn(n, F.row_number().over(last)).where(F.col(n) == 1).drop(n, order)
+        table.rewrite(Mutations.from_ops(batch, key, op), dest)
 
     start: Callable = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     for k, v in writer.items():

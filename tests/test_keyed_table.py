@@ -38,7 +38,7 @@ SCENARIOS = {
     "insert": (range(100, 999), -1, [("U", i) for i in (0, 1, 10000, 5000, 9999)], 904),
     "combo": (range(100, 999), 64, [("D", i) for i in (100, 200, 300, 500)] + [("U", i) for i in (0, 1, 400, 501, 502, 5000, 9999, 10000)], 900),
     "no_changes": (range(100, 999), 64, [], 899),
-    "large": (range(100, 9999), 100, [("D" if i % 2 == 0 else "U", i) for i in range(9999)], 4999),
+    "large": (range(100, 99999), 100, [("D" if i % 2 == 0 else "U", i) for i in range(99999)], 49999),
 }
 
 
@@ -99,14 +99,23 @@ def test_layout_is_the_closed_form(spark, tmp_path, seed):
     assert (report.inserted, report.updated, report.deleted, report.absent_deletes) == (len(set(ups) - set(keys)), len(set(ups) & set(keys)), len(set(dels) & set(keys)), len(set(dels) - set(keys)))
 
 
-def test_positions_of_many_blocks(spark):
+@pytest.mark.parametrize("kind", ["long", "string", "date", "decimal(9,2)"])
+def test_positions(spark, kind):
     r = random.Random(1)
-    lows = sorted(r.sample(range(10_000), 300))
-    keys = r.sample(range(-10, 10_010), 2000)
-    want = {k: max((i for i, b in enumerate(lows) if b <= k), default=-1) for k in keys}
-    df = spark.createDataFrame([(k,) for k in keys], "key long")
+    def turn(i):
+        return {"long": i, "string": f"{i:05}é", "date": datetime.date(2000, 1, 1) + datetime.timedelta(i), "decimal(9,2)": decimal.Decimal(i)}[kind]
+
+    edges = sorted(r.sample(range(10, 10_000), 600))
+    lows, highs = edges[::2], edges[1::2]
+    keys = [*r.sample(range(10_010), 2000), *lows, *highs]
+    want = []
+    for k in keys:
+        at = max((i for i, b in enumerate(lows) if b <= k), default=-1)
+        want.append((turn(k), at, at >= 0 and k <= highs[at]))
+    df = spark.createDataFrame([(turn(k),) for k in keys], f"key {kind}")
     for few in (1000, 7):
-        assert {x.key: x._pos for x in positions(df, "key", lows, few).collect()} == want
+        got = positions(df, F.col("key"), df.schema[0].dataType, [turn(i) for i in lows], [turn(i) for i in highs], few=few)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_all_types_survive(spark, tmp_path):
