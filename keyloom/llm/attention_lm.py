@@ -24,9 +24,10 @@ from .encoding import encoder
 
 CLASSES, WIDTH, WINDOW, STRIDE = 32, 16, 16, 8
 SYMBOLS = CLASSES * CLASSES
-BATCH = 256  # training windows a step
+BATCH = 512  # training windows a step
 OTHER, START = SYMBOLS - 1, SYMBOLS  # all rarer ids; what stands before a text
 PARAMS = {"E": (SYMBOLS + 1, WIDTH), "P": (WINDOW, WIDTH), "Wq": (WIDTH, WIDTH), "Wk": (WIDTH, WIDTH), "Wv": (WIDTH, WIDTH), "Wo": (WIDTH, WIDTH), "Uc": (WIDTH, CLASSES), "Us": (CLASSES, WIDTH, CLASSES)}
+HEADS = ("Wq", "Wk", "Wv")
 _MASK = np.where(np.tril(np.ones((WINDOW, WINDOW))) > 0, 0.0, -1e9).astype(np.float32)
 _CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 _ONES = np.ones(CLASSES, np.float32)
@@ -87,8 +88,11 @@ def loss_and_gradient(flat: np.ndarray, prior: Prior, given: np.ndarray, before:
     """Mean cross-entropy over windows of symbols, and its gradient. wanted -1 is not counted;
     ``before`` is the row of the prior at each place."""
     p, windows = unflat(flat), (*given.shape, WIDTH)
-    x = (p["E"][given] + p["P"]).reshape(-1, WIDTH)
-    q, k, v = ((x @ p[name]).reshape(windows) for name in ("Wq", "Wk", "Wv"))
+    x = p["E"].take(given, axis=0)
+    x += p["P"]
+    x = x.reshape(-1, WIDTH)
+    heads = np.concatenate([p[name] for name in HEADS], 1)
+    q, k, v = np.split((x @ heads).reshape(*given.shape, 3 * WIDTH), 3, -1)
     a = q @ k.transpose(0, 2, 1)
     a *= _SCALE
     a += _MASK
@@ -98,18 +102,21 @@ def loss_and_gradient(flat: np.ndarray, prior: Prior, given: np.ndarray, before:
     valid = np.flatnonzero(wanted.ravel() >= 0)
     order, edges = _by_class(wanted.ravel()[valid])
     valid = valid[order]
-    t, row, state = wanted.ravel()[valid], before.ravel()[valid], h[valid]
-    n, place = max(1, len(t)), np.arange(len(t))
-    zc = state @ p["Uc"] + prior.classes[row]
-    zs = prior.symbols[row * CLASSES + t // CLASSES].astype(state.dtype, copy=False)
+    t, row, state = wanted.ravel().take(valid), before.ravel().take(valid), h.take(valid, axis=0)
+    n, place = max(1, len(t)), np.arange(len(t)) * CLASSES
+    zc = state @ p["Uc"]
+    zc += prior.classes.take(row, axis=0)
+    zs = prior.symbols.take(row * CLASSES + t // CLASSES, axis=0).astype(state.dtype, copy=False)
     for c in range(CLASSES):
         own = slice(edges[c], edges[c + 1])
         zs[own] += state[own] @ p["Us"][c]
     loss = 0.0
     for z, at in ((zc, t // CLASSES), (zs, t % CLASSES)):
         _softmax(z)
-        loss -= float(np.log(z[place, at]).sum()) / n
-        z[place, at] -= 1
+        flat_at = place + at
+        hit = z.ravel().take(flat_at)
+        loss -= float(np.log(hit).sum()) / n
+        z.ravel()[flat_at] = hit - 1
         z *= np.float32(1 / n)
     g = {"Uc": state.T @ zc, "Us": np.zeros_like(p["Us"])}
     dstate = zc @ p["Uc"].T
@@ -126,15 +133,17 @@ def loss_and_gradient(flat: np.ndarray, prior: Prior, given: np.ndarray, before:
     da *= a
     da -= a * (da @ _ONES[:WINDOW])[..., None]
     da *= _SCALE
+    d = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, dv], -1).reshape(-1, 3 * WIDTH)
+    g |= zip(HEADS, np.split(x.T @ d, 3, 1), strict=True)
     dx = dh
-    for name, d in (("Wq", da @ k), ("Wk", da.transpose(0, 2, 1) @ q), ("Wv", dv)):
-        d = d.reshape(-1, WIDTH)
-        g[name] = x.T @ d
-        dx += d @ p[name].T
+    dx += d @ heads.T
     g["P"] = dx.reshape(windows).sum(0)
-    cells = given.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-    g["E"] = np.bincount(cells.ravel(), dx.ravel(), p["E"].size)
-    return loss, np.concatenate([g[name].ravel() for name in PARAMS]).astype(np.float32)
+    order = np.argsort(given.ravel().astype(np.int16), kind="stable")  # sorted by radix
+    same = given.ravel().take(order)
+    begins = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
+    g["E"] = np.zeros_like(p["E"])
+    g["E"][same[begins]] = np.add.reduceat(dx.take(order, axis=0), begins, axis=0)
+    return loss, np.concatenate([g[name].ravel() for name in PARAMS]).astype(np.float32, copy=False)
 
 
 def fit(flat: np.ndarray, prior: Prior, batches: Iterator[tuple], rate: float) -> tuple[np.ndarray, int, int]:
@@ -181,36 +190,37 @@ class Scorer:
     def symbol_logs(self, given: np.ndarray, wanted: np.ndarray, pick: np.ndarray, skip: int = 0) -> np.ndarray:
         """Natural logs at the picked places of the windows, in order. The first ``skip`` places are
         context alone; ``wanted`` and ``pick`` begin after them."""
-        at = given * np.int32(WINDOW) + np.arange(WINDOW, dtype=np.int32)
+        at = given * np.int32(WINDOW)
+        at += np.arange(WINDOW, dtype=np.int32)
         here = at[:, skip:]
-        s = self.q[here] @ self.k[at].transpose(0, 2, 1)
+        s = self.q.take(here, axis=0) @ self.k.take(at, axis=0).transpose(0, 2, 1)
         if s.max() > 60:
             s -= (s + _MASK[skip:]).max(-1, keepdims=True)
         np.exp(s, out=s)
         s *= _CAUSAL[skip:]
-        o = (s @ self.v[at])[pick]
-        state = o[:, :WIDTH]
-        state *= (1 / o[:, WIDTH])[:, None]
-        state += self.x[here[pick]]
-        t, row = wanted[pick], self.symbols.row[given[:, skip:][pick]]
-        order, edges = _by_class(t)
-        t, row, state = t[order], row[order], state[order]
+        o = (s @ self.v.take(at, axis=0)).reshape(-1, WIDTH + 1)
+        order, edges = _by_class(np.where(pick, wanted, SYMBOLS).ravel())  # what is not picked comes last
+        order = order[: edges[CLASSES]]
+        o = o.take(order, axis=0)
+        state = o[:, :WIDTH] * (1 / o[:, WIDTH:])
+        state += self.x.take(here.ravel().take(order), axis=0)
+        t, row = wanted.ravel().take(order), self.symbols.row.take(given[:, skip:].ravel().take(order))
         zs = np.empty((len(t), CLASSES), np.float32)
         for c in range(CLASSES):
             np.matmul(state[edges[c] : edges[c + 1]], self.Us[c], out=zs[edges[c] : edges[c + 1]])
-        zs += self.prior.symbols[row * CLASSES + t // CLASSES]
+        zs += self.prior.symbols.take(row * CLASSES + t // CLASSES, axis=0)
         zc = state @ self.Uc
-        zc += self.prior.classes[row]
-        place, logs = np.arange(len(t)), np.zeros(len(t), np.float32)
+        zc += self.prior.classes.take(row, axis=0)
+        place, logs = np.arange(len(t)) * CLASSES, np.zeros(len(t), np.float32)
         for z, which in ((zc, t // CLASSES), (zs, t % CLASSES)):
             if len(z) and z.max() > 60:
                 z -= z.max(-1, keepdims=True)
-            logs += z[place, which]
+            logs += z.ravel().take(place + which)
             np.exp(z, out=z)
             logs -= np.log(z @ _ONES)
-        out = np.empty_like(logs)
+        out = np.empty(pick.size, np.float32)
         out[order] = logs
-        return out
+        return out[pick.ravel()]
 
     def score(self, sequences: list[np.ndarray]) -> np.ndarray:
         """The log10 probability of each sequence (none is empty)."""
@@ -220,12 +230,12 @@ class Scorer:
         """The same for sequences of the given sizes, one after the other."""
         return np.add.reduceat(self.id_logs(ids, sizes), np.cumsum(sizes) - sizes)
 
-    def id_logs(self, ids: np.ndarray, sizes: np.ndarray, step: int = 512) -> np.ndarray:
+    def id_logs(self, ids: np.ndarray, sizes: np.ndarray, step: int = 1024) -> np.ndarray:
         """The log10 probability of each id in its sequence. Windows overlap, so that an id past the
         first window has WINDOW - STRIDE ids of context or more; each is scored once."""
         starts = np.cumsum(sizes) - sizes
         ends = starts + sizes
-        wanted = self.symbols.symbol[ids]
+        wanted = self.symbols.symbol.take(ids)
         given = np.empty_like(wanted)
         given[1:] = wanted[:-1]
         given[starts] = START
@@ -236,12 +246,12 @@ class Scorer:
         for first, last, skip in ((starts, ends, 0), (later, np.repeat(ends, more), WINDOW - STRIDE)):
             for a in range(0, len(first), step):
                 place = first[a : a + step, None] + np.arange(WINDOW)
-                pick = (place < last[a : a + step, None])[:, skip:]
-                place = np.minimum(place, len(ids) - 1)
                 own = place[:, skip:]
-                logs[own[pick]] = self.symbol_logs(given[place], wanted[own], pick, skip)
+                pick = own < last[a : a + step, None]
+                np.minimum(place, len(ids) - 1, out=place)
+                logs[own[pick]] = self.symbol_logs(given.take(place), wanted.take(own), pick, skip)
         logs *= 1 / math.log(10)
-        logs += self.symbols.rare[ids]
+        logs += self.symbols.rare.take(ids)
         return logs
 
 
@@ -337,7 +347,7 @@ def joined_ids(pool: tuple[np.ndarray, np.ndarray, np.ndarray], numbers: np.ndar
     ids, begins, lengths = pool
     n = lengths[numbers]
     place = np.repeat(begins[numbers] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    return ids[place], np.add.reduceat(n, firsts)
+    return ids.take(place), np.add.reduceat(n, firsts)
 
 
 def text_ids(enc, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -354,7 +364,7 @@ def training_windows(ids: np.ndarray, sizes: np.ndarray, symbols: Symbols) -> tu
     """(given, wanted): windows that follow each other over the whole of each text of ``sizes`` ids,
     so that every id is wanted once. Places past the end of a text want -1."""
     starts = np.cumsum(sizes) - sizes
-    wanted = symbols.symbol[ids]
+    wanted = symbols.symbol.take(ids)
     given = np.empty_like(wanted)
     given[1:] = wanted[:-1]
     given[starts] = START
@@ -363,7 +373,7 @@ def training_windows(ids: np.ndarray, sizes: np.ndarray, symbols: Symbols) -> tu
     place = (np.repeat(starts, windows) + number * WINDOW)[:, None] + np.arange(WINDOW)
     inside = place < np.repeat(starts + sizes, windows)[:, None]
     place = np.minimum(place, len(ids) - 1)
-    return given[place], np.where(inside, wanted[place], -1)
+    return given.take(place), np.where(inside, wanted.take(place), np.int32(-1))
 
 
 def _sequences(batch: pa.RecordBatch, dtype: np.dtype, step: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -391,7 +401,8 @@ def _trainer(dtype: np.dtype, flat: np.ndarray, shared, rate: float, fewest: int
                     mixed = order.permutation(len(given))
                     for at in range(0, len(mixed), BATCH):
                         own = mixed[at : at + BATCH]
-                        part = given[own], symbols.row[given[own]], wanted[own]
+                        some = given.take(own, axis=0)
+                        part = some, symbols.row.take(some), wanted.take(own, axis=0)
                         seen += 1
                         if len(held) < fewest:
                             held.append(part)
