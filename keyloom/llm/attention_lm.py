@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize, texts_by_bytes
 from .encoding import encoder
@@ -519,13 +520,16 @@ def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 24 << 20
 
     listed = keyed.select("chunk", "held_out", "text").repartitionById(chunks, "chunk")
     vocabulary = materialize(listed.mapInArrow(_words, "chunk int, word binary, n long"), "words")
-    totals = materialize(vocabulary.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "totals")
+    # A word has one row a chunk; one shuffle brings them together, for its total and back to its chunks.
+    same = Window.partitionBy("word")
+    counted = vocabulary.withColumns({"c": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("word")) == 1})
+    counted = materialize(counted.where("c > 0").select("chunk", "word", "c", "first"), "counted")
+    totals = counted.where("first").select("word", "c")
     r = totals.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     train_tokens, distinct = (r.n or 0) + train_docs, r.v + (train_docs > 0)
 
-    words = vocabulary.select("chunk", "word").join(totals, "word")
     nothing = {"doc_id": kind, "held_out": "boolean", "place": "long"}
-    words = words.select("chunk", F.lit(True).alias("is_word"), F.col("word").alias("text"), F.col("c").alias("n"), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
+    words = counted.select("chunk", F.lit(True).alias("is_word"), F.col("word").alias("text"), F.col("c").alias("n"), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
     texts = keyed.select("chunk", F.lit(False).alias("is_word"), "text", F.lit(None).cast("long").alias("n"), *nothing)
     both = words.unionByName(texts).repartitionById(chunks, "chunk").drop("chunk")
     schema = f"doc_id {kind}, held_out boolean, place long, n_tokens long, n_known long, base_score double, ids binary"
