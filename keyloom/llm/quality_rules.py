@@ -77,81 +77,148 @@ def measured(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     return df.withColumns({"symbol_ratio": ratio("n_symbols", "word_chars"), "upper_ratio": ratio("n_upper", "word_chars"), "dup_line_ratio": ratio("n_dup_lines", "n_lines"), "repeat_ratio": ratio("n_repeat_words", "n_words")})
 
 
+def binomial_below(k: int, n: int, p: float) -> float:
+    """The chance that of n events of chance ``p`` no more than k happen. Terms are added from the
+    k-th down until they no longer count; below the mean they fall fast."""
+    if k >= n:
+        return 1.0
+    if k < 0:
+        return 0.0
+    if p <= 0 or p >= 1:
+        return 1.0 if p <= 0 else 0.0
+    if k > n * p:  # the other tail is the short one
+        return 1.0 - binomial_below(n - k - 1, n, 1 - p)
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
+    total, odds = term, (1 - p) / p
+    for i in range(k, 0, -1):
+        term *= i / (n - i + 1) * odds
+        total += term
+        if term <= total * 1e-17:
+            break
+    return total
+
+
 def binomial_upper(k: int, n: int, delta: float) -> float:
     """Exact (Clopper-Pearson) upper bound: the share p at which k or fewer of n have chance ``delta``."""
     if n == 0 or k >= n:
         return 1.0
-
-    def below(p: float) -> float:
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-        top = max(logs)
-        return math.exp(top) * sum(math.exp(x - top) for x in logs)
-
     lo, hi = k / n, 1.0
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if below(mid) > delta else (lo, mid)
+        lo, hi = (mid, hi) if binomial_below(k, n, mid) > delta else (lo, mid)
     return hi
 
 
 @dataclass(frozen=True)
 class Risk:
-    """false_rejection: bound on the share of good documents that each stratum may lose to all
-    rules together. confidence: that all bounds hold at once. steps: cutoffs tried per rule."""
+    """false_rejection: bound on the share of good documents, among those that the base keeps, that
+    each stratum may lose to all rules together. confidence: that all bounds hold at once. steps:
+    cutoffs per rule."""
 
     false_rejection: float = 0.04
     confidence: float = 0.95
     steps: int = 50
 
 
-def choose_cutoff(good: list[int], bad: list[int], limit: float, delta: float) -> int | None:
-    """good, bad: labelled documents per bin of the rule's value. The step from which on a
-    document is rejected, or None.
+def rejection_path(bad: list[list[int]], others: list[list[int]]) -> list[tuple[int, int]]:
+    """(rule, step) by which cutoffs are tightened one after the other, from none on.
 
-    Cutoffs are tested from the loosest on and the first that fails ends the sequence, so all
-    that pass hold together at level ``delta``. Of those the one wins that loses the fewest
-    good documents, then rejects the most bad ones, then is the loosest.
+    bad, others: documents labelled bad, and documents without a label, per rule and step of its
+    value. Each time the rule whose next step down to a bad document catches most bad ones for
+    each other document moves; ties go to the first rule. Documents labelled good have no say,
+    so that a test on them along the path is a test of hypotheses fixed beforehand.
     """
-    n, lost, caught, best = sum(good), 0, 0, None
-    for step in range(len(good) - 1, 0, -1):
-        lost, caught = lost + good[step], caught + bad[step]
-        if lost > limit * n or binomial_upper(lost, n, delta) > limit:
+    at = [len(b) for b in bad]
+    path = []
+    while True:
+        best = None
+        for rule, counts in enumerate(bad):
+            caught = lost = 0
+            for step in range(at[rule] - 1, 0, -1):
+                caught, lost = caught + counts[step], lost + others[rule][step]
+                if caught and (best is None or caught * (best[1] + 1) > best[0] * (lost + 1)):
+                    best = (caught, lost, rule, step)
+        if best is None:
+            return path
+        at[best[2]] = best[3]
+        path.append(best[2:])
+
+
+def choose_length(good: list[int], bad: list[int], limit: float, delta: float) -> int:
+    """How much of a path is taken. good, bad: labelled documents by the place on the path that
+    rejects them first, those never rejected last.
+
+    Places are tested from the loosest on, each against the whole ``limit``; the first that is not
+    proven at level ``delta`` ends the sequence, so all before hold together. Of those the one
+    wins that catches most bad documents for good ones lost, both as shares; ties go to the looser.
+    """
+    n, m, lost, caught, best = sum(good), sum(bad), 0, 0, (0.0, 0)
+    for place in range(len(good) - 1):
+        lost, caught = lost + good[place], caught + bad[place]
+        if n == 0 or lost > limit * n or binomial_below(lost, n, limit) > delta:
             break
-        if caught and (best is None or (lost, -caught) < best[:2]):
-            best = (lost, -caught, step)
-    return None if best is None else best[2]
+        best = max(best, (caught / max(1, m) - lost / n, -place - 1))
+    return -best[1]
 
 
 def choose_cutoffs(features: DataFrame, labels: DataFrame, risk: Risk) -> dict[tuple[str | None, str], float]:
-    """Cutoffs by (stratum, rule) from all labelled documents.
-
-    What reaches the driver is a count for each stratum, rule, bin and label: strata are
-    languages, so a few thousand numbers at any size of the corpus. Bonferroni's correction
-    divides the level by the number of sequences (strata times rules).
+    """Cutoffs by (stratum, rule) from all documents that the base keeps.
+
+    Per stratum, one path of joint cutoffs over all rules is laid by the documents labelled bad and
+    those without a label; then a fixed sequence of exact tests on those labelled good says how
+    far to go. Bonferroni's correction divides the level by the number of strata, which is the
+    number of sequences. What reaches the driver is a count for each stratum, rule, step and
+    label, then one for each stratum, place and label: strata are languages, so a few thousand
+    numbers at any size of the corpus.
     """
-    seen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("_good"))
-    bins = [F.least(F.floor(F.col(r) * risk.steps), F.lit(risk.steps - 1)).cast("int").alias(r) for r in RULES]
-    rows = features.select("doc_id", "stratum", *bins).join(seen, "doc_id")
-    rows = rows.select("stratum", "_good", F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.col(r).alias("bin")) for i, r in enumerate(RULES)])).alias("x"))
-    counts: dict[tuple[str | None, int], tuple[list[int], list[int]]] = {}
-    for r in rows.groupBy("stratum", "x.rule", "x.bin", "_good").count().collect():
-        good, bad = counts.setdefault((r.stratum, r.rule), ([0] * risk.steps, [0] * risk.steps))
-        (good if r._good == 1 else bad)[r.bin] += r["count"]
-    delta, limit = (1 - risk.confidence) / max(1, len(counts)), risk.false_rejection / len(RULES)
+    seen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("good"))
+    steps = [F.least(F.floor(F.col(r) * risk.steps), F.lit(risk.steps - 1)).cast("int").alias(r) for r in RULES]
+    binned = features.where(~base_failed()).select("doc_id", "stratum", *steps).join(seen, "doc_id", "left").select("stratum", "good", *RULES)
+    # One row for each combination there is: at most some million, mostly a few hundred.
+    binned = binned.groupBy("stratum", "good", *RULES).agg(F.count("*").alias("n"))
+    rows = binned.select("stratum", "good", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.col(r).alias("step")) for i, r in enumerate(RULES)])).alias("x"))
+    counts: dict[str | None, tuple[list[list[int]], list[list[int]]]] = {}
+    for r in rows.where("good is null or good <> 1").groupBy("stratum", "x.rule", "x.step", "good").agg(F.sum("n").alias("n")).collect():
+        both = counts.setdefault(r.stratum, tuple([[0] * risk.steps for _ in RULES] for _ in range(2)))
+        both[r.good is None][r.rule][r.step] += r.n
+    paths = {stratum: path for stratum, (bad, others) in counts.items() if (path := rejection_path(bad, others))}
+    if not paths:
+        return {}
+    place: Column = F.lit(None).cast("int")
+    for stratum, path in paths.items():
+        # The place that rejects each step of a rule first.
+        firsts = [F.get(F.lit([next((i for i, (r, at) in enumerate(path) if r == rule and at <= step), len(path)) for step in range(risk.steps)]), F.col(name)) for rule, name in enumerate(RULES)]
+        place = F.when(F.col("stratum").eqNullSafe(F.lit(stratum).cast("string")), F.least(*firsts)).otherwise(place)
+    tested: dict[str | None, tuple[list[int], list[int]]] = {s: tuple([0] * (len(p) + 1) for _ in range(2)) for s, p in paths.items()}
+    for r in binned.where("good is not null").withColumn("place", place).where("place is not null").groupBy("stratum", "place", "good").agg(F.sum("n").alias("n")).collect():
+        tested[r.stratum][r.good != 1][r.place] += r.n
     out = {}
-    for (stratum, rule), (good, bad) in counts.items():
-        if (step := choose_cutoff(good, bad, limit, delta)) is not None:
-            out[stratum, RULES[rule]] = step / risk.steps
+    for stratum, (good, bad) in tested.items():
+        for rule, step in paths[stratum][: choose_length(good, bad, risk.false_rejection, (1 - risk.confidence) / len(paths))]:
+            out[stratum, RULES[rule]] = lowest(step, risk.steps)  # a rule's steps go down along the path
     return out
 
 
+def lowest(step: int, steps: int) -> float:
+    """The lowest value of a step: the smallest number that ``floor(number * steps)`` takes there."""
+    value = step / steps
+    while math.floor(value * steps) < step:
+        value = math.nextafter(value, math.inf)
+    while math.floor((below := math.nextafter(value, -math.inf)) * steps) >= step:
+        value = below
+    return value
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def apply_quality_rules(features: DataFrame, cutoffs: dict[tuple[str | None, str], float]) -> DataFrame:
     """Adds ``base_failed`` and ``kept``."""
     rejected: Column = F.lit(False)
     for (stratum, rule), cutoff in sorted(cutoffs.items(), key=lambda x: (x[0][0] or "", x[0][0] is None, x[0][1])):
         rejected = rejected | (F.col("stratum").eqNullSafe(F.lit(stratum).cast("string")) & (F.col(rule) >= cutoff))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return features.withColumn("base_failed", failed).withColumn("kept", ~failed & ~rejected)
+    return features.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~rejected)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
@@ -159,8 +226,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> Da
 
     Null text: no words, so base_failed. Null lang: a stratum of its own. Null labels are not
     used; a document labelled twice is good only if every label says so. A stratum with too
-    few good labelled documents to prove a cutoff has none, and its rules reject nothing. No
-    labels or an empty table: only the base decides. Repeated rows give repeated results.
+    few good labelled documents to prove a cutoff (some 110) has none, and its rules reject
+    nothing. No labels or an empty table: only the base decides. Repeated rows give repeated
+    results. Other columns are not read, whatever their names.
     """
     from .common import materialize
 
@@ -187,8 +255,9 @@ def _filter(cutoffs: dict[tuple[str | None, str], float], stratum: str):
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all columns. The verdict is a function of the
-    row and the cutoffs, so texts are counted again rather than shuffled."""
+    """The rows of ``docs`` that the rules keep, with all columns, whatever their names. The verdict is
+    a function of the row and the cutoffs, so texts are counted again rather than shuffled.
+    Nulls, repeated rows and empty tables are as in ``quality_rules``."""
     from .common import materialize
 
     features = materialize(measured(docs, stratum), "rules")
