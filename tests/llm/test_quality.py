@@ -41,29 +41,79 @@ def test_binomial_bound():
 
     for k, n, delta in ((0, 100, 0.05), (3, 50, 0.01), (10, 400, 1e-4), (7, 8, 0.05)):
         assert cdf(k, n, q.binomial_upper(k, n, delta)) == pytest.approx(delta, rel=1e-6)
+        for p in (0.001, 0.04, 0.3, 0.9):
+            assert q.binomial_below(k, n, p) == pytest.approx(cdf(k, n, p), rel=1e-9)
+    assert q.binomial_below(39_000, 1_000_000, 0.04) == pytest.approx(1.6e-7, rel=0.1)
     assert q.binomial_upper(0, 0, 0.05) == 1 and q.binomial_upper(5, 5, 0.05) == 1
 
 
-def brute_cutoff(good, bad, limit, delta):
-    best, n = None, sum(good)
-    for step in range(len(good) - 1, 0, -1):
-        k, c = sum(good[step:]), sum(bad[step:])
-        if q.binomial_upper(k, n, delta) > limit:
+def brute_length(good, bad, limit, delta):
+    best, n = (0.0, 0), sum(good)
+    for k in range(1, len(good)):
+        lost, caught = sum(good[:k]), sum(bad[:k])
+        if q.binomial_upper(lost, n, delta) > limit:
             break
-        if c and (best is None or (k, -c, -step) < best):
-            best = (k, -c, -step)
-    return None if best is None else -best[2]
+        best = max(best, (caught / max(1, sum(bad)) - lost / n, -k))
+    return -best[1]
 
 
-def test_cutoffs():
+def test_lengths_of_paths():
     r = np.random.default_rng(0)
-    for _ in range(200):
+    some = 0
+    for _ in range(300):
         n = int(r.integers(1, 3000))
-        good = np.bincount(np.minimum(19, r.geometric(0.6, n) - 1), minlength=20).tolist()
+        good = np.bincount(np.minimum(19, 19 - np.minimum(19, r.geometric(0.6, n // 10) - 1)), minlength=20)
+        good[-1] += n - n // 10
         bad = r.integers(0, 20, 20).tolist()
-        assert q.choose_cutoff(good, bad, 0.02, 0.01) == brute_cutoff(good, bad, 0.02, 0.01)
-    assert q.choose_cutoff([10] + [0] * 9, [0] * 9 + [9], 0.01, 0.01) is None  # too few to prove it
-    assert q.choose_cutoff([9999] + [0] * 9, [0] * 9 + [9], 0.01, 0.01) == 9
+        got = q.choose_length(good.tolist(), bad, 0.04, 0.01)
+        assert got == brute_length(good.tolist(), bad, 0.04, 0.01)
+        some += got > 0
+    assert some > 100
+    assert q.choose_length([0, 112], [9, 0], 0.04, 0.01) == 0  # too few to prove it
+    assert q.choose_length([0, 113], [9, 0], 0.04, 0.01) == 1
+
+
+def test_paths_take_the_best_step_first():
+    # Rule 1 catches 5 bad at once; rule 0 catches 3 for 10 others, then 1 for 50.
+    bad = [[0, 1, 0, 3], [0, 0, 0, 5], [0, 0, 0, 0]]
+    others = [[100, 50, 0, 10], [160, 0, 0, 0], [160, 0, 0, 0]]
+    assert q.rejection_path(bad, others) == [(1, 3), (0, 3), (0, 1)]
+    assert q.rejection_path([[9, 0]], [[0, 0]]) == []
+
+
+def test_lowest_of_a_step():
+    for step in range(1, 50):
+        low = q.lowest(step, 50)
+        assert math.floor(low * 50) == step and math.floor(math.nextafter(low, 0) * 50) == step - 1
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_verdicts_on_whole_tables(spark, sf):
+    """Cutoffs and verdicts against brute force; on the larger table there are some."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    risk = q.Risk()
+    rows = {r.doc_id: r for r in q.quality_rules(docs, labels).collect()}
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    quality = {}
+    for r in labels.collect():
+        if r.quality is not None:
+            quality[r.doc_id] = min(r.quality, quality.get(r.doc_id, 1))
+    values = {i: [min(49, math.floor(r[x] * 50)) for x in q.RULES] for i, r in rows.items() if not r.base_failed}
+    strata = {s: [i for i in values if lang[i] == s] for s in set(lang.values())}
+    paths = {}
+    for s, own in strata.items():
+        bad, others = ([[sum(values[i][rule] == step for i in of) for step in range(50)] for rule in range(4)] for of in ([i for i in own if quality.get(i) == 0], [i for i in own if i not in quality]))
+        if path := q.rejection_path(bad, others):
+            paths[s] = path
+    rejected = set()
+    for s, path in paths.items():
+        place = {i: next((k for k, (rule, step) in enumerate(path) if values[i][rule] >= step), len(path)) for i in strata[s]}
+        good, bad = ([sum(place[i] == k for i in strata[s] if quality.get(i) == x) for k in range(len(path) + 1)] for x in (1, 0))
+        taken = brute_length(good, bad, risk.false_rejection, 0.05 / len(paths)) if sum(good) else 0
+        rejected |= {i for i in strata[s] if place[i] < taken}
+    assert {i for i, r in rows.items() if r.kept} == set(values) - rejected
+    if sf == "sf0.01":
+        assert rejected and sum(quality.get(i) == 0 for i in rejected) > sum(quality.get(i) == 1 for i in rejected)
 
 
 def test_verdicts(spark):
@@ -86,13 +136,12 @@ def test_rules_without_labels(odd_docs, no_docs, labels, odd_labels):
     assert q.quality_rules(no_docs, none).count() == 0
 
 
-def brute_model(texts, alphabet):
-    """Interpolated modified Kneser-Ney from dictionaries."""
-    size = kneser_ney.SYMBOLS
-    place = {c: i + 2 for i, c in enumerate(alphabet)}
+def brute_model(texts):
+    """Interpolated modified Kneser-Ney over code points from dictionaries."""
+    edge = kneser_ney.EDGE
     three = Counter()
     for t in texts:
-        s = [0, 0, *(place.get(ord(c), 1) for c in t), 0]
+        s = [edge, edge, *map(ord, t or ""), edge]
         three.update(zip(s, s[1:], s[2:]))
     two = Counter(k[1:] for k in three)
     one = Counter(k[1:] for k in two)
@@ -111,7 +160,7 @@ def brute_model(texts, alphabet):
 
     def p(history, w, order=3):
         if order == 0:
-            return 1 / size
+            return 1 / (edge + 1)
         counts, d, total, cut = levels[order - 1]
         h = history[len(history) - order + 1 :]
         below = p(history, w, order - 1)
@@ -123,21 +172,65 @@ def brute_model(texts, alphabet):
     return p
 
 
+def brute_perplexity(p, text):
+    s = [kneser_ney.EDGE, kneser_ney.EDGE, *map(ord, text or ""), kneser_ney.EDGE]
+    return len(s) - 2, sum(math.log10(p((a, b), c)) for a, b, c in zip(s, s[1:], s[2:]))
+
+
+TRUSTED = ["the cat sat on the mat", "the dog", "a cat ate", "hello there, the end"] * 2 + ["zebra!"]
+
+
 def test_kneser_ney(spark):
-    texts = ["the cat sat on the mat", "the dog", "a cat ate", "hello there, the end"] * 2 + ["zebra!"]
-    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
-    p = brute_model(texts, model.alphabet)
-    table = model.table.reshape([kneser_ney.SYMBOLS] * 3)
-    for u in (0, 1, 5, 9):
-        for v in (0, 3, 5, 100):
-            assert (10.0 ** table[u, v].astype(float)).sum() == pytest.approx(1, abs=1e-4)
-            for w in (0, 1, 2, 5, 90):
-                assert 10.0 ** float(table[u, v, w]) == pytest.approx(p((u, v), w), rel=1e-4)
-    n, logs = model.score(["the cat", "", None, "the cat"])
-    assert n.tolist() == [8, 1, 1, 8] and logs[0] == logs[3] and logs[1] == logs[2]
-    place = {c: i + 2 for i, c in enumerate(model.alphabet)}
-    s = [0, 0, *(place[ord(c)] for c in "the cat"), 0]
-    assert logs[0] == pytest.approx(sum(math.log10(p((a, b), c)) for a, b, c in zip(s, s[1:], s[2:])), rel=1e-4)
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in TRUSTED], "text string").repartition(3))
+    p = brute_model(TRUSTED)
+    for history in ((kneser_ney.EDGE,) * 2, (ord("t"), ord("h")), (ord("h"), ord("q")), (1, 2)):
+        seen = {*map(ord, "".join(TRUSTED)), kneser_ney.EDGE}
+        assert sum(p(history, w) for w in seen) + (kneser_ney.OUTCOMES - len(seen)) * p(history, 0x4E00) == pytest.approx(1)
+    texts = ["the cat", "", None, "the cat", "a zoo", "漢字かな", "אבג", "漢漢漢漢", "the 漢"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.row.doc_id: (r.n_symbols, r.log10_prob) for r in kneser_ney.scored(df, ["doc_id"], model, chunk_bytes=20).collect()}
+    for i, t in enumerate(texts):
+        n, log = brute_perplexity(p, t)
+        assert got[i][0] == n and got[i][1] == pytest.approx(log, rel=1e-9)
+    assert got[5][1] < 4 * math.log10(1 / kneser_ney.OUTCOMES)  # no symbol stands for all unknown ones
+
+
+def test_texts_are_shuffled_once(spark, docs):
+    model = kneser_ney.Model(spark.createDataFrame([], "kind int, code long, value double"), 1.0)
+    out = kneser_ney.scored(docs, ["doc_id"], model)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
+def test_verdicts_of_the_classifier(spark, docs, labels):
+    """Thresholds and verdicts against brute force on a whole table."""
+    options = {"quantile": 0.98, "most": 40, "fewest": 20, "alike": 15}
+    got = {r.doc_id: r for r in kneser_ney.quality_classifier(docs, labels, **options).collect()}
+    rows = {r.doc_id: r for r in docs.collect()}
+    trusted = {r.doc_id for r in kneser_ney.trusted_ids(labels).collect()}
+    chosen = [r.doc_id for r in kneser_ney.trusted_sample(labels, 40).collect()]
+    assert len(chosen) == 40 and set(chosen) <= trusted == {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
+    p = brute_model([rows[i].text for i in chosen if i in rows])
+    perplexity, band = {}, {}
+    for i, r in rows.items():
+        n, log = brute_perplexity(p, r.text)
+        perplexity[i], band[i] = 10 ** (-log / n), min(n.bit_length(), kneser_ney.BANDS) - 1
+        assert got[i].perplexity == pytest.approx(perplexity[i], rel=1e-6)
+    lists = {lang: [i for i in trusted & set(rows) if lang in (None, rows[i].lang)] for lang in {r.lang for r in rows.values()} | {None}}
+    for i, r in rows.items():
+        own = lists[r.lang] if len(lists.get(r.lang, [])) >= 20 else lists[None]
+        groups, held = [], []
+        for b in range(kneser_ney.BANDS):
+            held += [j for j in own if band[j] == b]
+            if len(held) >= 15:
+                groups.append((b, held))
+                held = []
+        groups[-1] = (kneser_ney.BANDS, groups[-1][1] + held)
+        group = next(g for last, g in groups if band[i] <= last)
+        bins = sorted(math.floor(math.log10(perplexity[j]) * 1000) for j in group)
+        cut = 10 ** ((bins[math.ceil(0.98 * len(bins) - 1e-9) - 1] + 1) / 1000)
+        assert got[i].threshold == pytest.approx(cut, rel=1e-9) and got[i].kept == (got[i].perplexity <= got[i].threshold)
 
 
 def test_classifier(docs, labels, odd_docs, no_docs, odd_labels):
@@ -148,8 +241,10 @@ def test_classifier(docs, labels, odd_docs, no_docs, odd_labels):
     kept = kneser_ney.kept_documents(docs, labels, fewest=5)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept}
     assert kneser_ney.quality_classifier(odd_docs, odd_labels).count() == odd_docs.count()
+    out = kneser_ney.kept_documents(odd_docs, odd_labels)
+    assert out.columns == odd_docs.columns and Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in kneser_ney.quality_classifier(odd_docs, odd_labels).where("kept").collect())
     assert all(r.kept for r in kneser_ney.quality_classifier(odd_docs, labels.limit(0)).collect())
-    assert kneser_ney.quality_classifier(no_docs, labels).count() == 0
+    assert kneser_ney.quality_classifier(no_docs, labels).count() == 0 and kneser_ney.kept_documents(no_docs, labels).count() == 0
 
 
 def test_short_texts_do_not_set_the_cutoff_of_long_ones(spark):
@@ -160,12 +255,3 @@ def test_short_texts_do_not_set_the_cutoff_of_long_ones(spark):
     assert set(by) == {"de"} and len(by["de"]) == len(pooled) == kneser_ney.BANDS
     assert by["de"][2] == pytest.approx(25, rel=3e-3) and pooled[2] == pytest.approx(30, rel=3e-3)
     assert by["de"][10] <= 10.03 and by["de"][31] <= 10.03 and pooled[10] <= 10.03
-
-
-def test_quantiles_are_exact_up_to_a_bin(spark):
-    values = np.exp(np.random.default_rng(0).normal(2, 1, 3000))
-    df = spark.createDataFrame([("en" if i % 3 else None, float(v)) for i, v in enumerate(values)], "lang string, perplexity double")
-    by, pooled = kneser_ney.quantiles(df, 0.9, 10)
-    for got, of in ((by["en"], [v for i, v in enumerate(values) if i % 3]), (by[None], values[::3]), (pooled, values)):
-        want = np.quantile(of, 0.9, method="inverted_cdf")
-        assert want <= got <= want * 10 ** (1 / 1000) * 1.0001
