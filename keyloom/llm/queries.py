@@ -29,8 +29,8 @@ def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = tiff.stored_texts(table(spark, sf_dir, "documents"))
     stored = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     read = tiff.decode_documents(stored, "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
-    one, all_ = F.col("pages")[0]["pixels"], F.unhex(F.array_join(F.transform("pages", lambda p: F.hex(p["pixels"])), ""))
-    read = read.withColumn("payload", F.when(F.size("pages") == 1, one).otherwise(all_))
+    # Bytes are taken for text and back, which leaves them as they are, to be joined at once.
+    read = read.withColumn("payload", F.array_join(F.transform("pages", lambda p: p["pixels"].cast("string")), "").cast("binary"))
     first, rows = F.col("pages")[0], F.aggregate("pages", F.lit(0), lambda a, p: a + p["height"])
     mean = F.aggregate("pages", F.lit(0.0), lambda a, p: a + p["mean"] * p["height"]) / rows
     scheme = F.concat_ws("/", first["compression"], first["predictor"], first["tiled"])

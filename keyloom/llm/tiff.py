@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import texts_by_bytes
 
@@ -250,7 +251,8 @@ def read_page(data: bytes, order: str, tags: dict[int, tuple]) -> dict:
         across, down, offsets, counts = one(TILE_WIDTH), one(TILE_LENGTH), tags[TILE_OFFSETS], tags.get(TILE_COUNTS, ())
     else:
         across, down, offsets, counts = width, min(one(ROWS_PER_STRIP, height), height), tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_COUNTS, ())
-    if not (width and height and across and down) or width * height * samples > 1 << 31:
+    # No compression that is read here packs more than some 2,600 bytes into one.
+    if not (width and height and across and down) or width * height * samples * depth // 8 > min(1 << 31, len(data) << 12):
         raise TiffError("the page has no usable size")
     columns, lines = -(-width // across), -(-height // down)
     if len(offsets) < columns * lines * planes or len(counts) < len(offsets):
@@ -275,8 +277,8 @@ def read_pages(data: bytes | None) -> tuple[list[dict], str | None]:
             raise TiffError("no data")
         for order, tags in directories(bytes(data)):
             pages.append({"page": len(pages), **read_page(bytes(data), order, tags)})
-    except (TiffError, zlib.error, ValueError) as e:
-        return pages, str(e)
+    except (TiffError, zlib.error, ValueError, MemoryError) as e:
+        return pages, str(e) or type(e).__name__
     return pages, None
 
 
@@ -286,24 +288,41 @@ PAGE = "page int, width int, height int, samples int, bits int, compression int,
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     page = pa.struct([("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("mean", pa.float64()), ("pixels", pa.binary())])
     for batch in batches:
-        names = batch.schema.names[:-1]
-        for a, b in texts_by_bytes(batch, "_media", 2 << 20):
+        for a, b in texts_by_bytes(batch, "media", 2 << 20):
             part = batch.slice(a, b - a)
-            found = [read_pages(x) for x in part.column("_media").to_pylist()]
+            found = [read_pages(x) for x in part.column("media").to_pylist()]
             pages, errors = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(pages, pa.list_(page)), pa.array(errors, pa.string())], [*names, "pages", "error"])
+            yield pa.RecordBatch.from_arrays([part.column("keys"), pa.array(pages, pa.list_(page)), pa.array(errors, pa.string())], ["keys", "pages", "error"])
+
+
+def _decoded(df: DataFrame, media: str, keys: list[str]) -> DataFrame:
+    """``keys`` (a struct), ``pages`` and ``error``."""
+    own = df.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("keys"), F.col(f"`{media}`").alias("media"))
+    made = StructType.fromDDL(f"pages array<struct<{', '.join(x.replace(' ', ': ', 1) for x in PAGE.split(', '))}>>, error string")
+    return own.mapInArrow(_decode, StructType([*own.select("keys").schema, *made]))
+
+
+def _apart(keys: list[str], made: set[str]) -> None:
+    """Keys must not have the names of columns that are made."""
+    same = sorted(k for k in keys if k.lower() in made)
+    if same:
+        raise ValueError(f"rename the columns {same}: decoding makes columns of these names")
 
 
 def decode_documents(df: DataFrame, media: str, keys: list[str]) -> DataFrame:
     """``keys``, ``pages`` (an array of page structs) and ``error`` per row, in one narrow stage.
-    A null or damaged medium has the pages before the damage and an error text."""
-    schema = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
-    return df.select(*keys, F.col(media).alias("_media")).mapInArrow(_decode, f"{schema}pages array<struct<{', '.join(x.replace(' ', ': ', 1) for x in PAGE.split(', '))}>>, error string")
+    A null or damaged medium has the pages before the damage and an error text; a null key stays
+    null, repeated rows repeat, an empty table gives none. Keys named ``pages`` or ``error`` are an
+    error; other columns are not read."""
+    _apart(keys, {"pages", "error"})
+    return _decoded(df, media, keys).select("keys.*", "pages", "error")
 
 
 def decode_pages(df: DataFrame, media: str, keys: list[str]) -> DataFrame:
-    """One row per page: ``keys`` and the columns of ``PAGE``; a medium without pages gives none."""
-    return decode_documents(df, media, keys).select(*keys, F.explode("pages").alias("_p")).select(*keys, "_p.*")
+    """One row per page: ``keys`` and the columns of ``PAGE``, of which no key may have the name; a
+    medium without pages gives none. Otherwise as ``decode_documents``."""
+    _apart(keys, {x.split()[0] for x in PAGE.split(", ")})
+    return _decoded(df, media, keys).select("keys", F.explode("pages").alias("of")).select("keys.*", "of.*")
 
 
 # --- writing -------------------------------------------------------------------------------

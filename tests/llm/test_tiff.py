@@ -107,3 +107,20 @@ def test_odd_texts(odd_docs, no_docs):
     got = tiff.decode_documents(tiff.stored_texts(odd_docs), "media", ["doc_id", "n_bytes"]).collect()
     assert sorted(b"".join(p.pixels for p in r.pages).rstrip(b"\0") for r in got) == sorted((r.text or "").encode() for r in odd_docs.collect())
     assert tiff.stored_texts(no_docs).count() == 0
+
+
+def test_names_of_keys(spark):
+    df = spark.createDataFrame([(1, "x", tiff.store_text("abc"))], "`a.b` int, media string, m binary")
+    assert tiff.decode_documents(df, "m", ["a.b", "media"]).columns == ["a.b", "media", "pages", "error"]
+    assert tiff.decode_pages(df, "m", ["a.b", "media"]).first()[:3] == (1, "x", 0)
+    for name, decode in (("error", tiff.decode_documents), ("Width", tiff.decode_pages)):
+        with pytest.raises(ValueError, match="rename"):
+            decode(df.withColumnRenamed("a.b", name), "m", [name])
+
+
+def test_a_header_that_asks_for_too_much(spark):
+    data = bytearray(tiff.store_text("abc" * 100))
+    order, tags = next(iter(tiff.directories(bytes(data))))
+    at = data.index(struct.pack("<HHII", tiff.LENGTH, 4, 1, tags[tiff.LENGTH][0]))
+    data[at : at + 12] = struct.pack("<HHII", tiff.LENGTH, 4, 1, 1 << 24)
+    assert tiff.read_pages(bytes(data)) == ([], "the page has no usable size")
