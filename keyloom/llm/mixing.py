@@ -126,15 +126,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them, in the order of its slots: each as often as its taken words
     hold it, to the nearest whole number, so some repeat and some go. A copy stands where the
     document begins in the mix; documents without words stay once, after all others. Rows that
-    agree in id, source and text share what they take."""
+    agree in id, source and text share what they take. All columns stay, whatever their names;
+    nulls and empty tables are as in ``mix_sources``."""
     begins = F.transform(F.filter("slots", lambda x: x["first"]), lambda x: F.struct(x["slot"].alias("slot"), x["at"].alias("at")))
     mix = scheduled(docs, **options).withColumn("_begins", begins).groupBy("doc_id", "source", "text_crc32", "size")
     mix = mix.agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"), F.array_sort(F.flatten(F.collect_list("_begins"))).alias("_begins"))
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("_taken") / (F.col("_rows") * F.col("size")) + 0.5)).cast("int")
     mix = mix.select(F.col("doc_id").alias("_d"), F.col("source").alias("_o"), F.col("text_crc32").alias("_c"), copies.alias("_copies"), "_begins").where("_copies > 0")
-    mine = docs.withColumn("_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    same = mine["doc_id"].eqNullSafe(mix["_d"]) & mine["source"].eqNullSafe(mix["_o"]) & (mine["_crc"] == mix["_c"])
-    copied = mine.join(mix, same).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    place = F.get("_begins", F.col("_copy"))
-    copied = copied.select(*docs.columns, place["slot"].alias("_slot"), place["at"].alias("_in"), "_crc")
-    return copied.orderBy(F.asc_nulls_last("_slot"), "_in", "doc_id", "_crc").select(*docs.columns)
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), crc.alias("crc"))
+    same = F.col("id").eqNullSafe(F.col("_d")) & F.col("of").eqNullSafe(F.col("_o")) & (F.col("crc") == F.col("_c"))
+    copied = mine.join(mix, same).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    place = F.get("_begins", F.col("copy"))
+    copied = copied.select("row", place["slot"].alias("slot"), place["at"].alias("at"), "id", "crc")
+    return copied.orderBy(F.asc_nulls_last("slot"), "at", "id", "crc").select("row.*")
