@@ -14,6 +14,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -89,16 +90,22 @@ def _writer(folder: str, path: str, keeps_space: bool, end_id: int) -> Callable:
         name, own = f"{base}/part-{task.partitionId():06d}.rec", f"{base}/.tmp-{task.taskAttemptId()}"
         end, docs, tokens, offset = np.array([end_id], enc.dtype), 0, 0, 0
         fs.create_dir(base, recursive=True)
-        with fs.open_output_stream(own) as data, fs.open_output_stream(own + ".idx") as index:
-            for batch in batches:
-                for a, b in texts_by_bytes(batch, "text"):
-                    ids_of = enc.encode_batch([t or "" for t in batch.column("text").slice(a, b - a).to_pylist()])
-                    for doc_id, raw in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), ids_of, strict=True):
-                        ids = np.concatenate([np.frombuffer(raw, enc.dtype), end])
-                        out = frame(pack_body(doc_id, ids))
-                        index.write(struct.pack("<QQ", offset, tokens))
-                        data.write(out)
-                        docs, tokens, offset = docs + 1, tokens + len(ids), offset + len(out)
+        try:
+            with fs.open_output_stream(own) as data, fs.open_output_stream(own + ".idx") as index:
+                for batch in batches:
+                    for a, b in texts_by_bytes(batch, "text"):
+                        ids_of = enc.encode_batch([t or "" for t in batch.column("text").slice(a, b - a).to_pylist()])
+                        for doc_id, raw in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), ids_of, strict=True):
+                            ids = np.concatenate([np.frombuffer(raw, enc.dtype), end])
+                            out = frame(pack_body(doc_id, ids))
+                            index.write(struct.pack("<QQ", offset, tokens))
+                            data.write(out)
+                            docs, tokens, offset = docs + 1, tokens + len(ids), offset + len(out)
+        except BaseException:
+            for left in (own, own + ".idx"):
+                with suppress(OSError):
+                    fs.delete_file(left)
+            raise
         # A retried or doubled attempt writes the same bytes under its own name; the last move wins.
         fs.move(own + ".idx", name + ".idx")
         fs.move(own, name)
@@ -113,9 +120,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, keeps_space: boo
     ``file, part, docs, tokens``, read from a stored manifest.
 
     ``folder`` is a URI that all executors reach (file, hdfs, s3, gs). Rows are dealt by ranges
-    of (doc_id, hash of the text), so equal ids or null ids do not fill one file; null ids come
-    first, repeated ids follow each other in the order of their hash. A null text is empty:
-    the end id alone. An empty table gives empty files.
+    of (doc_id, hash of the text), so that different texts of one id, or without an id, are
+    spread; rows that agree in both stand in one file. Null ids come first, repeated ids follow
+    each other in the order of their hash. A null text is empty: the end id alone. An empty
+    table gives empty files. Other columns are not read.
     """
     n = files or max(1, docs.rdd.getNumPartitions())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_tie", F.xxhash64("text"))
