@@ -51,7 +51,9 @@ class Prior:
         shares = (pairs + kinds * over_all) / (pairs.sum(1, keepdims=True) + kinds)
         classes = shares.reshape(-1, CLASSES, CLASSES).sum(2)
         self.classes = np.log(classes).astype(np.float32)
-        self.symbols = np.log(shares.reshape(-1, CLASSES, CLASSES) / classes[..., None]).astype(np.float32).reshape(-1, CLASSES)
+        # Class by class, since they are read in that order: a class's rows then stay in the cache.
+        within = np.log(shares.reshape(-1, CLASSES, CLASSES) / classes[..., None]).astype(np.float32)
+        self.symbols = np.ascontiguousarray(within.transpose(1, 0, 2)).reshape(-1, CLASSES)
 
 
 def unflat(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -107,7 +109,7 @@ def loss_and_gradient(flat: np.ndarray, prior: Prior, given: np.ndarray, before:
     n, place = max(1, len(t)), np.arange(len(t)) * CLASSES
     zc = state @ p["Uc"]
     zc += prior.classes.take(row, axis=0)
-    zs = prior.symbols.take(row * CLASSES + t // CLASSES, axis=0).astype(state.dtype, copy=False)
+    zs = prior.symbols.take(t // CLASSES * (SYMBOLS + 1) + row, axis=0).astype(state.dtype, copy=False)
     for c in range(CLASSES):
         own = slice(edges[c], edges[c + 1])
         zs[own] += state[own] @ p["Us"][c]
@@ -181,35 +183,39 @@ class Scorer:
 
     def __init__(self, flat: np.ndarray, prior: Prior, symbols: Symbols):
         p = unflat(flat)
-        x = p["E"][:, None] + p["P"]
-        self.x, self.q, self.k = (np.ascontiguousarray(t.reshape(-1, WIDTH)) for t in (x, x @ p["Wq"] * _SCALE, x @ p["Wk"]))
-        # One more column of ones sums the weights of attention.
-        v = (x @ p["Wv"] @ p["Wo"]).reshape(-1, WIDTH)
-        self.v = np.ascontiguousarray(np.c_[v, np.ones(len(v), np.float32)])
+        # By symbol and by place; one more column of values sums the weights of attention.
+        ones, none = np.ones((SYMBOLS + 1, 1), np.float32), np.zeros((WINDOW, 1), np.float32)
+        wv = p["Wv"] @ p["Wo"]
+        self.x, self.q, self.k = ((p["E"], p["P"]), (p["E"] @ p["Wq"] * _SCALE, p["P"] @ p["Wq"] * _SCALE), (p["E"] @ p["Wk"], p["P"] @ p["Wk"]))
+        self.v = np.c_[p["E"] @ wv, ones], np.c_[p["P"] @ wv, none]
         self.Uc, self.Us, self.prior, self.symbols = p["Uc"], p["Us"], prior, symbols
 
     def symbol_logs(self, given: np.ndarray, wanted: np.ndarray, pick: np.ndarray, skip: int = 0) -> np.ndarray:
         """Natural logs at the picked places of the windows, in order. The first ``skip`` places are
         context alone; ``wanted`` and ``pick`` begin after them."""
-        at = given * np.int32(WINDOW)
-        at += np.arange(WINDOW, dtype=np.int32)
-        here = at[:, skip:]
-        s = self.q.take(here, axis=0) @ self.k.take(at, axis=0).transpose(0, 2, 1)
+        late = given[:, skip:]
+        q, k, v = self.q[0].take(late, axis=0), self.k[0].take(given, axis=0), self.v[0].take(given, axis=0)
+        q += self.q[1][skip:]
+        k += self.k[1]
+        v += self.v[1]
+        s = q @ k.transpose(0, 2, 1)
         if s.max() > 60:
             s -= (s + _MASK[skip:]).max(-1, keepdims=True)
         np.exp(s, out=s)
         s *= _CAUSAL[skip:]
-        o = (s @ self.v.take(at, axis=0)).reshape(-1, WIDTH + 1)
+        o = (s @ v).reshape(-1, WIDTH + 1)
         order, edges = _by_class(np.where(pick, wanted, SYMBOLS).ravel())  # what is not picked comes last
         order = order[: edges[CLASSES]]
         o = o.take(order, axis=0)
         state = o[:, :WIDTH] * (1 / o[:, WIDTH:])
-        state += self.x.take(here.ravel().take(order), axis=0)
-        t, row = wanted.ravel().take(order), self.symbols.row.take(given[:, skip:].ravel().take(order))
+        last = late.ravel().take(order)
+        state += self.x[0].take(last, axis=0)
+        state += self.x[1].take(order % (WINDOW - skip) + skip, axis=0)
+        t, row = wanted.ravel().take(order), self.symbols.row.take(last)
         zs = np.empty((len(t), CLASSES), np.float32)
         for c in range(CLASSES):
             np.matmul(state[edges[c] : edges[c + 1]], self.Us[c], out=zs[edges[c] : edges[c + 1]])
-        zs += self.prior.symbols.take(row * CLASSES + t // CLASSES, axis=0)
+        zs += self.prior.symbols.take(t // CLASSES * (SYMBOLS + 1) + row, axis=0)
         zc = state @ self.Uc
         zc += self.prior.classes.take(row, axis=0)
         place, logs = np.arange(len(t)) * CLASSES, np.zeros(len(t), np.float32)
@@ -307,7 +313,7 @@ def _pair_counts(path: str) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, False)
         for batch in batches:
-            ids, begins, sizes = word_pool(enc, [w.decode() for w in batch.column("word").to_pylist()])
+            ids, begins, sizes = word_pool(enc, batch.column("word").cast(pa.string()))
             flat = ids[1:].astype(np.int64)
             if not len(flat):
                 continue
@@ -325,21 +331,21 @@ def id_type(enc) -> np.dtype:
     return np.dtype("<u2" if enc.tokenizer.get_vocab_size() + 2 <= 1 << 16 else "<u4")
 
 
-def word_pool(enc, words: list[str], step: int = 50_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_pool(enc, words: pa.Array, step: int = 50_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ids of the end of a text and of each word, one after the other; where each begins; and how
     many each has. A word that the tokenizer has no ids for has one of its own, the same for all."""
     end, dtype = enc.tokenizer.get_vocab_size(), id_type(enc)
-    none = np.array([end + 1], dtype).tobytes()
-    raw, sizes = [np.array([end], dtype).tobytes()], [1]
+    parts, sizes = [np.array([end], dtype)], [np.ones(1, np.int64)]
     for i in range(0, len(words), step):
-        coded = enc.encode_words(words[i : i + step])
-        if enc.dtype != dtype:
-            coded = [np.frombuffer(x, enc.dtype).astype(dtype).tobytes() for x in coded]
-        coded = [x or none for x in coded]
-        raw.append(b"".join(coded))
-        sizes += [len(x) // dtype.itemsize for x in coded]
-    lengths = np.array(sizes)
-    return np.frombuffer(b"".join(raw), dtype), np.cumsum(lengths) - lengths, lengths
+        ids, n = enc.encode_word_array(words.slice(i, step))
+        none = np.flatnonzero(n == 0)
+        if len(none):
+            ids = np.insert(ids.astype(dtype, copy=False), (np.cumsum(n) - n)[none], end + 1)
+            n[none] = 1
+        parts.append(ids.astype(dtype, copy=False))
+        sizes.append(n)
+    lengths = np.concatenate(sizes)
+    return np.concatenate(parts), np.cumsum(lengths) - lengths, lengths
 
 
 def joined_ids(pool: tuple[np.ndarray, np.ndarray, np.ndarray], numbers: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -357,7 +363,7 @@ def text_ids(enc, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     coded = words.dictionary_encode()
     numbers = np.insert(coded.indices.to_numpy().astype(np.int64) + 1, np.cumsum(sizes), 0)  # 0 is the end of a text
     sizes = sizes + 1
-    ids, n = joined_ids(word_pool(enc, coded.dictionary.to_pylist()), numbers, np.cumsum(sizes) - sizes)
+    ids, n = joined_ids(word_pool(enc, coded.dictionary), numbers, np.cumsum(sizes) - sizes)
     return ids.astype(np.int64), n
 
 
@@ -471,7 +477,7 @@ def _encoded(path: str, train_tokens: int, distinct: int, end_count: int) -> Cal
         # Number 0 is the end of a text, then come the words; those not trained on have the count 0 put last.
         c = np.append(end_count, np.append(np.concatenate(counts), 0)[at])
         logs = np.log10(c + 0.5) - math.log10(train_tokens + 0.5 * (distinct + 1))
-        pool = word_pool(enc, every.to_pylist())
+        pool = word_pool(enc, every)
         done = 0
         for columns, sizes in parts:
             own = numbers[done : done + int(sizes.sum())].astype(np.int64)

@@ -14,6 +14,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def _safe(char: str) -> bool:
@@ -132,6 +134,19 @@ class TextEncoder:
         raw, ends = (ids - np.uint32(1)).astype(self.dtype).tobytes(), (ends * size).tolist()
         return [raw[a:b] for a, b in zip([0, *(e + size for e in ends[:-1])], ends, strict=True)] if words else []
 
+    def encode_word_array(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an array of words without line ends, one after the other, and how many each has."""
+        if len(words) and self.engine is not None and self.line_end is not None:
+            whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+            text = pc.binary_join(whole, "\n")[0].as_py()
+            if not _OTHER.search(text):
+                ids = self.engine.encode_to_numpy(MARK.join(_PIECES_AND_BREAKS.findall(text.lower())) + MARK)
+                breaks = ids == self.line_end
+                ends = np.append(np.flatnonzero(breaks), len(ids))
+                return (ids[~breaks] - np.uint32(1)).astype(self.dtype), np.diff(ends, prepend=-1) - 1
+        coded = self.encode_words(words.to_pylist())
+        return np.frombuffer(b"".join(coded), self.dtype), np.array([len(x) for x in coded], np.int64) // self.dtype.itemsize
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         return [self.encode(t) for t in texts]
 

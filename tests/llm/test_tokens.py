@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -53,6 +54,8 @@ def test_latin_texts(text):
 @given(st.lists(st.text(st.characters(exclude_categories=["Cs"], exclude_characters="\t\n\x0b\x0c\r "), max_size=8), max_size=8))
 def test_words(words):
     got = [np.frombuffer(x, "<u2").tolist() for x in ENC[WORD].encode_words(words)]
+    flat, n = ENC[WORD].encode_word_array(pa.array(words, pa.string()))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == got if words else len(flat) == len(n) == 0
     assert got == [ids_of(WORD, w) for w in words]
 
 
