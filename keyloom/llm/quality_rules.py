@@ -236,7 +236,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> Da
     return apply_quality_rules(features, choose_cutoffs(features, labels, risk))
 
 
-def _filter(cutoffs: dict[tuple[str | None, str], float], stratum: str):
+def _filter(cutoffs: dict[tuple[str | None, str], float], text: str, stratum: str):
     parts = {"symbol_ratio": (2, 1), "upper_ratio": (5, 1), "dup_line_ratio": (3, 6), "repeat_ratio": (4, 0)}
 
     def good(counts: tuple[int, ...], of: str | None) -> bool:
@@ -246,10 +246,10 @@ def _filter(cutoffs: dict[tuple[str | None, str], float], stratum: str):
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in texts_by_bytes(batch, "text"):
+            for a, b in texts_by_bytes(batch, text):
                 part = batch.slice(a, b - a)
                 strata = part.column(stratum).to_pylist()
-                yield part.filter(pa.array([good(text_counts(t), s if s is None else str(s)) for t, s in zip(part.column("text").to_pylist(), strata, strict=True)], pa.bool_()))
+                yield part.filter(pa.array([good(text_counts(t), s if s is None else str(s)) for t, s in zip(part.column(text).to_pylist(), strata, strict=True)], pa.bool_()))
 
     return keep
 
@@ -261,4 +261,6 @@ def kept_documents(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), stra
     from .common import materialize
 
     features = materialize(measured(docs, stratum), "rules")
-    return docs.mapInArrow(_filter(choose_cutoffs(features, labels, risk), stratum), docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names of any letters are out of the way
+    text, of = (f"c{docs.columns.index(c)}" for c in ("text", stratum))
+    return plain.mapInArrow(_filter(choose_cutoffs(features, labels, risk), text, of), plain.schema).toDF(*docs.columns)
