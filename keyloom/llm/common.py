@@ -34,17 +34,57 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{path.rstrip('/')}/keyloom"
 
 
+_written: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which ``clean_up`` deletes."""
+    _written.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this process wrote to the shared folder. Results that were not read or
+    written elsewhere before are lost."""
+    while _written:
+        _delete(spark, _written.pop())
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage and
-    survives the loss of any executor. The table stays until the folder is cleaned."""
+    survives the loss of any executor. The table stays until ``discard`` or ``clean_up``."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._keyloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``materialize`` returned; nothing may be read from it any more."""
+    path = df._keyloom_path
+    _delete(df.sparkSession, path)
+    _written.remove(path)
+
+
+def joined_by_key(rows: DataFrame, of: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined to ``of``, which has one row a key and says in ``n`` how many of ``rows`` have
+    it, ``total`` in all.
+
+    Keys of more than a quarter of a partition's share are at most four times as many as there
+    are partitions: those are broadcast, so a key that a third of all rows have stays where its
+    rows are. All others are joined by a shuffle.
+    """
+    most = max(1, total // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    hot = F.broadcast(of.where(F.col(n) > most))
+    cold = rows.join(hot.select(key), key, "left_anti").join(of.where(F.col(n) <= most), key)
+    return cold.unionByName(rows.join(hot, key))
 
 
 def texts_by_bytes(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, joined_by_key, materialize
 
 
 def _state(df: DataFrame) -> tuple:
@@ -13,13 +13,19 @@ def _state(df: DataFrame) -> tuple:
     return r.n, r.s
 
 
+def _with_least(links: DataFrame, label: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """``links`` with ``m``, the smallest b of its a; and the stored table that it is read from."""
+    least = materialize(links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), label)
+    return joined_by_key(links, least, "a", "n", total), least
+
+
 def connected_components(links: DataFrame, label: str = "components") -> DataFrame:
     """``node, root`` for every node of ``links`` (a, b); root is the smallest node reachable.
 
     Each round hangs larger neighbours, then smaller ones, on the smallest node known, until
     the links are stars around the roots: about log(n) rounds. Minima are aggregated before
-    the shuffle and joined back as one row a node, so AQE can split a hot node's links. Every
-    round is written to the shared folder. Links with a null end or of a node to itself count
+    the shuffle; nodes of very many links get theirs without one. Every round is written to the
+    shared folder, and the one before deleted. Links with a null end or of a node to itself count
     for nothing; a node without links is not in the result.
     """
     e = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -27,11 +33,13 @@ def connected_components(links: DataFrame, label: str = "components") -> DataFra
     state = _state(e)
     while state[0]:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        e = materialize(star.select("x.*").where("a <> b").distinct(), label)
+        near, least = _with_least(both, label, 2 * state[0])
+        large = materialize(near.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct(), label)
+        star, low = _with_least(large, label, 2 * state[0])
+        star = star.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+        before, e = e, materialize(star.select("x.*").where("a <> b").distinct(), label)
+        for done in (before, least, large, low):
+            discard(done)
         now = _state(e)
         if now == state:
             break

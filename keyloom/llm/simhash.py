@@ -1,16 +1,21 @@
 """Operator 9: SimHash near-duplicates by anchor-point covering.
 
-The 64 bits are cut into three blocks; of two fingerprints that differ in t bits, one block
-holds t // 3 of them or fewer. In each block the anchors are the words of a covering code:
-the perfect [15, 11] Hamming code on 15 bits, of covering radius 1, and all values on the
-other 6 or 7 bits, of covering radius 0. A fingerprint is at home at its nearest anchor, and
-goes to every anchor within covering radius plus block threshold. So for each linked pair the
-home anchor of either holds both, and pairs are compared there in full.
+The 64 bits are cut into blocks; of two fingerprints that differ in t bits, one of k blocks
+holds t // k of them or fewer. In each block the anchors are the words of a covering code: a
+perfect Hamming code, of covering radius 1, on as many bits as it takes, and all values on the
+others, of covering radius 0. A fingerprint is at home at its nearest anchor, and goes to every
+anchor within covering radius plus block threshold. So for each linked pair the home anchor of
+either holds both, and pairs are compared there in full.
+
+The code grows with the corpus: three blocks with the [15, 11] code put 42 copies of a
+fingerprint to 3 * 2^18 anchors or less; beyond ``MANY`` fingerprints, two blocks with the [31, 26] code
+put 344 copies to 2^28 anchors, so that an anchor's members stay few.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 from itertools import combinations
 
@@ -19,12 +24,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts_by_bytes
+from .common import joined_by_key, materialize, texts_by_bytes
 from .components import connected_components
 
-#: (lowest bit, bits); the low 15 bits of each take the Hamming code.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-CODE_BITS = 15
+
+@dataclass(frozen=True)
+class Layout:
+    """blocks: (lowest bit, bits). check_bits: of the Hamming code on the low bits of each."""
+
+    blocks: tuple[tuple[int, int], ...]
+    check_bits: int
+
+    @property
+    def code_bits(self) -> int:
+        return (1 << self.check_bits) - 1
+
+
+THREE = Layout(((0, 22), (22, 21), (43, 21)), 4)
+TWO = Layout(((0, 32), (32, 32)), 5)
+#: Fingerprints beyond which copying them to more anchors costs less than comparing them.
+MANY = 100_000_000
 #: Members of an anchor from which on it is split.
 HOT = 20_000
 
@@ -55,25 +74,25 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for a, b in texts_by_bytes(batch, "text"):
             part = batch.slice(a, b - a)
             found = np.array([fingerprint(t) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), pa.array(found)], ["doc_id", "hash", "fp"])
 
 
-@cache
-def _syndromes() -> np.ndarray:
-    """The syndrome of each 15-bit word: the exclusive or of the numbers (from 1) of its set bits."""
-    out = np.zeros(1 << CODE_BITS, np.int64)
-    for bit in range(CODE_BITS):
-        out[1 << bit : 2 << bit] = out[: 1 << bit] ^ (bit + 1)
+def _syndromes(code: np.ndarray, check_bits: int) -> np.ndarray:
+    """The exclusive or of the numbers (from 1) of a word's set bits; 0 for a codeword."""
+    out = np.zeros(len(code), np.int64)
+    for i in range(check_bits):
+        checked = sum(1 << bit for bit in range((1 << check_bits) - 1) if (bit + 1) >> i & 1)
+        out |= (np.bitwise_count(code & checked) & 1).astype(np.int64) << i
     return out
 
 
 @cache
-def _reach(slack: int) -> tuple[np.ndarray, np.ndarray]:
+def _reach(check_bits: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
     """By syndrome, the error patterns of weight 1 + slack or less that lead to a codeword, the
-    lightest first, padded with -1; and the weights by which they are told."""
-    by: list[list[int]] = [[] for _ in range(CODE_BITS + 1)]
+    lightest first, padded with -1; and their weights."""
+    by: list[list[int]] = [[] for _ in range(1 << check_bits)]
     for weight in range(slack + 2):
-        for bits in combinations(range(CODE_BITS), weight):
+        for bits in combinations(range((1 << check_bits) - 1), weight):
             s = 0
             for bit in bits:
                 s ^= bit + 1
@@ -83,34 +102,35 @@ def _reach(slack: int) -> tuple[np.ndarray, np.ndarray]:
     return table, np.array([[bin(e).count("1") if e >= 0 else 99 for e in x] for x in table.tolist()])
 
 
-def anchors(fp: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(fp: np.ndarray, threshold: int, layout: Layout = THREE) -> tuple[np.ndarray, np.ndarray]:
     """(index into ``fp``, place) for every anchor a fingerprint goes to; a place is twice the
     anchor's number, plus 1 at home."""
     unsigned, index, place = fp.view(np.uint64), [], []
-    table, weight = _reach(slack)
-    for number, (low, bits) in enumerate(BLOCKS):
+    slack = threshold // len(layout.blocks)
+    table, weight = _reach(layout.check_bits, slack)
+    for number, (low, bits) in enumerate(layout.blocks):
         part = (unsigned >> np.uint64(low)).astype(np.int64) & ((1 << bits) - 1)
-        code, free = part & ((1 << CODE_BITS) - 1), part >> CODE_BITS
-        syndrome = _syndromes()[code]
-        for flips in range(slack + 1):
-            for turned in combinations(range(bits - CODE_BITS), flips):
+        code, free = part & ((1 << layout.code_bits) - 1), part >> layout.code_bits
+        syndrome = _syndromes(code, layout.check_bits)
+        for flips in range(min(slack, bits - layout.code_bits) + 1):
+            for turned in combinations(range(bits - layout.code_bits), flips):
                 other = free ^ sum(1 << b for b in turned)
                 for k in range(table.shape[1]):
                     # Covering radius 1 on the code bits; what the other bits used of the threshold is gone.
                     ok = np.flatnonzero(weight[syndrome, k] <= 1 + slack - flips)
                     word = code[ok] ^ table[syndrome[ok], k]
                     index.append(ok)
-                    place.append((((number << 22 | other[ok] << CODE_BITS) | word) << 1) | (flips == 0 and k == 0))
+                    place.append((((number << 32 | other[ok] << layout.code_bits) | word) << 1) | (flips == 0 and k == 0))
     return np.concatenate(index), np.concatenate(place)
 
 
-def _spread(slack: int):
+def _spread(threshold: int, layout: Layout, step: int = 5000):
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy()
-            for at in range(0, len(fp), 20_000):
-                some = fp[at : at + 20_000]
-                index, place = anchors(some, slack)
+            for at in range(0, len(fp), step):
+                some = fp[at : at + step]
+                index, place = anchors(some, threshold, layout)
                 yield pa.RecordBatch.from_arrays([pa.array(place >> 1), pa.array((place & 1).astype(bool)), pa.array(some[index])], ["anchor", "home", "fp"])
 
     return spread
@@ -158,6 +178,8 @@ def _compare(threshold: int):
             group = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
             number = np.repeat(np.arange(len(group)), np.diff(np.r_[group, len(cols[0])]))
             a, b = group_links(number, cols[2], cols[3], threshold)
+            apart = a != b  # a fingerprint can be in a cell as a home row and as a member
+            a, b = a[apart], b[apart]
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -177,26 +199,45 @@ def _compare(threshold: int):
     return compare
 
 
-def near_links(fingerprints: DataFrame, threshold: int = 4) -> DataFrame:
+def near_links(fingerprints: DataFrame, threshold: int = 4, layout: Layout = THREE) -> DataFrame:
     """Links (a, b) whose closure is that of all pairs of the distinct ``fp`` at ``threshold``
     or fewer differing bits.
 
-    A hot anchor is salted: its home rows are dealt over parts, its members go to each part.
-    The hot anchors are a stored table of one row per anchor over ``HOT`` members.
+    A hot anchor becomes a square of cells: each home row goes to the cells of its row, each
+    member to those of its column, so that every home meets every member and no cell holds more
+    than about ``HOT`` of either. The hot anchors are a stored table of one row per anchor of over
+    ``HOT`` members.
     """
-    spread = fingerprints.mapInArrow(_spread(threshold // len(BLOCKS)), "anchor long, home boolean, fp long")
-    hot = materialize(spread.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "hot")
+    spread = fingerprints.mapInArrow(_spread(threshold, layout), "anchor long, home boolean, fp long")
+    hot = materialize(spread.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.ceil(F.col("n") / HOT).cast("long").alias("parts")), "hot")
     if hot.isEmpty():
-        dealt = spread.withColumn("salt", F.lit(0))
+        dealt = spread.withColumn("salt", F.lit(0).cast("long"))
     else:
-        part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        dealt = spread.join(hot, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        dealt = dealt.withColumn("own", part).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.select("anchor", (F.col("home") & (F.col("salt") == F.col("own"))).alias("home"), "fp", "salt")
+        dealt = spread.join(hot, "anchor", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")))
+        all_, own = "sequence(0L, parts - 1)", "case when parts is null then array(struct(0L as salt, home as home)) else {} end"
+        cells = f"concat(if(home, transform({all_}, i -> struct(own * parts + i as salt, true as home)), array()), transform({all_}, i -> struct(i * parts + own as salt, false as home)))"
+        dealt = dealt.select("anchor", "fp", F.explode(F.expr(own.format(cells))).alias("cell")).select("anchor", "fp", "cell.salt", "cell.home")
     dealt = dealt.select("anchor", "salt", "home", "fp").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "fp")
     return dealt.mapInArrow(_compare(threshold), "a long, b long").distinct()
 
 
+def _classes(docs: DataFrame, threshold: int) -> DataFrame:
+    """``doc_id, hash`` (of the text), ``fp, component_id, root`` (a fingerprint, the same in all of a
+    component) of every document."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(_fingerprints, f"doc_id {kind}, hash long, fp long")
+    own = materialize(own, "fingerprints")
+    first = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
+    size = first.agg(F.count("*").alias("fps"), F.sum("n").alias("docs")).first()
+    layout = THREE if size.fps <= MANY else TWO
+    roots = materialize(connected_components(near_links(first.select("fp"), threshold, layout)), "roots")
+    linked = roots.join(first, roots["node"] == first["fp"]).select("node", "root", "first")
+    classes = materialize(linked.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("members")), "classes")
+    linked = joined_by_key(linked, classes, "root", "members", size.fps).select(F.col("node").alias("fp"), "root", "least")
+    of = first.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return joined_by_key(own, materialize(of, "of"), "fp", "n", size.docs or 0)
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 4) -> DataFrame:
     """Per document ``doc_id, fingerprint`` (16 hex digits) and ``component_id``, the smallest
     doc_id that links of ``threshold`` or fewer differing bits reach, itself included.
@@ -206,21 +247,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 4) -> DataFrame:
     is never the smallest; a component of null ids alone has a null id. Repeated rows give
     repeated results; an empty table none; other columns are not read.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    own = materialize(docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp long"), "fingerprints")
-    first = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = materialize(connected_components(near_links(first.select("fp"), threshold)), "roots")
-    linked = roots.join(first, roots["node"] == first["fp"]).select("node", "root", "first")
-    least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    linked = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
-    of = first.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _classes(docs, threshold).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_per_component(docs: DataFrame, threshold: int = 4) -> DataFrame:
-    """``docs`` without all but the first document (smallest doc_id) of each component. Rows
-    with a null doc_id stay, as nothing tells them apart; rows that repeat a doc_id become one."""
-    found = near_duplicates(docs, threshold)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """``docs`` without all but one document, of the smallest doc_id, of each component. Rows with a
+    null doc_id stay, as nothing tells them apart; rows that repeat an id and a text become one,
+    and of different texts of that one id in a component the one whose hash is lowest stays. All
+    columns stay, whatever their names; an empty table gives no rows."""
+    found = _classes(docs, threshold)
+    stay = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id", "root").agg(F.min("hash").alias("hash")).select("doc_id", "hash").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("hash"))
+    known = rows.where("doc_id is not null").join(stay, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"])
+    return known.select("row.*").unionByName(docs.where("doc_id is null"))

@@ -5,6 +5,13 @@ import pytest
 SF = "/root/testdata/sf0.001"
 
 
+#: Names that operators use inside.
+CLASHING = (
+    "size fp stratum kind _s _i _c _d _o _h _at _cell _cell_sum _cell_start _run _crc _copies _copy _begins _slot _in row id of crc copy slot at rank n n_symbols log10_prob perplexity threshold kept "
+    "chunk place shard round ids words held_out is_word first component_id fingerprint least node root members anchor home salt own parts pages error _media media pixels n_bytes ids_crc32 start length a.b"
+).split()
+
+
 def odd_texts() -> list:
     r = random.Random(4)
     words = ["the", "of", "Thonble", "éauxment", "und", "don't", "x1y2", "A,B", "naïve", "<|endoftext|>", "###"]
@@ -19,9 +26,9 @@ def odd_texts() -> list:
 def odd_docs(spark):
     """Nulls in every column, ties, repeated rows, long texts, and extra columns whose names clash."""
     texts = odd_texts()
-    rows = [(i if i % 11 != 7 else None, t, [None, "en", "de"][i % 3], [None, "s1", "s2", "S3", ""][i % 5], 1, "x", 2, "y", 0, "z") for i, t in enumerate(texts)]
+    rows = [(i if i % 11 != 7 else None, t, [None, "en", "de"][i % 3], [None, "s1", "s2", "S3", ""][i % 5], 1, *[f"x{j}" for j in range(len(CLASHING))]) for i, t in enumerate(texts)]
     rows += [rows[5], rows[5], rows[7]]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, size string, fp int, stratum string, kind int, _s string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
     return spark.createDataFrame(rows, schema).repartition(3)
 
 

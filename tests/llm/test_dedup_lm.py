@@ -11,9 +11,11 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from keyloom.llm import attention_lm as lm
 from keyloom.llm import simhash
+from keyloom.llm.common import joined_by_key
 from keyloom.llm.components import connected_components
 
 WORD = str(P.path("word_bpe_49k.json"))
@@ -78,8 +80,8 @@ def test_near_copies(spark):
     assert {x.doc_id for x in stay.collect()} == {k[2] for k in want}
 
 
-@pytest.mark.parametrize("hot", [20_000, 30])
-def test_links_against_all_pairs(spark, hot, monkeypatch):
+@pytest.mark.parametrize("hot, layout", [(20_000, simhash.THREE), (30, simhash.THREE), (20_000, simhash.TWO), (3, simhash.TWO)])
+def test_links_against_all_pairs(spark, hot, layout, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", hot)
     r = np.random.default_rng(2)
     fps = set(r.integers(0, 1 << 63, 300).tolist()) | {0, (1 << 64) - 1, 1, 7, 31}
@@ -91,7 +93,7 @@ def test_links_against_all_pairs(spark, hot, monkeypatch):
             fps.add(y)
     fps = sorted(fps)
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
-    links = simhash.near_links(df)
+    links = simhash.near_links(df, layout=layout)
     for a, b in links.collect():
         assert a != b
     got = {x.node & (2**64 - 1): x.root for x in connected_components(links).collect()}
@@ -105,6 +107,22 @@ def test_links_against_all_pairs(spark, hot, monkeypatch):
     assert len(set(got.values())) == sum(len(g) > 1 for g in groups.values())
 
 
+def test_home_anchors_and_copies():
+    fp = np.random.default_rng(5).integers(-(1 << 63), (1 << 63) - 1, 500)
+    for layout, copies in ((simhash.THREE, 42), (simhash.TWO, 344)):
+        index, place = simhash.anchors(fp, 4, layout)
+        assert np.bincount(index[place & 1 == 1], minlength=500).tolist() == [len(layout.blocks)] * 500
+        assert np.bincount(index).mean() == pytest.approx(copies, rel=0.05)
+        assert len(set(zip(index.tolist(), (place >> 1).tolist()))) == len(place)
+
+
+def test_hot_keys_are_joined_where_they_are(spark):
+    rows = spark.range(5000).selectExpr("if(id < 4000, 7, id) as k", "id as v")
+    of = rows.groupBy("k").count().withColumnRenamed("count", "n").withColumn("w", F.col("k") + 1)
+    out = joined_by_key(rows, of, "k", "n", 5000)
+    assert sorted((r.k, r.v, r.n, r.w) for r in out.collect()) == sorted((k, v, 4000 if k == 7 else 1, k + 1) for v in range(5000) for k in [7 if v < 4000 else v])
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5), (None, 3), (300, 200), (300, 250)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
