@@ -1,5 +1,9 @@
 """Headline timings, as one JSON line: keyed rewrites by share of touched blocks, block size and codec,
-each against a rewrite of every block, then reads."""
+each against a rewrite of every block, then reads.
+
+The table holds all orders, each with a stretch of a document as its payload: records of about
+1,800 bytes.
+"""
 
 from __future__ import annotations
 
@@ -12,12 +16,25 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql.window import Window  # noqa: E402
 
 from keyloom.operators.mutations import Mutations  # noqa: E402
 from keyloom.operators.table import KeyedTable, WriteOptions  # noqa: E402
 
+PAYLOAD = 1700
+#: rows of a block, codec, percentages of blocks touched.
+CASES = ((100, "snappy", (1, 10)), (1000, "snappy", (0, 1, 10, 50, 100)), (10_000, "none", (10, 50, 100)), (10_000, "snappy", (10, 50, 100)), (10_000, "gzip", (10, 50, 100)), (100_000, "snappy", (50, 100)))
+
+
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    texts = spark.read.parquet(f"{sf}/documents.parquet").where(F.length("text") >= PAYLOAD)
+    n = texts.count()
+    numbered = texts.select((F.row_number().over(Window.orderBy("doc_id")) - 1).alias("at"), F.substring("text", 1, PAYLOAD).alias("payload"))
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    return orders.withColumn("at", F.col("o_orderkey") % n).join(F.broadcast(numbered), "at").drop("at")
+
 
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -33,7 +50,6 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     work, took = tempfile.mkdtemp(prefix="keyloom-bench-"), {}
-    orders = spark.read.parquet(f"{sf}/orders.parquet")
 
     def timed(name: str, f):
         start = time.perf_counter()
@@ -44,23 +60,29 @@ def main() -> None:
     def touching(table: KeyedTable, percent: int) -> Mutations:
         """One update in each of the blocks to touch, spread over the table."""
         n = table.block_count
-        chosen = [table.blocks[i].key_min for i in range(n) if (i + 1) * percent // 100 > i * percent // 100]
-        return Mutations.upserts(orders.where(F.col("o_orderkey").isin(chosen)).withColumn("o_totalprice", F.col("o_totalprice") + 1), "o_orderkey")
+        chosen = [table.blocks[i].key_min for i in range(n) if (i + 1) * percent // 100 > i * percent // 100] or [b.key_min for b in table.blocks[: min(1, percent)]]
+        return Mutations.upserts(rows.where(F.col("o_orderkey").isin(chosen)).withColumn("o_totalprice", F.col("o_totalprice") + 1), "o_orderkey")
 
     try:
-        warm = KeyedTable.create(spark, orders.limit(5000), f"{work}/warm", "o_orderkey", WriteOptions(1000))
+        records(spark, sf).write.parquet(f"{work}/source")
+        rows = spark.read.parquet(f"{work}/source")
+        warm = KeyedTable.create(spark, rows.limit(5000), f"{work}/warm", "o_orderkey", WriteOptions(1000))
         warm.rewrite(touching(warm, 50), f"{work}/warm2")
-        for rows in (1000, 10_000):
-            for codec in ("none", "snappy", "gzip") if rows == 10_000 else ("snappy",):
-                at = f"{work}/{rows}-{codec}"
-                options = WriteOptions(rows, compression=codec)
-                table = timed(f"create_{rows}_{codec}", lambda: KeyedTable.create(spark, orders, at, "o_orderkey", options))  # noqa: B023
-                for percent in (0, 1, 10, 50, 100) if codec == "snappy" else (10, 100):
-                    m = touching(table, percent)
-                    timed(f"rewrite_{rows}_{codec}_{percent}pct", lambda: table.rewrite(m, f"{at}-{percent}", options))  # noqa: B023
+        for size, codec, percentages in CASES:
+            at, options = f"{work}/{size}-{codec}", WriteOptions(size, compression=codec)
+            table = timed(f"create_{size}_{codec}", lambda: KeyedTable.create(spark, rows, at, "o_orderkey", options))  # noqa: B023
+            for percent in percentages:
+                m = touching(table, percent)
+                timed(f"rewrite_{size}_{codec}_{percent}pct", lambda: table.rewrite(m, f"{at}-{percent}", options))  # noqa: B023
+                shutil.rmtree(f"{at}-{percent}")
         timed("scan", lambda: table.scan().agg(F.sum("o_totalprice")).collect())
         timed("lookup", lambda: table.lookup(table.blocks[-1].key_min).collect())
         timed("rechunk", lambda: table.rechunk(f"{work}/re", 2500))
+        big = KeyedTable.create(spark, rows, f"{work}/groups", "o_orderkey", WriteOptions(50_000, group_rows=1000))
+        big = KeyedTable.open(spark, big.path, "o_orderkey", row_groups=True)
+        for percent in (1, 50):
+            m = touching(big, percent)
+            timed(f"rewrite_row_groups_{percent}pct", lambda: big.rewrite(m, f"{work}/groups-{percent}", WriteOptions(1000)))  # noqa: B023
     finally:
         shutil.rmtree(work, ignore_errors=True)
     print(json.dumps({"metric": "keyed_rewrite_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf.rstrip("/").rpartition("/sf")[2]}))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .names import free
+
 
 class KeyedTableError(ValueError):
     """A table or its mutations break the contract of keyed tables."""
@@ -24,10 +26,20 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def unsorted_rows(df: DataFrame, key: str, group: str, position: str) -> DataFrame:
-    """Rows whose key is not above the one before it in their group (a file, by row position)."""
-    w = Window.partitionBy(group).orderBy(position)
-    return df.withColumn("previous", F.lag(key).over(w)).where(F.col("previous").isNotNull() & (F.col(key) <= F.col("previous")))
+def unsorted_rows(df: DataFrame, key: str, group: str, position: str, slice_rows: int = 100_000) -> DataFrame:
+    """Rows whose key is not above the one before it in their group (a file, by row position from 0).
+
+    A group is sorted in slices of positions, so a file of any size is no single task's; a slice's
+    first row looks at the last key of the slice before, from one row a slice.
+    """
+    (cell,) = free(df.columns, "cell")
+    sliced = df.withColumn(cell, F.floor(F.col(position) / slice_rows))
+    own, first = Window.partitionBy(group, cell).orderBy(position), Window.partitionBy(group).orderBy(cell)
+    last = sliced.groupBy(group, cell).agg(F.max_by(F.struct(F.col(key).alias("k")), position).alias("last"))
+    (before,) = free([*df.columns, cell], "before")
+    last = last.select(group, cell, F.lag("last").over(first)["k"].alias(before))
+    seen = sliced.join(last, [group, cell]).withColumn("previous", F.when(F.row_number().over(own) == 1, F.col(before)).otherwise(F.lag(key).over(own)))
+    return seen.where(F.col("previous").isNotNull() & (F.col(key) <= F.col("previous"))).drop(cell, before)
 
 
 def overlapping_blocks(stats: DataFrame) -> DataFrame:

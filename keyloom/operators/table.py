@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 import time
 import uuid
@@ -11,6 +12,7 @@ from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 from functools import cached_property
 from itertools import groupby
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from ..plans.positions import last_at_or_below, positions
 from ..plans.rewrite_plan import Block, RewritePlan
 from ..session import ship_package
 from ..sources.files import Files, place_files
-from ..sources.footers import block_stats, computed_stats
+from ..sources.footers import block_stats, computed_stats, never_null
 from .mutations import DELETE, UPSERT, Mutations
 
 #: Bytes of input that a task of a shuffle gets.
@@ -144,11 +146,15 @@ class KeyedTable:
 
     def between(self, low, high) -> DataFrame:
         """Rows of keys from ``low`` to ``high``, from the files that can hold them alone."""
-        first = bisect_left(self.blocks, low, key=lambda b: b.key_max)
-        last = bisect_right(self.blocks, high, key=lambda b: b.key_min)
+        first = bisect_left(self.blocks, self._like_bounds(low), key=lambda b: b.key_max)
+        last = bisect_right(self.blocks, self._like_bounds(high), key=lambda b: b.key_min)
         held = F.col(self.key) == F.lit(low) if low == high else F.col(self.key).between(low, high)
         return self._read(self.blocks[first:last]).where(held)
 
+    def _like_bounds(self, value):
+        """A time without a zone is local, as it is to Spark; bounds have a zone."""
+        return value.astimezone() if isinstance(self.key_type, T.TimestampType) and value.tzinfo is None else value
+
     def _read(self, blocks: list[Block]) -> DataFrame:
         """The files of some blocks."""
         files = list(dict.fromkeys(b.file for b in blocks))
@@ -183,13 +189,13 @@ class KeyedTable:
         if missing and (by_group or not self._compute):
             raise KeyedTableError(f"{self.path}: no statistics of the key in {missing[0]}")
         size, found = dict(listed), []
-        computed = {r["file"].rpartition("/")[2]: r for r in computed_stats(self.spark.read.schema(self.schema).parquet(*missing), self.key).toArrow().to_pylist()} if missing else {}
+        computed = {_plain(r["file"]): r for r in computed_stats(self.spark.read.schema(self.schema).parquet(*missing), self.key).toArrow().to_pylist()} if missing else {}
         for file, own in groupby(sorted(groups, key=lambda g: (g["file"], g["block"])), key=lambda g: g["file"]):
             own = list(own)
             if by_group:
                 found += [(g["key_min"], g["key_max"], file, g["block"], g["n_rows"], g["n_bytes"]) for g in own]
                 continue
-            c = computed.get(file.rpartition("/")[2])
+            c = computed.get(_plain(file))
             low, high = (c["key_min"], c["key_max"]) if c else (min(g["key_min"] for g in own), max(g["key_max"] for g in own))
             found.append((low, high, file, None, sum(g["n_rows"] for g in own), size[file]))
         found.sort(key=lambda x: x[0])
@@ -290,6 +296,10 @@ class KeyedTable:
             stored = _stored(self._placed(asked, "k", "pos", "inside"), f"{staging.path}/mutations")
             check_mutations(stored.select(F.col("k").alias("key")))
             plan = self._plan(stored, "op", "pos", "inside", force)
+            never: frozenset[str] = frozenset()
+            if self.row_groups:
+                never, whole = self._declared(plan)
+                plan = self._plan(stored, "op", "pos", "inside", (*force, *whole)) if whole else plan
             planned = time.perf_counter()
             rows = self.mean_rows if options.rows_per_file == -1 else options.rows_per_file
             touched = sorted(plan.dirty | plan.gaps)
@@ -297,7 +307,7 @@ class KeyedTable:
             changes = stored.where("inside or op = 'U'").select("row", "k", "op")
             groups = self._groups(plan, touched, stored, rows, staging.path)
             mean = sum(b.n_bytes for b in self.blocks) // max(1, self.block_count)
-            got, out = _write_groups(self, base.unionByName(changes), groups, staging.path, options, rows, merge=True, mean_bytes=mean)
+            got, out = _write_groups(self, base.unionByName(changes), groups, staging.path, options, rows, merge=True, mean_bytes=mean, never=never)
             upserts, deletes = (sum(c[i] for c in plan.counts.values()) for i in (0, 1))
             fresh = self._blocks([(f, n) for _, f, n in out], False)
             if got["added"] != upserts or sum(b.n_rows for b in fresh) != got["rows"]:
@@ -367,6 +377,18 @@ class KeyedTable:
             within = within | ((key >= F.lit(b.key_min)) & (key <= F.lit(b.key_max)))
         return df.where(within).where(held)
 
+    def _declared(self, plan: RewritePlan) -> tuple[frozenset[str], list[int]]:
+        """The columns to be written as never null, and blocks to be merged for it. New row groups are
+        written in one way. If all touched files declare the same columns so, that is the way;
+        otherwise all columns can be null, and a touched file that declares anything else is
+        merged as a whole."""
+        at = {plan.blocks[max(p, 0)].file for p in plan.dirty | plan.gaps} if plan.blocks else set()
+        found = never_null(self.spark, sorted(at))
+        ways = set(found.values())
+        if len(ways) <= 1 and not any(inside for _, inside in ways) and all(_filler(self.schema[c].dataType) is not None for columns, _ in ways for c in columns):
+            return next((columns for columns, _ in ways), frozenset()), []
+        return frozenset(), [b.number for b in plan.blocks if found.get(b.file, (frozenset(), False)) != (frozenset(), False)]
+
     def _groups(self, plan: RewritePlan, touched: list[int], stored: DataFrame, rows: int, staging: str) -> list[_Group]:
         """The touched positions, in order. A position of many rows, such as an append of a whole load
         behind the last block, is cut beforehand at the keys where its files will begin."""
@@ -421,6 +443,11 @@ class _Group:
     rows: int
 
 
+def _plain(uri: str) -> str:
+    """A path in one form, however it was written."""
+    return re.sub(r"^(\w+):/+", r"\1:/", unquote(uri))
+
+
 def _part(number: int) -> str:
     return f"part-{number:08d}.parquet"
 
@@ -428,7 +455,7 @@ def _part(number: int) -> str:
 def _in_order(blocks: list[Block]) -> None:
     for a, b in zip(blocks, blocks[1:]):
         if not a.key_max < b.key_min:
-            raise KeyedTableError(f"blocks overlap: {a.file} ends at {a.key_max!r}, {b.file} begins at {b.key_min!r}")
+            raise KeyedTableError(f"blocks overlap: {a.file} ends at {a.key_max!r:.100}, {b.file} begins at {b.key_min!r:.100}")
 
 
 def _tagged(df: DataFrame, key: str) -> DataFrame:
@@ -488,13 +515,14 @@ def _starts(spark: SparkSession, keys: DataFrame, rows: int, staging: str, seen:
     return watched.get, firsts
 
 
-def _write_groups(table: KeyedTable, tagged: DataFrame, groups: list[_Group], staging: str, options: WriteOptions, rows: int, merge: bool, cut: bool = True, mean_bytes: int = 1 << 30) -> tuple[dict, list[tuple[int, str, int]]]:
+def _write_groups(table: KeyedTable, tagged: DataFrame, groups: list[_Group], staging: str, options: WriteOptions, rows: int, merge: bool, cut: bool = True, mean_bytes: int = 1 << 30, never: frozenset[str] = frozenset()) -> tuple[dict, list[tuple[int, str, int]]]:
     """Write ``row, k, op`` in files of ``rows``, each group by itself and sorted by key. What was
     observed, and (position, file, bytes) of each file in order.
 
     One shuffle deals groups to tasks by their rows. merge: a base row (no op) whose key has an op
     too goes, and so do deletes. cut: groups can have more rows than one file; the running number
-    in a group, which its task holds in order, tells the file.
+    in a group, which its task holds in order, tells the file. never: columns to be declared never
+    null; all others can be, whatever their source says.
     """
     spark = table.spark
     if not groups:
@@ -507,7 +535,8 @@ def _write_groups(table: KeyedTable, tagged: DataFrame, groups: list[_Group], st
     below = groups[0].start is None
     starts = [g.start for g in groups[below:]]
     code = last_at_or_below(spark, F.col("k"), table.key_type, starts, codes=codes if below else [codes[0], *codes])
-    dealt = tagged.withColumn("code", code).select("row", "k", "op", F.shiftright("code", 32).cast("int").alias("task"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("part"))
+    maybe = F.when(F.col("code") >= 0, F.col("row")).alias("row")  # always so, but its fields become nullable
+    dealt = tagged.withColumn("code", code).select(maybe, "k", "op", F.shiftright("code", 32).cast("int").alias("task"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("part"))
     dealt = dealt.repartitionById(tasks, "task").sortWithinPartitions("task", "part", "k")
     watched, isbase = Observation(), F.col("op").isNull()
     if merge:
@@ -519,7 +548,8 @@ def _write_groups(table: KeyedTable, tagged: DataFrame, groups: list[_Group], st
         dealt = dealt.observe(watched, F.count("*").alias("rows"), F.bit_xor(F.xxhash64("k")).alias("keys"))
     chunk = F.floor((F.row_number().over(Window.partitionBy("task", "part").orderBy("k")) - 1) / rows).cast("int") if cut else F.lit(0)
     key, part, number = free(table.schema.fieldNames(), "k", "part", "chunk")
-    final = dealt.withColumn("chunk", chunk).select("row.*", F.col("k").alias(key), F.col("part").alias(part), F.col("chunk").alias(number))
+    fields = [_set(F.col("row")[f.name], f) if f.name in never else F.col("row")[f.name].alias(f.name) for f in table.schema]
+    final = dealt.withColumn("chunk", chunk).select(*fields, F.col("k").alias(key), F.col("part").alias(part), F.col("chunk").alias(number))
     final = final.sortWithinPartitions(named(part), named(number), named(key)).drop(key)
     out = f"{staging}/files"
     with _microseconds(spark):
@@ -531,6 +561,23 @@ def _write_groups(table: KeyedTable, tagged: DataFrame, groups: list[_Group], st
     return watched.get, [(groups[g].pos, f, n) for g, _, f, n in sorted(found)]
 
 
+def _filler(kind: T.DataType) -> Column | None:
+    """Some value of a type; None for types that have no plain one."""
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return F.lit(0).cast(kind)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit("") if isinstance(kind, T.StringType) else F.lit(b"")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit(datetime.date(1970, 1, 1)).cast(kind)
+    return None
+
+
+def _set(value: Column, field: T.StructField) -> Column:
+    """``value`` as never null, an error if it is."""
+    given = F.when(value.isNull(), F.raise_error(F.lit(f"{field.name} is declared never null"))).otherwise(value)
+    return F.coalesce(given, _filler(field.dataType)).alias(field.name)
+
+
 class _Staging:
     """A folder beside ``dest`` that becomes ``dest`` by one rename, or goes."""
 

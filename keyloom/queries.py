@@ -21,6 +21,7 @@ from .operators.table import KeyedTable, RewriteReport, WriteOptions
 from .session import ship_package
 
 ROWS = 1000
+GROUP_ROWS = 300
 SIZED = WriteOptions(ROWS)
 
 
@@ -52,7 +53,8 @@ PRICE = "o_totalprice"
 
 
 def base_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0")
+    """All orders, their keys moved apart so that multiples of 5 are free."""
+    return moved(read(spark, sf_dir, "orders"), "o_orderkey + o_orderkey div 4 + 1")
 
 
 def changed(df: DataFrame) -> DataFrame:
@@ -124,11 +126,15 @@ def alternate_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def string_key_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.select(F.col("o_orderkey").cast("string").alias("k"), PRICE)
+    """Keyed by an expression over the record."""
+    by = F.col("o_orderkey").cast("string")
 
-    m = Mutations.upserts(keyed(existing(spark, sf_dir).unionByName(fresh(spark, sf_dir))), "k").and_(Mutations.deletes(keyed(doomed(spark, sf_dir)), "k"))
-    return rewritten(spark, keyed(base_orders(spark, sf_dir)), m)[0].scan()
+    def some(df: DataFrame) -> DataFrame:
+        return df.select("o_orderkey", PRICE)
+
+    m = Mutations.upserts(some(existing(spark, sf_dir).unionByName(fresh(spark, sf_dir))), "k", by).and_(Mutations.deletes(doomed(spark, sf_dir), "k", by))
+    table = KeyedTable.create(spark, some(base_orders(spark, sf_dir)), scratch(spark), "k", SIZED, by=by)
+    return table.rewrite(m, scratch(spark), SIZED)[0].scan().select("k", PRICE)
 
 
 def nested_payload_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +214,7 @@ def duplicate_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unsorted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = read(spark, sf_dir, "lineitem").withColumn("row", F.col("_metadata.row_index")).select("l_orderkey", "row", F.lit(1).alias("file"))
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("_metadata.row_index").alias("row"), F.col("_metadata.file_path").alias("file"))
     return unsorted_rows(df, "l_orderkey", "file", "row").select("l_orderkey", "row", "previous")
 
 
@@ -218,7 +224,36 @@ def overlapping_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlapping_blocks(stats).select("block", "key_min", "key_max", "reach")
 
 
-_COUNTED = ["rows_in", "rows_out", "inserted", "updated", "deleted", "absent_deletes", "raw_blocks", "merged_blocks", "new_fragments"]
+def block_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(stored(spark, base_orders(spark, sf_dir), "o_orderkey").block_count,)], "blocks long")
+
+
+def forced_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = base_orders(spark, sf_dir)
+    out, report = stored(spark, base, "o_orderkey").rewrite(Mutations.upserts(base.limit(0), "o_orderkey"), scratch(spark), SIZED, force=(1,))
+    return spark.createDataFrame([(b.number, b.n_rows, report.raw_blocks, report.merged_blocks) for b in out.blocks], "block long, n_rows long, raw_blocks long, merged_blocks long")
+
+
+def row_groups_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = KeyedTable.create(spark, base_orders(spark, sf_dir), scratch(spark), "o_orderkey", WriteOptions(ROWS, group_rows=GROUP_ROWS))
+    return table.block_stats().select(F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("file"), F.col("block").alias("row_group"), "n_rows", "key_min", "key_max")
+
+
+def raw_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large files of many row groups; groups without mutations are copied byte for byte."""
+    path = scratch(spark)
+    KeyedTable.create(spark, base_orders(spark, sf_dir), path, "o_orderkey", WriteOptions(8 * ROWS, group_rows=ROWS))
+    table = KeyedTable.open(spark, path, "o_orderkey", row_groups=True)
+    out, report = table.rewrite(sparse(spark, sf_dir), scratch(spark), SIZED)
+    return spark.createDataFrame([(b.number, b.n_rows, b.key_min, b.key_max, report.raw_blocks) for b in out.blocks], "block long, n_rows long, key_min long, key_max long, raw_blocks long")
+
+
+def mixed_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, _ = rewritten(spark, base_orders(spark, sf_dir), sparse(spark, sf_dir), WriteOptions(ROWS, compression="gzip"))
+    return table.block_stats().groupBy("codec").agg(F.count("*").alias("blocks"), F.sum("n_rows").alias("n_rows"))
+
+
+_COUNTED = ["rows_in", "rows_out", "inserted", "updated", "deleted", "absent_deletes", "raw_blocks", "merged_blocks", "new_fragments", "files_out"]
 
 
 def rewrite_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +261,10 @@ def rewrite_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rewrite_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rewritten(spark, base_orders(spark, sf_dir), sparse(spark, sf_dir))[1].frame(spark)
+    """The phases of a rewrite with what each dealt with; wall times differ, so only that there are some."""
+    report = rewritten(spark, base_orders(spark, sf_dir), sparse(spark, sf_dir))[1]
+    phases = [("plan", report.raw_blocks + report.merged_blocks, report.plan_seconds), ("merge", report.merged_blocks, report.merge_seconds), ("commit", report.files_out, report.commit_seconds)]
+    return spark.createDataFrame([(p, n, t > 0) for p, n, t in phases], "phase string, blocks long, timed boolean")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -258,6 +296,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "overlapping_blocks": overlapping_parts,
     "rewrite_report_counts": rewrite_report_counts,
     "rewrite_timings": rewrite_timings,
+    "block_count": block_count,
+    "forced_rewrite": forced_rewrite,
+    "row_groups_in_files": row_groups_in_files,
+    "raw_row_groups": raw_row_groups,
+    "mixed_codecs": mixed_codecs,
 }
 
 
@@ -266,7 +309,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _COLS = "o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 _CHANGED = "o_orderkey, o_custkey, 'U' AS o_orderstatus, o_totalprice + 1000 AS o_totalprice, o_orderdate, o_orderpriority"
 _CTES = f"""
-base AS (SELECT * FROM orders WHERE o_orderkey % 5 <> 0),
+base AS (SELECT o_orderkey + o_orderkey // 4 + 1 AS o_orderkey, {_COLS} FROM orders),
 existing AS (SELECT {_CHANGED} FROM base WHERE o_orderkey % 11 = 3),
 fresh AS (SELECT * FROM orders WHERE o_orderkey % 25 = 0
   UNION ALL SELECT -o_orderkey, {_COLS} FROM orders WHERE o_orderkey % 700 = 1
@@ -288,7 +331,7 @@ few_gaps AS (SELECT DISTINCT pos FROM few_at WHERE op = 'U' AND pos NOT IN (SELE
 few_rows AS (SELECT o_orderkey, block AS pos, CASE WHEN block IN (SELECT pos FROM few_dirty) THEN 1 ELSE 0 END AS kind FROM numbered
     WHERE o_orderkey NOT IN (SELECT o_orderkey FROM few)
   UNION ALL SELECT o_orderkey, pos, 1 FROM few_at WHERE op = 'U'),
-few_out AS (SELECT pos, kind, (row_number() OVER (PARTITION BY pos, kind ORDER BY o_orderkey) - 1) // {ROWS} AS chunk FROM few_rows)
+few_out AS (SELECT o_orderkey, pos, kind, (row_number() OVER (PARTITION BY pos, kind ORDER BY o_orderkey) - 1) // {ROWS} AS chunk FROM few_rows)
 """
 
 
@@ -308,7 +351,7 @@ ORACLE_SQL: dict[str, str] = {
     "delete_by_record": _sql_merge(None, "doomed"),
     "delete_absent": _sql_merge(None, "absent"),
     "no_change": _sql_merge(None, None),
-    "alternate_large": f"SELECT {_CHANGED} FROM orders WHERE o_orderkey % 2 <> 0",
+    "alternate_large": f"WITH {_CTES} SELECT {_CHANGED} FROM orders WHERE o_orderkey % 2 <> 0 UNION ALL SELECT * FROM base WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders)",
     "string_key_merge": f"WITH {_CTES}, o AS (SELECT * FROM base WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {_ALL_UPS}) AND o_orderkey NOT IN (SELECT o_orderkey FROM doomed) UNION ALL SELECT * FROM {_ALL_UPS}) SELECT CAST(o_orderkey AS VARCHAR) AS k, o_totalprice FROM o",
     "nested_payload_merge": "WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_reverse(embedding) ELSE embedding END AS v, label FROM embeddings WHERE vec_id % 7 <> 1) SELECT vec_id, CAST(i - 1 AS INTEGER) AS at, CAST(v[i] AS DOUBLE) AS value, label FROM (SELECT vec_id, v, label, unnest(range(1, len(v) + 1)) AS i FROM e)",
     "timestamp_payload_merge": "SELECT event_id, CASE WHEN event_id % 13 = 0 THEN ts + INTERVAL 1 DAY ELSE ts END AS ts, user_id, event_type, value, props FROM events WHERE event_id % 13 <> 1",
@@ -324,13 +367,20 @@ ORACLE_SQL: dict[str, str] = {
     "output_row_groups": f"WITH {_CTES}, g AS (SELECT pos, kind, chunk, count(*) AS n_rows FROM few_out GROUP BY pos, kind, chunk) SELECT row_number() OVER (ORDER BY pos, kind, chunk) - 1 AS block, n_rows FROM g",
     "rechunk_split": f"WITH {_CTES}, c AS (SELECT *, (row_number() OVER (PARTITION BY block ORDER BY o_orderkey) - 1) // 300 AS chunk FROM numbered), g AS (SELECT block, chunk, count(*) AS n_rows, min(o_orderkey) AS key_min FROM c GROUP BY block, chunk) SELECT row_number() OVER (ORDER BY block, chunk) - 1 AS block, n_rows, key_min FROM g",
     "rechunk_coalesce": f"WITH {_CTES}, c AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1700 AS chunk FROM base) SELECT chunk AS block, count(*) AS n_rows, min(o_orderkey) AS key_min FROM c GROUP BY chunk",
-    "key_point_lookup": "SELECT * FROM orders WHERE o_orderkey = 4321",
-    "key_range_scan": "SELECT * FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey BETWEEN 500 AND 1700",
+    "key_point_lookup": f"WITH {_CTES} SELECT * FROM base WHERE o_orderkey = 4321",
+    "key_range_scan": f"WITH {_CTES} SELECT * FROM base WHERE o_orderkey BETWEEN 500 AND 1700",
     "duplicate_mutations": f"WITH {_CTES} SELECT o_orderkey AS key, count(*) AS n FROM (SELECT o_orderkey FROM existing UNION ALL SELECT o_orderkey FROM base WHERE o_orderkey % 33 = 3) GROUP BY o_orderkey HAVING count(*) > 1",
     "unsorted_rows": "WITH r AS (SELECT l_orderkey, row_number() OVER () - 1 AS row FROM lineitem), p AS (SELECT *, lag(l_orderkey) OVER (ORDER BY row) AS previous FROM r) SELECT l_orderkey, row, previous FROM p WHERE l_orderkey <= previous",
     "overlapping_blocks": """WITH b AS (SELECT (o_orderkey + 37 * (o_orderkey % 3)) // 500 AS block, min(o_orderkey) AS key_min, max(o_orderkey) AS key_max FROM orders GROUP BY 1),
         r AS (SELECT *, max(key_max) OVER (ORDER BY key_min, key_max ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b) SELECT block, key_min, key_max, reach FROM r WHERE key_min <= reach""",
     "rewrite_report_counts": f"""WITH {_CTES}, h AS (SELECT count(*) FILTER (op = 'U') AS updated, count(*) FILTER (op = 'D') AS deleted FROM few JOIN base USING (o_orderkey)), n AS (SELECT count(*) FILTER (op = 'U') AS ups, count(*) FILTER (op = 'D') AS dels FROM few)
         SELECT (SELECT count(*) FROM base) AS rows_in, (SELECT count(*) FROM few_rows) AS rows_out, ups - updated AS inserted, updated, deleted, dels - deleted AS absent_deletes,
-        (SELECT count(*) FROM blocks) - (SELECT count(*) FROM few_dirty) AS raw_blocks, (SELECT count(*) FROM few_dirty) AS merged_blocks, (SELECT count(*) FROM few_gaps) AS new_fragments FROM h, n""",
+        (SELECT count(*) FROM blocks) - (SELECT count(*) FROM few_dirty) AS raw_blocks, (SELECT count(*) FROM few_dirty) AS merged_blocks, (SELECT count(*) FROM few_gaps) AS new_fragments, (SELECT count(*) FROM (SELECT DISTINCT pos, kind, chunk FROM few_out)) AS files_out FROM h, n""",
+    "rewrite_timings": f"""WITH {_CTES} SELECT 'plan' AS phase, (SELECT count(*) FROM blocks) AS blocks, true AS timed UNION ALL SELECT 'merge', (SELECT count(*) FROM few_dirty), true
+        UNION ALL SELECT 'commit', (SELECT count(*) FROM (SELECT DISTINCT pos, kind, chunk FROM few_out)), true""",
+    "block_count": f"WITH {_CTES} SELECT count(*) AS blocks FROM blocks",
+    "forced_rewrite": f"WITH {_CTES} SELECT block, n_rows, (SELECT count(*) FROM blocks) - 1 AS raw_blocks, 1::BIGINT AS merged_blocks FROM blocks",
+    "row_groups_in_files": f"WITH {_CTES}, g AS (SELECT block AS file, ((row_number() OVER (PARTITION BY block ORDER BY o_orderkey) - 1) // {GROUP_ROWS}) AS row_group, o_orderkey FROM numbered) SELECT file, row_group, count(*) AS n_rows, min(o_orderkey) AS key_min, max(o_orderkey) AS key_max FROM g GROUP BY file, row_group",
+    "raw_row_groups": f"WITH {_CTES}, g AS (SELECT pos, kind, chunk, count(*) AS n_rows, min(o_orderkey) AS key_min, max(o_orderkey) AS key_max FROM few_out GROUP BY pos, kind, chunk) SELECT row_number() OVER (ORDER BY pos, kind, chunk) - 1 AS block, n_rows, key_min, key_max, (SELECT count(*) FROM blocks) - (SELECT count(*) FROM few_dirty) AS raw_blocks FROM g",
+    "mixed_codecs": f"WITH {_CTES} SELECT CASE WHEN kind = 0 THEN 'SNAPPY' ELSE 'GZIP' END AS codec, count(DISTINCT (pos, chunk)) AS blocks, count(*) AS n_rows FROM few_out GROUP BY kind",
 }

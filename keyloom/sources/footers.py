@@ -47,6 +47,40 @@ def block_stats(spark: SparkSession, files: list[str], key: str, key_type: T.Dat
     return spark.createDataFrame([(f,) for f in files], "file string").repartition(tasks).mapInArrow(_reader(key, to_arrow_type(key_type)), schema)
 
 
+def _always(kind: pa.DataType) -> bool:
+    """Whether a value inside of this type is declared never null, but for the keys of maps."""
+    if pa.types.is_map(kind):
+        return not kind.item_field.nullable or _always(kind.item_type) or _always(kind.key_type)
+    inside = [kind.field(i) for i in range(kind.num_fields)]
+    return any(not f.nullable or _always(f.type) for f in inside)
+
+
+def _declared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    for batch in batches:
+        out = []
+        for uri in batch.column("file").to_pylist():
+            fs, path = pafs.FileSystem.from_uri(uri)
+            with fs.open_input_file(path) as f:
+                schema = pq.ParquetFile(f).schema_arrow
+            out.append((uri, sorted(f.name for f in schema if not f.nullable), any(_always(f.type) for f in schema)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.list_(pa.string()), pa.bool_()), strict=True)], ["file", "columns", "inside"])
+
+
+def never_null(spark: SparkSession, files: list[str]) -> dict[str, tuple[frozenset[str], bool]]:
+    """What files declare to be never null: columns, and whether something inside of columns is.
+    Pages hold no marks of nulls there, so they cannot stand beside pages that do."""
+    if not files:
+        return {}
+    tasks = min(len(files), max(spark.sparkContext.defaultParallelism, len(files) // 256))
+    df = spark.createDataFrame([(f,) for f in files], "file string").repartition(tasks)
+    rows = df.mapInArrow(_declared, "file string, columns array<string>, inside boolean").collect()
+    return {r.file: (frozenset(r.columns), r.inside) for r in rows}
+
+
 def computed_stats(df: DataFrame, key: str) -> DataFrame:
     """The same bounds by file from the rows, for files whose footers have none."""
     return df.select(F.col(key).alias("_k"), F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count("*").alias("n_rows"), F.min("_k").alias("key_min"), F.max("_k").alias("key_max"))

@@ -7,6 +7,7 @@ import math
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,174 @@ def test_plans_prune(spark, tmp_path):
     table = KeyedTable.create(spark, spark.createDataFrame([(i, str(i)) for i in range(300)], "key long, v string"), f"{tmp_path}/a", "key", WriteOptions(100))
     plan = table.lookup(5).select("v")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(key), EqualTo(key,5)]" in plan and "ReadSchema: struct<key:bigint,v:string>" in plan
+
+
+#: Names that the engine uses inside, and some that are hard to quote.
+HOSTILE = "_pos _op _k _inside _code row k op pos inside task part chunk by code file block bound high stretch _name _row _chunk base n rows at in cell _cell before previous _n last first _part=1 a.b back`tick".split()
+
+
+def test_no_column_name_is_taken(spark, tmp_path):
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in HOSTILE)
+    df = spark.createDataFrame([(i, *[f"{c}{i}" for c in HOSTILE]) for i in range(60)], f"id long, {schema}")
+    table = KeyedTable.create(spark, df, f"{tmp_path}/a", "id", WriteOptions(10))
+    assert table.scan().columns == df.columns
+    ups = df.where("id in (3, 4, 59)").unionByName(df.where("id < 5").withColumn("id", F.col("id") + 100)).withColumn("_op", F.lit("new"))
+    m = Mutations.upserts(ups, "id").and_(Mutations.deletes(df.where("id = 30"), "id"))
+    assert set(table.plan(m).dirty) == {0, 3, 5}
+    out, report = table.rewrite(m, f"{tmp_path}/b")
+    assert out.scan().columns == df.columns and (report.inserted, report.updated, report.deleted) == (5, 3, 1)
+    want = {tuple(r) for r in df.collect() if r.id not in (3, 4, 30, 59)} | {tuple(r) for r in ups.collect()}
+    assert {tuple(r) for r in out.scan().collect()} == want
+    for coalesce in (False, True):
+        assert {tuple(r) for r in out.rechunk(f"{tmp_path}/c{coalesce}", 7, coalesce=coalesce).scan().collect()} == want
+    assert out.unsorted_rows().count() == 0 and out.lookup(104).count() == 1
+    ops = ups.limit(2).withColumn("what", F.lit("D"))
+    assert out.rewrite(Mutations.from_ops(ops, "id", "what"), f"{tmp_path}/d")[1].deleted == 2
+    lows, highs = [b.key_min for b in table.blocks], [b.key_max for b in table.blocks]
+    far = positions(df, F.col("id"), df.schema["id"].dataType, lows, highs, "_pos2", "_in2", few=2)
+    assert far.columns == [*df.columns, "_pos2", "_in2"] and {(r.id, r._pos2) for r in far.collect()} == {(i, i // 10) for i in range(60)}
+
+
+def test_mutations_are_read_once(spark, tmp_path):
+    """A source that reads differently each time cannot break the key or the report."""
+    df = spark.range(400).selectExpr("id as key", "id as v")
+    table = KeyedTable.create(spark, df, f"{tmp_path}/a", "key", WriteOptions(20))
+    reads = spark.sparkContext.accumulator(0)
+
+    def some(batches):
+        reads.add(1)
+        for batch in batches:
+            yield batch.filter(pa.array([os.urandom(1)[0] < 128 for _ in range(len(batch))], pa.bool_()))
+
+    unsteady = df.coalesce(1).mapInArrow(some, "key long, v long").withColumn("v", F.lit(-1).cast("long"))
+    out, report = table.rewrite(Mutations.upserts(unsteady, "key"), f"{tmp_path}/b")
+    rows = out.scan().collect()
+    assert sorted(r.key for r in rows) == list(range(400)) and report.rows_out == 400 and report.inserted == 0
+    assert report.updated == sum(r.v == -1 for r in rows) and reads.value == 1
+    with pytest.raises(KeyedTableError, match="other keys"):
+        KeyedTable.create(spark, df.mapInArrow(some, df.schema), f"{tmp_path}/c", "key")
+    assert sorted(os.listdir(tmp_path)) == ["a", "b"]
+
+
+def test_timestamps_and_long_texts_as_keys(spark, tmp_path):
+    start = datetime.datetime(2020, 1, 1)
+    df = spark.createDataFrame([(start + datetime.timedelta(hours=i), i) for i in range(50)], "at timestamp, v int")
+    table = KeyedTable.create(spark, df, f"{tmp_path}/a", "at", WriteOptions(10))
+    opened = KeyedTable.open(spark, f"{tmp_path}/a", "at")
+    assert opened.block_count == 5 and opened.lookup(start + datetime.timedelta(hours=7)).first().v == 7
+    out, report = opened.rewrite(Mutations.deletes(df.where("v = 33"), "at"), f"{tmp_path}/b")
+    assert (report.merged_blocks, report.deleted, out.scan().count()) == (1, 1, 49) and table.block_count == 5
+    long = spark.createDataFrame([("x" * 5000 + f"{i:03}", i) for i in range(50)], "key string, v int")
+    table = KeyedTable.create(spark, long, f"{tmp_path}/c", "key", WriteOptions(10))
+    out, report = table.rewrite(Mutations.deletes(long.where("v = 33"), "key"), f"{tmp_path}/d")
+    assert (report.merged_blocks, report.deleted, out.scan().count()) == (1, 1, 49)
+    assert out.rewrite(Mutations.deletes(long.where("v = 34"), "key"), f"{tmp_path}/e")[1].deleted == 1
+
+
+def group_bytes(path):
+    """The bytes of each row group of a file."""
+    import pyarrow.parquet as pq
+
+    data, meta = open(path, "rb").read(), pq.ParquetFile(path).metadata
+    out = []
+    for g in range(meta.num_row_groups):
+        columns = [meta.row_group(g).column(c) for c in range(meta.num_columns)]
+        out.append(b"".join(data[(at := c.dictionary_page_offset or c.data_page_offset) : at + c.total_compressed_size] for c in columns))
+    return out
+
+
+@pytest.mark.parametrize("codec", ["snappy", "gzip"])
+def test_row_groups_are_copied_raw(spark, tmp_path, codec):
+    df = spark.range(1000).selectExpr("id * 2 as key", "repeat(cast(id as string), 5) as v", "array(id, null) as a", "named_struct('x', nullif(id, 3)) as s")
+    made = KeyedTable.create(spark, df, f"{tmp_path}/a", "key", WriteOptions(400, group_rows=50, compression=codec))
+    table = KeyedTable.open(spark, f"{tmp_path}/a", "key", row_groups=True)
+    assert table.block_count == 20 and made.block_count == 3
+    ups = df.where("key in (10, 900)").withColumn("v", F.lit("new")).unionByName(df.where("key = 0").withColumn("key", F.lit(-5).cast("long"))).unionByName(df.where("key < 8").withColumn("key", F.col("key") + 99_999))
+    dels = df.where("key between 300 and 398")  # a whole group
+    out, report = table.rewrite(Mutations.upserts(ups, "key").and_(Mutations.deletes(dels, "key")), f"{tmp_path}/b")
+    want = {r.key: tuple(r) for r in df.collect() if not 300 <= r.key <= 398} | {r.key: tuple(r) for r in ups.collect()}
+    assert {r.key: tuple(r) for r in out.scan().collect()} == want and out.scan().count() == len(want)
+    assert (report.raw_blocks, report.merged_blocks, report.new_fragments, report.rows_out) == (17, 3, 2, len(want)) and report.files_out == 3
+    old, new = ([local(f) for f, _ in t.listed] for t in (table, out))
+    before, after = [g for f in old for g in group_bytes(f)], [g for f in new for g in group_bytes(f)]
+    assert len(set(before) & set(after)) == 17 and report.bytes_copied == sum(len(g) for i, g in enumerate(before) if i not in (0, 3, 9))
+    assert [(b.key_min, b.key_max) for b in KeyedTable.open(spark, f"{tmp_path}/b", "key", row_groups=True).blocks][:2] == [(-5, -5), (0, 98)]
+    again, _ = out.rewrite(Mutations.deletes(df.where("key = 900"), "key"), f"{tmp_path}/c")
+    assert again.scan().count() == len(want) - 1 and out.unsorted_rows().count() == 0
+    same = [f for f in new if open(f, "rb").read() in {open(local(g), "rb").read() for g, _ in again.listed}]
+    assert len(same) == 2  # files without a dirty group are copied whole
+
+
+@pytest.mark.parametrize("inside", [False, True])
+def test_row_groups_of_columns_that_are_never_null(spark, tmp_path, inside):
+    """New groups are declared as those beside them are; where that cannot be, the file is merged."""
+    import pyarrow.parquet as pq
+
+    kind = pa.struct([pa.field("x", pa.int64(), nullable=not inside)])
+    schema = pa.schema([pa.field("key", pa.int64(), nullable=False), pa.field("v", pa.string(), nullable=False), pa.field("s", kind), pa.field("t", pa.timestamp("us", tz="UTC"), nullable=False)])
+    os.makedirs(tmp_path / "a")
+    for i in range(2):
+        keys = list(range(i * 1000, i * 1000 + 300))
+        rows = pa.table({"key": keys, "v": [f"v{k}" for k in keys], "s": [{"x": k} for k in keys], "t": [datetime.datetime(2020, 1, 1)] * 300}, schema=schema)
+        pq.write_table(rows, tmp_path / f"a/{i}.parquet", row_group_size=100)
+    table = KeyedTable.open(spark, f"{tmp_path}/a", "key", row_groups=True)
+    ups = table.scan().where("key in (5, 250)").withColumn("v", F.lit("new"))
+    out, report = table.rewrite(Mutations.upserts(ups, "key"), f"{tmp_path}/b")
+    want = {r.key: "new" if r.key in (5, 250) else r.v for r in table.scan().collect()}
+    assert {r.key: r.v for r in out.scan().collect()} == want and out.scan().where("s.x is null or t is null").count() == 0
+    assert (report.raw_blocks, report.merged_blocks) == ((3, 3) if inside else (4, 2))
+    assert {pq.read_schema(local(f)).field("v").nullable for f, _ in out.listed} == ({True, False} if inside else {False})
+    if not inside:
+        with pytest.raises(Exception, match="never null"):
+            table.rewrite(Mutations.upserts(ups.withColumn("v", F.lit(None).cast("string")), "key"), f"{tmp_path}/c")
+
+
+def test_a_load_behind_the_last_block(spark, tmp_path, monkeypatch):
+    """Many rows of one position are cut by several tasks, into the same files."""
+    from keyloom.operators import table as module
+
+    df = spark.range(1000).selectExpr("id as key", "id as v")
+    ups = spark.range(500, 6000).selectExpr("id as key", "-id as v")
+    dels = spark.range(990, 995).selectExpr("id as key")
+    m = Mutations.upserts(ups.where("key not between 990 and 994"), "key").and_(Mutations.deletes(dels, "key"))
+    table = KeyedTable.create(spark, df, f"{tmp_path}/a", "key", WriteOptions(250))
+    found = []
+    for heavy in (1_000_000, 100):
+        monkeypatch.setattr(module, "HEAVY_ROWS", heavy)
+        out, report = table.rewrite(m, f"{tmp_path}/{heavy}", WriteOptions(100))
+        assert (report.updated, report.deleted, report.inserted) == (495, 5, 5000)
+        found.append([(b.n_rows, b.key_min, b.key_max) for b in out.blocks])
+        assert {(r.key, r.v) for r in out.scan().collect()} == {(i, i if i < 500 else -i) for i in range(6000) if not 990 <= i <= 994}
+    assert found[0] == found[1] and max(n for n, _, _ in found[0]) <= 250
+
+
+def test_lookups_open_the_files_that_can_hold_the_key(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id * 10 as key", "id as v")
+    table = KeyedTable.create(spark, df, f"{tmp_path}/a", "key", WriteOptions(100))
+    assert len(table.lookup(5550).inputFiles()) == 1 and table.lookup(5550).first().v == 555
+    assert table.lookup(5555).count() == 0 and len(table.lookup(995).inputFiles()) == 0 and table.lookup(-1).columns == ["key", "v"]
+    assert len(table.between(900, 2100).inputFiles()) == 3 and table.between(900, 2100).count() == 121
+    assert table.between(-5, 99_999).count() == 1000 and table.between(5, 4).count() == 0
+
+
+def test_writer_settings(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id as key", "repeat(cast(id as string), 20) as v")
+    small = KeyedTable.create(spark, df, f"{tmp_path}/a", "key", WriteOptions(5000, block_bytes=10_000, page_bytes=2000, dictionary=False, page_rows=(10, 50), page_estimate=False, writer_version="v2", max_padding=0))
+    assert small.block_stats().count() > 1 and small.scan().count() == 5000
+    plain = KeyedTable.create(spark, df, f"{tmp_path}/b", "key", WriteOptions(5000))
+    assert plain.block_stats().count() == 1
+    out, _ = small.rewrite(Mutations.deletes(df.where("key = 7"), "key"), f"{tmp_path}/c", WriteOptions(5000, block_bytes=-1))
+    assert out.scan().count() == 4999
+
+
+def test_a_damaged_splice_is_an_error(spark, tmp_path):
+    from keyloom.sources.splice import splice
+
+    spark.range(10).coalesce(1).write.parquet(f"{tmp_path}/a")
+    spark.range(10).selectExpr("cast(id as string) as id").coalesce(1).write.parquet(f"{tmp_path}/b")
+    a, b = (f"file:{tmp_path}/{x}/{next(n for n in os.listdir(tmp_path / x) if n.startswith('part'))}" for x in "ab")
+    with pytest.raises(ValueError, match="schema"):
+        splice([(a, None), (b, None)], f"file:{tmp_path}/x.parquet")
+    splice([(a, None), (a, 0)], f"file:{tmp_path}/y.parquet")
+    assert spark.read.parquet(f"{tmp_path}/y.parquet").count() == 20
+    assert not [n for n in os.listdir(tmp_path) if "x.parquet" in n]
