@@ -85,11 +85,43 @@ def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention_lm.score_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+# --- parts of the above that SQL can express -------------------------------------------------
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets of operator 2, by source."""
+    rows = mixing.mix_sources(table(spark, sf_dir, "documents")).groupBy("source", "source_size")
+    return rows.agg(F.round(F.max("target"), 3).alias("target"), F.count("*").alias("documents"), F.sum("size").alias("words"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base verdict of operator 8."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_tiff_pages, op2_source_mix, op3_token_counts, op4_packing, op5_interleaved_shards, op6_binary_records, op7_kneser_ney, op8_quality_rules, op9_simhash, op10_attention_lm)
+    for f in (op1_tiff_pages, op2_source_mix, op3_token_counts, op4_packing, op5_interleaved_shards, op6_binary_records, op7_kneser_ney, op8_quality_rules, op9_simhash, op10_attention_lm, mix_targets, quality_base)
 }
 
-#: Tokenizers, trained models, seeded 64-bit hashes and CRC-32 have no DuckDB form; these queries are
+_WORD = r"[^\x20\x09-\x0D]+"
+
+#: Tokenizers, trained models, seeded 64-bit hashes and CRC-32 have no DuckDB form; the opN queries are
 #: tested against brute force instead.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # Targets are the lesser of three times a source's size and one level times its weight: sources by
+    # the level at which they are full, and the first whose level is not reached by what is left.
+    "mix_targets": f"""WITH s AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))) AS size, count(*) AS documents FROM documents GROUP BY source),
+        w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, sum(size) OVER () AS total FROM s),
+        f AS (SELECT *, 3.0 * size / weight AS full_at FROM w WHERE size > 0),
+        l AS (SELECT *, (total - 3.0 * coalesce(sum(size) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+        x AS (SELECT coalesce(arg_min(level, full_at) FILTER (level <= full_at), max(full_at)) AS level FROM l)
+        SELECT source, CAST(size AS BIGINT) AS source_size, round(CAST(least(3.0 * size, weight * level) AS DOUBLE), 3) AS target, documents, CAST(size AS BIGINT) AS words FROM w, x""",
+    "quality_base": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS id FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM d),
+        g AS (SELECT id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS window3 FROM (SELECT id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+        r AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, window3) AS n FROM g) WHERE n > 1),
+        c AS (SELECT id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY id),
+        o AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (id))
+        SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM o""",
+}
