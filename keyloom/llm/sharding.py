@@ -43,12 +43,12 @@ def interleaved_shards(docs: DataFrame, shards: int = 40, seed: int = 7) -> Data
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", "source", source_key().alias("_s"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = materialize(rows, "shards")
-    n = rows.count()
+    counts, n = rows.groupBy("_s").agg(F.count("*").alias("_n")), rows.count()
     cells = cells_for(n)
     cell, order = shuffle_order(seed, cells, "doc_id", "text_crc32", "size")
     rows = rows.withColumns({"_cell": cell, "_h": order})
     rows = ranked(rows, ["_s"], "_cell", ["_h", "doc_id", "text_crc32", "size"], None, "_rank")
-    of = rows.select("_s", "_rank", "doc_id", "source", "size", "text_crc32").join(_counts(docs), "_s")
+    of = rows.select("_s", "_rank", "doc_id", "source", "size", "text_crc32").join(counts, "_s")
     of = of.withColumn("_f", (F.col("_rank") + 0.5) / F.col("_n"))
     of = of.withColumns({"_all": F.lit(0), "_cell": F.floor(F.col("_f") * cells).cast("long")})
     of = ranked(of, ["_all"], "_cell", ["_f", F.xxhash64("_s"), "_s", "_rank"], None, "_pos")
@@ -59,6 +59,3 @@ def interleaved_shards(docs: DataFrame, shards: int = 40, seed: int = 7) -> Data
     slot = F.when(first, pos % (short + 1)).otherwise((pos - edge) % max(short, 1))
     return of.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "source")
 
-
-def _counts(docs: DataFrame) -> DataFrame:
-    return docs.groupBy(source_key().alias("_s")).agg(F.count("*").alias("_n"))
