@@ -126,6 +126,9 @@ def _packer(path: str, keeps_space: bool, capacity: int, end_id: int, bucket: in
                         if length == capacity:
                             whole.append((*row, serial, 0))
                             serial += 1
+                            if len(whole) >= 8 * bucket:
+                                yield table(whole)
+                                whole = []
                         else:
                             open_.append(row)
                             held += length
