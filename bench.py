@@ -1,8 +1,8 @@
 """Headline timings, as one JSON line: keyed rewrites by share of touched blocks, block size and codec,
 each against a rewrite of every block, then reads.
 
-The table holds all orders, each with a stretch of a document as its payload: records of about
-1,800 bytes.
+The table holds all orders, each with a stretch of a document as its payload: at sf0.1, 150,000 records
+of about 2,800 bytes. A rewrite's time is the lesser of two runs.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql.window import Window  # noqa: E402
 from keyloom.operators.mutations import Mutations  # noqa: E402
 from keyloom.operators.table import KeyedTable, WriteOptions  # noqa: E402
 
-PAYLOAD = 1700
+PAYLOAD = 2700
 #: rows of a block, codec, percentages of blocks touched.
 CASES = ((100, "snappy", (1, 10)), (1000, "snappy", (0, 1, 10, 50, 100)), (10_000, "none", (10, 50, 100)), (10_000, "snappy", (10, 50, 100)), (10_000, "gzip", (10, 50, 100)), (100_000, "snappy", (50, 100)))
 
@@ -54,9 +54,16 @@ def main() -> None:
     def timed(name: str, f):
         start = time.perf_counter()
         out = f()
-        took[name] = round(time.perf_counter() - start, 3)
+        took[name] = min(took.get(name, 1e9), round(time.perf_counter() - start, 3))
         return out
 
+    def rewrites(name: str, table: KeyedTable, at: str, options: WriteOptions, percentages: tuple[int, ...]) -> None:
+        for _ in range(2):
+            for percent in percentages:
+                m = touching(table, percent)
+                timed(f"{name}_{percent}pct", lambda: table.rewrite(m, at, options))  # noqa: B023
+                shutil.rmtree(at)
+
     def touching(table: KeyedTable, percent: int) -> Mutations:
         """One update in each of the blocks to touch, spread over the table."""
         n = table.block_count
@@ -71,18 +78,13 @@ def main() -> None:
         for size, codec, percentages in CASES:
             at, options = f"{work}/{size}-{codec}", WriteOptions(size, compression=codec)
             table = timed(f"create_{size}_{codec}", lambda: KeyedTable.create(spark, rows, at, "o_orderkey", options))  # noqa: B023
-            for percent in percentages:
-                m = touching(table, percent)
-                timed(f"rewrite_{size}_{codec}_{percent}pct", lambda: table.rewrite(m, f"{at}-{percent}", options))  # noqa: B023
-                shutil.rmtree(f"{at}-{percent}")
+            rewrites(f"rewrite_{size}_{codec}", table, f"{at}-new", options, percentages)
         timed("scan", lambda: table.scan().agg(F.sum("o_totalprice")).collect())
         timed("lookup", lambda: table.lookup(table.blocks[-1].key_min).collect())
         timed("rechunk", lambda: table.rechunk(f"{work}/re", 2500))
         big = KeyedTable.create(spark, rows, f"{work}/groups", "o_orderkey", WriteOptions(50_000, group_rows=1000))
         big = KeyedTable.open(spark, big.path, "o_orderkey", row_groups=True)
-        for percent in (1, 50):
-            m = touching(big, percent)
-            timed(f"rewrite_row_groups_{percent}pct", lambda: big.rewrite(m, f"{work}/groups-{percent}", WriteOptions(1000)))  # noqa: B023
+        rewrites("rewrite_row_groups", big, f"{work}/groups-new", WriteOptions(1000), (1, 50, 100))
     finally:
         shutil.rmtree(work, ignore_errors=True)
     print(json.dumps({"metric": "keyed_rewrite_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf.rstrip("/").rpartition("/sf")[2]}))

@@ -164,7 +164,10 @@ class KeyedTable:
 
     def block_stats(self) -> DataFrame:
         """One row per row group, from the footers."""
-        return block_stats(self.spark, [f for f, _ in self.listed], self.key, self.key_type)
+        return self._stats(self.path)
+
+    def _stats(self, path: str) -> DataFrame:
+        return block_stats(self.spark, self.files.below(path), self.key, self.key_type)
 
     def file_stats(self) -> DataFrame:
         """One row per file that has rows. A row group without bounds is an error unless
@@ -178,17 +181,15 @@ class KeyedTable:
     @cached_property
     def blocks(self) -> list[Block]:
         """All blocks in key order: one small row each."""
-        return self._blocks(self.listed)
+        return self._blocks(self.path, self.row_groups)
 
-    def _blocks(self, listed: list[tuple[str, int]], row_groups: bool | None = None) -> list[Block]:
-        if not listed:
-            return []
-        by_group = self.row_groups if row_groups is None else row_groups
-        groups = [g for g in block_stats(self.spark, [f for f, _ in listed], self.key, self.key_type).toArrow().to_pylist() if g["n_rows"]]
+    def _blocks(self, path: str, by_group: bool = False) -> list[Block]:
+        """The blocks of all files below ``path``, in one job."""
+        groups = [g for g in self._stats(path).toArrow().to_pylist() if g["n_rows"]]
         missing = sorted({g["file"] for g in groups if g["key_min"] is None or g["key_max"] is None})
         if missing and (by_group or not self._compute):
             raise KeyedTableError(f"{self.path}: no statistics of the key in {missing[0]}")
-        size, found = dict(listed), []
+        found = []
         computed = {_plain(r["file"]): r for r in computed_stats(self.spark.read.schema(self.schema).parquet(*missing), self.key).toArrow().to_pylist()} if missing else {}
         for file, own in groupby(sorted(groups, key=lambda g: (g["file"], g["block"])), key=lambda g: g["file"]):
             own = list(own)
@@ -197,7 +198,7 @@ class KeyedTable:
                 continue
             c = computed.get(_plain(file))
             low, high = (c["key_min"], c["key_max"]) if c else (min(g["key_min"] for g in own), max(g["key_max"] for g in own))
-            found.append((low, high, file, None, sum(g["n_rows"] for g in own), size[file]))
+            found.append((low, high, file, None, sum(g["n_rows"] for g in own), own[0]["file_bytes"]))
         found.sort(key=lambda x: x[0])
         return [Block(i, file, rows, n, low, high, group) for i, (low, high, file, group, rows, n) in enumerate(found)]
 
@@ -256,11 +257,8 @@ class KeyedTable:
             got, out = _write_groups(table, _tagged(df, key), groups, staging.path, options, rows, merge=False, cut=False)
             if (got["rows"], got["keys"] or 0) != (first["rows"] or 0, first["keys"] or 0):
                 raise KeyedTableError("the source gave other keys when it was read again")
-            blocks = table._blocks([(f, n) for _, f, n in out])
-            if sum(b.n_rows for b in blocks) != got["rows"]:
-                raise KeyedTableError("the files do not hold all rows")
-            table._commit(staging, [([(f, None)], True) for _, f, _ in out])
-        table._know(blocks)
+            table._commit(staging, [([(b.file, None)], True) for _, b in out])
+        table._know([b for _, b in out])
         return table
 
     def plan(self, mutations: Mutations, force: tuple[int, ...] = ()) -> RewritePlan:
@@ -273,8 +271,17 @@ class KeyedTable:
     def _placed(self, df: DataFrame, key: str, pos: str, inside: str) -> DataFrame:
         return positions(df, F.col(key), self.key_type, [b.key_min for b in self.blocks], [b.key_max for b in self.blocks], pos, inside)
 
-    def _plan(self, placed: DataFrame, op: str, pos: str, inside: str, force: tuple[int, ...]) -> RewritePlan:
-        touched = placed.groupBy(F.col(pos).alias("pos")).agg(F.max(inside).alias("dirty"), *[F.sum((named(op) == o).cast("long")).alias(o) for o in (UPSERT, DELETE)]).collect()
+    def _plan(self, placed: DataFrame, op: str, pos: str, inside: str, force: tuple[int, ...], key: str | None = None) -> RewritePlan:
+        """key: check in the same pass that no key is null or comes twice."""
+        per, watched = placed, Observation()
+        if key is not None:
+            keys = placed.select(F.col(key).alias("k"), F.col(pos).alias("pos"), F.col(inside).alias("inside"), F.col(op).alias("op"))
+            per = keys.groupBy("k", "pos").agg(F.count("*").alias("n"), F.max("inside").alias("inside"), F.max("op").alias("op"))
+            per = per.observe(watched, F.max((F.col("n") > 1) | bad_key(per, "k")).alias("bad"))
+            op, pos, inside = "op", "pos", "inside"
+        touched = per.groupBy(F.col(pos).alias("pos")).agg(F.max(inside).alias("dirty"), *[F.sum((named(op) == o).cast("long")).alias(o) for o in (UPSERT, DELETE)]).collect()
+        if key is not None and touched and watched.get["bad"]:  # without rows nothing is observed
+            check_mutations(placed.select(F.col(key).alias("key")))
         dirty = {r.pos for r in touched if r.dirty} | set(force)
         unknown = dirty - set(range(len(self.blocks)))
         if unknown:
@@ -294,8 +301,7 @@ class KeyedTable:
         with _Staging(self.files, self.files.qualified(dest), self.path) as staging:
             asked = full.df.select(F.struct(*[named(f.name) for f in self.schema]).alias("row"), F.col(self.key).alias("k"), named(full.op).alias("op"))
             stored = _stored(self._placed(asked, "k", "pos", "inside"), f"{staging.path}/mutations")
-            check_mutations(stored.select(F.col("k").alias("key")))
-            plan = self._plan(stored, "op", "pos", "inside", force)
+            plan = self._plan(stored, "op", "pos", "inside", force, "k")
             never: frozenset[str] = frozenset()
             if self.row_groups:
                 never, whole = self._declared(plan)
@@ -309,18 +315,17 @@ class KeyedTable:
             mean = sum(b.n_bytes for b in self.blocks) // max(1, self.block_count)
             got, out = _write_groups(self, base.unionByName(changes), groups, staging.path, options, rows, merge=True, mean_bytes=mean, never=never)
             upserts, deletes = (sum(c[i] for c in plan.counts.values()) for i in (0, 1))
-            fresh = self._blocks([(f, n) for _, f, n in out], False)
-            if got["added"] != upserts or sum(b.n_rows for b in fresh) != got["rows"]:
-                raise KeyedTableError("the files do not hold all rows")
+            if got["added"] != upserts:
+                raise KeyedTableError("the files do not hold all upserts")
             done = time.perf_counter()
             copied = self._commit(staging, self._layout(plan, out))
         table = self._made(dest)
         if not self.row_groups:
-            table._know([*plan.raw, *fresh])
+            table._know([*plan.raw, *(b for _, b in out)])
         rows_in = sum(b.n_rows for b in self.blocks)
         report = RewriteReport(
             rows_in=rows_in, rows_out=sum(b.n_rows for b in plan.raw) + got["rows"], inserted=upserts - got["updated"], updated=got["updated"], deleted=got["deleted"], absent_deletes=deletes - got["deleted"],
-            raw_blocks=len(plan.raw), merged_blocks=len(plan.dirty), new_fragments=len(plan.gaps), files_out=len(self._layout(plan, out)), bytes_copied=copied, bytes_encoded=sum(n for _, _, n in out),
+            raw_blocks=len(plan.raw), merged_blocks=len(plan.dirty), new_fragments=len(plan.gaps), files_out=len(self._layout(plan, out)), bytes_copied=copied, bytes_encoded=sum(b.n_bytes for _, b in out),
             plan_seconds=planned - start, merge_seconds=done - planned, commit_seconds=time.perf_counter() - done,
         )
         return table, report
@@ -337,12 +342,11 @@ class KeyedTable:
             else:
                 groups = [_Group(b.number, b.key_min, b.n_rows) for b in self.blocks]
             got, out = _write_groups(self, _tagged(df, self.key), groups, staging.path, options, rows, merge=False, cut=not coalesce)
-            fresh = self._blocks([(f, n) for _, f, n in out], False)
-            if sum(b.n_rows for b in fresh) != got["rows"] or got["rows"] != sum(b.n_rows for b in self.blocks):
+            if got["rows"] != sum(b.n_rows for b in self.blocks):
                 raise KeyedTableError("the files do not hold all rows")
-            self._commit(staging, [([(f, None)], True) for _, f, _ in out])
+            self._commit(staging, [([(b.file, None)], True) for _, b in out])
         table = self._made(dest)
-        table._know(fresh)
+        table._know([b for _, b in out])
         return table
 
     @property
@@ -407,17 +411,17 @@ class KeyedTable:
             out += [_Group(p, k, rows) for k in firsts.get(p, [])[1:]]
         return out
 
-    def _layout(self, plan: RewritePlan, out: list[tuple[int, str, int]]) -> list[tuple[list[tuple[str, int | None]], bool | None]]:
+    def _layout(self, plan: RewritePlan, out: list[tuple[int, Block]]) -> list[tuple[list[tuple[str, int | None]], bool | None]]:
         """The files of a new table in key order: (parts, move), as ``place_files`` takes them."""
         if not self.row_groups or not self.blocks:
-            order = sorted([((b.number, 0, 0), b.file, False) for b in plan.raw] + [((pos, 1, i), f, True) for i, (pos, f, _) in enumerate(out)])
+            order = sorted([((b.number, 0, 0), b.file, False) for b in plan.raw] + [((pos, 1, i), b.file, True) for i, (pos, b) in enumerate(out)])
             return [([(f, None)], move) for _, f, move in order]
         files: dict[str, list[tuple[str, int | None]]] = {b.file: [] for b in self.blocks}
         first = self.blocks[0].file
-        files[first] += [(f, None) for pos, f, _ in out if pos < 0]
         new: dict[int, list[str]] = {}
-        for pos, f, _ in out:
-            new.setdefault(pos, []).append(f)
+        for pos, b in out:
+            new.setdefault(pos, []).append(b.file)
+        files[first] += [(f, None) for f in new.get(-1, [])]
         whole = {b.file for b in self.blocks}
         for b in self.blocks:
             if b.number not in plan.dirty:
@@ -515,9 +519,9 @@ def _starts(spark: SparkSession, keys: DataFrame, rows: int, staging: str, seen:
     return watched.get, firsts
 
 
-def _write_groups(table: KeyedTable, tagged: DataFrame, groups: list[_Group], staging: str, options: WriteOptions, rows: int, merge: bool, cut: bool = True, mean_bytes: int = 1 << 30, never: frozenset[str] = frozenset()) -> tuple[dict, list[tuple[int, str, int]]]:
+def _write_groups(table: KeyedTable, tagged: DataFrame, groups: list[_Group], staging: str, options: WriteOptions, rows: int, merge: bool, cut: bool = True, mean_bytes: int = 1 << 30, never: frozenset[str] = frozenset()) -> tuple[dict, list[tuple[int, Block]]]:
     """Write ``row, k, op`` in files of ``rows``, each group by itself and sorted by key. What was
-    observed, and (position, file, bytes) of each file in order.
+    observed, and (position, block) of each file in order, whose rows are held against it.
 
     One shuffle deals groups to tasks by their rows. merge: a base row (no op) whose key has an op
     too goes, and so do deletes. cut: groups can have more rows than one file; the running number
@@ -555,10 +559,12 @@ def _write_groups(table: KeyedTable, tagged: DataFrame, groups: list[_Group], st
     with _microseconds(spark):
         final.write.options(**options.of_writer(rows, mean_bytes)).partitionBy(part, number).parquet(out)
     found = []
-    for file, n in table.files.list(out):
-        at = re.search(rf"/{re.escape(part)}=(\d+)/{re.escape(number)}=(\d+)/[^/]*$", file)
-        found.append((int(at[1]), int(at[2]), file, n))
-    return watched.get, [(groups[g].pos, f, n) for g, _, f, n in sorted(found)]
+    for block in table._blocks(out):
+        at = re.search(rf"/{re.escape(part)}=(\d+)/{re.escape(number)}=(\d+)/[^/]*$", block.file)
+        found.append((groups[int(at[1])].pos, block))
+    if sum(b.n_rows for _, b in found) != watched.get["rows"]:
+        raise KeyedTableError("the files do not hold all rows")
+    return watched.get, found
 
 
 def _filler(kind: T.DataType) -> Column | None:

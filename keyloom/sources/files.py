@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from contextlib import suppress
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,11 +46,14 @@ class Files:
         if not fs.rename(p, self.jvm.org.apache.hadoop.fs.Path(dest)):
             raise OSError(f"cannot rename {source} to {dest}")
 
-    def list(self, path: str) -> list[tuple[str, int]]:
-        """(path, bytes) of all Parquet files below, by path, as Spark itself lists them; no
-        content is read."""
+    def below(self, path: str) -> DataFrame:
+        """``path, length`` of all Parquet files below, as Spark itself lists them; no content is read."""
         found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-        return sorted((r.path, r.length) for r in found.select("path", "length").collect())
+        return found.select("path", "length")
+
+    def list(self, path: str) -> list[tuple[str, int]]:
+        """(path, bytes) of all Parquet files below, by path."""
+        return sorted((r.path, r.length) for r in self.below(path).collect())
 
 
 def whole(source: str, dest: str, move: bool) -> int:

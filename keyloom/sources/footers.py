@@ -12,16 +12,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 
 def _reader(key: str, kind: pa.DataType):
-    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("n_rows", pa.int64()), ("n_bytes", pa.int64()), ("key_min", kind), ("key_max", kind), ("codec", pa.string())])
+    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("n_rows", pa.int64()), ("n_bytes", pa.int64()), ("key_min", kind), ("key_max", kind), ("codec", pa.string()), ("file_bytes", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
         for batch in batches:
-            for uri in batch.column("file").to_pylist():
+            for uri in batch.column("path").to_pylist():
                 fs, path = pafs.FileSystem.from_uri(uri)
                 with fs.open_input_file(path) as f:
+                    size = f.size()
                     footer = pq.ParquetFile(f).metadata
                     column = [footer.schema.column(i).path for i in range(footer.num_columns)].index(key)
                     rows = []
@@ -30,21 +31,19 @@ def _reader(key: str, kind: pa.DataType):
                         chunk = group.column(column)
                         s = chunk.statistics
                         has = s is not None and s.has_min_max
-                        rows.append((uri, b, group.num_rows, group.total_byte_size, s.min if has else None, s.max if has else None, chunk.compression))
+                        rows.append((uri, b, group.num_rows, group.total_byte_size, s.min if has else None, s.max if has else None, chunk.compression, size))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return read
 
 
-def block_stats(spark: SparkSession, files: list[str], key: str, key_type: T.DataType) -> DataFrame:
-    """``file, block, n_rows, n_bytes, key_min, key_max, codec``: one row per row group. Bounds are
-    null where a footer has none. Files without row groups give no rows."""
-    schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("block", T.LongType()), T.StructField("n_rows", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("key_min", key_type), T.StructField("key_max", key_type), T.StructField("codec", T.StringType())])
-    if not files:
-        return spark.createDataFrame([], schema)
-    tasks = min(len(files), max(spark.sparkContext.defaultParallelism, len(files) // 256))
-    return spark.createDataFrame([(f,) for f in files], "file string").repartition(tasks).mapInArrow(_reader(key, to_arrow_type(key_type)), schema)
+def block_stats(spark: SparkSession, found: DataFrame, key: str, key_type: T.DataType) -> DataFrame:
+    """``file, block, n_rows, n_bytes, key_min, key_max, codec, file_bytes``: one row per row group of the
+    files in ``found`` (``path``). Bounds are null where a footer has none. Files without row groups
+    give no rows."""
+    names = (("file", T.StringType()), ("block", T.LongType()), ("n_rows", T.LongType()), ("n_bytes", T.LongType()), ("key_min", key_type), ("key_max", key_type), ("codec", T.StringType()), ("file_bytes", T.LongType()))
+    return found.select("path").mapInArrow(_reader(key, to_arrow_type(key_type)), T.StructType([T.StructField(n, t) for n, t in names]))
 
 
 def _always(kind: pa.DataType) -> bool:
