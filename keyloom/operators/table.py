@@ -254,7 +254,7 @@ class KeyedTable:
             if validate and first["twice"]:
                 raise KeyedTableError("some key occurs more than once")
             groups = [_Group(-1, k, rows) for k in firsts.get(-1, [])]
-            got, out = _write_groups(table, _tagged(df, key), groups, staging.path, options, rows, merge=False, cut=False)
+            got, out = _write_groups(table, _tagged(df, key), groups, staging.path, options, rows, merge=False)
             if (got["rows"], got["keys"] or 0) != (first["rows"] or 0, first["keys"] or 0):
                 raise KeyedTableError("the source gave other keys when it was read again")
             table._commit(staging, [([(b.file, None)], True) for _, b in out])
@@ -341,7 +341,7 @@ class KeyedTable:
                 groups = [_Group(-1, k, rows) for k in firsts.get(-1, [])]
             else:
                 groups = [_Group(b.number, b.key_min, b.n_rows) for b in self.blocks]
-            got, out = _write_groups(self, _tagged(df, self.key), groups, staging.path, options, rows, merge=False, cut=not coalesce)
+            got, out = _write_groups(self, _tagged(df, self.key), groups, staging.path, options, rows, merge=False)
             if got["rows"] != sum(b.n_rows for b in self.blocks):
                 raise KeyedTableError("the files do not hold all rows")
             self._commit(staging, [([(b.file, None)], True) for _, b in out])
@@ -519,13 +519,13 @@ def _starts(spark: SparkSession, keys: DataFrame, rows: int, staging: str, seen:
     return watched.get, firsts
 
 
-def _write_groups(table: KeyedTable, tagged: DataFrame, groups: list[_Group], staging: str, options: WriteOptions, rows: int, merge: bool, cut: bool = True, mean_bytes: int = 1 << 30, never: frozenset[str] = frozenset()) -> tuple[dict, list[tuple[int, Block]]]:
+def _write_groups(table: KeyedTable, tagged: DataFrame, groups: list[_Group], staging: str, options: WriteOptions, rows: int, merge: bool, mean_bytes: int = 1 << 30, never: frozenset[str] = frozenset()) -> tuple[dict, list[tuple[int, Block]]]:
     """Write ``row, k, op`` in files of ``rows``, each group by itself and sorted by key. What was
     observed, and (position, block) of each file in order, whose rows are held against it.
 
-    One shuffle deals groups to tasks by their rows. merge: a base row (no op) whose key has an op
-    too goes, and so do deletes. cut: groups can have more rows than one file; the running number
-    in a group, which its task holds in order, tells the file. never: columns to be declared never
+    One shuffle deals groups to tasks by their rows, one sort brings a task's groups and their keys in
+    order, and the writer begins a file with each group and after so many rows. merge: a base
+    row (no op) whose key has an op too goes, and so do deletes. never: columns to be declared never
     null; all others can be, whatever their source says.
     """
     spark = table.spark
@@ -550,17 +550,17 @@ def _write_groups(table: KeyedTable, tagged: DataFrame, groups: list[_Group], st
         dealt = dealt.observe(watched, *[F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0)).alias(n) for n, c in seen.items()]).where(stays)
     else:
         dealt = dealt.observe(watched, F.count("*").alias("rows"), F.bit_xor(F.xxhash64("k")).alias("keys"))
-    chunk = F.floor((F.row_number().over(Window.partitionBy("task", "part").orderBy("k")) - 1) / rows).cast("int") if cut else F.lit(0)
-    key, part, number = free(table.schema.fieldNames(), "k", "part", "chunk")
+    key, task, part = free(table.schema.fieldNames(), "k", "task", "part")
     fields = [_set(F.col("row")[f.name], f) if f.name in never else F.col("row")[f.name].alias(f.name) for f in table.schema]
-    final = dealt.withColumn("chunk", chunk).select(*fields, F.col("k").alias(key), F.col("part").alias(part), F.col("chunk").alias(number))
-    final = final.sortWithinPartitions(named(part), named(number), named(key)).drop(key)
+    final = dealt.select(*fields, F.col("k").alias(key), F.col("task").alias(task), F.col("part").alias(part))
+    # The rows are in this order already: the planner sees that and sorts once.
+    final = final.sortWithinPartitions(named(task), named(part), named(key)).drop(key)
     out = f"{staging}/files"
     with _microseconds(spark):
-        final.write.options(**options.of_writer(rows, mean_bytes)).partitionBy(part, number).parquet(out)
+        final.write.options(**options.of_writer(rows, mean_bytes)).option("maxRecordsPerFile", rows).partitionBy(task, part).parquet(out)
     found = []
     for block in table._blocks(out):
-        at = re.search(rf"/{re.escape(part)}=(\d+)/{re.escape(number)}=(\d+)/[^/]*$", block.file)
+        at = re.search(rf"/{re.escape(part)}=(\d+)/[^/]*$", block.file)
         found.append((groups[int(at[1])].pos, block))
     if sum(b.n_rows for _, b in found) != watched.get["rows"]:
         raise KeyedTableError("the files do not hold all rows")

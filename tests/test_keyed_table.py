@@ -6,6 +6,7 @@ import hashlib
 import math
 import os
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -406,3 +407,15 @@ def test_a_damaged_splice_is_an_error(spark, tmp_path):
     splice([(a, None), (a, 0)], f"file:{tmp_path}/y.parquet")
     assert spark.read.parquet(f"{tmp_path}/y.parquet").count() == 20
     assert not [n for n in os.listdir(tmp_path) if "x.parquet" in n]
+
+
+def test_rows_move_and_are_sorted_once(spark, tmp_path):
+    df = spark.range(3000).selectExpr("id as key", "id as v")
+    table = KeyedTable.create(spark, df, f"{tmp_path}/a", "key", WriteOptions(500))
+    out, _ = table.rewrite(Mutations.upserts(df.where("key % 700 = 7"), "key"), f"{tmp_path}/b", WriteOptions(150))
+    assert [b.n_rows for b in out.blocks[:4]] == [150, 150, 150, 50] and out.unsorted_rows().count() == 0
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    plan = next(p for p in reversed(plans) if "InsertIntoHadoopFsRelationCommand" in p and "Window" in p).split("== Initial Plan ==")[0]
+    tree = plan.split("\n\n\n")[0]
+    assert len(re.findall(r"\bSort \(", tree)) == 1 and len(re.findall(r"\bExchange \(", tree)) == 1
