@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, texts_by_bytes
+from .common import chunk_parts, dealt_by_chunk, materialize, texts_by_bytes
 from .encoding import encoder
 
 CLASSES, WIDTH, WINDOW, STRIDE = 32, 16, 16, 8
@@ -294,16 +294,14 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 some = rows.slice(at, 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk, np.int32)), some.cast(pa.binary()), n.slice(at, 100_000)], ["chunk", "word", "n"])
 
-    for batch in batches:
-        for number in pc.unique(batch.column("chunk")).to_pylist():
-            if number != chunk:
-                yield from out()
-                trained, others, chunk = [], [], number
-            own = batch.filter(pc.equal(batch.column("chunk"), number))
-            for held, into in ((False, trained), (True, others)):
-                part = own.filter(pc.equal(own.column("held_out"), held))
-                for i, j in texts_by_bytes(part, "text"):
-                    into.append(split_words(part.column("text").slice(i, j - i))[0])
+    for number, own in chunk_parts(batches):
+        if number != chunk:
+            yield from out()
+            trained, others, chunk = [], [], number
+        for held, into in ((False, trained), (True, others)):
+            part = own.filter(pc.equal(own.column("held_out"), held))
+            for i, j in texts_by_bytes(part, "text"):
+                into.append(split_words(part.column("text").slice(i, j - i))[0])
     yield from out()
 
 
@@ -455,10 +453,37 @@ def train(texts: DataFrame, dtype: np.dtype, shared, shard_ids: int = 6 << 20, m
 
 def _encoded(path: str, train_tokens: int, distinct: int, end_count: int) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, False)
-        known, counts = [pa.array([], pa.string())], [np.zeros(0, np.int64)]
-        parts, listed = [], [pa.array([], pa.string())]
-        for batch in batches:  # a chunk's words and texts come in any order
+        enc, chunk = encoder(path, False), None
+        known: list[pa.Array] = []
+        counts: list[np.ndarray] = []
+        parts: list[tuple[list[pa.Array], np.ndarray]] = []
+        listed: list[pa.Array] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            coded = pa.concat_arrays([pa.array([], pa.string()), *listed]).dictionary_encode()
+            listed.clear()
+            every, numbers = coded.dictionary, coded.indices.to_numpy()
+            at = pc.fill_null(pc.index_in(every, value_set=pa.concat_arrays([pa.array([], pa.string()), *known])), -1).to_numpy()
+            # Number 0 is the end of a text, then come the words; those not trained on have the count 0 put last.
+            c = np.append(end_count, np.concatenate([*counts, np.zeros(1, np.int64)])[at])
+            logs = np.log10(c + 0.5) - math.log10(train_tokens + 0.5 * (distinct + 1))
+            pool = word_pool(enc, every)
+            done = 0
+            for columns, sizes in parts:
+                own = numbers[done : done + int(sizes.sum())].astype(np.int64)
+                words, done, sizes = np.insert(own + 1, np.cumsum(sizes), 0), done + len(own), sizes + 1
+                first = np.cumsum(sizes) - sizes
+                ids, n = joined_ids(pool, words, first)
+                edges = np.append(0, np.cumsum(n) * ids.itemsize)
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((c[words] > 0).astype(np.int64), first)), pa.array(np.add.reduceat(logs[words], first)), pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids.tobytes())]).cast(pa.binary())],
+                    ["doc_id", "held_out", "place", "n_tokens", "n_known", "base_score", "ids"],
+                )
+
+        for number, batch in chunk_parts(batches):  # a chunk's words and texts come in any order
+            if number != chunk:
+                yield from out()
+                known, counts, parts, chunk = [], [], [], number
             is_word = batch.column("is_word")
             some = batch.filter(is_word)
             known.append(some.column("text").cast(pa.string()))
@@ -470,25 +495,7 @@ def _encoded(path: str, train_tokens: int, distinct: int, end_count: int) -> Cal
                 listed.append(words)
                 # Arrow slices keep their batch, texts and all: these columns are copied.
                 parts.append(([pa.concat_arrays([some.column(c)]) for c in ("doc_id", "held_out", "place")], sizes))
-        coded = pa.concat_arrays(listed).dictionary_encode()
-        del listed
-        every, numbers = coded.dictionary, coded.indices.to_numpy()
-        at = pc.fill_null(pc.index_in(every, value_set=pa.concat_arrays(known)), -1).to_numpy()
-        # Number 0 is the end of a text, then come the words; those not trained on have the count 0 put last.
-        c = np.append(end_count, np.append(np.concatenate(counts), 0)[at])
-        logs = np.log10(c + 0.5) - math.log10(train_tokens + 0.5 * (distinct + 1))
-        pool = word_pool(enc, every)
-        done = 0
-        for columns, sizes in parts:
-            own = numbers[done : done + int(sizes.sum())].astype(np.int64)
-            words, done, sizes = np.insert(own + 1, np.cumsum(sizes), 0), done + len(own), sizes + 1
-            first = np.cumsum(sizes) - sizes
-            ids, n = joined_ids(pool, words, first)
-            edges = np.append(0, np.cumsum(n) * ids.itemsize)
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((c[words] > 0).astype(np.int64), first)), pa.array(np.add.reduceat(logs[words], first)), pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids.tobytes())]).cast(pa.binary())],
-                ["doc_id", "held_out", "place", "n_tokens", "n_known", "base_score", "ids"],
-            )
+        yield from out()
 
     return encode
 
@@ -506,8 +513,8 @@ def _scorer(dtype: np.dtype, shared, flat: np.ndarray) -> Callable:
 def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 24 << 20) -> DataFrame:
     """Per document ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
-    Documents are dealt to chunks of about ``chunk_bytes`` of text by a hash. Each chunk lists its
-    words; their counts over all training texts are summed by word and joined back, so a chunk
+    Documents are dealt to chunks of about ``chunk_bytes`` of text by a hash, chunks to a bounded number
+    of tasks, which take theirs one after the other. Each chunk lists its words; their counts over all training texts are summed by word and joined back, so a chunk
     gets the counts of its own words, however large the vocabulary. One Arrow stage, which holds
     a chunk, encodes its texts and writes their ids. The model is then trained on all ids of all
     training documents and scores all documents from those, both in streams of batches. Subword
@@ -524,7 +531,7 @@ def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 24 << 20
     chunks, train_docs = max(1, math.ceil((stats.bytes or 0) / chunk_bytes)), stats.train or 0
     keyed = all_.withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)).withColumn("chunk", F.pmod("place", F.lit(chunks)).cast("int"))
 
-    listed = keyed.select("chunk", "held_out", "text").repartitionById(chunks, "chunk")
+    listed = dealt_by_chunk(keyed.select("chunk", "held_out", "text"), chunks)
     vocabulary = materialize(listed.mapInArrow(_words, "chunk int, word binary, n long"), "words")
     # A word has one row a chunk; one shuffle brings them together, for its total and back to its chunks.
     same = Window.partitionBy("word")
@@ -537,7 +544,7 @@ def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 24 << 20
     nothing = {"doc_id": kind, "held_out": "boolean", "place": "long"}
     words = counted.select("chunk", F.lit(True).alias("is_word"), F.col("word").alias("text"), F.col("c").alias("n"), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
     texts = keyed.select("chunk", F.lit(False).alias("is_word"), "text", F.lit(None).cast("long").alias("n"), *nothing)
-    both = words.unionByName(texts).repartitionById(chunks, "chunk").drop("chunk")
+    both = dealt_by_chunk(words.unionByName(texts), chunks)
     schema = f"doc_id {kind}, held_out boolean, place long, n_tokens long, n_known long, base_score double, ids binary"
     encoded = materialize(both.mapInArrow(_encoded(tokenizer, train_tokens, distinct, train_docs), schema), "ids")
 

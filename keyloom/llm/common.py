@@ -102,6 +102,28 @@ def texts_by_bytes(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) ->
         yield start, len(sizes)
 
 
+#: Tasks of a shuffle by chunks at most; beyond, a task gets several, one after the other.
+MOST_TASKS = 50_000
+
+
+def dealt_by_chunk(df: DataFrame, chunks: int, most: int | None = None) -> DataFrame:
+    """``df`` with each ``chunk``, numbered from 0, whole in one task, and a task's chunks one after the other."""
+    tasks = min(chunks, most or MOST_TASKS)
+    dealt = df.repartitionById(tasks, F.pmod(F.col("chunk"), F.lit(tasks)).cast("int"))
+    return dealt if tasks == chunks else dealt.sortWithinPartitions("chunk")
+
+
+def chunk_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of batches in parts of one ``chunk`` each."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        chunks = batch.column("chunk")
+        numbers = pc.unique(chunks).to_pylist()
+        for number in numbers:
+            yield number, batch if len(numbers) == 1 else batch.filter(pc.equal(chunks, number))
+
+
 def ranked(df: DataFrame, group: list[str], cell: str, order: list, value: str | None, out: str) -> DataFrame:
     """Exclusive running sum of ``value`` (row number from 0 where None) within ``group``, native.
 

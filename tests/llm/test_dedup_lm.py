@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from keyloom.llm import attention_lm as lm
-from keyloom.llm import simhash
+from keyloom.llm import common, simhash
 from keyloom.llm.common import joined_by_key
 from keyloom.llm.components import connected_components
 
@@ -318,6 +318,15 @@ def test_words_without_ids_cost(spark):
     assert ids.tolist()[-3:-1].count(enc.tokenizer.get_vocab_size() + 1) <= 1 and enc.tokenizer.get_vocab_size() + 1 in ids
 
 
+def test_tasks_take_several_chunks(docs, monkeypatch):
+    whole = {r.doc_id: r for r in lm.score_documents(docs, WORD, chunk_bytes=60_000).collect()}
+    monkeypatch.setattr(common, "MOST_TASKS", 2)
+    again = lm.score_documents(docs, WORD, chunk_bytes=60_000).collect()
+    assert len(again) == len(whole)
+    for r in again:
+        assert r[:5] == whole[r.doc_id][:5] and r.base_score == pytest.approx(whole[r.doc_id].base_score) and r.score == pytest.approx(whole[r.doc_id].score, rel=1e-3)
+
+
 def test_language_model_of_nothing(no_docs):
     assert lm.score_documents(no_docs, WORD).count() == 0
 

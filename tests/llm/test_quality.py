@@ -195,6 +195,14 @@ def test_kneser_ney(spark):
     assert got[5][1] < 4 * math.log10(1 / kneser_ney.OUTCOMES)  # no symbol stands for all unknown ones
 
 
+def test_chunks_listed_in_parts(spark, docs, monkeypatch):
+    model = kneser_ney.train(docs.limit(50))
+    some = {r.row.doc_id: r.log10_prob for r in kneser_ney.scored(docs, ["doc_id"], model, chunk_bytes=20_000).collect()}
+    monkeypatch.setattr(kneser_ney, "MOST_TASKS", 2)
+    monkeypatch.setattr(kneser_ney, "HELD", 1)
+    assert {r.row.doc_id: r.log10_prob for r in kneser_ney.scored(docs, ["doc_id"], model, chunk_bytes=20_000).collect()} == pytest.approx(some)
+
+
 def test_texts_are_shuffled_once(spark, docs):
     model = kneser_ney.Model(spark.createDataFrame([], "kind int, code long, value double"), 1.0)
     out = kneser_ney.scored(docs, ["doc_id"], model)
