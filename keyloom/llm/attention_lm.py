@@ -18,9 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from .common import chunk_parts, dealt_by_chunk, materialize, texts_by_bytes
+from .common import MOST_TASKS, chunk_parts, materialize, texts_by_bytes
 from .encoding import encoder
 
 CLASSES, WIDTH, WINDOW, STRIDE = 32, 16, 16, 8
@@ -29,6 +30,7 @@ BATCH = 512  # training windows a step
 OTHER, START = SYMBOLS - 1, SYMBOLS  # all rarer ids; what stands before a text
 PARAMS = {"E": (SYMBOLS + 1, WIDTH), "P": (WINDOW, WIDTH), "Wq": (WIDTH, WIDTH), "Wk": (WIDTH, WIDTH), "Wv": (WIDTH, WIDTH), "Wo": (WIDTH, WIDTH), "Uc": (WIDTH, CLASSES), "Us": (CLASSES, WIDTH, CLASSES)}
 HEADS = ("Wq", "Wk", "Wv")
+HELD = 8  # chunks whose words a task holds at once
 _MASK = np.where(np.tril(np.ones((WINDOW, WINDOW))) > 0, 0.0, -1e9).astype(np.float32)
 _CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 _ONES = np.ones(CLASSES, np.float32)
@@ -279,51 +281,33 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, word, n): every distinct word of a chunk, with its count in training texts."""
-    trained: list[pa.Array] = []
-    others: list[pa.Array] = []
-    chunk = 0
+    """(chunk, word, n): every distinct word of a chunk, with its count in training texts. A chunk whose
+    rows come far apart is listed in parts."""
+    held: dict[int, tuple[list[pa.Array], list[pa.Array]]] = {}  # words of training texts, of others
 
     def out() -> Iterator[pa.RecordBatch]:
-        counted = pa.chunked_array(trained, pa.string()).value_counts()
-        words = counted.field("values")
-        unseen = pa.chunked_array(others, pa.string()).unique()
-        unseen = unseen.filter(pc.invert(pc.is_in(unseen, value_set=words)))
-        for rows, n in ((words, counted.field("counts").cast(pa.int64())), (unseen, pa.array(np.zeros(len(unseen), np.int64)))):
-            for at in range(0, len(rows), 100_000):
-                some = rows.slice(at, 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk, np.int32)), some.cast(pa.binary()), n.slice(at, 100_000)], ["chunk", "word", "n"])
+        for chunk, (trained, others) in held.items():
+            counted = pa.chunked_array(trained, pa.string()).value_counts()
+            words = counted.field("values")
+            unseen = pa.chunked_array(others, pa.string()).unique()
+            unseen = unseen.filter(pc.invert(pc.is_in(unseen, value_set=words)))
+            for rows, n in ((words, counted.field("counts").cast(pa.int64())), (unseen, pa.array(np.zeros(len(unseen), np.int64)))):
+                for at in range(0, len(rows), 100_000):
+                    some = rows.slice(at, 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk, np.int32)), some.cast(pa.binary()), n.slice(at, 100_000)], ["chunk", "word", "n"])
+        held.clear()
 
     for number, own in chunk_parts(batches):
-        if number != chunk:
+        if number not in held and len(held) >= HELD:
             yield from out()
-            trained, others, chunk = [], [], number
-        for held, into in ((False, trained), (True, others)):
-            part = own.filter(pc.equal(own.column("held_out"), held))
+        both = held.setdefault(number, ([], []))
+        for is_other, into in enumerate(both):
+            part = own.filter(pc.equal(own.column("held_out"), bool(is_other)))
             for i, j in texts_by_bytes(part, "text"):
                 into.append(split_words(part.column("text").slice(i, j - i))[0])
     yield from out()
 
 
-def _pair_counts(path: str) -> Callable:
-    """(before, id, n): counts of ids by the id before in the word; -1 before a word's first."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, False)
-        for batch in batches:
-            ids, begins, sizes = word_pool(enc, batch.column("word").cast(pa.string()))
-            flat = ids[1:].astype(np.int64)
-            if not len(flat):
-                continue
-            before = np.r_[-1, flat[:-1]]
-            before[begins[1:] - 1] = -1
-            code, at = np.unique((before + 1) << 32 | flat, return_inverse=True)
-            n = np.bincount(at, weights=np.repeat(batch.column("c").to_numpy(), sizes[1:])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((code >> 32) - 1), pa.array(code & 0xFFFFFFFF), pa.array(n)], ["before", "id", "n"])
-
-    return count
-
-
 def id_type(enc) -> np.dtype:
     """Of ids, of the end of a text, numbered after all of them, and of a word without ids, after that."""
     return np.dtype("<u2" if enc.tokenizer.get_vocab_size() + 2 <= 1 << 16 else "<u4")
@@ -451,51 +435,65 @@ def train(texts: DataFrame, dtype: np.dtype, shared, shard_ids: int = 6 << 20, m
 # --- scoring -------------------------------------------------------------------------------
 
 
-def _encoded(path: str, train_tokens: int, distinct: int, end_count: int) -> Callable:
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, chunk = encoder(path, False), None
-        known: list[pa.Array] = []
-        counts: list[np.ndarray] = []
-        parts: list[tuple[list[pa.Array], np.ndarray]] = []
-        listed: list[pa.Array] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            coded = pa.concat_arrays([pa.array([], pa.string()), *listed]).dictionary_encode()
-            listed.clear()
-            every, numbers = coded.dictionary, coded.indices.to_numpy()
-            at = pc.fill_null(pc.index_in(every, value_set=pa.concat_arrays([pa.array([], pa.string()), *known])), -1).to_numpy()
-            # Number 0 is the end of a text, then come the words; those not trained on have the count 0 put last.
-            c = np.append(end_count, np.concatenate([*counts, np.zeros(1, np.int64)])[at])
-            logs = np.log10(c + 0.5) - math.log10(train_tokens + 0.5 * (distinct + 1))
-            pool = word_pool(enc, every)
-            done = 0
-            for columns, sizes in parts:
-                own = numbers[done : done + int(sizes.sum())].astype(np.int64)
-                words, done, sizes = np.insert(own + 1, np.cumsum(sizes), 0), done + len(own), sizes + 1
-                first = np.cumsum(sizes) - sizes
-                ids, n = joined_ids(pool, words, first)
-                edges = np.append(0, np.cumsum(n) * ids.itemsize)
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((c[words] > 0).astype(np.int64), first)), pa.array(np.add.reduceat(logs[words], first)), pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids.tobytes())]).cast(pa.binary())],
-                    ["doc_id", "held_out", "place", "n_tokens", "n_known", "base_score", "ids"],
-                )
-
-        for number, batch in chunk_parts(batches):  # a chunk's words and texts come in any order
-            if number != chunk:
-                yield from out()
-                known, counts, parts, chunk = [], [], [], number
-            is_word = batch.column("is_word")
-            some = batch.filter(is_word)
-            known.append(some.column("text").cast(pa.string()))
-            counts.append(some.column("n").to_numpy(zero_copy_only=False).astype(np.int64))
-            texts = batch.filter(pc.invert(is_word))
-            for i, j in texts_by_bytes(texts, "text", 1 << 20):
-                some = texts.slice(i, j - i)
+_ENCODED = "held_out boolean, place long, n_tokens long, n_known long, base_sum double, ids binary, before long, id long, n long"
+
+
+def _encoder(path: str, end_count: int, doc_id: pa.DataType) -> Callable:
+    """The texts of a chunk and its words with their counts over all training texts (``word, c, first``:
+    true in one chunk for each word) to rows of two sorts: documents, and what the first
+    words add to counts of ids by the id before (-1 before a word's first), to all words (-2, 0)
+    and to distinct ones (-2, 1)."""
+    names = [x.split()[0] for x in _ENCODED.split(", ")]
+    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    schema = pa.schema([("doc_id", doc_id), *zip(names, kinds, strict=True)])
+
+    def rows(n: int, given: dict[str, pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+    def encode(texts: pa.Table, counted: pa.Table) -> pa.Table:
+        enc, parts, listed, out = encoder(path, False), [], [pa.array([], pa.string())], []
+        for batch in texts.to_batches():
+            for i, j in texts_by_bytes(batch, "text", 1 << 20):
+                some = batch.slice(i, j - i)
                 words, sizes = split_words(some.column("text"))
                 listed.append(words)
-                # Arrow slices keep their batch, texts and all: these columns are copied.
-                parts.append(([pa.concat_arrays([some.column(c)]) for c in ("doc_id", "held_out", "place")], sizes))
-        yield from out()
+                parts.append((some, sizes))
+        coded = pa.concat_arrays(listed).dictionary_encode()
+        del listed
+        every, numbers = coded.dictionary, coded.indices.to_numpy()
+        # A word can come twice, if its chunk was listed in parts.
+        known = pa.chunked_array([x.cast(pa.string()) for x in counted.column("word").chunks], pa.string()).combine_chunks().dictionary_encode()
+        where, size = known.indices.to_numpy(), len(known.dictionary)
+        c, first = np.zeros(size + 1, np.int64), np.zeros(size + 1, bool)
+        c[where] = counted.column("c").to_numpy()
+        first[where[counted.column("first").to_numpy(zero_copy_only=False).astype(bool)]] = True
+        at = pc.fill_null(pc.index_in(every, value_set=known.dictionary), size).to_numpy()  # the last is for unknown words
+        # Number 0 is the end of a text, then come the words.
+        c, first = np.append(end_count, c[at]), np.append(False, first[at])
+        logs, pool = np.log10(c + 0.5), word_pool(enc, every)
+
+        own = np.flatnonzero(first)
+        if len(own):
+            ids, n = joined_ids(pool, own, np.arange(len(own)))
+            flat, ends = ids.astype(np.int64), np.cumsum(n)
+            before = np.append(-1, flat[:-1])
+            before[ends - n] = -1
+            code, which = np.unique((before + 1) << 32 | flat, return_inverse=True)
+            weight = np.bincount(which, weights=np.repeat(c[own], n)).astype(np.int64)
+            both = [np.append((code >> 32) - 1, [-2, -2]), np.append(code & 0xFFFFFFFF, [0, 1]), np.append(weight, [c[own].sum(), len(own)])]
+            out.append(rows(len(both[0]), dict(zip(("before", "id", "n"), map(pa.array, both), strict=True))))
+
+        done = 0
+        for some, sizes in parts:
+            words = np.insert(numbers[done : done + int(sizes.sum())].astype(np.int64) + 1, np.cumsum(sizes), 0)
+            done, sizes = done + int(sizes.sum()), sizes + 1
+            begins = np.cumsum(sizes) - sizes
+            ids, n = joined_ids(pool, words, begins)
+            edges = np.append(0, np.cumsum(n) * ids.itemsize)
+            coded_ids = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+            found = {"n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(np.add.reduceat((c[words] > 0).astype(np.int64), begins)), "base_sum": pa.array(np.add.reduceat(logs[words], begins)), "ids": coded_ids}
+            out.append(rows(len(sizes), found | {x: some.column(x) for x in ("doc_id", "held_out", "place")}))
+        return pa.Table.from_batches(out, schema)
 
     return encode
 
@@ -505,7 +503,7 @@ def _scorer(dtype: np.dtype, shared, flat: np.ndarray) -> Callable:
         model = Scorer(flat, *shared.value)
         for batch in batches:
             for part, ids, sizes in _sequences(batch, dtype):
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")], pa.array(model.score_flat(ids, sizes))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_sum")], pa.array(model.score_flat(ids, sizes))], ["doc_id", "held_out", "n_tokens", "n_known", "base_sum", "score"])
 
     return score
 
@@ -516,7 +514,7 @@ def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 24 << 20
     Documents are dealt to chunks of about ``chunk_bytes`` of text by a hash, chunks to a bounded number
     of tasks, which take theirs one after the other. Each chunk lists its words; their counts over all training texts are summed by word and joined back, so a chunk
     gets the counts of its own words, however large the vocabulary. One Arrow stage, which holds
-    a chunk, encodes its texts and writes their ids. The model is then trained on all ids of all
+    a chunk, encodes its texts and writes their ids; texts are shuffled once for both. The model is then trained on all ids of all
     training documents and scores all documents from those, both in streams of batches. Subword
     counts and word counts come from all training documents.
 
@@ -529,38 +527,34 @@ def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 24 << 20
     all_ = docs.select("doc_id", is_held_out().alias("held_out"), text.alias("text"))
     stats = all_.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.when(F.col("held_out"), 0).otherwise(1)).alias("train")).first()
     chunks, train_docs = max(1, math.ceil((stats.bytes or 0) / chunk_bytes)), stats.train or 0
-    keyed = all_.withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)).withColumn("chunk", F.pmod("place", F.lit(chunks)).cast("int"))
+    tasks = min(chunks, MOST_TASKS)
+    keyed = all_.withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)).withColumn("chunk", F.pmod("place", F.lit(chunks)).cast("int")).repartition(tasks, "chunk")
 
-    listed = dealt_by_chunk(keyed.select("chunk", "held_out", "text"), chunks)
-    vocabulary = materialize(listed.mapInArrow(_words, "chunk int, word binary, n long"), "words")
     # A word has one row a chunk; one shuffle brings them together, for its total and back to its chunks.
     same = Window.partitionBy("word")
-    counted = vocabulary.withColumns({"c": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("word")) == 1})
-    counted = materialize(counted.where("c > 0").select("chunk", "word", "c", "first"), "counted")
-    totals = counted.where("first").select("word", "c")
-    r = totals.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    train_tokens, distinct = (r.n or 0) + train_docs, r.v + (train_docs > 0)
-
-    nothing = {"doc_id": kind, "held_out": "boolean", "place": "long"}
-    words = counted.select("chunk", F.lit(True).alias("is_word"), F.col("word").alias("text"), F.col("c").alias("n"), *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
-    texts = keyed.select("chunk", F.lit(False).alias("is_word"), "text", F.lit(None).cast("long").alias("n"), *nothing)
-    both = dealt_by_chunk(words.unionByName(texts), chunks)
-    schema = f"doc_id {kind}, held_out boolean, place long, n_tokens long, n_known long, base_score double, ids binary"
-    encoded = materialize(both.mapInArrow(_encoded(tokenizer, train_tokens, distinct, train_docs), schema), "ids")
-
-    prior, symbols = _gathered(totals, tokenizer, train_docs)
+    counted = keyed.mapInArrow(_words, "chunk int, word binary, n long").withColumns({"c": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("chunk")) == 1})
+    counted = counted.where("c > 0").select("chunk", "word", "c", "first")
+    both = keyed.groupBy("chunk").cogroup(counted.groupBy("chunk"))
+    stored = materialize(both.applyInArrow(_encoder(tokenizer, train_docs, to_arrow_type(docs.schema["doc_id"].dataType)), f"doc_id {kind}, {_ENCODED}"), "ids")
+    encoded, pairs = stored.where("before is null"), stored.where("before is not null").groupBy("before", "id").agg(F.sum("n").alias("n"))
+    pairs = materialize(pairs, "pairs")
+    sums = {r.id: r.n for r in pairs.where("before = -2").collect()}
+    train_tokens, distinct = sums.get(0, 0) + train_docs, sums.get(1, 0) + (train_docs > 0)
+
+    prior, symbols = _gathered(pairs.where("before > -2"), tokenizer, train_docs)
     shared, dtype = spark.sparkContext.broadcast((prior, symbols)), id_type(encoder(tokenizer, False))
     flat, _ = train(encoded.where(~F.col("held_out")), dtype, shared)
-    scored = encoded.drop("place").mapInArrow(_scorer(dtype, shared, flat), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_sum"]
+    scored = encoded.select(*columns, "ids").mapInArrow(_scorer(dtype, shared, flat), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_sum double, score double")
+    base = F.col("base_sum") - F.col("n_tokens") * math.log10(train_tokens + 0.5 * (distinct + 1))
+    return scored.select(*columns[:-1], F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
-def _gathered(totals: DataFrame, tokenizer: str, train_docs: int) -> tuple[Prior, Symbols]:
-    """The prior and the symbols, from the counts of all training words. The driver sees one row
+def _gathered(pairs: DataFrame, tokenizer: str, train_docs: int) -> tuple[Prior, Symbols]:
+    """The prior and the symbols, from (before, id, n) of all training words. The driver sees one row
     per id, then one per pair of symbols: at most 1,025 times 1,024, whatever the corpus."""
     tok = encoder(tokenizer, False).tokenizer
     size = tok.get_vocab_size()
-    pairs = materialize(totals.mapInArrow(_pair_counts(tokenizer), "before long, id long, n long").groupBy("before", "id").agg(F.sum("n").alias("n")), "pairs")
     counts = np.zeros(size + 2)
     for r in pairs.groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
@@ -568,7 +562,7 @@ def _gathered(totals: DataFrame, tokenizer: str, train_docs: int) -> tuple[Prior
     ends = np.array([(tok.id_to_token(i) or "").endswith("</w>") for i in range(size)] + [True, True])
     symbols = Symbols(counts, ends)
     row, symbol = np.append(symbols.row[symbols.symbol], START), symbols.symbol  # row[-1]: before a word
-    to = totals.sparkSession.createDataFrame([(i, int(row[i]), int(symbol[i])) for i in range(-1, size + 2)], "id long, row int, symbol int")
+    to = pairs.sparkSession.createDataFrame([(i, int(row[i]), int(symbol[i])) for i in range(-1, size + 2)], "id long, row int, symbol int")
     known = pairs.join(F.broadcast(to.select(F.col("id").alias("before"), "row")), "before").join(F.broadcast(to.select("id", "symbol")), "id")
     table = np.zeros((SYMBOLS + 1, SYMBOLS))
     found = known.groupBy("row", "symbol").agg(F.sum("n").alias("n")).toPandas()

@@ -106,13 +106,6 @@ def texts_by_bytes(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) ->
 MOST_TASKS = 50_000
 
 
-def dealt_by_chunk(df: DataFrame, chunks: int, most: int | None = None) -> DataFrame:
-    """``df`` with each ``chunk``, numbered from 0, whole in one task, and a task's chunks one after the other."""
-    tasks = min(chunks, most or MOST_TASKS)
-    dealt = df.repartitionById(tasks, F.pmod(F.col("chunk"), F.lit(tasks)).cast("int"))
-    return dealt if tasks == chunks else dealt.sortWithinPartitions("chunk")
-
-
 def chunk_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """The rows of batches in parts of one ``chunk`` each."""
     import pyarrow.compute as pc

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from keyloom.llm import attention_lm as lm
-from keyloom.llm import common, simhash
+from keyloom.llm import simhash
 from keyloom.llm.common import joined_by_key
 from keyloom.llm.components import connected_components
 
@@ -320,7 +320,8 @@ def test_words_without_ids_cost(spark):
 
 def test_tasks_take_several_chunks(docs, monkeypatch):
     whole = {r.doc_id: r for r in lm.score_documents(docs, WORD, chunk_bytes=60_000).collect()}
-    monkeypatch.setattr(common, "MOST_TASKS", 2)
+    monkeypatch.setattr(lm, "MOST_TASKS", 2)
+    monkeypatch.setattr(lm, "HELD", 1)
     again = lm.score_documents(docs, WORD, chunk_bytes=60_000).collect()
     assert len(again) == len(whole)
     for r in again:
