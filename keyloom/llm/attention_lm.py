@@ -30,7 +30,7 @@ BATCH = 512  # training windows a step
 OTHER, START = SYMBOLS - 1, SYMBOLS  # all rarer ids; what stands before a text
 PARAMS = {"E": (SYMBOLS + 1, WIDTH), "P": (WINDOW, WIDTH), "Wq": (WIDTH, WIDTH), "Wk": (WIDTH, WIDTH), "Wv": (WIDTH, WIDTH), "Wo": (WIDTH, WIDTH), "Uc": (WIDTH, CLASSES), "Us": (CLASSES, WIDTH, CLASSES)}
 HEADS = ("Wq", "Wk", "Wv")
-HELD = 8  # chunks whose words a task holds at once
+HELD = 4  # chunks whose words a task holds at once
 _MASK = np.where(np.tril(np.ones((WINDOW, WINDOW))) > 0, 0.0, -1e9).astype(np.float32)
 _CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 _ONES = np.ones(CLASSES, np.float32)
@@ -296,6 +296,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     some = rows.slice(at, 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk, np.int32)), some.cast(pa.binary()), n.slice(at, 100_000)], ["chunk", "word", "n"])
         held.clear()
+        pa.default_memory_pool().release_unused()
 
     for number, own in chunk_parts(batches):
         if number not in held and len(held) >= HELD:
@@ -493,6 +494,8 @@ def _encoder(path: str, end_count: int, doc_id: pa.DataType) -> Callable:
             coded_ids = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
             found = {"n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(np.add.reduceat((c[words] > 0).astype(np.int64), begins)), "base_sum": pa.array(np.add.reduceat(logs[words], begins)), "ids": coded_ids}
             out.append(rows(len(sizes), found | {x: some.column(x) for x in ("doc_id", "held_out", "place")}))
+        del coded, known, every, pool, parts
+        pa.default_memory_pool().release_unused()  # a worker lives on, and trains and scores later
         return pa.Table.from_batches(out, schema)
 
     return encode
@@ -508,7 +511,7 @@ def _scorer(dtype: np.dtype, shared, flat: np.ndarray) -> Callable:
     return score
 
 
-def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 24 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 12 << 20) -> DataFrame:
     """Per document ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Documents are dealt to chunks of about ``chunk_bytes`` of text by a hash, chunks to a bounded number
