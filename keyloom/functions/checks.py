@@ -49,10 +49,10 @@ def overlapping_blocks(stats: DataFrame) -> DataFrame:
     return stats.withColumn("reach", F.max("key_max").over(w)).where(F.col("key_min") <= F.col("reach"))
 
 
-def check_mutations(keys: DataFrame) -> None:
-    """keys: one column ``key``. One pass: no null or NaN, none twice (a delete and an upsert of one
-    key count as twice)."""
-    found = keys.groupBy("key").agg(F.count("*").alias("n"), F.first(bad_key(keys, "key")).alias("bad")).where("n > 1 or bad").limit(1).collect()
+def check_mutations(keys: DataFrame, repeats: bool = False) -> None:
+    """keys: one column ``key``. One pass: no null or NaN, and unless ``repeats`` none twice (a delete
+    and an upsert of one key count as twice)."""
+    found = keys.groupBy("key").agg(F.count("*").alias("n"), F.first(bad_key(keys, "key")).alias("bad")).where("bad" if repeats else "n > 1 or bad").limit(1).collect()
     if found:
         raise KeyedTableError("mutations hold a null or NaN key" if found[0].bad else f"mutations hold key {found[0].key!r} {found[0].n} times")
 

@@ -271,17 +271,19 @@ class KeyedTable:
     def _placed(self, df: DataFrame, key: str, pos: str, inside: str) -> DataFrame:
         return positions(df, F.col(key), self.key_type, [b.key_min for b in self.blocks], [b.key_max for b in self.blocks], pos, inside)
 
-    def _plan(self, placed: DataFrame, op: str, pos: str, inside: str, force: tuple[int, ...], key: str | None = None) -> RewritePlan:
-        """key: check in the same pass that no key is null or comes twice."""
+    def _plan(self, placed: DataFrame, op: str, pos: str, inside: str, force: tuple[int, ...], key: str | None = None, repeats: bool = False) -> RewritePlan:
+        """key: check in the same pass that no key is null or, unless ``repeats``, comes twice."""
         per, watched = placed, Observation()
+        counts = [F.sum((named(op) == o).cast("long")).alias(o) for o in (UPSERT, DELETE)]
         if key is not None:
             keys = placed.select(F.col(key).alias("k"), F.col(pos).alias("pos"), F.col(inside).alias("inside"), F.col(op).alias("op"))
-            per = keys.groupBy("k", "pos").agg(F.count("*").alias("n"), F.max("inside").alias("inside"), F.max("op").alias("op"))
-            per = per.observe(watched, F.max((F.col("n") > 1) | bad_key(per, "k")).alias("bad"))
-            op, pos, inside = "op", "pos", "inside"
-        touched = per.groupBy(F.col(pos).alias("pos")).agg(F.max(inside).alias("dirty"), *[F.sum((named(op) == o).cast("long")).alias(o) for o in (UPSERT, DELETE)]).collect()
+            per = keys.groupBy("k", "pos").agg(F.count("*").alias("n"), F.max("inside").alias("inside"), F.sum((F.col("op") == UPSERT).cast("long")).alias("ups"))
+            per = per.observe(watched, F.max(bad_key(per, "k") if repeats else (F.col("n") > 1) | bad_key(per, "k")).alias("bad"))
+            pos, inside = "pos", "inside"
+            counts = [F.sum("ups").alias(UPSERT), F.sum((F.col("ups") == 0).cast("long")).alias(DELETE)]
+        touched = per.groupBy(F.col(pos).alias("pos")).agg(F.max(inside).alias("dirty"), *counts).collect()
         if key is not None and touched and watched.get["bad"]:  # without rows nothing is observed
-            check_mutations(placed.select(F.col(key).alias("key")))
+            check_mutations(placed.select(F.col(key).alias("key")), repeats)
         dirty = {r.pos for r in touched if r.dirty} | set(force)
         unknown = dirty - set(range(len(self.blocks)))
         if unknown:
@@ -294,14 +296,18 @@ class KeyedTable:
         byte for byte. Nothing is at ``dest`` unless all of it is.
 
         The mutations are read once and stored with their positions; all else works on that. Rows
-        of dirty blocks and mutations move once, to the task of their position.
+        of dirty blocks and mutations move once, to the task of their position. Where keys of the
+        mutations may repeat, files hold ``rows_per_file`` different keys, all rows of a key in one,
+        so that blocks stay disjoint; row groups are not cut so.
         """
+        if mutations.repeats and self.row_groups:
+            raise KeyedTableError("repeated keys could fall into two row groups; rewrite by files")
         start = time.perf_counter()
         full = mutations.completed(self.schema)
         with _Staging(self.files, self.files.qualified(dest), self.path) as staging:
             asked = full.df.select(F.struct(*[named(f.name) for f in self.schema]).alias("row"), F.col(self.key).alias("k"), named(full.op).alias("op"))
             stored = _stored(self._placed(asked, "k", "pos", "inside"), f"{staging.path}/mutations")
-            plan = self._plan(stored, "op", "pos", "inside", force, "k")
+            plan = self._plan(stored, "op", "pos", "inside", force, "k", mutations.repeats)
             never: frozenset[str] = frozenset()
             if self.row_groups:
                 never, whole = self._declared(plan)
@@ -313,7 +319,7 @@ class KeyedTable:
             changes = stored.where("inside or op = 'U'").select("row", "k", "op")
             groups = self._groups(plan, touched, stored, rows, staging.path)
             mean = sum(b.n_bytes for b in self.blocks) // max(1, self.block_count)
-            got, out = _write_groups(self, base.unionByName(changes), groups, staging.path, options, rows, merge=True, mean_bytes=mean, never=never)
+            got, out = _write_groups(self, base.unionByName(changes), groups, staging.path, options, rows, merge=True, mean_bytes=mean, never=never, repeats=mutations.repeats)
             upserts, deletes = (sum(c[i] for c in plan.counts.values()) for i in (0, 1))
             if got["added"] != upserts:
                 raise KeyedTableError("the files do not hold all upserts")
@@ -519,14 +525,15 @@ def _starts(spark: SparkSession, keys: DataFrame, rows: int, staging: str, seen:
     return watched.get, firsts
 
 
-def _write_groups(table: KeyedTable, tagged: DataFrame, groups: list[_Group], staging: str, options: WriteOptions, rows: int, merge: bool, mean_bytes: int = 1 << 30, never: frozenset[str] = frozenset()) -> tuple[dict, list[tuple[int, Block]]]:
+def _write_groups(table: KeyedTable, tagged: DataFrame, groups: list[_Group], staging: str, options: WriteOptions, rows: int, merge: bool, mean_bytes: int = 1 << 30, never: frozenset[str] = frozenset(), repeats: bool = False) -> tuple[dict, list[tuple[int, Block]]]:
     """Write ``row, k, op`` in files of ``rows``, each group by itself and sorted by key. What was
     observed, and (position, block) of each file in order, whose rows are held against it.
 
     One shuffle deals groups to tasks by their rows, one sort brings a task's groups and their keys in
     order, and the writer begins a file with each group and after so many rows. merge: a base
     row (no op) whose key has an op too goes, and so do deletes. never: columns to be declared never
-    null; all others can be, whatever their source says.
+    null; all others can be, whatever their source says. repeats: a file holds ``rows`` different keys
+    with all their rows, whose count nothing else bounds.
     """
     spark = table.spark
     if not groups:
@@ -550,18 +557,23 @@ def _write_groups(table: KeyedTable, tagged: DataFrame, groups: list[_Group], st
         dealt = dealt.observe(watched, *[F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0)).alias(n) for n, c in seen.items()]).where(stays)
     else:
         dealt = dealt.observe(watched, F.count("*").alias("rows"), F.bit_xor(F.xxhash64("k")).alias("keys"))
+    if repeats:
+        at = F.dense_rank().over(Window.partitionBy("task", "part").orderBy("k")) - 1
+        dealt = dealt.withColumn("part", F.col("part").cast("long") * (1 << 32) + F.floor(at / rows))
+    limit = 0 if repeats else rows
     key, task, part = free(table.schema.fieldNames(), "k", "task", "part")
     fields = [_set(F.col("row")[f.name], f) if f.name in never else F.col("row")[f.name].alias(f.name) for f in table.schema]
     final = dealt.select(*fields, F.col("k").alias(key), F.col("task").alias(task), F.col("part").alias(part))
-    # The rows are in this order already: the planner sees that and sorts once.
+    # The rows are in this order already: the planner sees that and sorts once, unless keys repeat.
     final = final.sortWithinPartitions(named(task), named(part), named(key)).drop(key)
     out = f"{staging}/files"
     with _microseconds(spark):
-        final.write.options(**options.of_writer(rows, mean_bytes)).option("maxRecordsPerFile", rows).partitionBy(task, part).parquet(out)
+        final.write.options(**options.of_writer(limit or (1 << 31) - 1, mean_bytes)).option("maxRecordsPerFile", limit).partitionBy(task, part).parquet(out)
     found = []
     for block in table._blocks(out):
         at = re.search(rf"/{re.escape(part)}=(\d+)/[^/]*$", block.file)
-        found.append((groups[int(at[1])].pos, block))
+        found.append((groups[int(at[1]) >> 32 if repeats else int(at[1])].pos, block))
+    _in_order([b for _, b in found])
     if sum(b.n_rows for _, b in found) != watched.get["rows"]:
         raise KeyedTableError("the files do not hold all rows")
     return watched.get, found

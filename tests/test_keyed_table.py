@@ -419,3 +419,31 @@ def test_rows_move_and_are_sorted_once(spark, tmp_path):
     plan = next(p for p in reversed(plans) if "InsertIntoHadoopFsRelationCommand" in p and "Window" in p).split("== Initial Plan ==")[0]
     tree = plan.split("\n\n\n")[0]
     assert len(re.findall(r"\bSort \(", tree)) == 1 and len(re.findall(r"\bExchange \(", tree)) == 1
+
+
+@pytest.mark.parametrize("heavy", [200_000, 30])
+def test_repeated_keys_of_mutations(spark, tmp_path, monkeypatch, heavy):
+    """All upserts of a key stay, a delete beside them does nothing, and no key is in two blocks."""
+    monkeypatch.setattr("keyloom.operators.table.HEAVY_ROWS", heavy)
+    r = random.Random(heavy)
+    base = [(k, "old") for k in range(0, 200, 2)]
+    ups = [(r.randrange(-20, 320), f"new{i}") for i in range(150)] + [(99, f"hot{i}") for i in range(25)] + [(r.randrange(1000, 1050), f"tail{i}") for i in range(100)]
+    dels = [(r.randrange(0, 320),) for _ in range(60)]
+    table = KeyedTable.create(spark, spark.createDataFrame(base, "key long, v string"), f"{tmp_path}/a", "key", WriteOptions(10))
+    m = Mutations.upserts(spark.createDataFrame(ups, "key long, v string"), "key").and_(Mutations.deletes(spark.createDataFrame(dels, "key long"), "key"))
+    with pytest.raises(KeyedTableError, match="times"):
+        table.rewrite(m, f"{tmp_path}/b", WriteOptions(10))
+    out, report = table.rewrite(m.repeated(), f"{tmp_path}/b", WriteOptions(10))
+    changed = {k for k, _ in [*ups, *[(k, None) for (k,) in dels]]}
+    want = sorted([x for x in base if x[0] not in changed] + ups)
+    assert sorted(map(tuple, out.scan().collect())) == want
+    opened = KeyedTable.open(spark, f"{tmp_path}/b", "key")
+    assert [(b.n_rows, b.key_min, b.key_max) for b in opened.blocks] == [(b.n_rows, b.key_min, b.key_max) for b in out.blocks]
+    assert sorted(r.v for r in opened.lookup(99).collect()) == sorted(v for k, v in ups if k == 99)
+    assert all(b.n_rows <= 10 for b in out.blocks if not b.key_min <= 99 <= b.key_max and len({k for k, _ in want if b.key_min <= k <= b.key_max}) == b.n_rows)
+    updated, deleted = len({k for k, _ in base} & {k for k, _ in ups}), len({k for k, _ in base} & changed - {k for k, _ in ups})
+    assert (report.rows_out, report.updated, report.deleted, report.inserted) == (len(want), updated, deleted, len(ups) - updated)
+    again, _ = out.rewrite(Mutations.deletes(spark.createDataFrame([(99,)], "key long"), "key"), f"{tmp_path}/c", WriteOptions(1000))
+    assert sorted(map(tuple, again.scan().collect())) == [x for x in want if x[0] != 99]
+    with pytest.raises(KeyedTableError, match="null"):
+        table.rewrite(Mutations.upserts(spark.createDataFrame([(None, "x")], "key long, v string"), "key").repeated(), f"{tmp_path}/d")

@@ -37,3 +37,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 1000
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["merge_combo", "string_key_merge"])
+def test_keys_behind_the_table_reach_into_it(spark, tmp_path, name):
+    """As in a table of 9 million orders, of which these are some: keys upserted twice, and deleted too."""
+    duck = duckdb.connect()
+    duck.sql(f"""copy (select i as o_orderkey, i % 15000 as o_custkey, 'O' as o_orderstatus, i / 100 as o_totalprice, timestamp '2020-01-01' as o_orderdate, 'x' as o_orderpriority
+        from (select unnest(range(8000000, 8030000)) as i union all select unnest(range(2, 39000, 300)))) to '{tmp_path}/orders.parquet' (format parquet)""")
+    duck.sql(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    got, want = core.QUERIES[name](spark, str(tmp_path)), duck.sql(core.ORACLE_SQL[name])
+    rows = want.fetchall()
+    assert len({r[0] for r in rows}) < len(rows)
+    assert sorted(map(repr, map(tuple, got.select(want.columns).collect()))) == sorted(map(repr, rows))
