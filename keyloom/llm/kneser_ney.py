@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from .common import MOST_TASKS, chunk_parts, joined_by_key, materialize, texts_by_bytes
 
@@ -194,6 +195,38 @@ def scored(docs: DataFrame, columns: list[str], model: Model, chunk_bytes: int =
     return pairs.applyInArrow(_scorer(model.left), schema)
 
 
+def rows_of(docs: DataFrame, ids: DataFrame, per_id: int = 16, most_bits: int = 28) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is in the stored, distinct ``ids``: a semi-join that moves no
+    texts, whatever the number of ids.
+
+    A Bloom filter of some ``per_id`` bits an id, 2 ** ``most_bits`` in all at most, goes to all tasks. The
+    ids it lets through by mistake are found from the id columns alone, and their rows taken out.
+    """
+    spark = docs.sparkSession
+    ids = ids.select(F.col("doc_id").try_cast(docs.schema["doc_id"].dataType).alias("doc_id")).where("doc_id is not null")
+    bits = min(most_bits, max(6, (per_id * ids.count()).bit_length()))
+
+    def places(key: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(i), key), F.lit(1 << bits)) for i in range(3)]
+
+    words = ids.select(F.explode(F.array(*places(F.col("doc_id")))).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toArrow()
+    table = np.zeros(1 << bits - 6, np.int64)
+    table[found.column("word").to_numpy()] = found.column("set").to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+
+    @arrow_udf("boolean")
+    def maybe(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        held = np.ones(len(a), bool)
+        for at in (x.to_numpy(zero_copy_only=False) for x in (a, b, c)):
+            held &= shared.value[at >> 6] >> (at & 63) & 1 == 1
+        return pa.array(held)
+
+    let = docs.where("doc_id is not null").where(maybe(*places(F.col("doc_id"))))
+    wrong = materialize(let.select("doc_id").distinct().join(ids, "doc_id", "left_anti"), "untrusted")
+    return let.join(wrong, "doc_id", "left_anti")
+
+
 def trusted_sample(labels: DataFrame, most: int) -> DataFrame:
     """At most ``most`` doc_ids that are labelled good and not toxic, by a seeded hash."""
     return trusted_ids(labels).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(most)
@@ -240,11 +273,11 @@ def cutoffs(found: DataFrame, q: float, fewest: int, alike: int, bins: int = 100
     return {lang: by_band(of) for lang, of in by.items() if sum(r["count"] for r in of) >= fewest}, by_band(rows)
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, most: int = 20_000, fewest: int = 100, alike: int = 100) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, most: int | None = None, fewest: int = 100, alike: int = 100) -> DataFrame:
     """Per document ``doc_id, lang, n_symbols, log10_prob, perplexity, threshold, kept``.
 
-    The model is trained on at most ``most`` whole trusted texts (labelled quality 1 and not
-    toxic), picked by a hash of the id. A document is kept if its perplexity per symbol is at
+    The model is trained on all whole trusted texts (labelled quality 1 and not toxic), or on
+    ``most`` of them, picked by a hash of the id. A document is kept if its perplexity per symbol is at
     most its threshold: the ``quantile`` of all trusted documents of its language and of
     comparable length, at least ``alike`` of them if there are so many, in the whole table. A language with under
     ``fewest`` trusted documents, and a null language, take the quantiles of all; without trusted
@@ -258,7 +291,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = 0.9
     return found.withColumn("kept", F.col("perplexity") <= F.col("threshold"))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, most: int = 20_000, fewest: int = 100, alike: int = 100) -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame, quantile: float = 0.999, most: int | None = None, fewest: int = 100, alike: int = 100) -> DataFrame:
     """The rows of ``docs`` that ``quality_classifier`` keeps, with all columns, whatever their names.
     Nulls, repeated rows and empty tables are as there: a repeated row stays or goes with all its
     repetitions."""
@@ -267,11 +300,10 @@ def kept_documents(docs: DataFrame, labels: DataFrame, quantile: float = 0.999,
     return stay.select("row.*")
 
 
-def _measured(docs: DataFrame, columns: list[str], labels: DataFrame, quantile: float, most: int, fewest: int, alike: int) -> tuple[DataFrame, dict[str | None, list[float]], list[float]]:
+def _measured(docs: DataFrame, columns: list[str], labels: DataFrame, quantile: float, most: int | None, fewest: int, alike: int) -> tuple[DataFrame, dict[str | None, list[float]], list[float]]:
     """Stored scores of all documents, and cutoffs by language and over all."""
-    ids = [r.doc_id for r in trusted_sample(labels, most).collect()]
-    chosen = docs.sparkSession.createDataFrame([(x,) for x in ids], f"doc_id {labels.schema['doc_id'].dataType.simpleString()}")
-    model = train(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi"))
+    ids = materialize(trusted_ids(labels) if most is None else trusted_sample(labels, most), "trusted")
+    model = train(rows_of(docs.select("doc_id", "text"), ids))
     found = scored(docs, columns, model).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_symbols")))
     found = materialize(found, "perplexity")
     known = found.select("row.doc_id", F.col("row.lang").cast("string").alias("lang"), "n_symbols", "perplexity")

@@ -263,3 +263,21 @@ def test_short_texts_do_not_set_the_cutoff_of_long_ones(spark):
     assert set(by) == {"de"} and len(by["de"]) == len(pooled) == kneser_ney.BANDS
     assert by["de"][2] == pytest.approx(25, rel=3e-3) and pooled[2] == pytest.approx(30, rel=3e-3)
     assert by["de"][10] <= 10.03 and by["de"][31] <= 10.03 and pooled[10] <= 10.03
+
+
+def test_kneser_ney_learns_from_all_trusted_documents(spark, monkeypatch):
+    docs = spark.range(30_000).selectExpr("id as doc_id", "cast(id as string) as text", "'en' as lang")
+    labels = spark.range(30_000).selectExpr("id as doc_id", "cast(id % 4 > 0 as int) as quality", "0 as toxic")
+    seen, train = [], kneser_ney.train
+    monkeypatch.setattr(kneser_ney, "train", lambda texts: seen.append(texts.count()) or train(texts))
+    assert kneser_ney.quality_classifier(docs, labels).count() == 30_000
+    assert seen == [22_500]
+
+
+@pytest.mark.parametrize("most_bits", [6, 28])
+def test_rows_of_ids_is_a_semi_join(spark, most_bits):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in [*range(500), 3, 7, None]], "doc_id int, text string")
+    for chosen in ([], [3, 9, 499, 7000, 1 << 40], list(range(0, 500, 3))):
+        ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
+        got = kneser_ney.rows_of(docs, ids, most_bits=most_bits).collect()
+        assert sorted((r.doc_id, r.text) for r in got) == sorted((i, f"t{i}") for i in [*range(500), 3, 7] if i in chosen)
