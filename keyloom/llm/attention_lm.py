@@ -19,9 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.window import Window
 
-from .common import MOST_TASKS, chunk_parts, materialize, texts_by_bytes
+from .common import MOST_TASKS, chunk_parts, materialize, release_memory, small_batches, texts_by_bytes
 from .encoding import encoder
 
 CLASSES, WIDTH, WINDOW, STRIDE = 32, 16, 16, 8
@@ -29,8 +28,8 @@ SYMBOLS = CLASSES * CLASSES
 BATCH = 512  # training windows a step
 OTHER, START = SYMBOLS - 1, SYMBOLS  # all rarer ids; what stands before a text
 PARAMS = {"E": (SYMBOLS + 1, WIDTH), "P": (WINDOW, WIDTH), "Wq": (WIDTH, WIDTH), "Wk": (WIDTH, WIDTH), "Wv": (WIDTH, WIDTH), "Wo": (WIDTH, WIDTH), "Uc": (WIDTH, CLASSES), "Us": (CLASSES, WIDTH, CLASSES)}
-HEADS = ("Wq", "Wk", "Wv")
 HELD = 4  # chunks whose words a task holds at once
+PART_CHUNKS = 2  # chunks whose words are as many as those that are counted at once
 _MASK = np.where(np.tril(np.ones((WINDOW, WINDOW))) > 0, 0.0, -1e9).astype(np.float32)
 _CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 _ONES = np.ones(CLASSES, np.float32)
@@ -80,30 +79,37 @@ def _by_class(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(classes[order], np.arange(CLASSES + 1, dtype=np.int8))
 
 
-def _softmax(z: np.ndarray) -> None:
-    """In place, over the last axis. Rows are shifted only where some exponent is large: the maximum
-    of each row costs more than all the rest."""
+def _exp(z: np.ndarray) -> np.ndarray:
+    """Exponentials in place; their sums over the last axis. Rows are shifted only where some exponent is
+    large: the maximum of each row costs more than all the rest."""
     if z.size and z.max() > 60:
         z -= z.max(-1, keepdims=True)
     np.exp(z, out=z)
-    z *= (1 / (z @ _ONES[: z.shape[-1]]))[..., None]
+    return z @ _ONES[: z.shape[-1]]
+
+
+def _softmax(z: np.ndarray) -> None:
+    """In place, over the last axis."""
+    z *= (1 / _exp(z))[..., None]
 
 
 def loss_and_gradient(flat: np.ndarray, prior: Prior, given: np.ndarray, before: np.ndarray, wanted: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean cross-entropy over windows of symbols, and its gradient. wanted -1 is not counted;
     ``before`` is the row of the prior at each place."""
     p, windows = unflat(flat), (*given.shape, WIDTH)
+    given, before, wanted = (z.astype(np.intp) for z in (given, before, wanted))
     x = p["E"].take(given, axis=0)
     x += p["P"]
+    keys = x
     x = x.reshape(-1, WIDTH)
-    heads = np.concatenate([p[name] for name in HEADS], 1)
-    q, k, v = np.split((x @ heads).reshape(*given.shape, 3 * WIDTH), 3, -1)
-    a = q @ k.transpose(0, 2, 1)
-    a *= _SCALE
+    # What Wq and Wk, and Wv and Wo, do one after the other, as one matrix each.
+    heads = np.concatenate([p["Wq"] @ p["Wk"].T * _SCALE, p["Wv"] @ p["Wo"]], 1)
+    q, v = np.split((x @ heads).reshape(*given.shape, 2 * WIDTH), 2, -1)
+    a = q @ keys.transpose(0, 2, 1)
     a += _MASK
     _softmax(a)
-    o = (a @ v).reshape(-1, WIDTH)
-    h = x + o @ p["Wo"]
+    h = (a @ v).reshape(-1, WIDTH)
+    h += x
     valid = np.flatnonzero(wanted.ravel() >= 0)
     order, edges = _by_class(wanted.ravel()[valid])
     valid = valid[order]
@@ -111,37 +117,39 @@ def loss_and_gradient(flat: np.ndarray, prior: Prior, given: np.ndarray, before:
     n, place = max(1, len(t)), np.arange(len(t)) * CLASSES
     zc = state @ p["Uc"]
     zc += prior.classes.take(row, axis=0)
-    zs = prior.symbols.take(t // CLASSES * (SYMBOLS + 1) + row, axis=0).astype(state.dtype, copy=False)
-    for c in range(CLASSES):
-        own = slice(edges[c], edges[c + 1])
-        zs[own] += state[own] @ p["Us"][c]
+    zs, slices = np.empty_like(zc), [slice(*edges[c : c + 2]) for c in range(CLASSES)]
+    for c, own in enumerate(slices):
+        np.matmul(state[own], p["Us"][c], out=zs[own])
+    zs += prior.symbols.take(t // CLASSES * (SYMBOLS + 1) + row, axis=0)
     loss = 0.0
     for z, at in ((zc, t // CLASSES), (zs, t % CLASSES)):
-        _softmax(z)
-        flat_at = place + at
-        hit = z.ravel().take(flat_at)
-        loss -= float(np.log(hit).sum()) / n
-        z.ravel()[flat_at] = hit - 1
-        z *= np.float32(1 / n)
-    g = {"Uc": state.T @ zc, "Us": np.zeros_like(p["Us"])}
-    dstate = zc @ p["Uc"].T
-    for c in range(CLASSES):
-        own = slice(edges[c], edges[c + 1])
-        g["Us"][c] = state[own].T @ zs[own]
-        dstate[own] += zs[own] @ p["Us"][c].T
+        each = place + at
+        total = _exp(z)
+        loss -= float(np.log(z.ravel().take(each) / total).sum()) / n
+        z *= (1 / (total * n)).astype(z.dtype)[:, None]
+        z.ravel()[each] -= 1 / n
+    g = {"Uc": state.T @ zc, "Us": np.empty_like(p["Us"])}
+    dstate, within = zc @ p["Uc"].T, np.empty_like(state)
+    for c, own in enumerate(slices):
+        np.matmul(state[own].T, zs[own], out=g["Us"][c])
+        np.matmul(zs[own], p["Us"][c].T, out=within[own])
+    dstate += within
     dh = np.zeros_like(h)
     dh[valid] = dstate
-    g["Wo"] = o.T @ dh
-    do = (dh @ p["Wo"].T).reshape(windows)
+    do = dh.reshape(windows)
     da = do @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ do
+    d = np.empty((*given.shape, 2 * WIDTH), h.dtype)
+    np.matmul(a.transpose(0, 2, 1), do, out=d[..., WIDTH:])
     da *= a
     da -= a * (da @ _ONES[:WINDOW])[..., None]
-    da *= _SCALE
-    d = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, dv], -1).reshape(-1, 3 * WIDTH)
-    g |= zip(HEADS, np.split(x.T @ d, 3, 1), strict=True)
-    dx = dh
+    np.matmul(da, keys, out=d[..., :WIDTH])
+    dx = (da.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
+    d = d.reshape(-1, 2 * WIDTH)
+    dqk, dvo = np.split(x.T @ d, 2, 1)
+    dqk = dqk * _SCALE
+    g |= {"Wq": dqk @ p["Wk"], "Wk": dqk.T @ p["Wq"], "Wv": dvo @ p["Wo"].T, "Wo": p["Wv"].T @ dvo}
     dx += d @ heads.T
+    dx += dh
     g["P"] = dx.reshape(windows).sum(0)
     order = np.argsort(given.ravel().astype(np.int16), kind="stable")  # sorted by radix
     same = given.ravel().take(order)
@@ -280,33 +288,115 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.values.filter(filled), np.diff(before[lists.offsets.to_numpy()])
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, word, n): every distinct word of a chunk, with its count in training texts. A chunk whose
-    rows come far apart is listed in parts."""
-    held: dict[int, tuple[list[pa.Array], list[pa.Array]]] = {}  # words of training texts, of others
-
-    def out() -> Iterator[pa.RecordBatch]:
-        for chunk, (trained, others) in held.items():
-            counted = pa.chunked_array(trained, pa.string()).value_counts()
-            words = counted.field("values")
-            unseen = pa.chunked_array(others, pa.string()).unique()
-            unseen = unseen.filter(pc.invert(pc.is_in(unseen, value_set=words)))
-            for rows, n in ((words, counted.field("counts").cast(pa.int64())), (unseen, pa.array(np.zeros(len(unseen), np.int64)))):
-                for at in range(0, len(rows), 100_000):
-                    some = rows.slice(at, 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk, np.int32)), some.cast(pa.binary()), n.slice(at, 100_000)], ["chunk", "word", "n"])
-        held.clear()
-        pa.default_memory_pool().release_unused()
-
-    for number, own in chunk_parts(batches):
-        if number not in held and len(held) >= HELD:
-            yield from out()
-        both = held.setdefault(number, ([], []))
-        for is_other, into in enumerate(both):
-            part = own.filter(pc.equal(own.column("held_out"), bool(is_other)))
-            for i, j in texts_by_bytes(part, "text"):
-                into.append(split_words(part.column("text").slice(i, j - i))[0])
-    yield from out()
+def _raw(words: pa.Array) -> tuple[bytes, bytes]:
+    """The bytes of an array of words, and their lengths as int32."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    return memoryview(words.buffers()[2])[ends[0] : ends[-1]].tobytes() if len(words) else b"", np.diff(ends).tobytes()
+
+
+def _blobs(raw: bytes, edges: np.ndarray) -> pa.Array:
+    """Consecutive pieces of ``raw`` as binary values."""
+    wide = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(raw)])
+    return wide.cast(pa.binary())
+
+
+def _from_raw(words: list[bytes], sizes: list[bytes]) -> pa.Array:
+    """The words of one or more pieces of ``_raw``."""
+    ends = np.append(0, np.cumsum(np.frombuffer(b"".join(sizes), np.int32)))
+    if ends[-1] >= 1 << 31:
+        raise ValueError("the words of a part or chunk take 2 GB or more")
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(b"".join(words)))
+
+
+def _parts(words: pa.Array, parts: int, step: int = 50_000) -> np.ndarray:
+    """A number under ``parts`` for each word (none is empty), from its length and its first 64 bytes."""
+    powers, out = np.multiply.accumulate(np.full(64, 0x9E3779B97F4A7C15, np.uint64)), [np.zeros(0, np.int64)]
+    for i in range(0, len(words), step):
+        some = words.slice(i, step).cast(pa.binary())
+        heads = pc.binary_slice(some, 0, 64)
+        raw, sizes = (np.frombuffer(x, k) for x, k in zip(_raw(heads), (np.uint8, np.int32), strict=True))
+        starts = np.cumsum(sizes) - sizes
+        h = np.add.reduceat(raw * powers[np.arange(len(raw)) - np.repeat(starts, sizes)], starts)
+        h += pc.binary_length(some).to_numpy().astype(np.uint64)
+        h ^= h >> np.uint64(32)
+        out.append((h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % parts)
+    return np.concatenate(out)
+
+
+_LISTED = "part int, chunk int, words binary, sizes binary, n binary"
+
+
+def _words(parts: int) -> Callable:
+    """To (part, chunk, words, sizes, n): every distinct word of a chunk, with its count in training texts,
+    dealt to parts by the word. A row has many words, one after the other. A chunk whose rows come far
+    apart is listed in pieces."""
+
+    def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[pa.Array], list[pa.Array]]] = {}  # words of training texts, of others
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for chunk, (trained, others) in held.items():
+                counted = pa.chunked_array(trained, pa.string()).value_counts()
+                words = counted.field("values")
+                unseen = pa.chunked_array(others, pa.string()).unique()
+                unseen = unseen.filter(pc.invert(pc.is_in(unseen, value_set=words)))
+                n = np.append(counted.field("counts").to_numpy(), np.zeros(len(unseen), np.int64))
+                words = pa.concat_arrays([words, unseen])
+                part = _parts(words, parts)
+                order = np.argsort(part, kind="stable")
+                words, n, part = words.take(pa.array(order)), n[order], part[order]
+                begins = np.flatnonzero(np.diff(part, prepend=-1))
+                edges = np.append(begins, len(part))
+                raw, sizes = _raw(words)
+                ends = np.append(0, np.cumsum(np.frombuffer(sizes, np.int32)))
+                blobs = [_blobs(x, at) for x, at in ((raw, ends[edges]), (sizes, edges * 4), (n.tobytes(), edges * 8))]
+                numbers = pa.array(part[begins], pa.int32()), pa.array(np.full(len(begins), chunk, np.int32))
+                yield pa.RecordBatch.from_arrays([*numbers, *blobs], ["part", "chunk", "words", "sizes", "n"])
+            held.clear()
+            release_memory()
+
+        for number, own in chunk_parts(batches):
+            if number not in held and len(held) >= HELD:
+                yield from out()
+            both = held.setdefault(number, ([], []))
+            for is_other, into in enumerate(both):
+                part = own.filter(pc.equal(own.column("held_out"), bool(is_other)))
+                for i, j in texts_by_bytes(part, "text"):
+                    into.append(split_words(part.column("text").slice(i, j - i))[0])
+        yield from out()
+
+    return list_words
+
+
+_COUNTED = "chunk int, words binary, sizes binary, c binary, first binary, ids binary, n_ids binary"
+
+
+def _counter(path: str) -> Callable:
+    """The rows of one part, of all chunks, with each word's count over all training texts (c), its ids,
+    and in ``first`` a 1 once for each word of a training text. A word is tokenized once for all chunks."""
+
+    def count(listed: pa.Table) -> pa.Table:
+        listed = listed.sort_by("chunk")
+        raw, sizes, n = (listed.column(x).to_pylist() for x in ("words", "sizes", "n"))
+        coded = _from_raw(raw, sizes).dictionary_encode()
+        where, every = coded.indices.to_numpy(), coded.dictionary
+        c = np.bincount(where, weights=np.frombuffer(b"".join(n), np.int64), minlength=len(every)).astype(np.int64)
+        first, at = np.zeros(len(where), bool), np.zeros(len(every), np.int64)
+        at[where[::-1]] = np.arange(len(where))[::-1]
+        first[at] = c > 0
+        pool = word_pool(encoder(path, False), every)
+        rows, done = [], 0
+        for a, b, x in zip(raw, sizes, listed.column("chunk").to_pylist(), strict=True):
+            own = slice(done, done := done + len(b) // 4)
+            numbers = where[own] + 1  # 0 is the end of a text
+            ids, n_ids = joined_ids(pool, numbers, np.arange(len(numbers)))
+            rows.append((x, a, b, c[where[own]].tobytes(), first[own].tobytes(), ids.tobytes(), n_ids.astype(np.int32).tobytes()))
+        del coded, where, every, c, first, pool
+        release_memory()
+        names = [x.split()[0] for x in _COUNTED.split(", ")]
+        return pa.Table.from_arrays([pa.array(x, pa.binary() if i else pa.int32()) for i, x in enumerate(zip(*rows, strict=True))], names)
+
+    return count
 
 
 def id_type(enc) -> np.dtype:
@@ -439,9 +529,8 @@ def train(texts: DataFrame, dtype: np.dtype, shared, shard_ids: int = 6 << 20, m
 _ENCODED = "held_out boolean, place long, n_tokens long, n_known long, base_sum double, ids binary, before long, id long, n long"
 
 
-def _encoder(path: str, end_count: int, doc_id: pa.DataType) -> Callable:
-    """The texts of a chunk and its words with their counts over all training texts (``word, c, first``:
-    true in one chunk for each word) to rows of two sorts: documents, and what the first
+def _encoder(dtype: np.dtype, end_id: int, end_count: int, doc_id: pa.DataType) -> Callable:
+    """The texts of a chunk and its words as ``_counter`` gives them to rows of two sorts: documents, and what the first
     words add to counts of ids by the id before (-1 before a word's first), to all words (-2, 0)
     and to distinct ones (-2, 1)."""
     names = [x.split()[0] for x in _ENCODED.split(", ")]
@@ -452,26 +541,26 @@ def _encoder(path: str, end_count: int, doc_id: pa.DataType) -> Callable:
         return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
     def encode(texts: pa.Table, counted: pa.Table) -> pa.Table:
-        enc, parts, listed, out = encoder(path, False), [], [pa.array([], pa.string())], []
+        parts, listed, out = [], [pa.array([], pa.string())], []
         for batch in texts.to_batches():
             for i, j in texts_by_bytes(batch, "text", 1 << 20):
                 some = batch.slice(i, j - i)
                 words, sizes = split_words(some.column("text"))
                 listed.append(words)
                 parts.append((some, sizes))
-        coded = pa.concat_arrays(listed).dictionary_encode()
-        del listed
-        every, numbers = coded.dictionary, coded.indices.to_numpy()
-        # A word can come twice, if its chunk was listed in parts.
-        known = pa.chunked_array([x.cast(pa.string()) for x in counted.column("word").chunks], pa.string()).combine_chunks().dictionary_encode()
-        where, size = known.indices.to_numpy(), len(known.dictionary)
-        c, first = np.zeros(size + 1, np.int64), np.zeros(size + 1, bool)
-        c[where] = counted.column("c").to_numpy()
-        first[where[counted.column("first").to_numpy(zero_copy_only=False).astype(bool)]] = True
-        at = pc.fill_null(pc.index_in(every, value_set=known.dictionary), size).to_numpy()  # the last is for unknown words
+        raw = {x: counted.column(x).to_pylist() for x in counted.column_names if x != "chunk"}
+        known = _from_raw(raw["words"], raw["sizes"])
+        # A word can come twice, if its chunk was listed in pieces; the first of it is found.
+        numbers = pc.index_in(pa.concat_arrays(listed), value_set=known)
+        if numbers.null_count:
+            raise ValueError("a word of this chunk was not listed")
+        numbers = numbers.to_numpy()
+        del listed, known
         # Number 0 is the end of a text, then come the words.
-        c, first = np.append(end_count, c[at]), np.append(False, first[at])
-        logs, pool = np.log10(c + 0.5), word_pool(enc, every)
+        c, first, ids, n = (np.append(np.array([x], k), np.frombuffer(b"".join(raw[y]), k)) for x, k, y in ((end_count, np.int64, "c"), (False, bool, "first"), (end_id, dtype, "ids"), (1, np.int32, "n_ids")))
+        n = n.astype(np.int64)
+        logs, pool = np.log10(c + 0.5), (ids, np.cumsum(n) - n, n)
+        del raw
 
         own = np.flatnonzero(first)
         if len(own):
@@ -491,11 +580,11 @@ def _encoder(path: str, end_count: int, doc_id: pa.DataType) -> Callable:
             begins = np.cumsum(sizes) - sizes
             ids, n = joined_ids(pool, words, begins)
             edges = np.append(0, np.cumsum(n) * ids.itemsize)
-            coded_ids = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+            coded_ids = _blobs(ids.tobytes(), edges)
             found = {"n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(np.add.reduceat((c[words] > 0).astype(np.int64), begins)), "base_sum": pa.array(np.add.reduceat(logs[words], begins)), "ids": coded_ids}
             out.append(rows(len(sizes), found | {x: some.column(x) for x in ("doc_id", "held_out", "place")}))
-        del coded, known, every, pool, parts
-        pa.default_memory_pool().release_unused()  # a worker lives on, and trains and scores later
+        del pool, parts, c, first, ids, n, logs, numbers
+        release_memory()  # a worker lives on, and trains and scores later
         return pa.Table.from_batches(out, schema)
 
     return encode
@@ -515,9 +604,9 @@ def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 12 << 20
     """Per document ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Documents are dealt to chunks of about ``chunk_bytes`` of text by a hash, chunks to a bounded number
-    of tasks, which take theirs one after the other. Each chunk lists its words; their counts over all training texts are summed by word and joined back, so a chunk
-    gets the counts of its own words, however large the vocabulary. One Arrow stage, which holds
-    a chunk, encodes its texts and writes their ids; texts are shuffled once for both. The model is then trained on all ids of all
+    of tasks, which take theirs one after the other. Each chunk lists its words, in rows of many words dealt to parts by the word. A part counts its words over all training
+    texts and tokenizes each once, and sends them back, so a chunk gets the counts and ids of its own words, however large
+    the vocabulary. One Arrow stage, which holds a chunk, encodes its texts and writes their ids; texts are shuffled once for both. The model is then trained on all ids of all
     training documents and scores all documents from those, both in streams of batches. Subword
     counts and word counts come from all training documents.
 
@@ -533,20 +622,25 @@ def score_documents(docs: DataFrame, tokenizer: str, chunk_bytes: int = 12 << 20
     tasks = min(chunks, MOST_TASKS)
     keyed = all_.withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)).withColumn("chunk", F.pmod("place", F.lit(chunks)).cast("int")).repartition(tasks, "chunk")
 
-    # A word has one row a chunk; one shuffle brings them together, for its total and back to its chunks.
-    same = Window.partitionBy("word")
-    counted = keyed.mapInArrow(_words, "chunk int, word binary, n long").withColumns({"c": F.sum("n").over(same), "first": F.row_number().over(same.orderBy("chunk")) == 1})
-    counted = counted.where("c > 0").select("chunk", "word", "c", "first")
+    # The words of a chunk go in rows of many words, dealt by the word, to be counted over all chunks, and back to it.
+    parts = -(-chunks // PART_CHUNKS)
+    listed = keyed.mapInArrow(_words(parts), _LISTED).repartition(min(parts, MOST_TASKS), "part")
+    counted = listed.groupBy("part").applyInArrow(_counter(tokenizer), _COUNTED)
     both = keyed.groupBy("chunk").cogroup(counted.groupBy("chunk"))
-    stored = materialize(both.applyInArrow(_encoder(tokenizer, train_docs, to_arrow_type(docs.schema["doc_id"].dataType)), f"doc_id {kind}, {_ENCODED}"), "ids")
+    enc = encoder(tokenizer, False)
+    dtype = id_type(enc)
+    encode = _encoder(dtype, enc.tokenizer.get_vocab_size(), train_docs, to_arrow_type(docs.schema["doc_id"].dataType))
+    with small_batches(spark):  # texts, and rows of many words
+        stored = materialize(both.applyInArrow(encode, f"doc_id {kind}, {_ENCODED}"), "ids")
     encoded, pairs = stored.where("before is null"), stored.where("before is not null").groupBy("before", "id").agg(F.sum("n").alias("n"))
     pairs = materialize(pairs, "pairs")
     sums = {r.id: r.n for r in pairs.where("before = -2").collect()}
     train_tokens, distinct = sums.get(0, 0) + train_docs, sums.get(1, 0) + (train_docs > 0)
 
     prior, symbols = _gathered(pairs.where("before > -2"), tokenizer, train_docs)
-    shared, dtype = spark.sparkContext.broadcast((prior, symbols)), id_type(encoder(tokenizer, False))
-    flat, _ = train(encoded.where(~F.col("held_out")), dtype, shared)
+    shared = spark.sparkContext.broadcast((prior, symbols))
+    with small_batches(spark, 2000):
+        flat, _ = train(encoded.where(~F.col("held_out")), dtype, shared)
     columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_sum"]
     scored = encoded.select(*columns, "ids").mapInArrow(_scorer(dtype, shared, flat), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_sum double, score double")
     base = F.col("base_sum") - F.col("n_tokens") * math.log10(train_tokens + 0.5 * (distinct + 1))

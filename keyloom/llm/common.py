@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -102,6 +104,27 @@ def texts_by_bytes(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) ->
         yield start, len(sizes)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs that run inside hand ``rows`` rows at most to Python at once: where rows are long, executors
+    and workers hold several copies of a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def release_memory() -> None:
+    """Hand memory that this worker no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 #: Tasks of a shuffle by chunks at most; beyond, a task gets several, one after the other.
 MOST_TASKS = 50_000
 

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm import attention_lm as lm
 from keyloom.llm import simhash
-from keyloom.llm.common import joined_by_key
+from keyloom.llm.common import joined_by_key, small_batches
 from keyloom.llm.components import connected_components
 
 WORD = str(P.path("word_bpe_49k.json"))
@@ -328,6 +329,42 @@ def test_tasks_take_several_chunks(docs, monkeypatch):
         assert r[:5] == whole[r.doc_id][:5] and r.base_score == pytest.approx(whole[r.doc_id].base_score) and r.score == pytest.approx(whole[r.doc_id].score, rel=1e-3)
 
 
+def test_words_travel_in_rows_of_many_and_are_tokenized_once(monkeypatch):
+    texts = [" ".join(f"w{(i * 7 + k) % 900}" for k in range(300)) + f" only{i}" + " <b" + "x" * 100 * (i == 0) for i in range(8)]
+    held, chunk = [i % 4 == 1 for i in range(8)], [i // 2 for i in range(8)]
+    kinds = {"chunk": pa.int32(), "held_out": pa.bool_(), "text": pa.binary()}
+    batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((chunk, held, [t.encode() for t in texts]), kinds.values(), strict=True)], list(kinds))
+    listed = pa.Table.from_batches(list(lm._words(3)(iter([batch]))))
+    assert len(listed) <= 4 * 3  # a row for each chunk and part, not for each word
+    tokenized, pool = [], lm.word_pool
+    monkeypatch.setattr(lm, "word_pool", lambda enc, words: tokenized.extend(words.to_pylist()) or pool(enc, words))
+    counted = pa.concat_tables(lm._counter(WORD)(listed.filter(pc.equal(listed["part"], k))) for k in range(3))
+    assert Counter(tokenized) == Counter({w for t in texts for w in t.split()})
+    want, enc, first = Counter(w for t, h in zip(texts, held, strict=True) if not h for w in t.split()), lm.encoder(WORD, False), Counter()
+    for number in range(4):
+        got = []
+        for r in counted.filter(pc.equal(counted["chunk"], number)).to_pylist():
+            words = [w.decode() for w in lm._from_raw([r["words"]], [r["sizes"]]).cast(pa.binary()).to_pylist()]
+            assert np.frombuffer(r["c"], np.int64).tolist() == [want[w] for w in words]
+            n = np.frombuffer(r["n_ids"], np.int32)
+            ids = np.split(np.frombuffer(r["ids"], lm.id_type(enc)), np.cumsum(n)[:-1])
+            assert [x.tolist() for x in ids] == [np.frombuffer(enc.encode(w), enc.dtype).tolist() for w in words]
+            first.update(w for w, f in zip(words, np.frombuffer(r["first"], bool), strict=True) if f)
+            got += words
+        assert sorted(got) == sorted({w for t, c in zip(texts, chunk, strict=True) if c == number for w in t.split()})
+    assert first == Counter(set(want))
+
+
+def test_small_batches_are_for_the_jobs_inside(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with pytest.raises(ZeroDivisionError), small_batches(spark, 7):
+        sizes = spark.range(100).coalesce(1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()
+        assert max(r.n for r in sizes) == 7
+        1 / 0  # noqa: B018
+    assert spark.conf.get(key) == before
+
+
 def test_language_model_of_nothing(no_docs):
     assert lm.score_documents(no_docs, WORD).count() == 0
 
