@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import MOST_TASKS, chunk_parts, joined_by_key, materialize, texts_by_bytes
+from .common import MOST_TASKS, chunk_parts, joined_by_key, materialize, release_memory, small_batches, texts_by_bytes
 
 #: The edge of a text, one above all code points; bits of a symbol.
 EDGE, BITS = 0x110000, 21
@@ -28,6 +28,8 @@ EDGE, BITS = 0x110000, 21
 OUTCOMES = EDGE + 1
 #: Chunks whose lists a task holds at once.
 HELD = 64
+#: Bytes of text whose symbols are spread out at once, some 50 times as many bytes.
+BLOCK = 1 << 20
 #: Lengths are compared by the power of two below them.
 BANDS = 32
 #: Kinds of entries of a model: discounted shares of n-grams, and what contexts leave to lower orders.
@@ -58,11 +60,19 @@ def lower(codes: np.ndarray, symbols: int) -> np.ndarray:
     return codes & ((1 << symbols * BITS) - 1)
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of rows of some ``BLOCK`` bytes, with their texts: a column, or a field of the rows."""
+    texts = batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
+    for a, b in texts_by_bytes(pa.RecordBatch.from_arrays([texts], ["text"]), "text", BLOCK):
+        yield a, b, texts.slice(a, b - a).to_pylist()
+
+
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in texts_by_bytes(batch, "text"):
-            codes, n = np.unique(trigrams(batch.column("text").slice(a, b - a).to_pylist())[0], return_counts=True)
+        for _, _, texts in _blocks(batch):
+            codes, n = np.unique(trigrams(texts)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], ["code", "n"])
+    release_memory()
 
 
 def _smoothed(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame | float]:
@@ -95,7 +105,8 @@ class Model:
 
 def train(texts: DataFrame) -> Model:
     """A model of the column ``text``. Without any text all outcomes are equally likely."""
-    three = materialize(texts.select("text").mapInArrow(_count_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "trigrams")
+    with small_batches(texts.sparkSession):
+        three = materialize(texts.select("text").mapInArrow(_count_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "trigrams")
     # Continuation counts: of how many different symbols an n-gram comes after.
     two = materialize(three.groupBy(F.col("code").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("code")).agg(F.count("*").alias("n")), "bigrams")
     one = two.groupBy(F.col("code").bitwiseAND(F.lit((1 << BITS) - 1)).alias("code")).agg(F.count("*").alias("n"))
@@ -131,11 +142,12 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if number not in held and len(held) >= HELD:
             yield from out()
         own = held.setdefault(number, [])
-        for a, b in texts_by_bytes(batch, "text"):
-            own.append(np.unique(trigrams(batch.column("text").slice(a, b - a).to_pylist())[0]))
+        for _, _, texts in _blocks(batch):
+            own.append(np.unique(trigrams(texts)[0]))
             if len(own) > 8:
                 own[:] = [np.unique(np.concatenate(own))]
     yield from out()
+    release_memory()
 
 
 def trigram_logs(entries: pa.Table, left: float) -> tuple[np.ndarray, np.ndarray]:
@@ -162,14 +174,18 @@ def trigram_logs(entries: pa.Table, left: float) -> tuple[np.ndarray, np.ndarray
 
 
 def _scorer(left: float) -> Callable:
+    def totals(texts: list[str | None], known: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        codes, n = trigrams(texts)
+        return n, np.add.reduceat(logs.take(np.searchsorted(known, codes)), np.cumsum(n) - n)
+
     def score(texts: pa.Table, entries: pa.Table) -> pa.Table:
         known, logs = trigram_logs(entries, left)
         out = []
-        for batch in texts.combine_chunks().to_batches():
-            for a, b in texts_by_bytes(batch, "text", 2 << 20):
-                codes, n = trigrams(batch.column("text").slice(a, b - a).to_pylist())
-                total = np.add.reduceat(logs.take(np.searchsorted(known, codes)), np.cumsum(n) - n)
+        for batch in texts.to_batches():
+            for a, b, own in _blocks(batch):
+                n, total = totals(own, known, logs)
                 out.append(pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), pa.array(n), pa.array(total)], ["row", "n_symbols", "log10_prob"]))
+        release_memory()
         return pa.Table.from_batches(out, pa.schema([("row", texts.schema.field("row").type), ("n_symbols", pa.int64()), ("log10_prob", pa.float64())]))
 
     return score
@@ -180,14 +196,15 @@ def scored(docs: DataFrame, columns: list[str], model: Model, chunk_bytes: int =
     each document of ``docs``.
 
     Texts are shuffled once, by chunk, and read twice from there: to list the chunk's n-grams and
-    to score. A chunk's list is joined to the model by n-gram: an n-gram has one row a chunk,
-    however often it occurs.
+    to score. Where ``columns`` has the text, it travels in the row alone. A chunk's list is joined
+    to the model by n-gram: an n-gram has one row a chunk, however often it occurs.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(size / chunk_bytes))
     tasks = min(chunks, MOST_TASKS)
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    keyed = docs.select(row.alias("row"), F.col("text").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")).repartition(tasks, "chunk")
+    beside = [] if "text" in columns else [F.col("text").alias("text")]
+    keyed = docs.select(row.alias("row"), *beside, F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")).repartition(tasks, "chunk")
     listed = keyed.mapInArrow(_listed, "chunk int, kind int, code long")
     entries = listed.join(model.entries, ["kind", "code"], "left").select("chunk", "kind", "code", "value")
     pairs = keyed.groupBy("chunk").cogroup(entries.groupBy("chunk"))
@@ -305,7 +322,8 @@ def _measured(docs: DataFrame, columns: list[str], labels: DataFrame, quantile:
     ids = materialize(trusted_ids(labels) if most is None else trusted_sample(labels, most), "trusted")
     model = train(rows_of(docs.select("doc_id", "text"), ids))
     found = scored(docs, columns, model).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_symbols")))
-    found = materialize(found, "perplexity")
+    with small_batches(docs.sparkSession):
+        found = materialize(found, "perplexity")
     known = found.select("row.doc_id", F.col("row.lang").cast("string").alias("lang"), "n_symbols", "perplexity")
     return found, *cutoffs(known.join(trusted_ids(labels), "doc_id", "left_semi"), quantile, fewest, alike)
 

@@ -1,8 +1,10 @@
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from keyloom.llm import kneser_ney, quality_rules as q
@@ -211,6 +213,42 @@ def test_texts_are_shuffled_once(spark, docs):
     assert "ReusedExchange" in plan
 
 
+def test_rows_with_texts_are_shuffled_with_one_copy(spark, docs):
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    model = kneser_ney.train(docs.limit(50))
+    out = kneser_ney.scored(docs, docs.columns, model)
+    dealt = [x.output() for x in nodes(out._jdf.queryExecution().optimizedPlan()) if x.nodeName() == "RepartitionByExpression"]
+    assert dealt and all({o.apply(i).name() for i in range(o.size())} == {"row", "chunk"} for o in dealt)
+    got, texts = out.collect(), {r.doc_id: r.text for r in docs.collect()}
+    narrow = {r.row.doc_id: (r.n_symbols, r.log10_prob) for r in kneser_ney.scored(docs, ["doc_id"], model).collect()}
+    assert {r.row.doc_id: r.row.text for r in got} == texts
+    assert all(narrow[r.row.doc_id] == (r.n_symbols, pytest.approx(r.log10_prob)) for r in got)
+
+
+def test_memory_does_not_grow_with_a_batch():
+    """Symbols of some 8 MB of texts are not spread out all at once: what a worker holds for it is bounded."""
+    r = np.random.default_rng(3)
+    texts = ["".join(map(chr, r.integers(97, 123, 2000))) for _ in range(4000)]
+    rows = pa.array([{"doc_id": i} for i in range(len(texts))])
+    batch = pa.RecordBatch.from_arrays([rows, pa.array(texts), pa.array(np.zeros(len(texts), np.int32))], ["row", "text", "chunk"])
+    listed = [pa.Table.from_batches([b]) for b in kneser_ney._listed(iter([batch]))]
+    entries = pa.concat_tables(listed).append_column("value", pa.array(np.full(sum(map(len, listed)), 0.5)))
+    for work in (
+        lambda: list(kneser_ney._count_trigrams(iter([batch]))),
+        lambda: list(kneser_ney._listed(iter([batch]))),
+        lambda: kneser_ney._scorer(1.0)(pa.Table.from_batches([batch]), entries),
+    ):
+        tracemalloc.start()
+        out = work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(out) and peak < 80e6
+
+
 def test_verdicts_of_the_classifier(spark, docs, labels):
     """Thresholds and verdicts against brute force on a whole table."""
     options = {"quantile": 0.98, "most": 40, "fewest": 20, "alike": 15}
